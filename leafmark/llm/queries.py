@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmark.llm import language, minhash, packing, quality, suffixes
+from leafmark.llm import language, minhash, packing, quality, suffixes, toxicity
 from leafmark.llm.common import table
 from leafmark.llm.subwords import in_fold
 
@@ -15,6 +15,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~in_fold("doc_id", 5, 0))
+    lexicon = toxicity.train(docs, labels.select("doc_id", labels.toxic.alias("label")))
+    return toxicity.score(docs, lexicon).select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.remove_repeats(table(spark, sf_dir, "documents"), width=50)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -41,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op3_toxicity,
         op4_suffix_array_dedup,
         op6_minhash_near_dedup,
         op7_language_id,

@@ -64,14 +64,12 @@ def features(texts: pa.Array, shape: Shape) -> Iterator[tuple[np.ndarray, np.nda
         code *= np.uint32(0xC2B2AE35)
         many = np.maximum(size - gram + 1, 0)
         inside = np.ones(len(code), bool)
-        step = np.zeros(len(data) + 2, np.int8)
         cross = size >= gram
         if not cross.all() or n > 1:
             covered = np.zeros(len(data) + 1, np.int32)
             np.add.at(covered, offsets[:-1][cross], 1)
             np.add.at(covered, offsets[1:][cross] - gram + 1, -1)
             inside = np.cumsum(covered)[: len(code)] > 0
-        del step
         at = np.zeros(n + 1, np.int64)
         np.cumsum(many, out=at[1:])
         yield (code >> shift)[inside], at
@@ -210,7 +208,7 @@ def sampled(docs: DataFrame, labels: DataFrame, shape: Shape) -> tuple[list[str]
     known = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "label")
     kinds = max(1, known.select("label").distinct().count())
     by_hash = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= max(1, min(999, shape.sample // kinds)))
+    chosen = known.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= max(1, shape.sample // kinds))
     # At most `shape.sample` ids, so small enough to broadcast.
     texts = doc_texts(docs).where(F.length("text") <= shape.longest)
     rows = texts.join(F.broadcast(chosen.drop("nth")), "doc_id").collect()
