@@ -117,6 +117,23 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return tokens(WHITE[data], offsets)
 
 
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), 64, *range(128, 256)]] = True
+
+
+def sign_breaks(data: np.ndarray) -> np.ndarray:
+    """Bytes that are not part of a word: ASCII signs and spaces, and the quotation
+    marks, dashes and other signs of the blocks that start with E2 80 and C2."""
+    breaks = ~_IN_WORD[data]
+    if len(data) > 2:
+        sign = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80))
+        for k in range(3):
+            breaks[sign + k] = True
+        sign = np.flatnonzero((data[:-1] == 0xC2) & (data[1:] < 0xC0))
+        breaks[sign] = breaks[sign + 1] = True
+    return breaks
+
+
 def counts(docs: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(docs, minlength=n).astype(np.int64)
 

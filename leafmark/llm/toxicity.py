@@ -48,22 +48,6 @@ _OPEN = regex.compile(r"[\"“„«‘][^\"”»’\n]{0,60}$")
 _CLOSE = regex.compile(r"^[^\"“„«‘\n]{0,60}[\"”»’]")
 _WORD = regex.compile(r"[\p{L}\p{N}@]+")
 
-_IN_WORD = np.zeros(256, bool)
-_IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), 64, *range(128, 256)]] = True
-
-
-def _breaks(data: np.ndarray) -> np.ndarray:
-    """Bytes that are not part of a word: ASCII signs and spaces, and the quotation
-    marks, dashes and other signs of the blocks that start with E2 80 and C2."""
-    breaks = ~_IN_WORD[data]
-    if len(data) > 2:
-        sign = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80))
-        for k in range(3):
-            breaks[sign + k] = True
-        sign = np.flatnonzero((data[:-1] == 0xC2) & (data[1:] < 0xC0))
-        breaks[sign] = breaks[sign + 1] = True
-    return breaks
-
 
 class Trie:
     """Terms by character; a stem's node accepts any continuation."""
@@ -157,7 +141,7 @@ def _allow(codes: np.ndarray, part: bytes, ending: bool) -> None:
 def hits(texts: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, list[tuple[int, str, str, float]]]:
     """Words in each text, and the hits: text, kind, term, weight of its context."""
     data, offsets = X.texts(pc.utf8_lower(texts))
-    starts, ends, doc = X.tokens(_breaks(data), offsets)
+    starts, ends, doc = X.tokens(X.sign_breaks(data), offsets)
     many = X.counts(doc, len(offsets) - 1)
     padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int32)
     head = padded[starts] << 16 | padded[starts + 1] << 8 | padded[starts + 2]
