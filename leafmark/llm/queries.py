@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmark.llm import decontaminate, language, minhash, packing, quality, suffixes, toxicity
+from leafmark.llm import decontaminate, fingerprints, language, minhash, packing, quality, suffixes, toxicity
 from leafmark.llm.common import table
 from leafmark.llm.subwords import in_fold
 
@@ -31,6 +31,10 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_benchmark_decontamination,
         op3_toxicity,
         op4_suffix_array_dedup,
+        op5_document_fingerprints,
         op6_minhash_near_dedup,
         op7_language_id,
         op8_quality_classifier,
