@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafmark.llm import decontaminate, fingerprints, language, minhash, packing, quality, suffixes, toxicity
+from leafmark.llm import decontaminate, fingerprints, language, minhash, packing, quality, sentences, suffixes, toxicity
 from leafmark.llm.common import table
 from leafmark.llm.subwords import in_fold
 
@@ -52,6 +53,11 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentences.remove_repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_minhash_near_dedup,
         op7_language_id,
         op8_quality_classifier,
+        op9_substring_dedup,
     )
 }
 
