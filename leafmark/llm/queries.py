@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm import decontaminate, fingerprints, language, minhash, packing, quality, sentences, suffixes, toxicity
+from leafmark.llm import decontaminate, fingerprints, language, licenses, minhash, packing, quality, sentences, suffixes, toxicity
 from leafmark.llm.common import table
 from leafmark.llm.subwords import in_fold
 
@@ -58,6 +58,21 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+#: The documents have no paths of their own.  Each gets one in a tree by source: most in
+#: source/thousand/hundred, every tenth one level up and every hundredth right below the
+#: source, so that licences are inherited over one to three levels.
+PATH = """CASE WHEN doc_id % 100 = 0 THEN concat(source, '/', CAST(doc_id AS STRING))
+  WHEN doc_id % 10 = 0 THEN concat(source, '/', CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS STRING), '/', CAST(doc_id AS STRING))
+  ELSE concat(source, '/', CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS STRING), '/', CAST(CAST(floor(doc_id / 100) AS BIGINT) AS STRING), '/', CAST(doc_id AS STRING)) END"""
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licenses.scan(docs.select(F.expr(PATH).alias("path"), "text"))
+    # The path ends with the document's number.
+    return found.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "path", "license", "score", "origin", "from_path")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -70,8 +85,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_language_id,
         op8_quality_classifier,
         op9_substring_dedup,
+        op10_license_scan,
     )
 }
 
 #: DuckDB SQL for those that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_license_scan": licenses.oracle_sql(f"SELECT doc_id, {PATH} AS path, coalesce(text, '') AS text FROM documents"),
+}
