@@ -9,8 +9,9 @@ share are sorted:
    among equals).  Equal windows have equal anchors at equal offsets, so the anchor gram
    is a bucket key that loses no match; consecutive windows share anchors, so there is
    one anchor for about 18 bytes.
-2. Anchor grams are counted with a map-side combine; those in one document only are
-   dropped.
+2. A task sorts its own anchors first: a gram that two of its documents have is shared,
+   and only one row for it goes on, so a gram that a third of all documents have costs
+   one row per task.  One shuffle by gram then finds those that other tasks have too.
 3. For the rest, the stretch of bytes that holds an anchor's windows goes to its bucket.
    One block of buckets is sorted at a time: suffixes by their first eight bytes, longer
    ties by precomputed ranks of a difference cover (residues 0, 1, 3, 9 modulo 13; the
@@ -40,7 +41,9 @@ from leafmark.llm import textops as X
 from leafmark.llm.common import doc_texts, prepare, settle
 
 GRAM = 16
-BLOCK = 6 << 20
+SLICE = 1 << 20  # bytes of text that a numpy step works on: its arrays stay in cache
+GATHER = 2_000_000  # anchors that a task sorts at once
+BLOCK = 2 << 20  # bytes of a block of buckets
 HOT = 50_000
 #: The perfect difference cover modulo 13.
 MODULUS, COVER = 13, (0, 1, 3, 9)
@@ -82,51 +85,81 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int):
     return starts, ends - starts + 1, at[starts], gram[at[starts]], X.owner(offsets, starts)
 
 
-def _count(width: int):
+def _anchor_rows(width: int):
+    """Distinct (key, document) rows; `open` ones may be shared with other tasks only."""
+
+    def chunk(keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+        key, ids = np.concatenate(keys), np.concatenate(ids)
+        order = np.argsort(key)
+        key, ids = key[order], ids[order]
+        cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        group = np.repeat(np.arange(len(cuts)), np.diff(np.r_[cuts, len(key)]))
+        lo, hi = np.minimum.reduceat(ids, cuts), np.maximum.reduceat(ids, cuts)
+        inside = np.flatnonzero((lo < hi)[group])  # shared here already: every document's row
+        pairs = np.lexsort((ids[inside], key[inside]))
+        inside = inside[pairs]
+        fresh = np.ones(len(inside), bool)
+        fresh[1:] = (key[inside][1:] != key[inside][:-1]) | (ids[inside][1:] != ids[inside][:-1])
+        inside = inside[fresh]
+        return pa.RecordBatch.from_arrays(
+            [X.longs(np.r_[key[cuts], key[inside]]), pa.array(np.r_[lo, ids[inside]]), pa.array(np.r_[np.where(lo < hi, 2, 1), np.zeros(len(inside), np.int64)].astype(np.int32))],
+            names=["key", "doc_id", "open"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in X.pieces(batches):
+        keys, ids, held = [], [], 0
+        for piece in X.pieces(batches, SLICE):
             _, _, _, key, doc = anchors(*X.texts(piece.column(1)), width)
-            if not len(key):
-                continue
-            ids = piece.column(0).to_numpy()[doc]
-            order = np.argsort(key)
-            key, ids = key[order], ids[order]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    X.longs(key[first]),
-                    pa.array(np.minimum.reduceat(ids, first)),
-                    pa.array(np.maximum.reduceat(ids, first)),
-                    pa.array(np.diff(np.r_[first, len(key)])),
-                ],
-                names=["key", "lo", "hi", "n"],
-            )
+            keys.append(key)
+            ids.append(piece.column(0).to_numpy()[doc])
+            held += len(key)
+            if held >= GATHER:
+                yield chunk(keys, ids)
+                keys, ids, held = [], [], 0
+        if held:
+            yield chunk(keys, ids)
 
     return run
 
 
-def _keys(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in X.pieces(batches):
-            _, _, _, key, doc = anchors(*X.texts(piece.column(1)), width)
-            order = X.by_document(key, doc)
-            key, doc = key[order], doc[order]
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-            key, doc = key[fresh], doc[fresh]
-            yield pa.RecordBatch.from_arrays(
-                [X.longs(key), pa.array(piece.column(0).to_numpy()[doc]), pa.array(piece.column(2).to_numpy()[doc])],
-                names=["key", "doc_id", "tag"],
-            )
-
-    return run
+def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key: those found shared already, and the open rows of every key
+    that has two documents (an `open` of 2 stands for two documents by itself)."""
+    held: list[pa.RecordBatch] = []
+
+    def shared(whole: pa.Table) -> pa.RecordBatch:
+        key, ids, state = (whole.column(i).to_numpy() for i in range(3))
+        done = state == 0
+        at = np.flatnonzero(~done)
+        k, i, st = key[at], ids[at], state[at]
+        keep = at[:0]
+        if len(at):
+            cuts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            group = np.repeat(np.arange(len(cuts)), np.diff(np.r_[cuts, len(k)]))
+            two = (np.minimum.reduceat(i, cuts) < np.maximum.reduceat(i, cuts)) | (np.maximum.reduceat(st, cuts) == 2)
+            keep = at[two[group] & (st == 1)]
+        rows = np.r_[np.flatnonzero(done), keep]
+        return pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(ids[rows])], names=["key", "doc_id"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        at = int(np.searchsorted(key, key[-1]))  # the last key may go on
+        if at:
+            yield shared(pa.Table.from_batches([*held, batch.slice(0, at)]))
+            held = [batch.slice(at)]
+        else:
+            held.append(batch)
+    if held:
+        yield shared(pa.Table.from_batches(held))
 
 
 def _stretches(width: int):
     """Of each text, the stretches of bytes whose anchor is among its shared keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in X.pieces(batches, 4 << 20):
+        for piece in X.pieces(batches, SLICE):
             data, offsets = X.texts(piece.column(2))
             start, many, anchor, key, doc = anchors(data, offsets, width)
             lists = piece.column(3)
@@ -222,24 +255,31 @@ def _block_spans(key, ids, tags, start, lead, data, at, width):
     kind = np.empty(len(order), np.int64)
     kind[order] = np.cumsum(fresh) - 1
     one = order[fresh]  # of equal stretches, the one in the first document
-    lengths = size[one]
-    to = np.zeros(len(one) + 1, np.int64)
-    np.cumsum(lengths, out=to[1:])
-    own = np.repeat(at[:-1][one] - to[:-1], lengths) + np.arange(to[-1])
-    stretch, rank = window_classes(data[own], to, lead[one], width)
-    least = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, rank, ids[one][stretch])
-    gone = least[rank] < ids[one][stretch]
-    # Runs of removed windows of each first stretch.
-    begin, end = gone.copy(), gone.copy()
-    same = stretch[1:] == stretch[:-1]
-    begin[1:] &= ~(gone[:-1] & same)
-    end[:-1] &= ~(gone[1:] & same)
-    begin, end = np.flatnonzero(begin), np.flatnonzero(end)
-    base = np.zeros(len(one) + 1, np.int64)
-    np.cumsum(lengths - width + 1, out=base[1:])
-    of = stretch[begin]
-    lo, hi = begin - base[of], end - base[of] + width
+    # A key whose stretches are all alike has nothing else to compare.
+    sorted_keys, kinds_of_key = np.unique(key[one], return_inverse=True, return_counts=True)[1:]
+    pick = np.flatnonzero(kinds_of_key[sorted_keys] > 1)
+    several = one[pick]
+    lengths = size[several]
+    begin, end, of = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(several):
+        to = np.zeros(len(several) + 1, np.int64)
+        np.cumsum(lengths, out=to[1:])
+        own = np.repeat(at[:-1][several] - to[:-1], lengths) + np.arange(to[-1])
+        stretch, rank = window_classes(data[own], to, lead[several], width)
+        least = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, rank, ids[several][stretch])
+        gone = least[rank] < ids[several][stretch]
+        # Runs of removed windows of each first stretch.
+        begin, end = gone.copy(), gone.copy()
+        same = stretch[1:] == stretch[:-1]
+        begin[1:] &= ~(gone[:-1] & same)
+        end[:-1] &= ~(gone[1:] & same)
+        begin, end = np.flatnonzero(begin), np.flatnonzero(end)
+        base = np.zeros(len(several) + 1, np.int64)
+        np.cumsum(lengths - width + 1, out=base[1:])
+        of = stretch[begin]
+        begin, end = begin - base[of], end - base[of] + width
+    of, lo, hi = pick[of], begin, end
     # Each first document's stretches have these runs; later documents lose all.
     later = ids > ids[one][kind]
     mine = np.flatnonzero(~later)
@@ -322,20 +362,24 @@ def repeated_spans(docs: DataFrame, width: int = 50, hot: int | None = None) ->
     prepare(docs.sparkSession)
     hot = HOT if hot is None else hot
     rows = tagged(docs)
-    grams = rows.select("doc_id", "text").mapInArrow(_count(width), "key long, lo long, hi long, n long")
-    shared = settle(grams.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).where("lo < hi").select("key", "n"))
-    held = rows.mapInArrow(_keys(width), "key long, doc_id long, tag long").join(shared, "key")
-    has_hot = not shared.where(F.col("n") > hot).isEmpty()
-    lists = settle(
-        held.groupBy("doc_id", "tag").agg(
-            F.collect_list(F.when(F.col("n") <= hot, F.col("key"))).alias("keys"),
-            F.collect_list(F.when(F.col("n") > hot, F.col("key"))).alias("hot_keys"),
+    found = rows.select("doc_id", "text").mapInArrow(_anchor_rows(width), "key long, doc_id long, open int")
+    # Rows that are shared already need no meeting, so they are spread by document too.
+    met = found.repartition("key", F.when(F.col("open") == 0, F.col("doc_id"))).sortWithinPartitions("key")
+    held = met.mapInArrow(_shared_rows, "key long, doc_id long")
+    lists = settle(held.groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
+    hot_keys = settle(lists.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > hot).select("key"))
+    has_hot = not hot_keys.isEmpty()
+    if has_hot:
+        each = lists.select("doc_id", F.explode("keys").alias("key")).join(hot_keys.withColumn("hot", F.lit(True)), "key", "left")
+        lists = settle(
+            each.groupBy("doc_id").agg(
+                F.collect_list(F.when(F.col("hot").isNull(), F.col("key"))).alias("keys"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hot_keys")
+            )
         )
-    )
     layout = "key long, doc_id long, tag long, start long, lead int, bytes binary"
 
     def stretches(column: str) -> DataFrame:
-        with_keys = rows.join(lists.where(F.size(column) > 0), ["doc_id", "tag"])
+        with_keys = rows.join(lists.where(F.size(column) > 0).hint("merge"), "doc_id")
         return with_keys.select("doc_id", "tag", "text", column).mapInArrow(_stretches(width), layout)
 
     spans = (
