@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -32,6 +32,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmark.llm import subwords
 from leafmark.llm import textops as X
@@ -282,24 +283,38 @@ def near_terms(node: dict) -> Iterator[str]:
             yield child["word"]
 
 
-def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(doc_id, score, predicted, hits): the probability of label 1, whether it is 0.5 or
-    more, and the terms found as (kind, term, weight)."""
-    prepare(docs.sparkSession)
+def _probability(lexicon: Lexicon, many: np.ndarray, found: list[tuple[int, str, str, float]]) -> np.ndarray:
+    if lexicon.only is not None:
+        return np.full(len(many), lexicon.only)
+    return 1 / (1 + np.exp(-np.clip(_evidence(lexicon, many, found) @ lexicon.weights, -30, 30)))
+
+
+def _shipped(docs: DataFrame, lexicon: Lexicon) -> Callable[[], Lexicon]:
+    """The lexicon in a Python worker, built once there: its memo serves all its tasks."""
     parts = (lexicon.words, lexicon.stems, lexicon.fuzzy, lexicon.weights, lexicon.only)
     name = uuid.uuid4().hex
     held = docs.sparkSession.sparkContext.broadcast(parts)  # a few hundred terms, set by SAMPLE
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _built:  # its memo serves all tasks of a worker
+    def here() -> Lexicon:
+        if name not in _built:
             _built.clear()
             _built[name] = Lexicon(*held.value)
-        lexicon = _built[name]
+        return _built[name]
+
+    return here
+
+
+def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(doc_id, score, predicted, hits): the probability of label 1, whether it is 0.5 or
+    more, and the terms found as (kind, term, weight)."""
+    lexicon_here = _shipped(docs, lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = lexicon_here()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("term", pa.string()), ("weight", pa.float64())]))
         for piece in X.pieces(batches, 4 << 20):
             many, found = hits(piece.column(1), lexicon)
-            z = _evidence(lexicon, many, found) @ lexicon.weights
-            p = np.full(len(many), lexicon.only) if lexicon.only is not None else 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            p = _probability(lexicon, many, found)
             terms: list[list] = [[] for _ in many]
             for d, k, term, weight in found:
                 terms[d].append({"kind": k, "term": term, "weight": weight})
@@ -308,3 +323,17 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             )
 
     return doc_texts(docs).mapInArrow(run, "doc_id long, score double, predicted int, hits array<struct<kind:string,term:string,weight:double>>")
+
+
+def without_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The rows of `docs`, with all their columns, that are not predicted toxic."""
+    prepare(docs.sparkSession)
+    lexicon_here = _shipped(docs, lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in X.pieces(batches, 4 << 20):
+            clean = _probability(lexicon_here(), *hits(piece.column(1), lexicon_here())) < 0.5
+            yield pa.RecordBatch.from_arrays([piece.column(0).filter(pa.array(clean))], names=["row"])
+
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"]])).select("row.*")
