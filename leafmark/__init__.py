@@ -1,0 +1 @@
+"""Page-layout text analytics as Spark DataFrame operators."""
