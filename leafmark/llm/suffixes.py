@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmark.llm import textops as X
 from leafmark.llm.common import doc_texts, prepare, settle
@@ -171,8 +172,17 @@ def _stretches(width: int):
             place[place == len(wanted)] = 0
             keep = np.flatnonzero(wanted[place] == mark) if len(wanted) else np.zeros(0, np.int64)
             start, many, anchor, key, doc = start[keep], many[keep], anchor[keep], key[keep], doc[keep]
-            length = many + width - 1
-            to = np.zeros(len(keep) + 1, np.int64)
+            length, anchor = many + width - 1, anchor - start
+            # Equal stretches of one document are one row with all their places.
+            content = X.mix(X.Hasher(data)(start, start + length) + anchor.astype(U) * U(X.BASE))
+            order = np.lexsort((start, content, key, doc))
+            start, length, anchor, key, doc, content = (x[order] for x in (start, length, anchor, key, doc, content))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (content[1:] != content[:-1]) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (length[1:] != length[:-1])
+            places, first = (start - offsets[doc]).astype(np.int64), np.flatnonzero(fresh)
+            place_at = np.r_[first, len(order)].astype(np.int32)
+            start, length, anchor, key, doc = (x[first] for x in (start, length, anchor, key, doc))
+            to = np.zeros(len(first) + 1, np.int64)
             np.cumsum(length, out=to[1:])
             own = np.repeat(start - to[:-1], length) + np.arange(to[-1])
             yield pa.RecordBatch.from_arrays(
@@ -180,11 +190,11 @@ def _stretches(width: int):
                     X.longs(key),
                     pa.array(piece.column(0).to_numpy()[doc]),
                     pa.array(piece.column(1).to_numpy()[doc]),
-                    pa.array(start - offsets[doc]),
-                    pa.array((anchor - start).astype(np.int32)),
-                    pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(data[own])]),
+                    pa.ListArray.from_arrays(pa.array(place_at), pa.array(places)),
+                    pa.array(anchor.astype(np.int32)),
+                    pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(data[own])]),
                 ],
-                names=["key", "doc_id", "tag", "start", "lead", "bytes"],
+                names=["key", "doc_id", "tag", "starts", "lead", "bytes"],
             )
 
     return run
@@ -243,7 +253,7 @@ def window_classes(data: np.ndarray, at: np.ndarray, lead: np.ndarray, width: in
     return stretch, _ranks(keys)
 
 
-def _block_spans(key, ids, tags, start, lead, data, at, width):
+def _block_spans(key, ids, tags, places, place_at, lead, data, at, width):
     """Spans to remove in one block of whole buckets: doc_id, tag, start, end."""
     size = np.diff(at)
     hasher = X.Hasher(data)
@@ -290,8 +300,19 @@ def _block_spans(key, ids, tags, start, lead, data, at, width):
     offset = np.arange(len(row)) - np.repeat(np.cumsum(reps) - reps, reps)
     run = run_at[kind[row]] + offset
     rows = np.r_[np.flatnonzero(later), row]
-    s = np.r_[start[later], start[row] + lo[run]]
-    e = np.r_[start[later] + size[later], start[row] + hi[run]]
+    lo, hi = np.r_[np.zeros(int(later.sum()), np.int64), lo[run]], np.r_[size[later], hi[run]]
+    # At every place of the stretch; then spans that touch are joined.
+    reps = np.diff(place_at)[rows]
+    nth = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
+    place = places[np.repeat(place_at[rows], reps) + nth]
+    s, e, rows = place + np.repeat(lo, reps), place + np.repeat(hi, reps), np.repeat(rows, reps)
+    order = np.lexsort((s, tags[rows], ids[rows]))
+    s, e, rows = s[order], e[order], rows[order]
+    other = np.r_[True, (ids[rows][1:] != ids[rows][:-1]) | (tags[rows][1:] != tags[rows][:-1])] if len(rows) else np.zeros(0, bool)
+    far = np.cumsum(other) * (int(e.max(initial=0)) + 1)  # no span reaches into the next document's
+    reach = np.maximum.accumulate(e + far) - far
+    opens = np.flatnonzero(np.r_[True, other[1:] | (s[1:] > reach[:-1])]) if len(rows) else np.zeros(0, np.int64)
+    s, e, rows = s[opens], reach[np.r_[opens[1:], len(rows)] - 1] if len(rows) else e, rows[opens]
     return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(tags[rows]), pa.array(s), pa.array(e)], names=["doc_id", "tag", "start", "end"])
 
 
@@ -303,7 +324,9 @@ def _sort_blocks(width: int):
             whole = pa.Table.from_batches(held).combine_chunks()
             c = [whole.column(i).chunk(0) for i in range(6)]
             data, at = X.texts(c[5])
-            return _block_spans(*(x.to_numpy() for x in c[:5]), data, at, width)
+            places, place_at = c[3].flatten().to_numpy(), c[3].offsets.to_numpy().astype(np.int64)
+            key, ids, tags, lead = (c[i].to_numpy() for i in (0, 1, 2, 4))
+            return _block_spans(key, ids, tags, places, place_at - place_at[0], lead, data, at, width)
 
         for batch in batches:
             key = batch.column(0).to_numpy()
@@ -376,7 +399,7 @@ def repeated_spans(docs: DataFrame, width: int = 50, hot: int | None = None) ->
                 F.collect_list(F.when(F.col("hot").isNull(), F.col("key"))).alias("keys"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hot_keys")
             )
         )
-    layout = "key long, doc_id long, tag long, start long, lead int, bytes binary"
+    layout = "key long, doc_id long, tag long, starts array<long>, lead int, bytes binary"
 
     def stretches(column: str) -> DataFrame:
         with_keys = rows.join(lists.where(F.size(column) > 0).hint("merge"), "doc_id")
@@ -386,31 +409,38 @@ def repeated_spans(docs: DataFrame, width: int = 50, hot: int | None = None) ->
         stretches("keys").repartition("key").sortWithinPartitions("key").mapInArrow(_sort_blocks(width), "doc_id long, tag long, start long, end long")
     )
     if has_hot:
-        windows = settle(stretches("hot_keys").mapInArrow(_windows(width), "bytes binary, doc_id long, tag long, start long"))
+        each = stretches("hot_keys").withColumn("starts", F.explode("starts"))
+        windows = settle(each.mapInArrow(_windows(width), "bytes binary, doc_id long, tag long, start long"))
         first = windows.groupBy("bytes").agg(F.min("doc_id").alias("first"))
         again = windows.join(first, "bytes").where("doc_id > first")
         spans = spans.unionByName(again.select("doc_id", "tag", "start", (F.col("start") + width).alias("end")))
     return settle(spans)
 
 
+def _kept(raw: bytes, starts: list[int] | None, ends: list[int] | None) -> tuple[bytes, int, int]:
+    """The bytes outside the spans, how many go, and the number of maximal runs of them."""
+    if not starts:
+        return raw, 0, 0
+    s, e = np.array(starts), np.array(ends)
+    order = np.argsort(s, kind="stable")
+    s, e = s[order], np.maximum.accumulate(e[order])
+    opens = np.r_[True, s[1:] > e[:-1]]
+    kept, removed, at = [], 0, 0
+    for a, b in zip(s[opens].tolist(), e[np.r_[opens[1:], True]].tolist(), strict=True):
+        kept.append(raw[at:a])
+        removed, at = removed + b - a, b
+    kept.append(raw[at:])
+    return b"".join(kept), removed, int(opens.sum())
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in X.pieces(batches):
-        texts = batch.column(2).to_pylist()
+        texts, starts, ends = (batch.column(i).to_pylist() for i in (2, 3, 4))
         out = []
-        for i, text in enumerate(texts):
+        for text, s, e in zip(texts, starts, ends, strict=True):
             raw = text.encode()
-            starts, ends = batch.column(3)[i].as_py(), batch.column(4)[i].as_py()
-            kept, removed, spans, at = [], 0, 0, 0
-            if starts:
-                s, e = np.array(starts), np.array(ends)
-                order = np.argsort(s, kind="stable")
-                s, e = s[order], np.maximum.accumulate(e[order])
-                opens = np.r_[True, s[1:] > e[:-1]]
-                for a, b in zip(s[opens], e[np.r_[opens[1:], True]], strict=True):
-                    kept.append(raw[at:a])
-                    removed, spans, at = removed + int(b - a), spans + 1, int(b)
-            kept.append(raw[at:])
-            out.append((len(raw), removed, spans, b"".join(kept)))
+            kept, removed, spans = _kept(raw, s, e)
+            out.append((len(raw), removed, spans, kept))
         n, removed, spans, kept = zip(*out, strict=True)
         yield pa.RecordBatch.from_arrays(
             [
@@ -426,14 +456,34 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _lists(docs: DataFrame, width: int, hot: int | None) -> DataFrame:
+    spans = repeated_spans(docs, width, hot).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return spans.select("doc_id", "tag", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+
+
 def remove_repeats(docs: DataFrame, width: int = 50, hot: int | None = None) -> DataFrame:
     """(doc_id, tag, n_bytes, n_removed, n_spans, kept_sha256, kept) of every document;
     `kept` has the remaining bytes (a cut may fall inside a character)."""
-    spans = repeated_spans(docs, width, hot)
-    lists = spans.groupBy("doc_id", "tag").agg(
-        F.collect_list(F.struct("start", "end")).alias("spans")
-    ).select("doc_id", "tag", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    lists = _lists(docs, width, hot)
     each = tagged(docs).join(lists, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "starts", "ends")
     return each.mapInArrow(
         _cut, "doc_id long, tag long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
+
+
+def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in X.pieces(batches):
+        columns = (batch.column(i).to_pylist() for i in (1, 2, 3))
+        texts = [_kept(t.encode(), s, e)[0].decode(errors="ignore") for t, s, e in zip(*columns, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
+
+
+def without_repeats(docs: DataFrame, width: int = 50, hot: int | None = None) -> DataFrame:
+    """The rows of `docs`, with all their columns, with the repeated bytes of `text` cut
+    out (characters that a cut breaks go as well) and `n_chars`, if there, counted anew."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    each = rows.join(_lists(docs, width, hot), ["doc_id", "tag"], "left").select("row", "text", "starts", "ends")
+    cut = each.mapInArrow(_cut_rows, T.StructType([rows.schema["row"], T.StructField("text", T.StringType())]))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return cut.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
