@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmark.llm import textops as X
-from leafmark.llm.common import doc_texts, prepare
+from leafmark.llm.common import doc_texts
 
 U = X.U
 _LETTER = regex.compile(r"\p{L}")
@@ -206,9 +206,17 @@ def sampled(docs: DataFrame, labels: DataFrame, shape: Shape) -> tuple[list[str]
     """Texts and labels of at most `shape.sample` rows of `labels` (doc_id, label), as
     many of each label, taken in the order of the id's hash."""
     known = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "label")
-    kinds = max(1, known.select("label").distinct().count())
-    by_hash = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= max(1, shape.sample // kinds))
+    # A row per label.
+    totals = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not totals:
+        return [], []
+    most = max(1, shape.sample // len(totals))
+    # Twice as many as needed go by their hash alone, without a sort; the window then
+    # takes exactly `most` of each label from these few.
+    part = F.create_map(*(F.lit(x) for label, n in totals.items() for x in (label, min(1.0, (2.0 * most + 50) / n))))
+    few = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30) < F.element_at(part, F.col("label")))
+    by_hash = Window.partitionBy("label").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")
+    chosen = few.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= most)
     # At most `shape.sample` ids, so small enough to broadcast.
     texts = doc_texts(docs).where(F.length("text") <= shape.longest)
     rows = texts.join(F.broadcast(chosen.drop("nth")), "doc_id").collect()
