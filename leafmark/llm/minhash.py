@@ -9,8 +9,10 @@ Steps, all partitioned by Spark:
 3. Classes that agree on a whole band meet in a bucket.  Within a bucket no list of all
    pairs is made: its most central member (closest to the bucket's most frequent
    signature values) is proposed to the others; once those links have merged classes,
-   only pairs across components remain, and only those whose signatures could reach the
-   threshold.
+   only pairs across components remain, and of those only pairs that could reach the
+   threshold by their signatures and by their shingles that no other document in an
+   unmerged bucket has (a pair cannot share those, which bounds its intersection; this
+   is what keeps a large family of copies below the threshold from being paired up).
 4. Proposed pairs are confirmed on the full shingle sets, recomputed from the texts.
 5. `components` joins the confirmed links.
 
@@ -132,29 +134,27 @@ def _central(rows: np.ndarray) -> int:
     return int((rows == usual).sum(axis=1).argmax())
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Buckets of batches sorted by band key, in blocks: classes, components, signatures."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Buckets of batches sorted by band key: classes, components, signatures, further numbers."""
     held: list[tuple[np.ndarray, ...]] = []
-    rows = 0
     for batch in batches:
         key = batch.column(0).to_numpy()
         sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, VALUES)
-        columns = (key, batch.column(1).to_numpy(), batch.column(2).to_numpy(), sig)
+        columns = (key, batch.column(1).to_numpy(), batch.column(2).to_numpy(), sig, *(c.to_numpy() for c in batch.columns[4:]))
         cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
         for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(key)], strict=True):
             part = tuple(c[a:b] for c in columns)
             if held and held[-1][0][0] != part[0][0]:
-                yield tuple(np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
-                held, rows = [], 0
+                yield tuple(np.concatenate(c) for c in list(zip(*held, strict=True))[1:])
+                held = []
             held.append(part)
-            rows += b - a
     if held:
-        yield tuple(np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+        yield tuple(np.concatenate(c) for c in list(zip(*held, strict=True))[1:])
 
 
 def _stars(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, sig in _groups(batches):
+        for ids, _, sig, *_ in _groups(batches):
             for start in range(0, len(ids), BLOCK):
                 block, rows = ids[start : start + BLOCK], sig[start : start + BLOCK]
                 hub = _central(rows)
@@ -165,22 +165,25 @@ def _stars(least: float):
     return run
 
 
-def _across(least: float):
+def _across(least: float, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, comp, sig in _groups(batches):
+        for ids, comp, sig, band, size, common in _groups(batches):
             # Each member is held against those of smaller components; members of the
             # bucket's largest component never against each other.
             names, inverse, many = np.unique(comp, return_inverse=True, return_counts=True)
             if len(names) < 2:
                 continue
             order = np.argsort(-many[inverse], kind="stable")
-            ids, inverse, sig = ids[order], inverse[order], sig[order]
+            ids, inverse, sig, size, common = ids[order], inverse[order], sig[order], size[order], common[order]
             for i in range(int(many.max()), len(ids)):
                 for start in range(0, i, BLOCK):
                     rows = slice(start, min(i, start + BLOCK))
-                    near = (inverse[rows] != inverse[i]) & ((sig[rows] == sig[i]).mean(axis=1) >= least)
-                    if near.any():
-                        yield _pairs(np.full(int(near.sum()), ids[i]), ids[rows][near])
+                    most = np.minimum(common[rows], common[i])
+                    near = (inverse[rows] != inverse[i]) & (100 * most >= percent * (size[rows] + size[i] - most))
+                    near = np.flatnonzero(near) + start
+                    near = near[(sig[near] == sig[i]).mean(axis=1) >= least]
+                    if len(near):
+                        yield _pairs(np.full(len(near), ids[i]), ids[near])
 
     return run
 
@@ -210,6 +213,25 @@ def _confirm(threshold: int):
     return run
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in X.pieces(batches, 4 << 20):
+        hashes, at = X.shingles(*X.texts(piece.column(1)))
+        yield pa.RecordBatch.from_arrays([X.longs(hashes), pa.array(np.repeat(piece.column(0).to_numpy(), np.diff(at)))], names=["shingle", "doc_id"])
+
+
+def unmerged(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of `members` in buckets of two or more components, with the documents'
+    number of shingles and how many of those another of these documents has."""
+    open_keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    rows = settle(members.join(open_keys, "key", "left_semi"))
+    own = rows.select("doc_id").distinct()
+    shingles = texts.join(own.hint("merge"), "doc_id", "left_semi").mapInArrow(_shingle_rows, "shingle long, doc_id long")
+    alone = shingles.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).where("doc_id = other")
+    return rows.join(alone.groupBy("doc_id").agg(F.count("*").alias("alone")), "doc_id", "left").select(
+        "key", "doc_id", "component", "signature", "band", "n_shingles", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("common")
+    )
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach `percent`, by the full sets.
 
@@ -237,12 +259,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         filled.join(class_of, (filled.doc_id == class_of.rep) & (filled.d1 == class_of.d1) & (filled.d2 == class_of.d2), "left_semi")
         .dropDuplicates(["doc_id", "d1", "d2"])
     )
-    rows = reps.select("doc_id", F.posexplode("bands").alias("band", "value"))
-    key = F.xxhash64("band", "value")
-    shared = rows.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where("n > 1")
-    met = rows.select("doc_id", key.alias("key")).join(shared.select("key"), "key", "left_semi")
-    members = settle(met.join(reps.select("doc_id", "signature"), "doc_id").select("key", "doc_id", "signature"))
-    texts = settle(doc_texts(docs).join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
+    rows = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = rows.join(shared.select("key"), "key", "left_semi")
+    members = settle(met.join(reps.select("doc_id", "signature", "n_shingles"), "doc_id").select("key", "doc_id", "signature", "n_shingles", "band"))
+    # A sort-merge join whatever the size, so that small inputs show the plan of large ones.
+    texts = settle(doc_texts(docs).join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"))
 
     def streamed(named: DataFrame) -> DataFrame:
         return named.repartition("key").sortWithinPartitions("key", "doc_id")
@@ -252,9 +274,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     links = settle(confirmed(first, texts, percent))
     groups = components(links)
     named = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "key", "doc_id", F.coalesce("component", "doc_id").alias("component"), "signature"
+        "key", "doc_id", F.coalesce("component", "doc_id").alias("component"), "signature", "n_shingles", "band"
     )
-    second = settle(streamed(named).mapInArrow(_across(least), "a long, b long").distinct().join(first, ["a", "b"], "left_anti"))
+    second = settle(streamed(unmerged(named, texts)).mapInArrow(_across(least, percent), "a long, b long").distinct().join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         more = settle(confirmed(second, texts, percent))
         if not more.isEmpty():
