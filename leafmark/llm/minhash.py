@@ -100,13 +100,13 @@ def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         if len(filled):
             for row, factor in ((0, 0x9FB21C651E98DF25), (1, 0xD6E8FEB86659FD93)):
                 digest[row, filled] = X.mix(np.add.reduceat(X.mix(hashes ^ U(factor)), offsets[:-1][filled]) + size[filled].astype(U))
+        low = (X.mix(signature.astype(U)) & U(255)).astype(np.uint8)
         bands = np.zeros((n, BANDS), U)
         for b in range(BANDS):
             total = np.full(n, b + 1, U)
-            for value in signature[:, b * ROWS : (b + 1) * ROWS].T:
-                total = X.mix(total + value.astype(U))
-            bands[:, b] = total
-        low = (X.mix(signature.astype(U)) & U(255)).astype(np.uint8)
+            for value in low[:, b * ROWS : (b + 1) * ROWS].T:
+                total = (total << U(8)) | value
+            bands[:, b] = X.mix(total)
         yield pa.RecordBatch.from_arrays(
             [
                 piece.column(0),
@@ -181,7 +181,10 @@ def _across(least: float, percent: int):
                     most = np.minimum(common[rows], common[i])
                     near = (inverse[rows] != inverse[i]) & (100 * most >= percent * (size[rows] + size[i] - most))
                     near = np.flatnonzero(near) + start
-                    near = near[(sig[near] == sig[i]).mean(axis=1) >= least]
+                    alike = sig[near] == sig[i]
+                    # A pair is proposed in the first band it shares, not in each.
+                    first = alike[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+                    near = near[(alike.mean(axis=1) >= least) & (first == band[i])]
                     if len(near):
                         yield _pairs(np.full(len(near), ids[i]), ids[near])
 
