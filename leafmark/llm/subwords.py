@@ -1,7 +1,8 @@
 """Averaged hashed subword embeddings with a linear softmax, trained by numpy SGD.
 
-A document is the mean of the vectors of its features, hashed into `buckets`; the class
-scores are linear in that mean.  Because both steps are linear, prediction needs one
+A document is the mean of the vectors of its features, hashed into buckets, over each
+kind of feature (n-grams of one length) and then over the kinds, so that word bigrams
+count as much as the more numerous character n-grams; the class scores are linear in it.  Because both steps are linear, prediction needs one
 small table of class scores per bucket, and a text of any length is one pass over it.
 
 Training happens once, on a bounded sample of labelled rows (`Shape.sample` documents
@@ -102,15 +103,15 @@ class Model:
     held: dict = field(default_factory=dict)
 
     def probabilities(self, texts: pa.Array) -> np.ndarray:
-        n = len(texts)
-        sums, many = np.zeros((n, len(self.classes))), np.zeros(n)
+        sums, kinds = np.zeros((len(texts), len(self.classes))), 0
         for buckets, at in features(texts, self.shape):
-            some = np.flatnonzero(np.diff(at))
+            many = np.diff(at)
+            some = np.flatnonzero(many)
             if len(some):
                 for c in range(len(self.classes)):
-                    sums[some, c] += np.add.reduceat(self.table[c][buckets], at[:-1][some], dtype=np.float64)
-            many += np.diff(at)
-        return softmax((sums / np.maximum(many, 1)[:, None] + self.bias) / self.temperature)
+                    sums[some, c] += np.add.reduceat(self.table[c][buckets], at[:-1][some], dtype=np.float64) / many[some]
+            kinds += 1
+        return softmax((sums / kinds + self.bias) / self.temperature)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -125,9 +126,11 @@ def _bags(texts: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.nd
         some = texts[start : start + 64]
         kinds = list(features(pa.array(some, pa.string()), shape))
         for i in range(len(some)):
-            one, n = np.unique(np.concatenate([b[a[i] : a[i + 1]] for b, a in kinds]), return_counts=True)
+            own = [b[a[i] : a[i + 1]] for b, a in kinds]
+            one, place = np.unique(np.concatenate(own), return_inverse=True)
+            part = np.concatenate([np.full(len(b), 1 / (len(b) * len(kinds))) for b in own if len(b)]) if len(place) else np.zeros(0)
             buckets.append(one)
-            shares.append((n / max(1, n.sum())).astype(np.float32))
+            shares.append(np.bincount(place, weights=part, minlength=len(one)).astype(np.float32))
             sizes.append(len(one))
     return np.concatenate(buckets) if buckets else np.zeros(0, np.uint32), np.concatenate(shares) if shares else np.zeros(0, np.float32), np.r_[0, np.cumsum(sizes)].astype(np.int64)
 
