@@ -253,10 +253,10 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, other_id, likeness): for each different fingerprint, the links by banding.
+    """(doc_id, other_id, likeness): documents linked by banding.
 
-    Equal fingerprints are one class, named by its smallest doc_id, so copies cost one
-    row.  In each band a class is linked with the smallest class that shares the band
+    Equal fingerprints are one class, named by its smallest doc_id, with which its other
+    members are linked (likeness 1); only classes go on, so copies cost one row.  In each band a class is linked with the smallest class that shares the band
     (a star, never all pairs), and kept if the whole fingerprints are alike enough.
     """
     prints = settle(fingerprinted(docs))
@@ -269,4 +269,6 @@ def similar(docs: DataFrame, least: float = 0.8) -> DataFrame:
         "doc_id", F.col("hub.doc_id").alias("other_id"), "fingerprint", F.col("hub.fingerprint").alias("other")
     )
     same = F.aggregate(F.sequence(F.lit(0), F.lit(SLOTS - 1)), F.lit(0), lambda n, k: n + (F.substr("fingerprint", 2 * k + 1, F.lit(2)) == F.substr("other", 2 * k + 1, F.lit(2))).cast("int"))
-    return met.distinct().select("doc_id", "other_id", (same / SLOTS).alias("likeness")).where(F.col("likeness") >= least)
+    between = met.distinct().select("doc_id", "other_id", (same / SLOTS).alias("likeness")).where(F.col("likeness") >= least)
+    inside = prints.join(classes.withColumnRenamed("doc_id", "other_id"), "fingerprint").where("doc_id <> other_id")
+    return between.unionByName(inside.select("doc_id", "other_id", F.lit(1.0).alias("likeness")))
