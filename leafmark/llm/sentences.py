@@ -1,7 +1,8 @@
 """Repeated passages: every run of several consecutive sentences, hashed and joined.
 
 A sentence ends at a full stop, question or exclamation mark (or several) before white
-space, or at a line break.  Every run of `span` consecutive sentences of a document is
+space, or at a line break; a longer one than `LONGEST` words counts as several, so that a
+repeated passage of few long sentences has runs too.  Every run of `span` consecutive sentences of a document is
 hashed (a shorter document has its whole sequence as its one run).  A run's first
 occurrence, by (doc_id, place), is kept; the sentences of any later occurrence go.  The
 place of the first comes from a grouped minimum with a map-side combine, and is joined
@@ -26,6 +27,7 @@ from leafmark.llm import textops as X
 from leafmark.llm.common import doc_texts, prepare, settle
 
 SPAN = 3
+LONGEST = 16
 _STOP = np.zeros(256, bool)
 _STOP[[0x21, 0x2E, 0x3F]] = True
 _LINE = np.zeros(256, bool)
@@ -45,10 +47,13 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     np.cumsum(_LINE[data], out=breaks[1:])
     closes = np.ones(len(starts), bool)
     closes[:-1] = _STOP[data[ends[:-1] - 1]] | (breaks[starts[1:]] > breaks[ends[:-1]]) | (doc[1:] != doc[:-1])
-    last = np.flatnonzero(closes)
-    first = np.r_[0, last[:-1] + 1]
+    for cut in (False, True):
+        last = np.flatnonzero(closes)
+        first = np.r_[0, last[:-1] + 1]
+        nth = np.arange(len(starts)) - np.repeat(first, last - first + 1)
+        if not cut:
+            closes |= nth % LONGEST == LONGEST - 1
     hashes = X.Hasher(data)(starts, ends)
-    nth = np.arange(len(starts)) - np.repeat(first, last - first + 1)
     total = np.add.reduceat(X.mix(hashes + nth.astype(U) * U(X.BASE)), first)
     return starts[first], ends[last], doc[first], X.mix(total)
 

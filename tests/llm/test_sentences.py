@@ -10,7 +10,7 @@ def split(text):
     out, own = [], []
     for i, (a, b) in enumerate(words):
         own.append((a, b))
-        if i + 1 == len(words) or text[b - 1] in ".!?" or any(c in "\n\r" for c in text[b : words[i + 1][0]]):
+        if i + 1 == len(words) or len(own) == 16 or text[b - 1] in ".!?" or any(c in "\n\r" for c in text[b : words[i + 1][0]]):
             out.append(own)
             own = []
     return out
@@ -38,6 +38,13 @@ def test_spans(docs, rows, span):
     assert found == brute([r[:2] for r in rows], span)
 
 
+def test_one_long_sentence(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"One a. {passage}\nTwo b."), (2, f"Three c.\n{passage} four d.")]
+    found = {r.doc_id: r for r in sentences.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1].n_removed == 0 and found[2].n_removed == 3 and "w0" not in found[2].text and "w47" not in found[2].text
+
+
 def test_edges(spark, none):
     assert sentences.remove_repeated_spans(none).count() == 0
     rows = [(1, "A b. C d. E f. G."), (2, "x. C d.  E f.\tG. y"), (3, "A b. C d."), (4, "A b.\nC d."), (5, None), (6, " \n"), (None, "A b. C d. E f.")]
