@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmark import profiles
@@ -40,15 +40,19 @@ def joined_text(line: Column, order: list[Column], separator: str = "​", skip_
     return F.array_join(F.filter(texts, lambda t: t != "") if skip_empty else texts, separator)
 
 
+def with_robust_median(frame: DataFrame, keys: list[str], size: str, ratio: float) -> DataFrame:
+    """`frame` with `initial` and `robust`: the median of the row's keys, and that of sizes
+    of at least `ratio` of it; without any (or with 0) the one before, then `DEFAULT_MEDIAN`."""
+    alike = Window.partitionBy(*keys)
+    first = frame.withColumn("initial", F.median(size).over(alike))
+    main = F.median(F.when(F.col(size) >= F.col("initial") * ratio, F.col(size))).over(alike)
+    robust = F.coalesce(F.nullif(main, F.lit(0.0)), F.nullif(F.col("initial"), F.lit(0.0)), F.lit(profiles.DEFAULT_MEDIAN))
+    return first.withColumn("robust", robust).withColumn("initial", F.coalesce("initial", F.lit(0.0)))
+
+
 def robust_medians(frame: DataFrame, keys: list[str], size: str, ratio: float) -> DataFrame:
-    """(keys, initial, robust): the median, and that of sizes of at least `ratio` of it;
-    without any (or with 0) the one before, then `DEFAULT_MEDIAN`."""
-    first = frame.groupBy(*keys).agg(F.median(size).alias("initial"))
-    main = frame.join(first, keys).groupBy(*keys).agg(
-        F.first("initial").alias("initial"), F.median(F.when(F.col(size) >= F.col("initial") * ratio, F.col(size))).alias("main")
-    )
-    robust = F.coalesce(F.nullif(F.col("main"), F.lit(0.0)), F.nullif(F.col("initial"), F.lit(0.0)), F.lit(profiles.DEFAULT_MEDIAN))
-    return main.select(*keys, F.coalesce("initial", F.lit(0.0)).alias("initial"), robust.alias("robust"))
+    """(keys, initial, robust), a row for each value of the keys."""
+    return with_robust_median(frame, keys, size, ratio).groupBy(*keys).agg(F.first("initial").alias("initial"), F.first("robust").alias("robust"))
 
 
 def mean_confidence(words: Column, default: float = 0.95) -> Column:

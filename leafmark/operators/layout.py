@@ -19,6 +19,7 @@ from leafmark import profiles, schema
 from leafmark.functions import boxes, text
 from leafmark.operators import aggregates, pairs, windows
 from leafmark.operators.grouped import by_group
+from leafmark.sources.stage import settle
 
 # --- helpers of the grouped maps --------------------------------------------------------
 
@@ -125,8 +126,8 @@ def edges(lines: DataFrame, p: profiles.Grouping = profiles.PYTHON) -> DataFrame
     and orientation.
     """
     keys = ["page_id", "segment", "vertical"]
-    medians = aggregates.robust_medians(lines, keys, "font", p.min_line_ratio).drop("initial")
-    marked = lines.join(medians, keys).withColumn("main", F.col("font") >= F.col("robust") * p.min_line_ratio)
+    medians = aggregates.with_robust_median(lines, keys, "font", p.min_line_ratio)
+    marked = medians.withColumn("main", F.col("font") >= F.col("robust") * p.min_line_ratio)
     both = pairs.pairs(marked.select(*keys, "line_idx", "x1", "y1", "x2", "y2", "font", "main", "robust"), keys)
     a, b = F.col("a_font"), F.col("b_font")
     mixed = F.col("a_main") != F.col("b_main")
@@ -159,21 +160,19 @@ def components(lines: DataFrame, links: DataFrame) -> DataFrame:
             for other in r["to"] or ():
                 a, b = sorted((root(r["line_idx"]), root(other)))
                 up[b] = a
-        return [{"page_id": r["page_id"], "line_idx": r["line_idx"], "component": root(r["line_idx"])} for r in page]
+        return [{**r, "component": root(r["line_idx"])} for r in page]
 
     ends = links.groupBy("page_id", F.col("a_line_idx").alias("line_idx")).agg(F.collect_list("b_line_idx").alias("to"))
-    nodes = lines.select("page_id", "line_idx").join(ends, ["page_id", "line_idx"], "left")
-    found = by_group(nodes, ["page_id"], run, "page_id bigint, line_idx bigint, component bigint")
-    return lines.join(found, ["page_id", "line_idx"])
+    columns = ", ".join(f"{name} {kind}" for name, kind in lines.dtypes)
+    return by_group(lines.join(ends, ["page_id", "line_idx"], "left"), ["page_id"], run, f"{columns}, component bigint")
 
 
 def grouped(lines: DataFrame, width: Column, height: Column | None = None, profile: str = "python") -> DataFrame:
     """`lines` with `group_id`: lines of one bubble share it; groups are numbered by
     segment and first member, in order of the lines' tops."""
     p = profiles.GROUPINGS[profile]
-    cut = windows.segments(lines, height).select("page_id", "line_idx", "segment")
-    links = edges(measured(lines, width, p).join(cut, ["page_id", "line_idx"]), p)
-    joined = components(lines, links).join(cut, ["page_id", "line_idx"])
+    cut = windows.segments(lines, height)
+    joined = components(cut, edges(measured(cut, width, p), p))
     top = Window.partitionBy("page_id").orderBy("segment", "y1", "line_idx")
     ranked = joined.withColumn("_rank", F.row_number().over(top))
     first = F.min("_rank").over(Window.partitionBy("page_id", "component"))
@@ -265,8 +264,7 @@ def reading_order(lines: DataFrame) -> DataFrame:
     """Lines of groups with `rank`: by columns from right to left and down each column
     (vertical groups) or by rows down the page and along each row.  Needs `vertical`."""
     links = pairs.pairs(lines.select("page_id", "group_id", "vertical", "line_idx", "x1", "y1", "x2", "y2"), ["page_id", "group_id", "vertical"]).where(pairs.aligned())
-    strip = components(lines.select("page_id", "line_idx"), links.select("page_id", "a_line_idx", "b_line_idx"))
-    each = lines.join(strip, ["page_id", "line_idx"])
+    each = components(lines, links.select("page_id", "a_line_idx", "b_line_idx"))
     of_strip = Window.partitionBy("page_id", "group_id", "component")
     centre = F.when(F.col("vertical"), -(F.col("x1") + F.col("x2")) / 2).otherwise((F.col("y1") + F.col("y2")) / 2)
     along = F.when(F.col("vertical"), F.col("y1")).otherwise(F.col("x1"))
@@ -290,9 +288,9 @@ def merged(lines: DataFrame, profile: str = "python") -> DataFrame:
     w, h = boxes.side("", "x"), boxes.side("", "y")
     own = (F.col("orientation") == 90.0) | (h >= w) if p.use_orientation else h > w
     own = F.coalesce(own, h >= w)
-    vote = aggregates.vertical_vote if p.use_orientation else aggregates.strict_vertical_vote
-    votes = lines.groupBy("page_id", "group_id").agg(vote(own).alias("vertical"))
-    voted = lines.join(votes, ["page_id", "group_id"])
+    group = Window.partitionBy("page_id", "group_id")
+    tall, all_lines = F.sum(own.cast("int")).over(group), F.count("*").over(group)
+    voted = lines.withColumn("vertical", 2 * tall >= all_lines if p.use_orientation else 2 * tall > all_lines)
     ordered = reading_order(voted) if p.use_orientation else flat_order(voted)
     joined = aggregates.joined_text(F.coalesce("text", F.lit("")), [F.col("rank")], p.join, skip_empty=p.use_orientation)
     groups = ordered.groupBy("page_id", "group_id", "vertical").agg(
@@ -358,9 +356,11 @@ def auto_merge(lines: DataFrame, width: Column, height: Column, profile: str = "
     `node` knows neither suppression, orphans, containment nor conflicts.
     """
     if profile == "node":
-        return merged(grouped(lines, width, height, profile), profile)
-    clean = suppressed(lines, "server")
-    return resolved(merged(uncontained(absorbed(grouped(clean, width, height, profile), width, height)), profile))
+        return merged(settle(grouped(lines, width, height, profile)), profile)
+    # Grouping and merging use their lines several times, so these are computed once.
+    clean = settle(suppressed(lines, "server"))
+    bubbles = settle(uncontained(absorbed(grouped(clean, width, height, profile), width, height)))
+    return resolved(merged(bubbles, profile))
 
 
 # --- reading order of detector boxes ----------------------------------------------------
@@ -414,8 +414,7 @@ def page_order(frame: DataFrame, grow: float = 0.6) -> DataFrame:
             for b in sorted(band[2], key=lambda b: -(b[0] + b[1]) if of_page else b[0] + b[1])
             for r in b[4]
         ]
-        return [{"page_id": r["page_id"], "line_idx": r["line_idx"], "rank": n} for n, r in enumerate(ranked, 1)]
+        return [{**r, "rank": n} for n, r in enumerate(ranked, 1)]
 
-    needed = blocks.select("page_id", "line_idx", "x1", "y1", "x2", "y2", "vertical", "component")
-    ranks = by_group(needed, ["page_id"], run, "page_id bigint, line_idx bigint, rank bigint")
-    return frame.join(ranks, ["page_id", "line_idx"])
+    columns = ", ".join(f"{name} {kind}" for name, kind in frame.dtypes)
+    return by_group(blocks, ["page_id"], run, f"{columns}, rank bigint")

@@ -42,33 +42,34 @@ def segments(lines: DataFrame, height: Column | None = None) -> DataFrame:
     while their bottom is within 3000 pixels of its first top.  Pages no taller than that
     are one segment, and a segment whose second line does not fit takes all that is left."""
     tall = F.max(F.lit(True) if height is None else height > profiles.SEGMENT_HEIGHT)
-    state = "struct<n:bigint,top:double,alone:boolean,rest:boolean,of:array<struct<line_idx:bigint,segment:bigint>>>"
+    state = "struct<n:bigint,top:double,alone:boolean,rest:boolean,of:array<bigint>>"
 
     def step(s: Column, v: Column) -> Column:
         fits = v["y2"] - s["top"] <= profiles.SEGMENT_HEIGHT
         opens = ~s["rest"] & ~fits & ~s["alone"]
         rest = s["rest"] | (~fits & s["alone"])
         n = F.when(opens, s["n"] + 1).otherwise(s["n"])
-        entry = F.struct(v["line_idx"].alias("line_idx"), n.alias("segment"))
         return F.struct(
             n.alias("n"),
             F.when(opens, v["y1"]).otherwise(s["top"]).alias("top"),
             F.when(opens, True).otherwise(False).alias("alone"),
             rest.alias("rest"),
-            F.concat(s["of"], F.array(entry)).alias("of"),
+            F.concat(s["of"], F.array(n)).alias("of"),
         ).cast(state)
 
-    ordered = F.array_sort(F.collect_list(F.struct("y1", "line_idx", "y2")))
+    others = [c for c in lines.columns if c not in ("page_id", "line_idx", "y1")]
+    ordered = F.array_sort(F.collect_list(F.struct("y1", "line_idx", *others)))
     pages = lines.groupBy("page_id").agg(ordered.alias("v"), tall.alias("tall"))
     first = F.col("v")[0]
+    zero = F.lit(0).cast("long")
     start = F.struct(
-        F.lit(0).cast("long").alias("n"), first["y1"].alias("top"), F.lit(True).alias("alone"), F.lit(False).alias("rest"),
-        F.array(F.struct(first["line_idx"].alias("line_idx"), F.lit(0).cast("long").alias("segment"))).alias("of"),
-    ).cast(state)
+        zero.alias("n"), first["y1"].alias("top"), F.lit(True).alias("alone"), F.lit(False).alias("rest"), F.array(zero).alias("of")
+    ).cast(state)
     folded = F.aggregate(F.slice("v", F.lit(2), F.size("v")), start, step)["of"]
-    one = F.transform("v", lambda v: F.struct(v["line_idx"].alias("line_idx"), F.lit(0).cast("long").alias("segment")))
-    found = pages.select("page_id", F.explode(F.when(F.col("tall"), folded).otherwise(one)).alias("s")).select("page_id", "s.line_idx", "s.segment")
-    return lines.join(found, ["page_id", "line_idx"])
+    numbers = F.when(F.col("tall"), folded).otherwise(F.transform("v", lambda v: zero))
+    zipped = F.explode(F.transform("v", lambda v, i: F.struct(v.alias("v"), F.get(F.col("numbers"), i).alias("segment"))))
+    found = pages.withColumn("numbers", numbers).select("page_id", zipped.alias("s"))
+    return found.select(*(F.col("page_id") if c == "page_id" else F.col(f"s.v.`{c}`").alias(c) for c in lines.columns), F.col("s.segment").alias("segment"))
 
 
 def before_stop(attempts: DataFrame, key: str, order: str, failed: Column, most: int = profiles.FAILURES_TO_STOP) -> DataFrame:
