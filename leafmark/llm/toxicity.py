@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -39,8 +40,9 @@ from leafmark.llm import textops as X
 from leafmark.llm.common import doc_texts, prepare
 
 #: The fit's bound: so many labelled documents at most, half of each label.
-SAMPLE = subwords.Shape(grams=(), words=False, fold=True, sample=8000)
+SAMPLE = subwords.Shape(grams=(), words=False, fold=True, sample=4000)
 WINDOW = 80  # characters of context on either side
+SURE = 0.0  # by how much twice a log likelihood ratio must pass what chance reaches about once among all candidates
 FUZZY_FROM = 5  # terms of so many characters may be misspelled by one edit
 #: Words of report and of address in the four languages of the corpus.
 REPORT = "said says called word words term quote quoted wrote sagte nannte wort zitat dit mot appelé cité dijo palabra llamó cita".split()
@@ -53,21 +55,20 @@ _WORD = regex.compile(r"[\p{L}\p{N}@]+")
 class Trie:
     """Terms by character; a stem's node accepts any continuation."""
 
-    def __init__(self, terms: list[str], stems: list[str]):
+    def __init__(self, terms: list[str], stems: list[str], fuzzy: list[str]):
         self.root: dict = {}
-        for kind, names in (("word", terms), ("stem", stems)):
+        for kind, names in (("word", terms), ("stem", stems), ("fuzzy", fuzzy)):
             for name in names:
                 node = self.root
                 for c in name:
                     node = node.setdefault(c, {})
                 node.setdefault("", {})[kind] = name
-        long = [t for t in terms if len(t) >= FUZZY_FROM]
-        self.starts, self.stops = {t[: len(t) // 2] for t in long}, {t[len(t) // 2 :] for t in long}
+        self.starts, self.stops = {t[: len(t) // 2] for t in fuzzy}, {t[len(t) // 2 :] for t in fuzzy}
         self.sizes = {len(h) for h in self.starts}, {len(h) for h in self.stops}
 
     def find(self, word: str) -> tuple[str, str] | None:
-        """(kind, term): an exact term, else a stem that begins the word, else a term of
-        FUZZY_FROM characters or more within one edit; ties go to the smaller term."""
+        """(kind, term): an exact term, else a stem that begins the word, else a fuzzy term
+        within one edit; ties go to the smaller term."""
         node, stem = self.root, None
         for c in word:
             node = node.get(c)
@@ -87,7 +88,7 @@ class Trie:
         return tuple(self.within_one(word)) if may and len(word) >= FUZZY_FROM - 1 else ()
 
     def within_one(self, word: str) -> list[str]:
-        """All long enough terms within one edit of `word`: its Levenshtein automaton (a
+        """All fuzzy terms within one edit of `word`: its Levenshtein automaton (a
         bit for each position and number of errors) walks down the trie, and a branch
         ends when no state is alive."""
         masks: dict[str, int] = {}
@@ -97,8 +98,8 @@ class Trie:
         todo = [(self.root, 1, 0b11, 0)]  # node, states without and with one error, depth
         while todo:
             node, r0, r1, depth = todo.pop()
-            if depth >= FUZZY_FROM and (r0 | r1) & accept and "word" in node.get("", {}):
-                found.append(node[""]["word"])
+            if depth >= FUZZY_FROM and (r0 | r1) & accept and "fuzzy" in node.get("", {}):
+                found.append(node[""]["fuzzy"])
             for c, child in node.items():
                 if c:
                     m = masks.get(c, 0)
@@ -121,14 +122,14 @@ class Lexicon:
     only: float | None = None  # the score of all if nothing could be learned
 
     def __post_init__(self) -> None:
-        self.trie = Trie(sorted({*self.words, *self.fuzzy}), sorted(self.stems))
+        self.trie = Trie(sorted(self.words), sorted(self.stems), sorted(self.fuzzy))
         self.start, self.stop = np.zeros(1 << 24, bool), np.zeros(1 << 24, bool)
-        for name in {*self.words, *self.fuzzy}:
-            half = len(name) // 2 if len(name) >= FUZZY_FROM else len(name)
-            _allow(self.start, name[:half].encode()[:3], False)
-            _allow(self.stop, name[half:].encode()[-3:] if half < len(name) else name.encode()[-3:], True)
-        for name in self.stems:
+        for name in {*self.words, *self.stems}:
             _allow(self.start, name.encode()[:3], False)
+        for name in self.fuzzy:
+            half = len(name) // 2
+            _allow(self.start, name[:half].encode()[:3], False)
+            _allow(self.stop, name[half:].encode()[-3:], True)
         self.memo: dict[int, tuple[str, str] | None] = {}
 
 
@@ -219,33 +220,50 @@ def learn(texts: list[str], labels: list[int], totals: dict[int, int]) -> Lexico
     share = totals.get(1, 0) / max(1, sum(totals.values())) if totals else 0.5
     if len(set(labels)) < 2:
         return Lexicon({}, {}, {}, np.zeros(7), only=share)
-    n = {1: int((y == 1).sum()), 0: int((y == 0).sum())}
     whole, begin = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
-    bags = []
+    bags, families = [], set()
+    n = {0: 0, 1: 0}
     for text, label in zip(texts, labels, strict=True):
         bag = {w for w in _WORD.findall(text.lower()) if len(w) < 40}
-        bags.append(bag)
+        # Copies tell no more than one text does: of documents that share the least hash
+        # of their longer words, one counts.
+        rare = [zlib.crc32(w.encode()) for w in bag if len(w) > 6]
+        marks = {(k, min(h * (2 * k + 1) * 2654435761 % (1 << 32) for h in rare)) for k in range(3)} if len(rare) > 5 else {(9, text)}
+        if marks & families:
+            continue
+        families |= marks
+        n[label] += 1
+        bags.append((bag, label))
         whole[label].update(bag)
         begin[label].update({w[:k] for w in bag for k in range(3, min(9, len(w)))})
 
     def evidence(t: int, c: int) -> float:
         return math.log((t + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1))
 
-    least = max(4, n[1] // 400)
+    chance = 2 * math.log(max(1, len(begin[1])))
+
+    def sure(t: int, c: int) -> bool:
+        """Whether such a split is no chance among very many words (likelihood ratio test)."""
+        share = n[1] / max(1, n[0] + n[1])
+        expected = ((t + c) * share, (t + c) * (1 - share))
+        return evidence(t, c) >= 2.3 and 2 * sum(k * math.log(k / e) for k, e in zip((t, c), expected, strict=True) if k) >= chance + SURE
+
     stems: dict[str, float] = {}
-    for name in sorted((s for s, t in begin[1].items() if t >= 2 * least and evidence(t, begin[0][s]) >= 2.3), key=lambda s: (len(s), s)):
+    for name in sorted((s for s, t in begin[1].items() if sure(t, begin[0][s])), key=lambda s: (len(s), s)):
         # The shortest beginning that tells, unless a longer one tells much better.
         shorter = max((stems[name[:k]] for k in range(3, len(name)) if name[:k] in stems), default=0)
         if evidence(begin[1][name], begin[0][name]) > shorter + 1.5:
             stems[name] = evidence(begin[1][name], begin[0][name])
-    words = {w: e for w, t in whole[1].items() if t >= least and len(w) >= 3 and (e := evidence(t, whole[0][w])) >= 2.3}
+    words = {w: e for w, t in whole[1].items() if len(w) >= 3 and sure(t, whole[0][w]) and (e := evidence(t, whole[0][w]))}
     own = lambda w: begin[1][w[: max(3, len(w) - 2)]] <= 1.5 * whole[1][w]  # noqa: E731  a word of its own, not one of a stem's many
     stems = {s: e for s, e in stems.items() if not any(w.startswith(s) and whole[1][w] >= 0.7 * begin[1][s] for w in words)}
-    near = Trie(sorted(w for w in words if len(w) >= FUZZY_FROM and own(w)), [])
+    words = {w: e for w, e in words.items() if not any(w.startswith(s) for s in stems)}
+    long = sorted(w for w in words if len(w) >= FUZZY_FROM and own(w))
+    near = Trie([], [], long)
     near_to = lru_cache(maxsize=1 << 18)(near.close)
 
     close: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for bag, label in zip(bags, labels, strict=True):
+    for bag, label in bags:
         hit = set()
         for w in bag:
             if w not in words and near_to(w) and not any(w.startswith(s) for s in stems):
@@ -254,7 +272,7 @@ def learn(texts: list[str], labels: list[int], totals: dict[int, int]) -> Lexico
     # A misspelling counts for less than the term, and for nothing where clean documents
     # have as many words that close.
     fuzzy = {}
-    for w in near_terms(near.root):
+    for w in long:
         t, c = close[1][w], close[0][w]
         e = min(0.7 * words[w], math.log((t + 1.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1)) + (0 if c else 1.5))
         if e > 0.5:
@@ -262,7 +280,7 @@ def learn(texts: list[str], labels: list[int], totals: dict[int, int]) -> Lexico
     lexicon = Lexicon(words, stems, fuzzy, np.zeros(7))
     rows = np.concatenate([_evidence(lexicon, *hits(pa.array(texts[s : s + 256], pa.string()), lexicon)) for s in range(0, len(texts), 256)])
     # Logistic regression by Newton's method, weighted to the shares in all labels.
-    w = np.where(y == 1, share / n[1], (1 - share) / n[0]) * len(y)
+    w = np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum()) * len(y)
     beta = np.zeros(rows.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(rows @ beta, -30, 30)))
@@ -275,14 +293,6 @@ def learn(texts: list[str], labels: list[int], totals: dict[int, int]) -> Lexico
     return lexicon
 
 
-def near_terms(node: dict) -> Iterator[str]:
-    for c, child in node.items():
-        if c:
-            yield from near_terms(child)
-        elif "word" in child:
-            yield child["word"]
-
-
 def _probability(lexicon: Lexicon, many: np.ndarray, found: list[tuple[int, str, str, float]]) -> np.ndarray:
     if lexicon.only is not None:
         return np.full(len(many), lexicon.only)
