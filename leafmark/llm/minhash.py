@@ -43,6 +43,8 @@ VALUES, BANDS, ROWS = 128, 25, 5
 SLACK = 0.14
 #: Members of a bucket that are compared at once.
 BLOCK = 8192
+#: Partners of one document that are checked in one part.
+PARTNERS = 256
 
 U = X.U
 _SCALE = 24  # bits of the fraction in a stored value: rank * 2**24 + fraction
@@ -239,11 +241,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach `percent`, by the full sets.
 
     The first of a pair is sent to its task once, not once for each partner: the text
-    of `a` leads its partners' texts in the sorted stream.
+    of `a` leads its partners' texts in the sorted stream.  A document with very many
+    partners is dealt out with `PARTNERS` of them to a part, each led by its text.
     """
-    each = pairs.union(pairs.select("a", F.col("a").alias("b")).distinct())
-    sent = each.join(texts.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "b", "text")
-    ordered = sent.repartition("a", F.lit(0)).sortWithinPartitions("a", F.col("a") != F.col("b"), "b")
+    many = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PARTNERS)).alias("part"))
+    each = dealt.union(dealt.select("a", F.col("a").alias("b"), "part").distinct())
+    sent = each.join(texts.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "b", "text", "part")
+    ordered = sent.repartition("a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("b"), "b")
     return ordered.mapInArrow(_confirm(percent), "a long, b long")
 
 

@@ -31,8 +31,9 @@ def brute(texts, percent):
     return {d: (len(sets[d]), root(d)) for d in sets}
 
 
-@pytest.mark.parametrize("percent", [85, 80])
-def test_groups(docs, texts, percent):
+@pytest.mark.parametrize(("percent", "partners"), [(85, 256), (80, 3)])
+def test_groups(docs, texts, percent, partners, monkeypatch):
+    monkeypatch.setattr(minhash, "PARTNERS", partners)
     expected = brute(texts, percent)
     found = minhash.near_duplicates(docs, percent).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected
