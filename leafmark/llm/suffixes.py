@@ -46,6 +46,7 @@ SLICE = 1 << 20  # bytes of text that a numpy step works on: its arrays stay in
 GATHER = 2_000_000  # anchors that a task sorts at once
 BLOCK = 2 << 20  # bytes of a block of buckets
 HOT = 50_000
+LISTED = 0x7FFFFFFF  # bits of a gram that a document's list of shared grams keeps: a chance hit costs a stretch, not a result
 #: The perfect difference cover modulo 13.
 MODULUS, COVER = 13, (0, 1, 3, 9)
 RANKED = 32  # bytes that a cover rank stands for
@@ -164,10 +165,10 @@ def _stretches(width: int):
             data, offsets = X.texts(piece.column(2))
             start, many, anchor, key, doc = anchors(data, offsets, width)
             lists = piece.column(3)
-            values = lists.flatten().to_numpy().view(U)
+            values = lists.flatten().to_numpy().astype(U)
             holder = np.repeat(np.arange(piece.num_rows), np.diff(lists.offsets.to_numpy()))
             wanted = np.sort(X.mix(values + X.mix(holder.astype(U))))
-            mark = X.mix(key + X.mix(doc.astype(U)))
+            mark = X.mix((key & U(LISTED)) + X.mix(doc.astype(U)))
             place = np.searchsorted(wanted, mark)
             place[place == len(wanted)] = 0
             keep = np.flatnonzero(wanted[place] == mark) if len(wanted) else np.zeros(0, np.int64)
@@ -375,7 +376,7 @@ def _windows(width: int):
 
 def tagged(docs: DataFrame) -> DataFrame:
     """(doc_id, text, tag): the tag tells rows of one doc_id with different texts apart."""
-    return doc_texts(docs).withColumn("tag", F.xxhash64("text"))
+    return doc_texts(docs).withColumn("tag", F.hash("text"))
 
 
 def repeated_spans(docs: DataFrame, width: int = 50, hot: int | None = None) -> DataFrame:
@@ -389,7 +390,7 @@ def repeated_spans(docs: DataFrame, width: int = 50, hot: int | None = None) ->
     # Rows that are shared already need no meeting, so they are spread by document too.
     met = found.repartition("key", F.when(F.col("open") == 0, F.col("doc_id"))).sortWithinPartitions("key")
     held = met.mapInArrow(_shared_rows, "key long, doc_id long")
-    lists = settle(held.groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
+    lists = settle(held.groupBy("doc_id").agg(F.collect_set(F.col("key").bitwiseAND(LISTED).cast("int")).alias("keys")))
     hot_keys = settle(lists.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > hot).select("key"))
     has_hot = not hot_keys.isEmpty()
     if has_hot:
@@ -399,18 +400,18 @@ def repeated_spans(docs: DataFrame, width: int = 50, hot: int | None = None) ->
                 F.collect_list(F.when(F.col("hot").isNull(), F.col("key"))).alias("keys"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hot_keys")
             )
         )
-    layout = "key long, doc_id long, tag long, starts array<long>, lead int, bytes binary"
+    layout = "key long, doc_id long, tag int, starts array<long>, lead int, bytes binary"
 
     def stretches(column: str) -> DataFrame:
         with_keys = rows.join(lists.where(F.size(column) > 0).hint("merge"), "doc_id")
         return with_keys.select("doc_id", "tag", "text", column).mapInArrow(_stretches(width), layout)
 
     spans = (
-        stretches("keys").repartition("key").sortWithinPartitions("key").mapInArrow(_sort_blocks(width), "doc_id long, tag long, start long, end long")
+        stretches("keys").repartition("key").sortWithinPartitions("key").mapInArrow(_sort_blocks(width), "doc_id long, tag int, start long, end long")
     )
     if has_hot:
         each = stretches("hot_keys").withColumn("starts", F.explode("starts"))
-        windows = settle(each.mapInArrow(_windows(width), "bytes binary, doc_id long, tag long, start long"))
+        windows = settle(each.mapInArrow(_windows(width), "bytes binary, doc_id long, tag int, start long"))
         first = windows.groupBy("bytes").agg(F.min("doc_id").alias("first"))
         again = windows.join(first, "bytes").where("doc_id > first")
         spans = spans.unionByName(again.select("doc_id", "tag", "start", (F.col("start") + width).alias("end")))
@@ -467,7 +468,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, hot: int | None = None) ->
     lists = _lists(docs, width, hot)
     each = tagged(docs).join(lists, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "starts", "ends")
     return each.mapInArrow(
-        _cut, "doc_id long, tag long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        _cut, "doc_id long, tag int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
 
 
@@ -482,7 +483,7 @@ def without_repeats(docs: DataFrame, width: int = 50, hot: int | None = None) ->
     """The rows of `docs`, with all their columns, with the repeated bytes of `text` cut
     out (characters that a cut breaks go as well) and `n_chars`, if there, counted anew."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("tag"), text.alias("text"))
     each = rows.join(_lists(docs, width, hot), ["doc_id", "tag"], "left").select("row", "text", "starts", "ends")
     cut = each.mapInArrow(_cut_rows, T.StructType([rows.schema["row"], T.StructField("text", T.StringType())]))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
