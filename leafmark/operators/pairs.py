@@ -58,7 +58,7 @@ def _long(p: str) -> Column:
 
 
 def ruby_of(vertical: Column) -> Column:
-    """Whether line a is ruby of line b (OP of pairs in both orders)."""
+    """Whether line a is ruby of line b, for pairs given in both orders."""
     a, b = text.strip(F.col("a_text")), text.strip(F.col("b_text"))
     limit = F.least(F.lit(16.0), F.greatest(F.lit(8.0), _thin("b_") * 0.35))
     small = (F.length(a) < 3) | (_long("a_") / F.greatest(F.length(a), F.lit(1)) < _long("b_") / F.greatest(F.length(b), F.lit(1)) * 0.85)
