@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,7 +56,8 @@ U = X.U
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, width: int):
-    """Runs of windows with one anchor: first window, number of windows, anchor, key, document."""
+    """Runs of windows with one anchor: first window, number of windows, anchor, key (48
+    bits of the gram's hash), document."""
     n, span = len(data), width - GRAM + 1
     if n < width:
         e = np.zeros(0, np.int64)
@@ -84,7 +86,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int):
     fresh[1:], last[:-1] = moved, moved
     fresh[edges], last[edges - 1] = True, True
     starts, ends = np.flatnonzero(valid & fresh), np.flatnonzero(valid & last)
-    return starts, ends - starts + 1, at[starts], gram[at[starts]], X.owner(offsets, starts)
+    return starts, ends - starts + 1, at[starts], gram[at[starts]] >> U(16), X.owner(offsets, starts)
 
 
 def _anchor_rows(width: int):
@@ -157,11 +159,33 @@ def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield shared(pa.Table.from_batches(held))
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, tag, packed): the texts as they travel to their lists of grams."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        packed = [pack(t.encode()) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], names=["doc_id", "tag", "packed"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (doc_id, tag, packed, keys) with the text's bytes, a few at a time."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        held, start, size = [], 0, 0
+        for i, packed in enumerate(batch.column(2).to_pylist()):
+            held.append(unpack(packed))
+            size += len(held[-1])
+            if size >= SLICE or i == batch.num_rows - 1:
+                part = batch.slice(start, len(held))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(held, pa.binary()), part.column(3)], names=["doc_id", "tag", "text", "keys"])
+                held, start, size = [], i + 1, 0
+
+
 def _stretches(width: int):
     """Of each text, the stretches of bytes whose anchor is among its shared keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in X.pieces(batches, SLICE):
+        for piece in _unpacked(batches):
             data, offsets = X.texts(piece.column(2))
             start, many, anchor, key, doc = anchors(data, offsets, width)
             lists = piece.column(3)
@@ -403,8 +427,9 @@ def repeated_spans(docs: DataFrame, width: int = 50, hot: int | None = None) ->
     layout = "key long, doc_id long, tag int, starts array<long>, lead int, bytes binary"
 
     def stretches(column: str) -> DataFrame:
-        with_keys = rows.join(lists.where(F.size(column) > 0).hint("merge"), "doc_id")
-        return with_keys.select("doc_id", "tag", "text", column).mapInArrow(_stretches(width), layout)
+        packed = rows.mapInArrow(_compressed, "doc_id long, tag int, packed binary")
+        with_keys = packed.join(lists.where(F.size(column) > 0).hint("merge"), "doc_id")
+        return with_keys.select("doc_id", "tag", "packed", column).mapInArrow(_stretches(width), layout)
 
     spans = (
         stretches("keys").repartition("key").sortWithinPartitions("key").mapInArrow(_sort_blocks(width), "doc_id long, tag int, start long, end long")
