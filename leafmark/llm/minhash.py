@@ -173,7 +173,9 @@ def _across(least: float, percent: int):
             names, inverse, many = np.unique(comp, return_inverse=True, return_counts=True)
             if len(names) < 2:
                 continue
-            order = np.argsort(-many[inverse], kind="stable")
+            # By size and then by component, so that the first many.max() rows are one component
+            # even where several are of that size.
+            order = np.lexsort((inverse, -many[inverse]))
             ids, inverse, sig, size, common = ids[order], inverse[order], sig[order], size[order], common[order]
             for i in range(int(many.max()), len(ids)):
                 for start in range(0, i, BLOCK):

@@ -82,6 +82,19 @@ def test_signature_does_not_depend_on_company():
         assert (minhash.superminhash(s, np.array([0, len(s)]))[0] == whole[i]).all()
 
 
+def test_components_of_equal_size_are_compared_whole():
+    import pyarrow as pa
+
+    # Components 1 and 2 of two documents each, interleaved by doc_id; only 1 and 2 are alike.
+    sig = np.random.default_rng(4).integers(0, 256, (4, minhash.VALUES), dtype=np.uint8)
+    sig[:, : minhash.ROWS] = sig[0, : minhash.ROWS]
+    sig[1] = sig[0]
+    columns = [[7] * 4, [1, 2, 3, 4], [1, 2, 1, 2], [x.tobytes() for x in sig], [0] * 4, [50] * 4, [50] * 4]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "doc_id", "component", "signature", "band", "n_shingles", "common"])
+    found = [tuple(r.values()) for b in minhash._across(0.71, 85)(iter([batch])) for r in b.to_pylist()]
+    assert found == [(1, 2)]
+
+
 def test_components_of_a_long_chain(spark):
     from leafmark.llm.components import components
 
