@@ -8,6 +8,15 @@ occurrence, by (doc_id, place), is kept; the sentences of any later occurrence g
 place of the first comes from a grouped minimum with a map-side combine, and is joined
 back by the hash, a join that Spark may split where one passage has very many copies.
 
+The cuts of a long sentence are counted from its start, so a passage that begins inside
+one has other pieces in each place.  So stretches of `STRETCH` words that touch a long
+sentence are hashed as well, sampled by content: of every `WINDOW` stretches in a row the
+one of smallest hash, so that two occurrences of a passage of STRETCH + WINDOW - 1 words
+share one wherever they start.  All sentences and pieces that later occurrences of
+stretches cover whole go; as no piece has more than LONGEST words and a stretch has twice
+that, at least one does.  One word said over and over has equal pieces wherever it is
+cut, and only its first stretch is hashed.
+
 Runs compare sentences with outer white space removed and inner runs of white space as
 one space.  Null and empty texts have no sentence and lose nothing.  Rows that repeat a
 doc_id are told apart by text (equal rows are one document, and each gets a row).  Rows
@@ -28,6 +37,9 @@ from leafmark.llm.common import doc_texts, prepare, settle
 
 SPAN = 3
 LONGEST = 16
+STRETCH, WINDOW = 2 * LONGEST, 20
+#: Places of stretches are word numbers, from here on; those of runs are sentence numbers.
+WORDS = 1 << 30
 _STOP = np.zeros(256, bool)
 _STOP[[0x21, 0x2E, 0x3F]] = True
 _LINE = np.zeros(256, bool)
@@ -36,12 +48,14 @@ _LINE[[0x0A, 0x0D]] = True
 U = X.U
 
 
-def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each sentence: first byte, byte after its last word, document, hash of its words."""
+def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Of each sentence: first byte, byte after its last word, document, hash of its words,
+    first word, word after its last.  Of each word: document, hash, whether it is in a
+    sentence that counts as several."""
     starts, ends, doc = X.words(data, offsets)
     if not len(starts):
         e = np.zeros(0, np.int64)
-        return e, e, e, e.astype(U)
+        return (e, e, e, e.astype(U), e, e), (e, e.astype(U), e.astype(bool))
     # A word closes its sentence by its last byte, or by a line break before the next word.
     breaks = np.zeros(len(data) + 1, np.int64)
     np.cumsum(_LINE[data], out=breaks[1:])
@@ -52,10 +66,29 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         first = np.r_[0, last[:-1] + 1]
         nth = np.arange(len(starts)) - np.repeat(first, last - first + 1)
         if not cut:
+            long = np.repeat(last - first >= LONGEST, last - first + 1)
             closes |= nth % LONGEST == LONGEST - 1
     hashes = X.Hasher(data)(starts, ends)
     total = np.add.reduceat(X.mix(hashes + nth.astype(U) * U(X.BASE)), first)
-    return starts[first], ends[last], doc[first], X.mix(total)
+    return (starts[first], ends[last], doc[first], X.mix(total), first, last + 1), (doc, hashes, long)
+
+
+def stretches(doc: np.ndarray, hashes: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first words of the sampled stretches that touch a long sentence."""
+    n = len(hashes) - STRETCH + 1
+    if n < WINDOW:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    sums = np.zeros(len(hashes) + 1, U)
+    np.cumsum(hashes * X.powers(X.BASE, len(hashes)), out=sums[1:])
+    code = X.mix(((sums[STRETCH:] - sums[:-STRETCH]) * X.powers(X.INVERSE, n)) ^ U(0xA0761D6478BD642F))
+    many = np.r_[0, np.cumsum(long)]
+    # The last smallest of each window that lies in one document.
+    least = WINDOW - 1 - np.lib.stride_tricks.sliding_window_view(code, WINDOW)[:, ::-1].argmin(axis=1)
+    inside = np.flatnonzero(doc[: n - WINDOW + 1] == doc[STRETCH + WINDOW - 2 :])
+    at = np.unique(inside + least[inside])
+    again = (at > 0) & (code[at] == code[at - 1]) & (doc[at] == doc[at - 1])
+    at = at[~again & (many[at + STRETCH] > many[at])]
+    return code[at], at
 
 
 def runs(code: np.ndarray, doc: np.ndarray, n: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,12 +111,15 @@ def _run_rows(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in X.pieces(batches, 1 << 20):
             data, offsets = X.texts(piece.column(1))
-            _, _, doc, code = sentences(data, offsets)
-            first = np.searchsorted(doc, np.arange(piece.num_rows))
+            (_, _, doc, code, *_), words = sentences(data, offsets)
+            each = np.arange(piece.num_rows)
             hashes, place, _ = runs(code, doc, piece.num_rows, span)
-            d = doc[place]
+            more, at = stretches(*words)
+            d = np.r_[doc[place], words[0][at]]
+            hashes = np.concatenate([hashes, more])
+            place = np.r_[place - np.searchsorted(doc, each)[doc[place]], at - np.searchsorted(words[0], each)[words[0][at]] + WORDS]
             yield pa.RecordBatch.from_arrays(
-                [X.longs(hashes), pa.array(piece.column(0).to_numpy()[d]), pa.array(piece.column(2).to_numpy()[d]), pa.array((place - first[d]).astype(np.int32))],
+                [X.longs(hashes), pa.array(piece.column(0).to_numpy()[d]), pa.array(piece.column(2).to_numpy()[d]), pa.array(place.astype(np.int32))],
                 names=["run", "doc_id", "tag", "place"],
             )
 
@@ -94,17 +130,26 @@ def _cut(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in X.pieces(batches, 1 << 20):
             data, offsets = X.texts(piece.column(2))
-            starts, _, doc, _ = sentences(data, offsets)
+            (starts, _, doc, _, word, upto_word), (word_doc, *_) = sentences(data, offsets)
             n = piece.num_rows
             first = np.searchsorted(doc, np.arange(n + 1))
             gone = np.zeros(len(starts) + span, bool)
             lists = piece.column(3)
             holder = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())) if lists.null_count < n else np.zeros(0, np.int64)
-            at = first[holder] + lists.flatten().to_numpy().astype(np.int64)
-            stop = first[holder + 1]
+            places = lists.flatten().to_numpy().astype(np.int64)
+            of_words = places >= WORDS
+            at = first[holder[~of_words]] + places[~of_words]
+            stop = first[holder[~of_words] + 1]
             for k in range(span):
                 gone[np.minimum(at + k, stop - 1)] = True
             gone = gone[: len(starts)]
+            if of_words.any():
+                at = np.searchsorted(word_doc, holder[of_words]) + places[of_words] - WORDS
+                open_ = np.zeros(len(word_doc) + 1, np.int64)
+                np.add.at(open_, at, 1)
+                np.add.at(open_, at + STRETCH, -1)
+                covered = np.r_[0, np.cumsum(np.cumsum(open_)[:-1] > 0)]
+                gone |= covered[upto_word] - covered[word] == upto_word - word
             # A sentence takes the white space up to the next one with it.
             upto = np.r_[starts[1:], len(data)] if len(starts) else starts
             upto = np.minimum(upto, offsets[doc + 1]) if len(starts) else upto
@@ -130,7 +175,7 @@ def _cut(span: int):
 
 def remove_repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, n_sentences, n_removed, text): every document without the sentences that
-    a non-first run of `span` sentences covers."""
+    a non-first run of `span` sentences, or non-first stretches at long sentences, cover."""
     prepare(docs.sparkSession)
     rows = doc_texts(docs).withColumn("tag", F.xxhash64("text"))
     found = settle(rows.mapInArrow(_run_rows(span), "run long, doc_id long, tag long, place int"))

@@ -45,6 +45,19 @@ def test_one_long_sentence(spark):
     assert found[1].n_removed == 0 and found[2].n_removed == 3 and "w0" not in found[2].text and "w47" not in found[2].text
 
 
+@pytest.mark.parametrize("size", [51, 65, 80])
+def test_passage_inside_a_long_sentence_at_every_offset(spark, size):
+    passage = " ".join(f"w{i}" for i in range(size))
+    around = lambda d, n: " ".join(f"d{d}n{i}" for i in range(n))
+    rows = [(1, f"{around(1, 5)} {passage} {around(1, 9)[::-1]}")]
+    rows += [(10 + k, f"Own {k}.\n{around(10 + k, k)} {passage} {around(90 + k, 7)}") for k in range(40)]
+    found = {r.doc_id: r for r in sentences.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1].n_removed == 0 and found[1].text == rows[0][1]
+    for d, text in rows[1:]:
+        gone = [w for w in text.split() if w not in found[d].text.split()]
+        assert found[d].n_removed >= 1 and len(gone) >= 16 and all(w.startswith("w") for w in gone)
+
+
 def test_edges(spark, none):
     assert sentences.remove_repeated_spans(none).count() == 0
     rows = [(1, "A b. C d. E f. G."), (2, "x. C d.  E f.\tG. y"), (3, "A b. C d."), (4, "A b.\nC d."), (5, None), (6, " \n"), (None, "A b. C d. E f.")]
