@@ -1,9 +1,11 @@
 """Licence scan: TF-IDF cosine of statements to templates, then directory inheritance.
 
 DataFrame functions only.  Every whole text is cut into statements (lines, and sentences where a capital follows);
-a statement without any of `KEYS` cannot reach the threshold and is left out, the others
-become sparse vectors of term counts times inverse document frequency over the templates
+a statement that holds too little of every template's weight for the threshold is left
+out (see `_can_reach`), the others become sparse vectors of term counts times inverse document frequency over the templates
 (terms of no template have the highest), and the best cosine of a file names its licence.
+A statement without any of `KEYS` must share two different terms with the template: one
+word alone, such as "By" or the German "mit", reaches the threshold but states nothing.
 
 A file with a licence of its own keeps it.  Short files with a licence (`FILE_TERMS`
 terms at most) are licence files: the first of a directory, by path, covers the directory
@@ -18,6 +20,10 @@ columns are ignored.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +45,7 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain under the Unlicense.",
 }
-#: Every template has one of these.
+#: Every template has one of these, and the SQL wants one in every statement.
 KEYS = ("licen", "redistribution")
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LEAST = 0.6
@@ -58,6 +64,26 @@ def weights(spark: SparkSession) -> DataFrame:
     return each.join(norms, "license").select("license", "term", "idf", "w", "norm")
 
 
+def shares() -> list[dict[str, float]]:
+    """Of each template: its terms' shares of the square of its length."""
+    tf = [Counter(re.findall(TERM, text.lower())) for text in TEMPLATES.values()]
+    df = Counter(term for own in tf for term in own)
+    squares = [{t: (n * (math.log((1 + len(tf)) / (1 + df[t])) + 1)) ** 2 for t, n in own.items()} for own in tf]
+    return [{t: x / sum(own.values()) for t, x in own.items()} for own in squares]
+
+
+def _can_reach(column, least: float):
+    """Whether a text may have a cosine of `least` with a template.  The cosine is at most
+    the length of the template's part in the terms that both have (Cauchy-Schwarz), and a
+    text that has a term contains it as a string.  Scores are rounded to six digits."""
+    lower, enough = F.lower(column), max(0.0, least - 1e-6) ** 2
+    found = F.lit(False)
+    for own in shares():
+        held = sum((F.when(F.contains(lower, F.lit(t)), x).otherwise(0.0) for t, x in own.items()), F.lit(0.0))
+        found = found | (held >= enough)
+    return found
+
+
 def _has_key(column):
     lower = F.lower(column)
     found = F.contains(lower, F.lit(KEYS[0]))
@@ -69,10 +95,9 @@ def _has_key(column):
 def own_licenses(files: DataFrame, least: float = LEAST) -> DataFrame:
     """(path, license, score, is_file) of the files that state a licence."""
     spark = files.sparkSession
-    likely = files.where(_has_key(F.col("text")))
     cut = F.explode(F.split(F.regexp_replace("text", r"([.!?])[ \t\r\n]+([A-Z])", "$1\n$2"), "[\r\n]+"))
     total = F.size(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    statements = likely.select("path", (total <= FILE_TERMS).alias("is_file"), cut.alias("statement")).where(_has_key(F.col("statement")))
+    statements = files.select("path", (total <= FILE_TERMS).alias("is_file"), cut.alias("statement")).where(_can_reach(F.col("statement"), least))
     numbered = statements.groupBy("path", "statement").agg(F.max("is_file").alias("is_file"))
     terms = numbered.select("path", "statement", "is_file", F.explode(F.regexp_extract_all(F.lower("statement"), F.lit(TERM), F.lit(0))).alias("term"))
     tf = terms.groupBy("path", "statement", "is_file", "term").agg(F.count("*").alias("tf"))
@@ -81,8 +106,8 @@ def own_licenses(files: DataFrame, least: float = LEAST) -> DataFrame:
     own = tf.join(idf, "term", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(1.0) * F.log(F.lit(1.0 + len(TEMPLATES))) + 1))
     lengths = own.groupBy("path", "statement").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
     dots = own.drop("idf").join(known, "term").groupBy("path", "statement", "is_file", "license").agg(
-        F.sum(F.col("v") * F.col("w")).alias("dot"), F.first("norm").alias("norm")
-    )
+        F.sum(F.col("v") * F.col("w")).alias("dot"), F.first("norm").alias("norm"), F.count("*").alias("shared")
+    ).where(_has_key(F.col("statement")) | (F.col("shared") > 1))
     scored = dots.join(lengths, ["path", "statement"]).withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("length")), 6)).where(F.col("score") >= least)
     best = F.min(F.struct((-F.col("score")).alias("loss"), F.col("license").alias("license")))
     return scored.groupBy("path").agg(best.alias("b"), F.max("is_file").alias("is_file")).select(

@@ -31,3 +31,15 @@ def test_every_template_has_a_key_and_finds_itself(spark):
     assert all(any(k in t.lower() for k in licenses.KEYS) for t in licenses.TEMPLATES.values())
     frame = spark.createDataFrame([(n, t) for n, t in licenses.TEMPLATES.items()], "path string, text string")
     assert all(r.license == r.path and r.score >= 0.999 for r in licenses.scan(frame).collect())
+
+
+def test_statements_without_a_key(spark):
+    rows = [
+        ("a/COPYING", "This is free and unencumbered software released into the public domain.", "Unlicense"),
+        ("b/COPYING", "Dedicated to the public domain under CC0 1.0.", "CC0-1.0"),
+        ("c/COPYING", "Released under MIT.", "MIT"),
+        ("d/COPYING", "The software is with the public.\nBy.\nmit", None),
+    ]
+    frame = spark.createDataFrame([r[:2] for r in rows] + [("a/x/one", "code")], "path string, text string")
+    found = {r.path: r.license for r in licenses.scan(frame).collect()}
+    assert found == {**{r[0]: r[2] for r in rows}, "a/x/one": "Unlicense"}
