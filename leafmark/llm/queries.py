@@ -67,7 +67,8 @@ PATH = """CASE WHEN doc_id % 100 = 0 THEN concat(source, '/', CAST(doc_id AS STR
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    # In DuckDB's concat a null source is empty, in Spark's it makes the path null.
+    docs = table(spark, sf_dir, "documents").withColumn("source", F.coalesce("source", F.lit("")))
     found = licenses.scan(docs.select(F.expr(PATH).alias("path"), "text"))
     # The path ends with the document's number.
     return found.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "path", "license", "score", "origin", "from_path")

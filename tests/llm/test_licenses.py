@@ -43,3 +43,12 @@ def test_statements_without_a_key(spark):
     frame = spark.createDataFrame([r[:2] for r in rows] + [("a/x/one", "code")], "path string, text string")
     found = {r.path: r.license for r in licenses.scan(frame).collect()}
     assert found == {**{r[0]: r[2] for r in rows}, "a/x/one": "Unlicense"}
+
+
+def test_null_source(spark, tmp_path):
+    from leafmark.llm import queries
+
+    frame = spark.createDataFrame([(5312, None, MIT), (5313, None, "code"), (5314, "s", "code")], "doc_id long, source string, text string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: (r.path, r.license) for r in queries.op10_license_scan(spark, str(tmp_path)).collect()}
+    assert found == {5312: ("/5/53/5312", "MIT"), 5313: ("/5/53/5313", "MIT"), 5314: ("s/5/53/5314", None)}
