@@ -3,33 +3,48 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmark.sources.stage import release, settle
+
+__all__ = ["doc_texts", "prepare", "release", "settle", "table"]
+
 _ROOT = str(Path(__file__).resolve().parents[2])
 
-#: Session settings the Python stages rely on: small Arrow batches bound a worker's
-#: memory whatever the length of the texts, and shuffle files go when a job that
-#: ended in a written table no longer needs them.
-_SETTINGS = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+#: Session settings that the Python stages need: small Arrow batches bound a worker's
+#: memory whatever the length of the texts.  They are only ever lowered.
+_AT_MOST = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 4096,
+    "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20,
 }
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make this package importable in Python workers and bound their Arrow batches."""
+    """Make this package importable in Python workers and bound their Arrow batches.
+
+    Plans run after the call that made them has returned, so the session keeps these
+    settings: the two of `_AT_MOST`, and that shuffle files go when a query has ended
+    (results that are used again are written tables).
+    """
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
-    for key, value in _SETTINGS.items():
-        spark.conf.set(key, value)
+    for key, most in _AT_MOST.items():
+        now = _number(spark.conf.get(key))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def _number(value: str) -> int:
+    """A number of bytes as Spark writes it: 4096, 4m, 64MB."""
+    found = re.fullmatch(r"(-?\d+)([kmgt]?)b?", value.strip().lower())
+    return int(found[1]) << 10 * " kmgt".index(found[2] or " ") if found else 0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,27 +52,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from `spark.checkpoint.dir`; set one only where
-    none is set (a local test session)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="leafmark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back, which cuts its lineage.
-
-    A lost executor afterwards costs a reread, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/leafmark-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def doc_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with null text as empty; other columns, whatever their names, go.
 

@@ -12,16 +12,21 @@ texts are read and tokenised once and no piece is gathered anywhere.
 Ranks need no sort: a task numbers its own pieces of each length, and the counts of the
 tasks before it (a running sum per length over one row per task) are joined on.
 
-Null and empty texts are one piece of just the end id.  Repeated rows are packed as
-often as they occur.  Rows without a doc_id are left out.  Empty tables give no rows.
+Null and empty texts are one piece of just the end id.  A text of any length is tokenised
+whole and cut into pieces.  Repeated rows are packed as often as they occur.  Pieces of
+equal length are alike to the packer, so which of them goes where is not fixed; everything
+else is.  Columns other than doc_id and text are ignored, whatever their names.  Rows
+without a doc_id are left out.  Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import bisect
+import json
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,27 +41,33 @@ END_ID = 0
 _encoders: dict[str, object] = {}
 
 
-def encoder(ranks: str | None = None):
-    """The byte-level BPE of 50,257 ids, by the tokenizer library that is quickest at it
-    (the same ids as the `tokenizers` file of that vocabulary; special strings in a text
-    are ordinary text).  `ranks`: the vocabulary file; default: the public 50k one."""
+def encoder(ranks: str | None = None, vocabulary: str | None = None):
+    """text -> ids of the byte-level BPE of 50,257 ids, by the tokenizer library that is
+    quickest at it.  The ids are those that `tokenizers` gives with the file `vocabulary`
+    and add_special_tokens=False: the strings of its added tokens are cut out of a text
+    first and have ids of their own.  `ranks`: the same vocabulary as merge ranks; both
+    default to the public 50k files."""
     import public_tokenizers
     import tiktoken
 
-    path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    if path not in _encoders:
-        with open(path, "rb") as lines:
+    ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
+    if (ranks, vocabulary) not in _encoders:
+        with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encoders[path] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-    return _encoders[path]
+        with open(vocabulary, encoding="utf-8") as file:
+            added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        model = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=added)
+        _encoders[ranks, vocabulary] = partial(model.encode_to_numpy, allowed_special="all")
+    return _encoders[ranks, vocabulary]
 
 
-def _tokenise(capacity: int, ranks: str | None):
+def _tokenise(capacity: int, ranks: str | None, vocabulary: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks).encode_to_numpy
+        encode = encoder(ranks, vocabulary)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for part in X.pieces(batches, 2 << 20):
+        for part in X.pieces(batches):
             ids, piece, start, length, crc, rank = [], [], [], [], [], []
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 tokens = np.append(encode(text).astype("<u4"), np.uint32(END_ID)).astype("<u4")
@@ -159,13 +170,13 @@ def _place(slots: np.ndarray):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = 2048, ranks: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, ranks: str | None = None, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every document's
     ids and an end id, cut into pieces only if longer than `capacity` (the first piece
     may be shorter), placed without gaps or overlaps in sequences of `capacity` ids."""
     prepare(docs.sparkSession)
     layout = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
-    pieces = settle(doc_texts(docs).mapInArrow(_tokenise(capacity, ranks), layout))
+    pieces = settle(doc_texts(docs).mapInArrow(_tokenise(capacity, ranks, vocabulary), layout))
     by_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = by_task.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))

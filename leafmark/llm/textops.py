@@ -13,6 +13,9 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+#: Bytes of text that a numpy step works on: its arrays stay near the cache, and a worker's
+#: memory is set by this or by its longest document.
+PIECE = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -59,18 +62,20 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, (at - at[0] if len(at) else np.zeros(1, np.int64))
 
 
-def pieces(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds about `most_bytes` of text, or one document."""
+def pieces(batches: Iterable[pa.RecordBatch], most_bytes: int = PIECE, column: str | int = "text") -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds about `most_bytes` of text, or one document.
+    Memory that the last one needed is given back between batches."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, at = texts(batch.column(batch.schema.get_field_index(column)))
+        _, at = texts(batch.column(column if isinstance(column, int) else batch.schema.get_field_index(column)))
         start = 0
         while start < batch.num_rows:
             end = int(np.searchsorted(at, at[start] + most_bytes, "right")) - 1
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+        pa.default_memory_pool().release_unused()
 
 
 class Hasher:

@@ -14,7 +14,6 @@ def ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return {d: [*t.encode(x, add_special_tokens=False).ids, 0] for d, x in texts.items()}
 
 
@@ -54,8 +53,22 @@ def test_empty_and_repeated(spark, none):
     assert len({(r.sequence_id, r.offset) for r in found}) == 3
 
 
-def test_special_strings_are_ordinary_text():
-    assert 50256 not in packing.encoder().encode_ordinary("a<|endoftext|>b")
+def test_ids_are_those_of_the_vocabulary_file():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    parts = ["<|endoftext|>", "<|endoftext|", "|>", " ", "  ", "\n", "\t\n ", "a", " word", "é漢", "'ll", "12", "..", "\u3000", "\x00", "🙂"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "", "x" * 30_000, *("".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(500))]
+    for text in texts:
+        assert packing.encoder()(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_text(spark):
+    text = "lorem ipsum <|endoftext|> dolor " * 40_000
+    found = packing.pack(spark.createDataFrame([(1, text), (2, "a")], "doc_id long, text string")).collect()
+    assert check(found, {1: [*packing.encoder()(text).tolist(), 0], 2: [64, 0]}, 2048) == -(-(len(packing.encoder()(text)) + 3) // 2048)
 
 
 @pytest.mark.parametrize("seed", range(8))
