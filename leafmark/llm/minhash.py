@@ -90,7 +90,7 @@ def superminhash(hashes: np.ndarray, offsets: np.ndarray, values: int = VALUES)
 
 
 def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in X.pieces(batches, 4 << 20):
+    for piece in X.pieces(batches):
         data, at = X.texts(piece.column(1))
         hashes, offsets = X.shingles(data, at)
         n, size = piece.num_rows, np.diff(offsets)
@@ -150,6 +150,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...
             held.append(part)
     if held:
         yield tuple(np.concatenate(c) for c in list(zip(*held, strict=True))[1:])
+    X.tidy()
 
 
 def _stars(least: float):
@@ -200,7 +201,7 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 def _confirm(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_set = None, None
-        for piece in X.pieces(batches, 4 << 20):
+        for piece in X.pieces(batches):
             a, b = piece.column(0).to_numpy(), piece.column(1).to_numpy()
             hashes, at = X.shingles(*X.texts(piece.column(2)))
             good = np.zeros(len(a), bool)
@@ -219,7 +220,7 @@ def _confirm(threshold: int):
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in X.pieces(batches, 4 << 20):
+    for piece in X.pieces(batches):
         hashes, at = X.shingles(*X.texts(piece.column(1)))
         yield pa.RecordBatch.from_arrays([X.longs(hashes), pa.array(np.repeat(piece.column(0).to_numpy(), np.diff(at)))], names=["shingle", "doc_id"])
 

@@ -44,7 +44,7 @@ from leafmark.llm.common import doc_texts, prepare, settle
 
 GRAM = 16
 SLICE = 1 << 20  # bytes of text that a numpy step works on: its arrays stay in cache
-GATHER = 2_000_000  # anchors that a task sorts at once
+GATHER = 1_000_000  # anchors that a task sorts at once
 BLOCK = 2 << 20  # bytes of a block of buckets
 HOT = 50_000
 LISTED = 0x7FFFFFFF  # bits of a gram that a document's list of shared grams keeps: a chance hit costs a stretch, not a result
@@ -157,6 +157,7 @@ def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(batch)
     if held:
         yield shared(pa.Table.from_batches(held))
+    X.tidy()
 
 
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,6 +370,7 @@ def _sort_blocks(width: int):
                 held_bytes += X.texts(held[-1].column(5))[1][-1]
         if held:
             yield block()
+        X.tidy()
 
     return run
 
@@ -497,19 +499,33 @@ def remove_repeats(docs: DataFrame, width: int = 50, hot: int | None = None) ->
     )
 
 
-def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in X.pieces(batches):
-        columns = (batch.column(i).to_pylist() for i in (1, 2, 3))
-        texts = [_kept(t.encode(), s, e)[0].decode(errors="ignore") for t, s, e in zip(*columns, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
+def _cut_rows(names: list[str]):
+    """Of batches (row, starts, ends): the rows with `text` cut and `n_chars` counted."""
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.column(0).flatten()
+            texts = pa.RecordBatch.from_arrays([columns[at], batch.column(1), batch.column(2)], names=["text", "starts", "ends"])
+            cut: list[str] = []
+            for piece in X.pieces([texts]):
+                for text, s, e in zip(*(c.to_pylist() for c in piece.columns), strict=True):
+                    cut.append(_kept((text or "").encode(), s, e)[0].decode(errors="ignore"))
+            columns[at] = pa.array(cut, pa.string())
+            if "n_chars" in names:
+                n = names.index("n_chars")
+                columns[n] = pa.array([len(t) for t in cut], columns[n].type)
+            fields = list(batch.schema.field(0).type)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=fields)], names=["row"])
+
+    return run
 
 
 def without_repeats(docs: DataFrame, width: int = 50, hot: int | None = None) -> DataFrame:
     """The rows of `docs`, with all their columns, with the repeated bytes of `text` cut
     out (characters that a cut breaks go as well) and `n_chars`, if there, counted anew."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("tag"), text.alias("text"))
-    each = rows.join(_lists(docs, width, hot), ["doc_id", "tag"], "left").select("row", "text", "starts", "ends")
-    cut = each.mapInArrow(_cut_rows, T.StructType([rows.schema["row"], T.StructField("text", T.StringType())]))
-    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return cut.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("tag"))
+    each = rows.join(_lists(docs, width, hot), ["doc_id", "tag"], "left").select("row", "starts", "ends")
+    layout = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema])
+    return each.mapInArrow(_cut_rows([c.lower() for c in docs.columns]), T.StructType([T.StructField("row", layout)])).select("row.*")

@@ -8,13 +8,16 @@ toxic documents have much more often than clean ones.  Scoring reads every whole
 2. each of the rest, once per worker, is turned into a bit-parallel Levenshtein
    automaton that is intersected with the trie of terms;
 3. each hit is weighed by its context window: inside quotation marks or after words of
-   report it is likely a mention, next to words of address it is likely abuse;
+   report it is likely a mention, next to words of address it is likely abuse; what
+   share of a hit's evidence each kind of window leaves is learned from the labels;
 4. a logistic function of the weighed evidence gives the score.
 
-Null texts are empty texts, which have no hit and get the lowest evidence.  With no
-labels of both kinds nothing can be learned and the score is the share of label 1 (0.5
-without labels).  Empty tables give no rows; repeated rows each get their row; rows
-without a doc_id are left out.
+Null texts are empty texts, which have no hit and get the lowest evidence.  Words of any
+length are searched.  Of several terms that fit a word an exact one wins, then a stem,
+then the smallest of those within one edit.  With no labels of both kinds nothing can be
+learned and the score is the share of label 1 (0.5 without labels).  Empty tables give no
+rows; repeated rows each get their row; rows without a doc_id are left out; columns other
+than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +36,6 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from leafmark.llm import subwords
 from leafmark.llm import textops as X
@@ -41,12 +43,18 @@ from leafmark.llm.common import doc_texts, prepare
 
 #: The fit's bound: so many labelled documents at most, half of each label.
 SAMPLE = subwords.Shape(grams=(), words=False, fold=True, sample=4000)
-WINDOW = 80  # characters of context on either side
+WINDOW = 80  # bytes of context on either side
+MEMO = 100_000  # words whose result a worker remembers
 SURE = 0.0  # by how much twice a log likelihood ratio must pass what chance reaches about once among all candidates
 FUZZY_FROM = 5  # terms of so many characters may be misspelled by one edit
 #: Words of report and of address in the four languages of the corpus.
 REPORT = "said says called word words term quote quoted wrote sagte nannte wort zitat dit mot appelé cité dijo palabra llamó cita".split()
 ADDRESS = "you your you're u are du dein deine bist ihr tu te toi vous votre es tú eres usted".split()
+#: What share of a hit's evidence a window leaves, before labels are seen: the values that
+#: may be learned, and how strongly the fit holds to the one given first.
+WINDOWS = {"quoted": 0.35, "reported": 0.5, "addressed": 1.25}
+SHARES = (0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 1.0, 1.25, 1.5)
+HOLD = 1.0
 _OPEN = regex.compile(r"[\"“„«‘][^\"”»’\n]{0,60}$")
 _CLOSE = regex.compile(r"^[^\"“„«‘\n]{0,60}[\"”»’]")
 _WORD = regex.compile(r"[\p{L}\p{N}@]+")
@@ -65,6 +73,7 @@ class Trie:
                 node.setdefault("", {})[kind] = name
         self.starts, self.stops = {t[: len(t) // 2] for t in fuzzy}, {t[len(t) // 2 :] for t in fuzzy}
         self.sizes = {len(h) for h in self.starts}, {len(h) for h in self.stops}
+        self.most = max(map(len, [*terms, *stems, *fuzzy]), default=0)
 
     def find(self, word: str) -> tuple[str, str] | None:
         """(kind, term): an exact term, else a stem that begins the word, else a fuzzy term
@@ -84,8 +93,10 @@ class Trie:
 
     def close(self, word: str) -> tuple[str, ...]:
         """As `within_one`, for which one half of the term must be kept."""
+        if not FUZZY_FROM - 1 <= len(word) <= self.most + 1:
+            return ()
         may = any(word[:k] in self.starts for k in self.sizes[0]) or any(word[-k:] in self.stops for k in self.sizes[1])
-        return tuple(self.within_one(word)) if may and len(word) >= FUZZY_FROM - 1 else ()
+        return tuple(self.within_one(word)) if may else ()
 
     def within_one(self, word: str) -> list[str]:
         """All fuzzy terms within one edit of `word`: its Levenshtein automaton (a
@@ -119,19 +130,30 @@ class Lexicon:
     stems: dict[str, float]
     fuzzy: dict[str, float]
     weights: np.ndarray
+    windows: dict[str, float] = field(default_factory=lambda: dict(WINDOWS))
     only: float | None = None  # the score of all if nothing could be learned
 
     def __post_init__(self) -> None:
         self.trie = Trie(sorted(self.words), sorted(self.stems), sorted(self.fuzzy))
-        self.start, self.stop = np.zeros(1 << 24, bool), np.zeros(1 << 24, bool)
+        start, stop = np.zeros(1 << 24, bool), np.zeros(1 << 24, bool)
         for name in {*self.words, *self.stems}:
-            _allow(self.start, name.encode()[:3], False)
+            _allow(start, name.encode()[:3], False)
         for name in self.fuzzy:
             half = len(name) // 2
-            _allow(self.start, name[:half].encode()[:3], False)
-            _allow(self.stop, name[half:].encode()[-3:], True)
+            _allow(start, name[:half].encode()[:3], False)
+            _allow(stop, name[half:].encode()[-3:], True)
+        # A bit each, 2 MB a table.
+        self.start, self.stop = np.packbits(start), np.packbits(stop)
         self.memo: dict[int, tuple[str, str] | None] = {}
 
+    def window(self, kinds: tuple[str, ...]) -> float:
+        """The share of a hit's evidence that its window leaves."""
+        return math.prod(self.windows[k] for k in kinds)
+
+
+def _among(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return (table[codes >> 3] >> (7 - (codes & 7)).astype(np.uint8) & 1).astype(bool)
+
 
 def _allow(codes: np.ndarray, part: bytes, ending: bool) -> None:
     """Mark all three-byte codes that start (or end) with `part`."""
@@ -140,27 +162,33 @@ def _allow(codes: np.ndarray, part: bytes, ending: bool) -> None:
     view[(*free, *part) if ending else (*part, *free)] = True
 
 
-def hits(texts: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, list[tuple[int, str, str, float]]]:
-    """Words in each text, and the hits: text, kind, term, weight of its context."""
+#: A hit: its text, how the term was found, the term, the kinds of its window.
+Hit = tuple[int, str, str, tuple[str, ...]]
+
+
+def hits(texts: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, list[Hit]]:
+    """Words in each text, and the hits."""
     data, offsets = X.texts(pc.utf8_lower(texts))
     starts, ends, doc = X.tokens(X.sign_breaks(data), offsets)
     many = X.counts(doc, len(offsets) - 1)
     padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int32)
     head = padded[starts] << 16 | padded[starts + 1] << 8 | padded[starts + 2]
     tail = padded[np.maximum(ends - 3, 0)] << 16 | padded[np.maximum(ends - 2, 0)] << 8 | padded[ends - 1]
-    maybe = np.flatnonzero(lexicon.start[head] | lexicon.stop[tail])
+    maybe = np.flatnonzero(_among(lexicon.start, head) | _among(lexicon.stop, tail))
     found = []
     if len(maybe):
         keys = X.Hasher(data)(starts[maybe], ends[maybe])
         unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         memo = lexicon.memo
-        if len(memo) > 500_000:
+        if len(memo) > MEMO:
             memo.clear()
+        # A longer word is no term and near none; its beginning tells whether it has a stem.
+        most = 4 * (lexicon.trie.most + 2)
         good = np.zeros(len(unique), bool)
         for i, key in enumerate(unique.tolist()):
             if key not in memo:
                 at = maybe[first[i]]
-                memo[key] = lexicon.trie.find(data[starts[at] : ends[at]].tobytes().decode(errors="replace")) if ends[at] - starts[at] < 80 else None
+                memo[key] = lexicon.trie.find(data[starts[at] : min(ends[at], starts[at] + most)].tobytes().decode(errors="replace"))
             good[i] = memo[key] is not None
         for n in np.flatnonzero(good[inverse]):
             at, d = maybe[n], doc[maybe[n]]
@@ -171,26 +199,27 @@ def hits(texts: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, list[tuple[int,
     return many, found
 
 
-def context(before: str, after: str) -> float:
-    """The share of a hit's evidence that its window leaves: less for a mention in
-    quotation marks or after a word of report, more next to a word of address."""
-    weight = 1.0
+def context(before: str, after: str) -> tuple[str, ...]:
+    """The kinds of a hit's window: in quotation marks or else after a word of report
+    (likely a mention), and next to a word of address (likely abuse)."""
+    kinds = []
     near = _WORD.findall(before)[-4:]
     if _OPEN.search(before) and _CLOSE.search(after):
-        weight *= 0.35
+        kinds.append("quoted")
     elif any(w in REPORT for w in near):
-        weight *= 0.5
+        kinds.append("reported")
     if any(w in ADDRESS for w in near[-2:] + _WORD.findall(after)[:2]):
-        weight *= 1.25
-    return weight
+        kinds.append("addressed")
+    return tuple(kinds)
 
 
-def _evidence(lexicon: Lexicon, many: np.ndarray, found: list[tuple[int, str, str, float]]) -> np.ndarray:
+def _evidence(lexicon: Lexicon, many: np.ndarray, found: list[Hit]) -> np.ndarray:
     """Of each text: bias, evidence of words and of stems, number of hits, length, and
     the stem hits for the length."""
     best: dict[tuple[int, str, str], float] = {}
     count = np.zeros((len(many), 2))
-    for d, kind, term, weight in found:
+    for d, kind, term, kinds in found:
+        weight = lexicon.window(kinds)
         best[d, kind, term] = max(best.get((d, kind, term), 0), weight)
         count[d, int(kind == "stem")] += weight
     out = np.zeros((len(many), 7))
@@ -219,12 +248,12 @@ def learn(texts: list[str], labels: list[int], totals: dict[int, int]) -> Lexico
     y = np.array(labels)
     share = totals.get(1, 0) / max(1, sum(totals.values())) if totals else 0.5
     if len(set(labels)) < 2:
-        return Lexicon({}, {}, {}, np.zeros(7), only=share)
+        return Lexicon({}, {}, {}, np.zeros(7), only=share)  # nothing to tell apart
     whole, begin = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
     bags, families = [], set()
     n = {0: 0, 1: 0}
     for text, label in zip(texts, labels, strict=True):
-        bag = {w for w in _WORD.findall(text.lower()) if len(w) < 40}
+        bag = set(_WORD.findall(text.lower()))
         # Copies tell no more than one text does: of documents that share the least hash
         # of their longer words, one counts.
         rare = [zlib.crc32(w.encode()) for w in bag if len(w) > 6]
@@ -278,22 +307,39 @@ def learn(texts: list[str], labels: list[int], totals: dict[int, int]) -> Lexico
         if e > 0.5:
             fuzzy[w] = e
     lexicon = Lexicon(words, stems, fuzzy, np.zeros(7))
-    rows = np.concatenate([_evidence(lexicon, *hits(pa.array(texts[s : s + 256], pa.string()), lexicon)) for s in range(0, len(texts), 256)])
-    # Logistic regression by Newton's method, weighted to the shares in all labels.
+    parts = [hits(pa.array(texts[s : s + 256], pa.string()), lexicon) for s in range(0, len(texts), 256)]
+    # Weighted to the shares in all labels.
     w = np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum()) * len(y)
+
+    def fitted(windows: dict[str, float]) -> tuple[float, np.ndarray]:
+        lexicon.windows = windows
+        beta, loss = logistic(np.concatenate([_evidence(lexicon, *part) for part in parts]), y, w)
+        return loss + HOLD * sum(math.log(windows[k] / WINDOWS[k]) ** 2 for k in windows), beta
+
+    # One kind of window after another takes the share that fits the labels best; a kind
+    # that no hit has keeps its share.
+    windows, seen = dict(WINDOWS), {k for _, found in parts for *_, kinds in found for k in kinds}
+    for kind in sorted(seen) * 2:
+        windows = min(({**windows, kind: s} for s in SHARES), key=lambda v: fitted(v)[0])
+    lexicon.weights = fitted(windows)[1]
+    return lexicon
+
+
+def logistic(rows: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.3) -> tuple[np.ndarray, float]:
+    """Weighted logistic regression by Newton's method: coefficients and penalised loss."""
     beta = np.zeros(rows.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(rows @ beta, -30, 30)))
-        hessian = (rows * (w * p * (1 - p))[:, None]).T @ rows + 0.3 * np.eye(len(beta))
-        step = np.linalg.solve(hessian, rows.T @ (w * (y - p)) - 0.3 * beta)
+        hessian = (rows * (w * p * (1 - p))[:, None]).T @ rows + ridge * np.eye(len(beta))
+        step = np.linalg.solve(hessian, rows.T @ (w * (y - p)) - ridge * beta)
         beta += step
         if np.abs(step).max() < 1e-6:
             break
-    lexicon.weights = beta
-    return lexicon
+    p = 1 / (1 + np.exp(-np.clip(rows @ beta, -30, 30)))
+    return beta, float(-(w * np.log(np.where(y == 1, p, 1 - p) + 1e-12)).sum() + ridge / 2 * beta @ beta)
 
 
-def _probability(lexicon: Lexicon, many: np.ndarray, found: list[tuple[int, str, str, float]]) -> np.ndarray:
+def _probability(lexicon: Lexicon, many: np.ndarray, found: list[Hit]) -> np.ndarray:
     if lexicon.only is not None:
         return np.full(len(many), lexicon.only)
     return 1 / (1 + np.exp(-np.clip(_evidence(lexicon, many, found) @ lexicon.weights, -30, 30)))
@@ -301,7 +347,7 @@ def _probability(lexicon: Lexicon, many: np.ndarray, found: list[tuple[int, str,
 
 def _shipped(docs: DataFrame, lexicon: Lexicon) -> Callable[[], Lexicon]:
     """The lexicon in a Python worker, built once there: its memo serves all its tasks."""
-    parts = (lexicon.words, lexicon.stems, lexicon.fuzzy, lexicon.weights, lexicon.only)
+    parts = (lexicon.words, lexicon.stems, lexicon.fuzzy, lexicon.weights, lexicon.windows, lexicon.only)
     name = uuid.uuid4().hex
     held = docs.sparkSession.sparkContext.broadcast(parts)  # a few hundred terms, set by SAMPLE
 
@@ -322,12 +368,12 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = lexicon_here()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("term", pa.string()), ("weight", pa.float64())]))
-        for piece in X.pieces(batches, 4 << 20):
+        for piece in X.pieces(batches):
             many, found = hits(piece.column(1), lexicon)
             p = _probability(lexicon, many, found)
             terms: list[list] = [[] for _ in many]
-            for d, k, term, weight in found:
-                terms[d].append({"kind": k, "term": term, "weight": weight})
+            for d, k, term, kinds in found:
+                terms[d].append({"kind": k, "term": term, "weight": lexicon.window(kinds)})
             yield pa.RecordBatch.from_arrays(
                 [piece.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(terms, kind)], names=["doc_id", "score", "predicted", "hits"]
             )
@@ -339,11 +385,11 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The rows of `docs`, with all their columns, that are not predicted toxic."""
     prepare(docs.sparkSession)
     lexicon_here = _shipped(docs, lexicon)
+    at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in X.pieces(batches, 4 << 20):
-            clean = _probability(lexicon_here(), *hits(piece.column(1), lexicon_here())) < 0.5
-            yield pa.RecordBatch.from_arrays([piece.column(0).filter(pa.array(clean))], names=["row"])
+        for piece in X.pieces(batches, column=at):
+            clean = _probability(lexicon_here(), *hits(pc.fill_null(piece.column(at), ""), lexicon_here())) < 0.5
+            yield piece.filter(pa.array(clean))
 
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"]])).select("row.*")
+    return docs.mapInArrow(run, docs.schema)
