@@ -1,21 +1,33 @@
-"""Licence scan: TF-IDF cosine of statements to templates, then directory inheritance.
-
-DataFrame functions only.  Every whole text is cut into statements (lines, and sentences where a capital follows);
-a statement that holds too little of every template's weight for the threshold is left
-out (see `_can_reach`), the others become sparse vectors of term counts times inverse document frequency over the templates
-(terms of no template have the highest), and the best cosine of a file names its licence.
-A statement without any of `KEYS` must share two different terms with the template: one
-word alone, such as "By" or the German "mit", reaches the threshold but states nothing.
-
-A file with a licence of its own keeps it.  Short files with a licence (`FILE_TERMS`
-terms at most) are licence files: the first of a directory, by path, covers the directory
-and all below it, and a file without its own takes that of its nearest ancestor
+"""Licence scan: TF-IDF cosine of headers and files to templates, then directory inheritance.
+
+DataFrame functions only.  What is compared are the units of a text: the whole text, its
+paragraphs (so a notice that is wrapped over lines is one unit) and its statements (lines,
+and sentences where a capital follows).  A unit is a sparse vector of (1 + ln tf) * idf
+over the templates (common words have the lowest idf, terms of no template the highest), and a file's licence is
+that of its best unit, if the cosine reaches `LEAST` and the unit shares at least two
+different terms with the template that are not common words (one word alone, such as the
+German "mit", states nothing).
+
+Most units are far from every template, and two conditions that any match must meet keep
+them out before their terms are counted:
+
+* By Cauchy-Schwarz a cosine is at most the length of the template's part in the terms
+  that both have.  So a template may leave out terms as long as they hold too little of
+  its length, and a matching unit has one of the others (`keys`; the longer and less
+  common words are kept, being rarer).  Texts without any key are dropped first.
+* The same bound on all terms that a unit shares with a template.
+
+A file with a licence of its own keeps it.  Licence files are those with a licence that
+are named so (LICENSE, LICENCE, COPYING, UNLICENSE, NOTICE, with any extension) or whose
+whole text matches a template.  The first of a directory, by path, covers the directory
+and all below it, and a file without its own licence takes that of its nearest ancestor
 directory.  Directories, not files, are joined with their ancestors, so a directory that
 holds a third of all files is one row there.
 
-Null and empty texts have no licence of their own.  Of equal scores the smaller template
-name wins.  Repeated rows each get their row; rows without a path are left out.  Other
-columns are ignored.  An empty table gives no rows.
+Null and empty texts have no licence of their own.  Texts of any length are read whole.
+Of equal scores the smaller licence name wins.  Repeated rows each get their row; rows
+that share a path count as one file of all their units; rows without a path are left out.
+Other columns are ignored, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,95 +36,197 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.llm.common import prepare, settle
 
-#: Notices by which works state their licence, by SPDX name.
-TEMPLATES = {
-    "AGPL-3.0": "This program is licensed under the GNU Affero General Public License, version 3.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC0-1.0": "Dedicated to the public domain under the CC0 1.0 license.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain under the Unlicense.",
-}
-#: Every template has one of these, and the SQL wants one in every statement.
-KEYS = ("licen", "redistribution")
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
+THIS SOFTWARE."""
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission.
+"""
+_BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or
+as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all
+present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT
+OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+language governing permissions and limitations under the License."""
+_GNU_HEADER = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}
+as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details.
+You should have received a copy of the GNU {0} along with this program. If not, see https://www.gnu.org/licenses/."""
+_MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
+was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+#: Notices, standard headers, titles and full texts by which works state
+#: their licence, by SPDX name.  The long licences are known by header and title.
+TEMPLATES = [
+    ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", _GNU_HEADER.format("Affero General Public License", 3)),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", _APACHE_HEADER),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License."),
+    ("BSD-3-Clause", _BSD_HEAD + _BSD_NAMES + _BSD_TAIL),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC0-1.0", "Dedicated to the public domain under the CC0 1.0 license."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", _GNU_HEADER.format("General Public License", 2)),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", _GNU_HEADER.format("General Public License", 3)),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", _ISC),
+    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", _GNU_HEADER.format("Lesser General Public License", 3)),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", _MIT),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", _MPL_HEADER),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain under the Unlicense."),
+    ("Unlicense", _UNLICENSE),
+]
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LEAST = 0.6
-FILE_TERMS = 60
+SHARED = 2  # different terms, not common ones
+NAMED = "(?i)(?:^|/)(?:licen[cs]e|copying|unlicense|notice)(?:[.-][^/]*)?$"
+#: English words that say nothing about licences; their idf is the lowest,
+#: as if every template had them.
+COMMON = (
+    "a all along also an and any anyone are as at be but by can charge code data deal do even event file files for form forms free from have hope however if in "
+    "include included including into is it its january june kind large later law laws list loss made make may means more must name names neither no nor not november "
+    "obtain obtaining of on one option or other otherwise our out present prior program required see sell services shall should so special specific such than that the this to "
+    "under unless until use used useful version was way we were whether which whom will with within without work writing written you your"
+).split()
+#: Where a text is cut into statements and paragraphs.
+CAPITAL, LINES, BLANK = r"([.!?])[ \t\r\n]+([A-Z])", "[\r\n]+", "\n[ \t\r]*\n"
 
 
-def weights(spark: SparkSession) -> DataFrame:
-    """(license, term, w, norm) of each template: term counts times inverse document frequency."""
-    rows = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES.items())
-    terms = spark.sql(f"SELECT license, explode(regexp_extract_all(lower(text), '{TERM}', 0)) AS term FROM VALUES {rows} AS t(license, text)")
-    tf = terms.groupBy("license", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    each = tf.join(df, "term").withColumn("idf", F.log((1 + len(TEMPLATES)) / (1.0 + F.col("df"))) + 1)
-    each = each.withColumn("w", F.col("tf") * F.col("idf"))
-    norms = each.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return each.join(norms, "license").select("license", "term", "idf", "w", "norm")
+def vectors() -> list[dict[str, tuple[float, float]]]:
+    """Of each template: its terms' weights and idf."""
+    tf = [Counter(re.findall(TERM, text.lower())) for _, text in TEMPLATES]
+    df = Counter(term for own in tf for term in own)
+    idf = {t: 1.0 if t in COMMON else math.log((1 + len(tf)) / (1 + n)) + 1 for t, n in df.items()}
+    return [{t: ((1 + math.log(n)) * idf[t], idf[t]) for t, n in own.items()} for own in tf]
 
 
 def shares() -> list[dict[str, float]]:
     """Of each template: its terms' shares of the square of its length."""
-    tf = [Counter(re.findall(TERM, text.lower())) for text in TEMPLATES.values()]
-    df = Counter(term for own in tf for term in own)
-    squares = [{t: (n * (math.log((1 + len(tf)) / (1 + df[t])) + 1)) ** 2 for t, n in own.items()} for own in tf]
-    return [{t: x / sum(own.values()) for t, x in own.items()} for own in squares]
+    out = []
+    for own in vectors():
+        total = sum(w * w for w, _ in own.values())
+        out.append({t: w * w / total for t, (w, _) in own.items()})
+    return out
+
 
+def _enough(least: float) -> float:
+    """The share of a template that a cosine of `least` needs (scores are rounded to six digits)."""
+    return max(0.0, least - 1e-6) ** 2 - 1e-9
 
-def _can_reach(column, least: float):
-    """Whether a text may have a cosine of `least` with a template.  The cosine is at most
-    the length of the template's part in the terms that both have (Cauchy-Schwarz), and a
-    text that has a term contains it as a string.  Scores are rounded to six digits."""
-    lower, enough = F.lower(column), max(0.0, least - 1e-6) ** 2
-    found = F.lit(False)
+
+def keys(least: float = LEAST) -> list[str]:
+    """Terms of which every unit that may reach `least` has one: a template's common and
+    shortest words are left out while those left out could not reach it by themselves."""
+    found = set()
     for own in shares():
-        held = sum((F.when(F.contains(lower, F.lit(t)), x).otherwise(0.0) for t, x in own.items()), F.lit(0.0))
-        found = found | (held >= enough)
-    return found
+        left_out = 0.0
+        for term in sorted(own, key=lambda t: (t not in COMMON, len(t), own[t], t)):
+            left_out += own[term]
+            if left_out >= _enough(least):
+                found.add(term)
+    return sorted(found)
+
 
+def _weights(spark: SparkSession) -> DataFrame:
+    """(template, license, term, w, idf, norm, share), a row for each term of a template."""
+    rows = []
+    for n, (own, part) in enumerate(zip(vectors(), shares(), strict=True)):
+        norm = math.sqrt(sum(w * w for w, _ in own.values()))
+        rows += [f"({n}, '{TEMPLATES[n][0]}', '{t}', {w!r}D, {idf!r}D, {norm!r}D, {part[t]!r}D)" for t, (w, idf) in own.items()]
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(template, license, term, w, idf, norm, share)")
 
-def _has_key(column):
-    lower = F.lower(column)
-    found = F.contains(lower, F.lit(KEYS[0]))
-    for key in KEYS[1:]:
-        found = found | F.contains(lower, F.lit(key))
-    return found
+
+def units(files: DataFrame) -> DataFrame:
+    """(path, unit, whole) of the texts of `files` (path, text)."""
+    statements = F.split(F.regexp_replace("text", CAPITAL, "$1\n$2"), LINES)
+    every = F.array_distinct(F.concat(F.array("text"), F.split("text", BLANK), statements))
+    return files.select("path", "text", F.explode(every).alias("unit")).select("path", "unit", (F.col("unit") == F.col("text")).alias("whole"))
+
+
+def _terms(column: Column) -> Column:
+    return F.regexp_extract_all(F.lower(column), F.lit(TERM), F.lit(0))
 
 
 def own_licenses(files: DataFrame, least: float = LEAST) -> DataFrame:
-    """(path, license, score, is_file) of the files that state a licence."""
+    """(path, license, score, whole) of the files that state a licence."""
     spark = files.sparkSession
-    cut = F.explode(F.split(F.regexp_replace("text", r"([.!?])[ \t\r\n]+([A-Z])", "$1\n$2"), "[\r\n]+"))
-    total = F.size(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    statements = files.select("path", (total <= FILE_TERMS).alias("is_file"), cut.alias("statement")).where(_can_reach(F.col("statement"), least))
-    numbered = statements.groupBy("path", "statement").agg(F.max("is_file").alias("is_file"))
-    terms = numbered.select("path", "statement", "is_file", F.explode(F.regexp_extract_all(F.lower("statement"), F.lit(TERM), F.lit(0))).alias("term"))
-    tf = terms.groupBy("path", "statement", "is_file", "term").agg(F.count("*").alias("tf"))
-    known = F.broadcast(weights(spark))  # the templates' terms, a fixed list
-    idf = F.broadcast(weights(spark).select("term", "idf").distinct())
-    own = tf.join(idf, "term", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(1.0) * F.log(F.lit(1.0 + len(TEMPLATES))) + 1))
-    lengths = own.groupBy("path", "statement").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
-    dots = own.drop("idf").join(known, "term").groupBy("path", "statement", "is_file", "license").agg(
-        F.sum(F.col("v") * F.col("w")).alias("dot"), F.first("norm").alias("norm"), F.count("*").alias("shared")
-    ).where(_has_key(F.col("statement")) | (F.col("shared") > 1))
-    scored = dots.join(lengths, ["path", "statement"]).withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("length")), 6)).where(F.col("score") >= least)
+    known = F.broadcast(_weights(spark))  # the templates' terms, a fixed list
+    wanted = keys(least)
+    anywhere = f"(?<![a-z0-9])(?:{'|'.join(map(re.escape, sorted(wanted, key=len, reverse=True)))})(?![a-z0-9])"
+    likely = units(files.where(F.lower("text").rlike(anywhere)))
+    likely = likely.where(F.lower("unit").rlike(anywhere)).groupBy("path", F.md5("unit").alias("id")).agg(F.first("unit").alias("unit"), F.max("whole").alias("whole"))
+    likely = settle(likely)
+    shared = likely.select("path", "id", F.explode(F.array_distinct(_terms(F.col("unit")))).alias("term")).join(known, "term")
+    near = shared.groupBy("path", "id", "template").agg(F.sum("share").alias("share"), F.sum((F.col("idf") > 1).cast("int")).alias("n")).where((F.col("share") >= _enough(least)) & (F.col("n") >= SHARED))
+    near = settle(near.select("path", "id", "template"))
+    counted = likely.join(near.select("path", "id").distinct(), ["path", "id"], "left_semi").select("path", "id", F.explode(_terms(F.col("unit"))).alias("term"))
+    tf = counted.groupBy("path", "id", "term").agg((1 + F.log(F.count("*"))).alias("tf"))
+    idf = F.broadcast(_weights(spark).select("term", "idf").distinct())
+    own = tf.join(idf, "term", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(math.log(1 + len(TEMPLATES)) + 1)))
+    lengths = own.groupBy("path", "id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
+    dots = own.drop("idf").join(known, "term").groupBy("path", "id", "template", "license", "norm").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
+    scored = dots.join(near, ["path", "id", "template"], "left_semi").join(lengths, ["path", "id"]).join(likely.select("path", "id", "whole"), ["path", "id"])
+    scored = scored.withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("length")), 6)).where(F.col("score") >= least)
     best = F.min(F.struct((-F.col("score")).alias("loss"), F.col("license").alias("license")))
-    return scored.groupBy("path").agg(best.alias("b"), F.max("is_file").alias("is_file")).select(
-        "path", F.col("b.license").alias("license"), (-F.col("b.loss")).alias("score"), "is_file"
-    )
+    return scored.groupBy("path").agg(best.alias("b"), F.max("whole").alias("whole")).select("path", F.col("b.license").alias("license"), (-F.col("b.loss")).alias("score"), "whole")
 
 
 def _parent(path):
@@ -123,17 +237,17 @@ def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     """(path, license, score, origin, from_path) of every row of `files` (path, text);
     origin is own, inherited or none."""
     prepare(files.sparkSession)
-    files = files.select("path", F.coalesce("text", F.lit("")).alias("text")).where("path IS NOT NULL")
+    files = files.select(F.col("path").cast("string").alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("path IS NOT NULL")
     own = settle(own_licenses(files, least))
     placed = files.select("path", _parent(F.col("path")).alias("dir"))
-    covers = own.where("is_file").groupBy(_parent(F.col("path")).alias("above")).agg(
+    covers = own.where(F.col("whole") | F.col("path").rlike(NAMED)).groupBy(_parent(F.col("path")).alias("above")).agg(
         F.min(F.struct("path", "license", "score")).alias("c")
     )
     dirs = placed.select("dir").distinct()
     depth = F.size(F.split("dir", "/"))
     above = dirs.select("dir", F.explode(F.sequence(F.lit(0), depth)).alias("n")).select("dir", "n", F.concat_ws("/", F.slice(F.split("dir", "/"), 1, F.col("n"))).alias("above"))
     nearest = above.join(covers, "above").groupBy("dir").agg(F.max(F.struct("n", "c")).alias("x")).select("dir", F.col("x.c").alias("c"))
-    found = placed.join(own.drop("is_file"), "path", "left").join(nearest, "dir", "left")
+    found = placed.join(own.drop("whole"), "path", "left").join(nearest, "dir", "left")
     return found.select(
         "path",
         F.coalesce("license", "c.license").alias("license"),
@@ -144,27 +258,26 @@ def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def oracle_sql(paths: str, least: float = LEAST) -> str:
-    """The same over `paths`, a DuckDB query that gives (doc_id, path, text)."""
-    rows = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES.items())
-    has = lambda c: "(" + " OR ".join(f"contains(lower({c}), '{k}')" for k in KEYS) + ")"
-    n = len(TEMPLATES)
+    """The same over `paths`, a DuckDB query that gives (doc_id, path, text), by the
+    definition alone: every unit against every template, nothing kept out beforehand."""
+    rows = ", ".join(f"({n}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for n, (name, text) in enumerate(TEMPLATES))
+    n, common = len(TEMPLATES), ", ".join(f"'{w}'" for w in COMMON)
     parent = "regexp_replace({}, '/?[^/]*$', '')"
     return rf"""
 WITH files AS ({paths}),
-t AS (SELECT license, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM (VALUES {rows}) AS t(license, text)),
-tf AS (SELECT license, term, count(*) AS tf FROM t GROUP BY ALL),
-d AS (SELECT term, ln((1 + {n}) / (1.0 + count(*))) + 1 AS idf FROM tf GROUP BY term),
-w AS (SELECT license, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY license)) AS norm FROM tf JOIN d USING (term)),
-s AS (SELECT path, len(regexp_extract_all(lower(text), '{TERM}')) <= {FILE_TERMS} AS is_file,
-      unnest(regexp_split_to_array(regexp_replace(text, '([.!?])[ \t\r\n]+([A-Z])', '\1' || chr(10) || '\2', 'g'), '[\r\n]+')) AS statement FROM files WHERE {has("text")}),
-k AS (SELECT path, statement, max(is_file) AS is_file FROM s WHERE {has("statement")} GROUP BY ALL),
-term AS (SELECT path, statement, unnest(regexp_extract_all(lower(statement), '{TERM}')) AS term FROM k),
-v AS (SELECT path, statement, term, count(*) * coalesce(any_value(idf), ln(1.0 + {n}) + 1) AS v FROM term LEFT JOIN d USING (term) GROUP BY ALL),
-norm AS (SELECT path, statement, sqrt(sum(v * v)) AS length FROM v GROUP BY ALL),
-dot AS (SELECT path, statement, license, sum(v * w) AS dot, any_value(norm) AS norm FROM v JOIN w USING (term) GROUP BY ALL),
-scored AS (SELECT path, license, round(dot / (norm * length), 6) AS score, is_file FROM dot JOIN norm USING (path, statement) JOIN k USING (path, statement)),
-own AS (SELECT path, arg_min(license, (-score, license)) AS license, max(score) AS score, max(is_file) AS is_file FROM scored WHERE score >= {least} GROUP BY path),
-covers AS (SELECT {parent.format("path")} AS above, min(path) AS path, arg_min(license, path) AS license, arg_min(score, path) AS score FROM own WHERE is_file GROUP BY ALL),
+t AS (SELECT template, license, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM (VALUES {rows}) AS t(template, license, text)),
+tf AS (SELECT template, license, term, 1 + ln(count(*)) AS tf FROM t GROUP BY ALL),
+d AS (SELECT term, CASE WHEN term IN ({common}) THEN 1.0::DOUBLE ELSE ln((1 + {n}) / (1.0 + count(*))) + 1 END AS idf FROM tf GROUP BY term),
+w AS (SELECT template, license, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS norm FROM tf JOIN d USING (term)),
+s AS (SELECT path, text, unnest(list_distinct(list_concat([text], regexp_split_to_array(text, '{BLANK}'), regexp_split_to_array(regexp_replace(text, '{CAPITAL}', '\1' || chr(10) || '\2', 'g'), '{LINES}')))) AS unit FROM files),
+k AS (SELECT path, unit, bool_or(unit = text) AS whole FROM s GROUP BY ALL),
+term AS (SELECT path, unit, unnest(regexp_extract_all(lower(unit), '{TERM}')) AS term FROM k),
+v AS (SELECT path, unit, term, (1 + ln(count(*))) * coalesce(any_value(idf), ln(1.0 + {n}) + 1) AS v FROM term LEFT JOIN d USING (term) GROUP BY ALL),
+norm AS (SELECT path, unit, sqrt(sum(v * v)) AS length FROM v GROUP BY ALL),
+dot AS (SELECT path, unit, template, license, sum(v * w) AS dot, any_value(norm) AS norm FROM v JOIN w USING (term) GROUP BY ALL HAVING count(*) FILTER (WHERE term NOT IN ({common})) >= {SHARED}),
+scored AS (SELECT path, license, round(dot / (norm * length), 6) AS score, whole FROM dot JOIN norm USING (path, unit) JOIN k USING (path, unit)),
+own AS (SELECT path, arg_min(license, (-score, license)) AS license, max(score) AS score, bool_or(whole) AS whole FROM scored WHERE score >= {least} GROUP BY path),
+covers AS (SELECT {parent.format("path")} AS above, min(path) AS path, arg_min(license, path) AS license, arg_min(score, path) AS score FROM own WHERE whole OR regexp_matches(path, '{NAMED}') GROUP BY ALL),
 dirs AS (SELECT DISTINCT {parent.format("path")} AS dir FROM files),
 ups AS (SELECT dir, n, array_to_string(list_slice(string_split(dir, '/'), 1, n), '/') AS above FROM dirs, (SELECT unnest(range(0, 32)) AS n) WHERE n <= len(string_split(dir, '/'))),
 nearest AS (SELECT dir, arg_max(c.path, n) AS path, arg_max(c.license, n) AS license, arg_max(c.score, n) AS score FROM ups JOIN covers c USING (above) GROUP BY dir)

@@ -60,18 +60,17 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The documents have no paths of their own.  Each gets one in a tree by source: most in
 #: source/thousand/hundred, every tenth one level up and every hundredth right below the
-#: source, so that licences are inherited over one to three levels.
-PATH = """CASE WHEN doc_id % 100 = 0 THEN concat(source, '/', CAST(doc_id AS STRING))
-  WHEN doc_id % 10 = 0 THEN concat(source, '/', CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS STRING), '/', CAST(doc_id AS STRING))
-  ELSE concat(source, '/', CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS STRING), '/', CAST(CAST(floor(doc_id / 100) AS BIGINT) AS STRING), '/', CAST(doc_id AS STRING)) END"""
+#: source; the latter two are named as licence files are, so that those with a licence
+#: pass it on over one to three levels.  A null source is a folder without a name.
+PATH = """coalesce(source, '') || CASE WHEN doc_id % 100 = 0 THEN '/LICENSE.'
+  WHEN doc_id % 10 = 0 THEN '/' || CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS STRING) || '/LICENSE.'
+  ELSE '/' || CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS STRING) || '/' || CAST(CAST(floor(doc_id / 100) AS BIGINT) AS STRING) || '/' END || CAST(doc_id AS STRING)"""
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # In DuckDB's concat a null source is empty, in Spark's it makes the path null.
-    docs = table(spark, sf_dir, "documents").withColumn("source", F.coalesce("source", F.lit("")))
-    found = licenses.scan(docs.select(F.expr(PATH).alias("path"), "text"))
+    found = licenses.scan(table(spark, sf_dir, "documents").select(F.expr(PATH).alias("path"), "text"))
     # The path ends with the document's number.
-    return found.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "path", "license", "score", "origin", "from_path")
+    return found.select(F.regexp_extract("path", "-?[0-9]+$", 0).cast("long").alias("doc_id"), "path", "license", "score", "origin", "from_path")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

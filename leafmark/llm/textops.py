@@ -7,6 +7,7 @@ powers are invertible), so words, n-grams and byte windows cost a few numpy pass
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _powers: dict[int, np.ndarray] = {}
+#: Of the C library, where it has it.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -62,9 +65,16 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, (at - at[0] if len(at) else np.zeros(1, np.int64))
 
 
+def tidy() -> None:
+    """Give memory that is free again back to the system: Python workers live on, and what
+    they keep from one stage is missing to the next."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], most_bytes: int = PIECE, column: str | int = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds about `most_bytes` of text, or one document.
-    Memory that the last one needed is given back between batches."""
+    """The batches cut so that each holds about `most_bytes` of text, or one document."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -75,7 +85,7 @@ def pieces(batches: Iterable[pa.RecordBatch], most_bytes: int = PIECE, column: s
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
-        pa.default_memory_pool().release_unused()
+        tidy()
 
 
 class Hasher:
