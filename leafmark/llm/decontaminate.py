@@ -1,23 +1,31 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-The benchmark is taken in blocks of at most `BLOCK` n-grams, which is what is broadcast
-at a time; a larger benchmark takes more passes over the documents, nothing is left out.
-
-1. One pass over every whole text finds the benchmark's word trigrams in it, counts how
-   many documents have each, and keeps, for each document and item that share two
-   trigrams near one diagonal, the hashed words around them.
-2. Seeds are the rare trigrams of an item: those in at most four times as many documents
-   as the item's median trigram.  At least half of an item's trigrams are seeds however
-   often the item was leaked, and stock phrases are not.
-3. Passages with two seeds (one, if the item has only one trigram) are aligned word by
-   word with the item; the score is the best local alignment over that of the item with
-   itself, so that a verbatim copy has 1 and every third word may differ at 0.5.
-
-Words are runs of letters and digits, lower-cased.  Items of fewer than three words (and
-null ones) have no trigram and are not searched for.  Null and empty texts match nothing.
-A document with several copies of one item gives one row, that of the best.  Rows that
-repeat a doc_id are one document (the best of them).  Rows without a doc_id are left out.
-An empty table on either side gives no rows.
+The benchmark is taken in blocks of at most `BLOCK` words, which is what is broadcast at
+a time; a larger benchmark takes more passes over the documents, nothing is left out.
+
+1. One pass over every whole text counts in how many documents each word bigram and
+   trigram of the benchmark occurs (one-word items: the word).
+2. The rare ones become seeds: of an item's bigrams, and of its trigrams, those that cost
+   at most `RARE` times what its cheapest quarter does, where the cost of an n-gram is the
+   number of its documents times that of its items, and only n-grams that occur count.
+   So an item has seeds however often it was leaked, and a stock phrase of many items is
+   none while they have anything rarer.
+3. A second pass finds the seeds in every whole text.  Where seeds of one item lie near one
+   diagonal (two different ones, or one for items of fewer than ten words), the words
+   around them are aligned with the item.  The score is the best local alignment over
+   that of the item with itself: a verbatim copy has 1.
+
+With one point off for an edit and two for a match, a passage that reaches 0.5 with words
+replaced has at least (n - 3) / 3 of the item's n - 1 bigrams, so every third word may
+differ.  Passages with a word put in after every word, and single words of two- and
+three-word items, have no seed and are not reported.
+
+Words are runs of letters and digits, lower-cased.  Null and empty items have no word and
+match nothing, nor do null and empty texts.  Items with equal item_id are searched for
+each by its own text.  A document with several copies of one item gives one row, that of
+the best score (ties: the first place).  Rows that repeat a doc_id are one document (the
+best of them).  Rows without a doc_id or item_id are left out.  An empty table on either
+side gives no rows.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,16 +36,17 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmark.llm import textops as X
-from leafmark.llm.common import doc_texts, prepare, settle
+from leafmark.llm.common import doc_texts, prepare, release, settle
 
-N = 3
-BLOCK = 1_000_000
+BLOCK = 250_000
 MATCH, MISMATCH, GAP = 2, -1, -1
-RARE = 4  # times the median
+RARE = 8
+SHORT = 10  # words from which on an item needs two seeds
+SIZES = (2, 3)  # words in a seed
 
 U = X.U
 _TABLE_BITS = 22
@@ -52,11 +61,11 @@ def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return X.Hasher(data)(starts, ends), doc, at
 
 
-def grams(words: np.ndarray, doc: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
+def grams(words: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-grams inside documents and the places of their first words."""
     if len(words) < n:
         return np.zeros(0, U), np.zeros(0, np.int64)
-    total = np.zeros(len(words) - n + 1, U)
+    total = np.full(len(words) - n + 1, n, U)
     for k in range(n):
         total += words[k : len(total) + k] * U((X.BASE * (2 * k + 7)) % (1 << 64) | 1)
     whole = np.flatnonzero(doc[: len(total)] == doc[n - 1 :])
@@ -78,125 +87,132 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
 
 
 class Items:
-    """A block of the benchmark: items' words, and their trigrams sorted by hash."""
+    """A block of the benchmark: items' words, and their n-grams sorted by hash."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         words, doc, self.first = hashed_words(pa.array(texts, pa.string()))
         self.ids, self.words = np.array(ids, np.int64), words
         self.size = np.diff(self.first)
-        code, place = grams(words, doc)
+        code, place, kind = [], [], []
+        for n in (1, *SIZES):
+            c, p = grams(words, doc, n)
+            if n == 1:
+                c, p = c[self.size[doc[p]] == 1], p[self.size[doc[p]] == 1]
+            code.append(c)
+            place.append(p)
+            kind.append(np.full(len(c), n))
+        code, place, kind = map(np.concatenate, (code, place, kind))
+        self._entries(code, doc[place], place - self.first[doc[place]], kind)
+
+    def _entries(self, code: np.ndarray, item: np.ndarray, place: np.ndarray, kind: np.ndarray) -> None:
         order = np.argsort(code, kind="stable")
-        self.code, self.item = code[order], doc[place][order]
-        self.place = place[order] - self.first[self.item]
+        self.code, self.item, self.place, self.kind = code[order], item[order], place[order], kind[order]
+        self.sizes = sorted(set(kind.tolist()))
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[(self.code >> U(64 - _TABLE_BITS)).astype(np.int64)] = True
 
-    def rows(self) -> list[tuple[int, int]]:
-        """(item, gram), each once."""
-        pairs = sorted(set(zip(self.ids[self.item].tolist(), self.code.view(np.int64).tolist(), strict=True)))
-        return pairs
+    def found(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The n-grams of texts that are among the items': hash, place, and their range of entries."""
+        code, place = zip(*(grams(words, doc, n) for n in self.sizes), strict=True) if self.sizes else (([np.zeros(0, U)]), ([np.zeros(0, np.int64)]))
+        code, place = np.concatenate(code), np.concatenate(place)
+        hit = np.flatnonzero(self.table[(code >> U(64 - _TABLE_BITS)).astype(np.int64)])
+        code, place = code[hit], place[hit]
+        lo, hi = np.searchsorted(self.code, code, "left"), np.searchsorted(self.code, code, "right")
+        hit = hi > lo
+        return code[hit], place[hit], lo[hit], hi[hit]
+
+    def rare(self, often: dict[int, int]) -> Items:
+        """The same items with only their rare n-grams, given in how many documents each
+        n-gram (its hash as a signed number) occurs."""
+        documents = np.array([often.get(c, 0) for c in self.code.view(np.int64).tolist()], np.float64)
+        each, items = np.unique(np.unique(np.stack([self.code, self.item.astype(U)]), axis=1)[0], return_counts=True)
+        cost = documents * items[np.searchsorted(each, self.code)] if len(each) else documents
+        keep = np.zeros(len(cost), bool)
+        group = self.item * 4 + self.kind
+        order = np.argsort(group, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            own = cost[rows]
+            if (own > 0).any():
+                keep[rows] = (own > 0) & (own <= RARE * np.quantile(own[own > 0], 0.25, method="lower"))
+        out = object.__new__(Items)
+        out.ids, out.words, out.first, out.size = self.ids, self.words, self.first, self.size
+        out._entries(self.code[keep], self.item[keep], self.place[keep], self.kind[keep])
+        return out
+
+
+def _count(held):
+    """(gram, n): in how many of a task's documents each n-gram of the items occurs."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: Items = held.value
+        total = np.zeros(len(items.code), np.int64)  # by an n-gram's first entry
+        for piece in X.pieces(batches):
+            words, doc, _ = hashed_words(piece.column(1))
+            _, place, lo, _ = items.found(words, doc)
+            once = np.unique(lo * np.int64(piece.num_rows) + doc[place])
+            np.add.at(total, once // max(1, piece.num_rows), 1)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([X.longs(items.code[seen]), pa.array(total[seen])], names=["gram", "n"])
+
+    return run
 
-_LAYOUT = "gram long, n long, doc_id long, item_id long, first long, words array<long>, grams array<long>"
 
+_RESULT = "doc_id long, item_id long, n_seeds long, score double, start_word long, end_word long"
 
-def _scan(held):
-    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
-    names = [x.split()[0] for x in _LAYOUT.split(", ")]
 
-    def rows(columns: list) -> pa.RecordBatch:
-        n = max(len(c) for c in columns if c is not None)
-        return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+def _search(held, least: float):
+    names = [x.split()[0] for x in _RESULT.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = held.value
         for piece in X.pieces(batches):
             ids = piece.column(0).to_numpy()
             words, doc, first = hashed_words(piece.column(1))
-            code, place = grams(words, doc)
-            hit = np.flatnonzero(items.table[(code >> U(64 - _TABLE_BITS)).astype(np.int64)])
-            code, place = code[hit], place[hit]
-            lo, hi = np.searchsorted(items.code, code, "left"), np.searchsorted(items.code, code, "right")
-            hit = hi > lo
-            code, place, lo, hi = code[hit], place[hit], lo[hit], hi[hit]
-            if not len(code):
-                continue
-            once = np.unique(np.stack([code, doc[place].astype(U)]), axis=1)[0]
-            seen, many = np.unique(once, return_counts=True)
-            yield rows([seen.view(np.int64), many, None, None, None, None, None])
-            # Every place of an item that a hit may be, in order of document, item and diagonal.
+            code, place, lo, hi = items.found(words, doc)
+            # Every place of an item that a seed may be, in order of document, item and diagonal.
             row = np.repeat(np.arange(len(code)), hi - lo)
             entry = np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[row]
             d, item = doc[place[row]], items.item[entry]
             diagonal = place[row] - first[d] - items.place[entry]
             order = np.lexsort((diagonal, item, d))
             row, d, item, diagonal = row[order], d[order], item[order], diagonal[order]
+            if not len(row):
+                continue
             slack = np.maximum(8, items.size[item] // 2)
             cut = np.r_[True, (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > slack[1:])]
+            group = np.cumsum(cut) - 1
+            distinct = np.unique(np.stack([group.astype(U), code[row]]), axis=1)[0].astype(np.int64)
+            seeds = np.bincount(distinct, minlength=group[-1] + 1)
             begin = np.flatnonzero(cut)
             end = np.r_[begin[1:], len(row)]
-            out: list[list] = [[] for _ in range(5)]
-            for a, b in zip(begin, end, strict=True):
-                need = min(2, int(items.size[item[a]]) - N + 1)
-                if b - a < need:
-                    continue
-                found = np.unique(code[row[a:b]])
-                if len(found) < need:
-                    continue
-                x = max(0, int(diagonal[a] - slack[a]))
-                y = int(diagonal[b - 1] + items.size[item[a]] + slack[a])
-                window = words[first[d[a]] + x : min(first[d[a] + 1], first[d[a]] + y)]
-                for c, v in zip(out, (ids[d[a]], items.ids[item[a]], x, window.view(np.int64), found.view(np.int64)), strict=True):
-                    c.append(v)
-            if out[0]:
-                yield rows([None, None, *out])
-
-    return run
-
-
-def _score(held, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: Items = held.value
-        index = {int(v): i for i, v in enumerate(items.ids)}
-        for batch in batches:
             out: list[tuple] = []
-            for doc_id, item_id, first, words, seeds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                i = index[item_id]
-                item = items.words[items.first[i] : items.first[i + 1]]
-                words = np.array(words, np.int64).view(U)
-                best, _, end = align(item, words)
-                score = best / (MATCH * len(item))
-                if score >= least:
-                    _, _, back = align(item[::-1], words[:end][::-1])
-                    out.append((doc_id, item_id, seeds, score, first + end - back, first + end))
+            for g in np.flatnonzero(seeds >= np.where(items.size[item[begin]] < SHORT, 1, 2)):
+                a, b = begin[g], end[g]
+                i, start, stop = item[a], first[d[a]], first[d[a] + 1]
+                x = max(start, start + int(diagonal[a] - slack[a]))
+                window = words[x : min(stop, start + int(diagonal[b - 1] + items.size[i] + slack[a]))]
+                own = items.words[items.first[i] : items.first[i + 1]]
+                best, _, upto = align(own, window)
+                if best >= least * MATCH * len(own):
+                    _, _, back = align(own[::-1], window[:upto][::-1])
+                    at = int(x - start) + upto
+                    out.append((int(ids[d[a]]), int(items.ids[i]), int(seeds[g]), best / (MATCH * len(own)), at - back, at))
             if out:
-                columns = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "n_seeds", "score", "start_word", "end_word"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return run
 
 
 def _block(docs: DataFrame, items: Items, least: float) -> DataFrame:
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(items)  # at most BLOCK trigrams
-    found = settle(docs.mapInArrow(_scan(held), _LAYOUT))
-    own = spark.createDataFrame(items.rows() or [(0, 0)], "item_id long, gram long")
-    often = found.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n"))
-    counted = own.join(often, "gram", "left").na.fill(0, ["n"])
-    middle = counted.groupBy("item_id").agg(F.percentile("n", F.lit(0.5)).alias("middle"))
-    seeds = counted.join(middle, "item_id").where(F.col("n") <= F.greatest(RARE * F.col("middle"), F.lit(RARE))).select("item_id", "gram")
-    of_item = own.groupBy("item_id").agg(F.count("*").alias("all_grams"))
-    passages = found.where("doc_id IS NOT NULL").select("doc_id", "item_id", "first", "words", "grams").withColumn("row", F.monotonically_increasing_id())
-    passages = settle(passages)
-    with_seeds = (
-        passages.select("row", "item_id", F.explode("grams").alias("gram")).join(seeds, ["item_id", "gram"]).groupBy("row", "item_id").agg(F.count("*").alias("n_seeds"))
-    )
-    with_seeds = with_seeds.join(of_item, "item_id").where(F.col("n_seeds") >= F.least(F.lit(2), F.col("all_grams"))).select("row", "n_seeds")
-    likely = passages.join(with_seeds, "row").select("doc_id", "item_id", "first", "words", "n_seeds")
-    return likely.mapInArrow(_score(held, least), "doc_id long, item_id long, n_seeds long, score double, start_word long, end_word long")
+    held = spark.sparkContext.broadcast(items)  # at most BLOCK words
+    counted = settle(docs.mapInArrow(_count(held), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    # At most the n-grams of BLOCK words.
+    seeds = items.rare({r.gram: r.n for r in counted.collect()})
+    release(counted)
+    held.unpersist()
+    return docs.mapInArrow(_search(spark.sparkContext.broadcast(seeds), least), _RESULT)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, block: int | None = None) -> DataFrame:
@@ -209,10 +225,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, bloc
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     items = items.where("item_id IS NOT NULL").distinct()
     size = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    many = max(1, -(-size // block))
     parts = []
-    for b in range(max(1, -(-size // block))):
-        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-size // block)))) == b).orderBy("item_id").collect()
+    for b in range(many):
+        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == b).orderBy("item_id", "text").collect()
         parts.append(_block(docs, Items([r.item_id for r in mine], [r.text for r in mine]), least))
-    best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("score"), "start_word", "end_word", F.desc("n_seeds"))
     every = reduce(DataFrame.unionByName, parts)
-    return every.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
+    best = F.max(F.struct("score", (-F.col("start_word")).alias("a"), (-F.col("end_word")).alias("b"), "n_seeds")).alias("x")
+    return every.groupBy("doc_id", "item_id").agg(best).select(
+        "doc_id", "item_id", "x.n_seeds", "x.score", (-F.col("x.a")).alias("start_word"), (-F.col("x.b")).alias("end_word")
+    )

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from leafmark.llm import decontaminate
@@ -59,6 +60,47 @@ def test_leaks_are_found(spark, corpus, block):
             assert r.score == 1 and [w.strip(",").lower() for w in texts[r.doc_id].split()[r.start_word : r.end_word]] == ITEMS[r.item_id].split()
 
 
+def test_heavy_edits_against_alignment_with_every_text(spark):
+    """Copies with every third to sixth word replaced, among stock phrases: of the pairs
+    that a full alignment scores 0.5 or more, nine in ten must come out, and no others."""
+    rng = random.Random(12)
+    stock = "what is the name of the one that was in the".split()
+    items = {i: " ".join([*stock[: rng.randint(0, 8)], *(rng.choice(WORDS) for _ in range(rng.randint(5, 40)))]) for i in range(60)}
+    rows = []
+    for d in range(240):
+        words = items[d % 60].split()
+        every = 3 + d // 60
+        copy = [rng.choice(WORDS) if k % every == every - 1 else w for k, w in enumerate(words)]
+        if d % 7 == 0:
+            copy = [w for w in copy if rng.random() > 0.1]
+        rows.append((d, " ".join([*(rng.choice([*WORDS, *stock]) for _ in range(rng.randint(0, 60))), *copy, *(rng.choice([*WORDS, *stock]) for _ in range(60))])))
+    rows += [(1000 + d, " ".join(rng.choice([*WORDS, *stock, "the", "of"]) for _ in range(200))) for d in range(100)]
+    frames = [spark.createDataFrame(x, f"{i} long, text string") for x, i in ((rows, "doc_id"), (list(items.items()), "item_id"))]
+    found = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(*frames).collect()}
+    hashed = lambda texts: [w for w in (decontaminate.hashed_words(pa.array([t]))[0] for t in texts)]
+    texts, wanted = hashed([t for _, t in rows]), hashed(items.values())
+    full = {(d, i): decontaminate.align(item, text)[0] / (2 * len(item)) for (d, _), text in zip(rows, texts, strict=True) for i, item in zip(items, wanted, strict=True)}
+    expected = {k for k, score in full.items() if score >= 0.5}
+    assert set(found) <= expected and len(found) >= 0.9 * len(expected) and len(expected) >= 200
+    assert sum(abs(score - full[k]) < 1e-9 for k, score in found.items()) >= 0.95 * len(found)
+
+
+def test_short_and_repeated_items(spark):
+    items = [(1, "zorb quandle"), (2, "flimp"), (3, "a b c d e f g h i j k l"), (3, "m n o p q r s t u v w x"), (None, "zorb")]
+    rows = [(10, "the zorb, quandle here"), (11, "zorb here quandle"), (12, "x Flimp y"), (13, "1 a b c d e f g h i j k l 2"), (13, "nothing"), (14, "m n o p q r s t u v w x")]
+    frames = [spark.createDataFrame(x, f"{i} long, text string") for x, i in ((rows, "doc_id"), (items, "item_id"))]
+    assert {(r.doc_id, r.item_id, r.score) for r in decontaminate.contaminated(*frames).collect()} == {(10, 1, 1.0), (12, 2, 1.0), (13, 3, 1.0), (14, 3, 1.0)}
+
+
+def test_phrase_of_every_item_and_a_very_long_text(spark):
+    """A stock phrase that all items share makes no pairs; a long text is searched whole."""
+    items = [(i, f"which of the following is not {WORDS[i]} {WORDS[i + 1]} {WORDS[i + 2]} {WORDS[i + 3]} {WORDS[i + 5]}") for i in range(300)]
+    rows = [(1, "which of the following is not " * 2000), (2, "filler text " * 200_000 + items[7][1])] + [(10 + k, "which of the following is not so") for k in range(50)]
+    frames = [spark.createDataFrame(x, f"{i} long, text string") for x, i in ((rows, "doc_id"), (items, "item_id"))]
+    found = decontaminate.contaminated(*frames).collect()
+    assert {(r.doc_id, r.item_id) for r in found if r.score == 1} == {(2, 7)}
+
+
 def test_empty(spark, corpus):
     docs, _ = corpus
     assert decontaminate.contaminated(docs, bench(spark).limit(0)).count() == 0
