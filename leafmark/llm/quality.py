@@ -1,8 +1,9 @@
 """Document quality by supervised embeddings of hashed word and character n-grams.
 
-Null texts are empty texts, which get the score of a document without features.  With
-no labels every score is 0.5.  Empty tables give no rows; repeated rows each get their
-row; rows without a doc_id are left out.
+Null texts are empty texts, which get the score of a document without features.  Texts of
+any length are scored whole.  With no labels every score is 0.5.  Empty tables give no
+rows; repeated rows each get their row; rows without a doc_id are left out; columns other
+than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations

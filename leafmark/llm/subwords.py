@@ -5,9 +5,10 @@ kind of feature (n-grams of one length) and then over the kinds, so that word bi
 count as much as the more numerous character n-grams; the class scores are linear in it.  Because both steps are linear, prediction needs one
 small table of class scores per bucket, and a text of any length is one pass over it.
 
-Training happens once, on a bounded sample of labelled rows (`Shape.sample` documents
-in all, whole texts of up to `Shape.longest` characters, chosen by hash of the id);
-scoring covers every whole text.
+Training happens once, on a bounded sample of labelled rows: `Shape.sample` documents in
+all of the `Shape.classes` most frequent labels, chosen by hash of the id, whole texts of
+up to `Shape.longest` characters and `Shape.most` in all.  A label of two texts of one
+doc_id is taken for the smaller text.  Scoring covers every whole text, of any length.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ class Shape:
     batch: int = 32
     sample: int = 4000
     longest: int = 200_000
+    most: int = 64_000_000
+    classes: int = 1000
     seed: int = 7
 
 
@@ -91,15 +94,21 @@ def features(texts: pa.Array, shape: Shape) -> Iterator[tuple[np.ndarray, np.nda
         yield (pair[next_in] >> wide).astype(np.uint32), at
 
 
+REJECTED = 0.01
+
+
 @dataclass
 class Model:
-    """Class scores per bucket (classes x buckets), bias and softmax temperature."""
+    """Class scores per bucket (classes x buckets), bias, softmax temperature, and the
+    probability under which a prediction is less sure than all but `REJECTED` of those on
+    the texts that set the temperature."""
 
     shape: Shape
     classes: list
     table: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
+    unsure: float = 0.0
     held: dict = field(default_factory=dict)
 
     def probabilities(self, texts: pa.Array) -> np.ndarray:
@@ -137,7 +146,7 @@ def _bags(texts: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def fit(texts: list[str], labels: list, shape: Shape) -> Model:
     """SGD over whole texts and one short excerpt of each (so that short texts are scored
-    as well as long ones); a fifth of the texts sets the temperature, then all are used."""
+    as well as long ones); a fifth of the texts is kept to set the temperature."""
     rng = np.random.default_rng(shape.seed)
     classes = sorted(set(labels))
     if len(classes) < 2:  # nothing to tell apart
@@ -196,8 +205,9 @@ def fit(texts: list[str], labels: list, shape: Shape) -> Model:
     options = np.geomspace(0.25, 8, 41)
     loss = [-(np.log(softmax(logits / t)[np.arange(len(held)), y[held]] + 1e-12)).mean() for t in options]
     info = {"accuracy": float((logits.argmax(axis=1) == y[held]).mean()), "rows": len(texts)}
-    table, bias = train(np.arange(len(y)))
-    return Model(shape, classes, table, bias, float(options[int(np.argmin(loss))]), info)
+    temperature = float(options[int(np.argmin(loss))])
+    unsure = float(np.quantile(softmax(logits / temperature).max(axis=1), REJECTED))
+    return Model(shape, classes, table, bias, temperature, unsure, info)
 
 
 def in_fold(column: str, folds: int, fold: int):
@@ -206,11 +216,12 @@ def in_fold(column: str, folds: int, fold: int):
 
 
 def sampled(docs: DataFrame, labels: DataFrame, shape: Shape) -> tuple[list[str], list]:
-    """Texts and labels of at most `shape.sample` rows of `labels` (doc_id, label), as
-    many of each label, taken in the order of the id's hash."""
+    """Texts and labels of at most `shape.sample` rows of `labels` (doc_id, label) and
+    `shape.most` characters, as many of each label, taken in the order of the id's hash."""
     known = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "label")
-    # A row per label.
-    totals = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    known = known.distinct()
+    often = known.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(shape.classes)
+    totals = {r.label: r.n for r in often.collect()}
     if not totals:
         return [], []
     most = max(1, shape.sample // len(totals))
@@ -222,7 +233,9 @@ def sampled(docs: DataFrame, labels: DataFrame, shape: Shape) -> tuple[list[str]
     chosen = few.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= most)
     # At most `shape.sample` ids, so small enough to broadcast.
     texts = doc_texts(docs).where(F.length("text") <= shape.longest)
-    rows = texts.join(F.broadcast(chosen.drop("nth")), "doc_id").collect()
+    found = texts.join(F.broadcast(chosen.drop("nth")), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.length("text")).over(by_hash.rowsBetween(Window.unboundedPreceding, 0))
+    rows = found.withColumn("so_far", so_far).where(F.col("so_far") <= max(1, shape.most // len(totals))).select("doc_id", "label", "text").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     return [r.text for r in rows], [r.label for r in rows]
 

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -6,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from leafmark.llm import language, quality, subwords
+from leafmark.llm import textops as X
 
 RNG = random.Random(9)
 SYLLABLES = {"aa": ["ta", "ka", "no", "mi", "Ra"], "bb": ["str", "ung", "sch", "ein", "äb"], "cc": ["ción", "ar", "que", "os", "ñe"]}
@@ -32,8 +34,20 @@ def test_language(corpus):
     assert np.mean(right) > 0.97
     assert {(found[d].lang_pred, found[d].score) for d in (900, 901, 902)} == {("und", 0.0)}
     assert all(0 < r.score <= 1 for d, r in found.items() if d < 900)
+    assert all(found[d].rejected for d in (900, 901, 902))
+    known = [found[d] for d in found if d < 900]
+    assert all(r.rejected == (r.score < model.unsure) for r in known) and np.mean([r.rejected for r in known]) < 0.1
     strict = language.identify(docs, model, reject_below=1.1).collect()
-    assert {r.lang_pred for r in strict} == {"und"}
+    assert all(r.rejected for r in strict) and {r.lang_pred for r in strict} == {"und", *SYLLABLES}
+
+
+def test_strangers_are_rejected(spark, corpus):
+    docs, _ = corpus
+    model = language.train(docs.where("lang IS NOT NULL"))
+    rng = random.Random(2)
+    strange = [(i, " ".join("".join(rng.choice("бвгджзлмн") for _ in range(5)) for _ in range(8))) for i in range(50)]
+    found = language.identify(spark.createDataFrame(strange, "doc_id long, text string"), model).collect()
+    assert np.mean([r.rejected for r in found]) > 0.8
 
 
 def test_language_without_labels(corpus):
@@ -59,6 +73,41 @@ def test_quality(spark):
     assert {r.score for r in quality.score(docs, quality.train(docs, labels.where("label = 1"))).collect()} == {1.0}
 
 
+def slow_probabilities(model, text):
+    """A text's probabilities by the definition: feature by feature."""
+    shape, kinds = model.shape, []
+    data = (text.lower() if shape.fold else text).encode()
+    for gram in shape.grams:
+        own = []
+        for i in range(len(data) - gram + 1):
+            code = int.from_bytes(data[i : i + gram], "little") * 2654435761 & 0xFFFFFFFF
+            code = (code ^ gram * 0x85EBCA6B & 0xFFFFFFFF) * 0xC2B2AE35 & 0xFFFFFFFF
+            own.append(code >> 32 - shape.bits)
+        kinds.append(own)
+    if shape.words:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+        mixed = lambda x: int(X.mix(np.array([x & (1 << 64) - 1], np.uint64))[0])
+        codes = [int(X.Hasher(np.frombuffer(w, np.uint8))(np.array([0]), np.array([len(w)]))[0]) for w in words]
+        kinds.append([c >> 64 - shape.bits for c in codes])
+        pairs = [0x243F6A8885A308D3 if a == b else mixed(a * 3 + b) for a, b in zip(codes, codes[1:], strict=False)]
+        kinds.append([c >> 64 - shape.bits for c in pairs])
+    sums = sum((model.table[:, own].astype(float).mean(axis=1) for own in kinds if own), np.zeros(len(model.classes)))
+    z = (sums / len(kinds) + model.bias) / model.temperature
+    return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+
+@pytest.mark.parametrize("shape", [subwords.LANGUAGE, subwords.QUALITY])
+def test_scores_feature_by_feature(spark, shape):
+    rng = np.random.default_rng(3)
+    model = subwords.Model(shape, ["a", "b", "c"], rng.normal(0, 2, (3, 1 << shape.bits)).astype(np.float32), rng.normal(0, 1, 3), 1.7)
+    texts = ["", "a", "ab cd", "Ünï cödé Text", "x x x y", text("bb", 80), text("cc", 5) + "\n\t" + text("aa", 9), "漢字" * 40, "word " * 60_000]
+    frame = spark.createDataFrame([(i, t, 1, "z") for i, t in enumerate(texts)] + [(1, "a", 1, "z"), (99, None, 1, "z")], "doc_id long, text string, label long, scores string")
+    found = [(r.doc_id, r.scores) for r in subwords.predicted(frame, model).collect()]
+    assert len(found) == len(texts) + 2
+    for d, scores in found:
+        assert np.allclose(scores, slow_probabilities(model, texts[d] if d < 99 else ""), atol=2e-5)
+
+
 @pytest.mark.parametrize("shape", [subwords.LANGUAGE, subwords.QUALITY])
 def test_features_stay_in_their_document(shape):
     texts = ["", "a", "ab", "héllo wörld", "", "x y x y", "漢字 漢字"]
@@ -74,3 +123,9 @@ def test_sample_is_bounded_and_even(spark):
     texts, names = subwords.sampled(docs, labels, shape)
     assert len(texts) == 200 and sum(names) == 100
     assert (texts, names) == subwords.sampled(docs.repartition(9), labels, shape)
+    # Repeated rows and long texts do not make the sample larger.
+    many = docs.union(docs).union(docs.selectExpr("doc_id", "repeat(text, 50)"))
+    assert subwords.sampled(many, labels.union(labels), shape) == (texts, names)
+    few = subwords.Shape(grams=(2,), words=False, fold=True, sample=200, most=100, classes=1)
+    texts, names = subwords.sampled(docs, labels, few)
+    assert set(names) == {0} and 0 < sum(map(len, texts)) <= 100
