@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import settle
+from leafmark.llm.common import release, settle
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,23 +19,28 @@ def components(links: DataFrame) -> DataFrame:
     """
     rest = settle(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     nodes = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    found = settle(nodes.select("node", F.col("node").alias("component")))
+    found = held = settle(nodes.select("node", F.col("node").alias("component")))
     while not rest.isEmpty():
         hooks = rest.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("onto"))
-        found = settle(
+        hooked = settle(
             found.join(hooks, found.component == hooks.root, "left").select("node", F.coalesce("onto", "component").alias("component"))
         )
+        release(held)
+        found = held = hooked
         while True:  # each step halves the way to the root
             up = found.select(F.col("node").alias("component"), F.col("component").alias("above"))
             step = found.join(up, "component").select("node", F.col("component").alias("was"), F.col("above").alias("component"))
             step = settle(step)
+            release(held)
             done = step.where("was <> component").isEmpty()
-            found = step.select("node", "component")
+            found, held = step.select("node", "component"), step
             if done:
                 break
         a = found.select(F.col("node").alias("a"), F.col("component").alias("ra"))
         b = found.select(F.col("node").alias("b"), F.col("component").alias("rb"))
-        rest = settle(
+        before, rest = rest, settle(
             rest.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         )
+        release(before)
+    release(rest)
     return found

@@ -8,7 +8,8 @@ Steps, all partitioned by Spark:
    group of any number of exact copies costs one row.
 3. Classes that agree on a whole band meet in a bucket.  Within a bucket no list of all
    pairs is made: its most central member (closest to the bucket's most frequent
-   signature values) is proposed to the others; once those links have merged classes,
+   signature values) is proposed to the others (a bucket of more than `PIECE` members in
+   pieces, each with the bucket's first member); once those links have merged classes,
    only pairs across components remain, and of those only pairs that could reach the
    threshold by their signatures and by their shingles that no other document in an
    unmerged bucket has (a pair cannot share those, which bounds its intersection; this
@@ -22,7 +23,8 @@ With 25 bands of 5 values, a pair at similarity 0.85 shares no band with probabi
 Null and empty texts have an empty set and are linked with nothing; a document with
 fewer words than a shingle has its whole sequence as its one shingle; rows that repeat
 a doc_id each get their row and share that doc_id's links; rows without a doc_id are
-left out; an empty table gives no rows.
+left out; texts of any length are read whole; columns other than doc_id and text are
+ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,14 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmark.llm import textops as X
-from leafmark.llm.common import doc_texts, prepare, settle
+from leafmark.llm.buckets import PIECE, across, confirmed, pair_batch, proposed, unmerged
+from leafmark.llm.common import doc_texts, prepare, release, settle
 from leafmark.llm.components import components
 
 VALUES, BANDS, ROWS = 128, 25, 5
 #: How far below the threshold an estimate may be: 4.4 standard deviations at 0.85.
 SLACK = 0.14
-#: Members of a bucket that are compared at once.
-BLOCK = 8192
 
 U = X.U
 _SCALE = 24  # bits of the fraction in a stored value: rank * 2**24 + fraction
@@ -128,76 +129,6 @@ def signatures(docs: DataFrame) -> DataFrame:
     )
 
 
-def _central(rows: np.ndarray) -> int:
-    """The row that agrees most with each column's most frequent value."""
-    usual = np.array([np.bincount(c, minlength=256).argmax() for c in rows.T], np.uint8)
-    return int((rows == usual).sum(axis=1).argmax())
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Buckets of batches sorted by band key: classes, components, signatures, further numbers."""
-    held: list[tuple[np.ndarray, ...]] = []
-    for batch in batches:
-        key = batch.column(0).to_numpy()
-        sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, VALUES)
-        columns = (key, batch.column(1).to_numpy(), batch.column(2).to_numpy(), sig, *(c.to_numpy() for c in batch.columns[4:]))
-        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-        for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(key)], strict=True):
-            part = tuple(c[a:b] for c in columns)
-            if held and held[-1][0][0] != part[0][0]:
-                yield tuple(np.concatenate(c) for c in list(zip(*held, strict=True))[1:])
-                held = []
-            held.append(part)
-    if held:
-        yield tuple(np.concatenate(c) for c in list(zip(*held, strict=True))[1:])
-    X.tidy()
-
-
-def _stars(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, sig, *_ in _groups(batches):
-            for start in range(0, len(ids), BLOCK):
-                block, rows = ids[start : start + BLOCK], sig[start : start + BLOCK]
-                hub = _central(rows)
-                near = (rows == rows[hub]).mean(axis=1) >= least
-                near[hub] = False
-                yield _pairs(np.full(int(near.sum()), block[hub]), block[near])
-
-    return run
-
-
-def _across(least: float, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, comp, sig, band, size, common in _groups(batches):
-            # Each member is held against those of smaller components; members of the
-            # bucket's largest component never against each other.
-            names, inverse, many = np.unique(comp, return_inverse=True, return_counts=True)
-            if len(names) < 2:
-                continue
-            # By size and then by component, so that the first many.max() rows are one component
-            # even where several are of that size.
-            order = np.lexsort((inverse, -many[inverse]))
-            ids, inverse, sig, size, common = ids[order], inverse[order], sig[order], size[order], common[order]
-            for i in range(int(many.max()), len(ids)):
-                for start in range(0, i, BLOCK):
-                    rows = slice(start, min(i, start + BLOCK))
-                    most = np.minimum(common[rows], common[i])
-                    near = (inverse[rows] != inverse[i]) & (100 * most >= percent * (size[rows] + size[i] - most))
-                    near = np.flatnonzero(near) + start
-                    alike = sig[near] == sig[i]
-                    # A pair is proposed in the first band it shares, not in each.
-                    first = alike[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-                    near = near[(alike.mean(axis=1) >= least) & (first == band[i])]
-                    if len(near):
-                        yield _pairs(np.full(len(near), ids[i]), ids[near])
-
-    return run
-
-
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-
 def _confirm(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_set = None, None
@@ -214,7 +145,7 @@ def _confirm(threshold: int):
                     place[place == len(hub_set)] = 0
                     both = int((hub_set[place] == own).sum()) if len(hub_set) else 0
                     good[i] = 100 * both >= threshold * (len(own) + len(hub_set) - both)
-            yield _pairs(a[good], b[good])
+            yield pair_batch(a[good], b[good])
 
     return run
 
@@ -225,36 +156,21 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([X.longs(hashes), pa.array(np.repeat(piece.column(0).to_numpy(), np.diff(at)))], names=["shingle", "doc_id"])
 
 
-def unmerged(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows of `members` in buckets of two or more components, with the documents'
-    number of shingles and how many of those another of these documents has."""
-    open_keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rows = settle(members.join(open_keys, "key", "left_semi"))
+def with_common(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """`rows` with `common`: how many of a document's shingles another of them has."""
     own = rows.select("doc_id").distinct()
     shingles = texts.join(own.hint("merge"), "doc_id", "left_semi").mapInArrow(_shingle_rows, "shingle long, doc_id long")
-    alone = shingles.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).where("doc_id = other")
-    return rows.join(alone.groupBy("doc_id").agg(F.count("*").alias("alone")), "doc_id", "left").select(
-        "key", "doc_id", "component", "signature", "band", "n_shingles", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("common")
-    )
-
+    alone = shingles.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
+    counted = rows.join(alone.groupBy("doc_id").agg(F.count("*").alias("alone")), "doc_id", "left")
+    return counted.withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach `percent`, by the full sets.
 
-    The first of a pair is sent to its task once, not once for each partner: the text
-    of `a` leads its partners' texts in the sorted stream.
-    """
-    each = pairs.union(pairs.select("a", F.col("a").alias("b")).distinct())
-    sent = each.join(texts.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "b", "text")
-    ordered = sent.repartition("a", F.lit(0)).sortWithinPartitions("a", F.col("a") != F.col("b"), "b")
-    return ordered.mapInArrow(_confirm(percent), "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, piece: int = PIECE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): groups of documents linked, directly or
     in chains, by 100 * intersection >= `percent` * union of their shingle sets.
 
     component_id is the group's smallest doc_id; the document that carries it is kept.
+    `piece`: so many members of a bucket, or partners of a document, are one task's work.
     """
     prepare(docs.sparkSession)
     least = percent / 100 - SLACK
@@ -266,27 +182,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         .dropDuplicates(["doc_id", "d1", "d2"])
     )
     rows = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = rows.join(shared.select("key"), "key", "left_semi")
-    members = settle(met.join(reps.select("doc_id", "signature", "n_shingles"), "doc_id").select("key", "doc_id", "signature", "n_shingles", "band"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    met = rows.join(shared, "key")
+    members = settle(met.join(reps.select("doc_id", "signature", "n_shingles"), "doc_id").select("key", "doc_id", "signature", "n_shingles", "band", "n", "first"))
     # A sort-merge join whatever the size, so that small inputs show the plan of large ones.
     texts = settle(doc_texts(docs).join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"))
-
-    def streamed(named: DataFrame) -> DataFrame:
-        return named.repartition("key").sortWithinPartitions("key", "doc_id")
-
-    stars = streamed(members.select("key", "doc_id", F.col("doc_id").alias("component"), "signature"))
-    first = settle(stars.mapInArrow(_stars(least), "a long, b long").distinct())
-    links = settle(confirmed(first, texts, percent))
+    first = settle(proposed(members, least, piece))
+    links = settle(confirmed(first, texts, _confirm(percent), piece))
     groups = components(links)
-    named = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "key", "doc_id", F.coalesce("component", "doc_id").alias("component"), "signature", "n_shingles", "band"
-    )
-    second = settle(streamed(unmerged(named, texts)).mapInArrow(_across(least, percent), "a long, b long").distinct().join(first, ["a", "b"], "left_anti"))
+    named = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    open_ = unmerged(named, piece)
+    second = settle(across(with_common(open_, texts), least, percent, BANDS, ROWS).join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
-        more = settle(confirmed(second, texts, percent))
+        more = settle(confirmed(second, texts, _confirm(percent), piece))
         if not more.isEmpty():
             groups = components(links.union(more))
+    release(members, texts, reps, first, open_)
     named_class = class_of.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
         "d1", "d2", F.coalesce("component", "rep").alias("component")
     )

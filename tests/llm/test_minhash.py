@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pytest
 
-from leafmark.llm import minhash
+from leafmark.llm import buckets, minhash
 from leafmark.llm import textops as X
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -31,15 +31,16 @@ def brute(texts, percent):
     return {d: (len(sets[d]), root(d)) for d in sets}
 
 
-@pytest.mark.parametrize("percent", [85, 80])
-def test_groups(docs, texts, percent):
+@pytest.mark.parametrize(("percent", "piece"), [(85, minhash.PIECE), (80, minhash.PIECE), (85, 3)])
+def test_groups(docs, texts, percent, piece):
     expected = brute(texts, percent)
-    found = minhash.near_duplicates(docs, percent).collect()
+    found = minhash.near_duplicates(docs, percent, piece).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
-def test_large_family_below_and_above_the_threshold(spark):
+@pytest.mark.parametrize("piece", [minhash.PIECE, 16])
+def test_large_family_below_and_above_the_threshold(spark, piece):
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(90)]
     rows = {}
@@ -49,7 +50,7 @@ def test_large_family_below_and_above_the_threshold(spark):
             own[at] = f"n{rng.integers(1 << 30)}"
         rows[d] = " ".join(own)
     frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    found = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame).collect()}
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame, piece=piece).collect()}
     assert found == brute(rows, 85)
 
 
@@ -89,9 +90,10 @@ def test_components_of_equal_size_are_compared_whole():
     sig = np.random.default_rng(4).integers(0, 256, (4, minhash.VALUES), dtype=np.uint8)
     sig[:, : minhash.ROWS] = sig[0, : minhash.ROWS]
     sig[1] = sig[0]
-    columns = [[7] * 4, [1, 2, 3, 4], [1, 2, 1, 2], [x.tobytes() for x in sig], [0] * 4, [50] * 4, [50] * 4]
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "doc_id", "component", "signature", "band", "n_shingles", "common"])
-    found = [tuple(r.values()) for b in minhash._across(0.71, 85)(iter([batch])) for r in b.to_pylist()]
+    columns = [[7] * 4, [0] * 4, [0] * 4, [1, 2, 3, 4], [1, 2, 1, 2], [x.tobytes() for x in sig], [0] * 4, [50] * 4, [50] * 4, [False, True] * 2, [False] * 4]
+    names = ["key", "i", "j", "doc_id", "component", "signature", "band", "n_shingles", "common", "other", "asks"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+    found = [tuple(r.values()) for b in buckets._across(0.71, 85, minhash.BANDS, minhash.ROWS)(iter([batch])) for r in b.to_pylist()]
     assert found == [(1, 2)]
 
 
@@ -102,3 +104,33 @@ def test_components_of_a_long_chain(spark):
     found = {r.node: r.component for r in components(links).collect()}
     assert found == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 103: 100}
     assert components(links.limit(0)).count() == 0
+
+
+def test_pairs_just_above_the_threshold(spark):
+    """Recall where banding and the signature test are weakest: similarity 0.85 to 0.88."""
+    rng = np.random.default_rng(9)
+    rows, expected = {}, {}
+    while len(expected) < 2000:
+        d = 2 * len(rows)
+        words = [f"{d}x{i}" for i in range(int(rng.integers(60, 200)))]
+        copy = list(words)
+        for at in rng.choice(len(words), size=max(1, round(len(words) * float(rng.uniform(0.01, 0.03)))), replace=False):
+            copy[at] = "new"
+        a, b = shingles(" ".join(words)), shingles(" ".join(copy))
+        share = len(a & b) / len(a | b)
+        if 0.85 <= share < 0.88:
+            rows[d], rows[d + 1] = " ".join(words), " ".join(copy)
+            expected[d + 1] = d
+    frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame).collect()}
+    assert all(found[b] == a for b, a in expected.items())
+
+
+def test_very_long_text_and_a_bucket_of_many(spark):
+    rng = np.random.default_rng(2)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 50_000, 120_000))
+    base = [f"b{i}" for i in range(60)]
+    rows = [(1, long), (2, long + " more")] + [(10 + k, " ".join([*base, f"own{k}"])) for k in range(300)]
+    frame = spark.createDataFrame([(*r, 0, 1) for r in rows], "doc_id long, text string, key long, component long")
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame, piece=32).collect()}
+    assert found == {d: 1 if d < 10 else 10 for d, _ in rows}
