@@ -10,12 +10,16 @@ the one of smallest priority among the walk's steps, so texts of different lengt
 mostly sample the same steps, and holds 8 bits of what the pointer sees there.  The
 likeness of two fingerprints is the share of equal slots.
 
-`similar` finds pairs by banding (groups of slots as join keys) and verifies them.
+`similar` groups documents by banding (groups of slots as bucket keys) and verifies each
+link by the edit distance of the whole texts.  `with_neighbours` tells in how many bands a
+text and its neighbours meet.
 
 Null texts are empty texts; empty texts have one fingerprint, of zeros.  Equal texts
 have equal fingerprints.  The next document is the next row by doc_id (rows that repeat
 a doc_id: by text); after the last comes the first, which for a table of one row is the
-row itself.  Rows without a doc_id are left out.  An empty table gives no rows.
+row itself.  Texts of any length are walked whole.  Rows without a doc_id are left out.
+Columns other than doc_id and text are ignored, whatever their names.  An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmark.llm import textops as X
+from leafmark.llm.buckets import PIECE, across, confirmed, pair_batch, proposed, unmerged
 from leafmark.llm.common import doc_texts, prepare, settle
+from leafmark.llm.components import components
 
 SLOTS, SEEN, PERIOD, SEED = 64, 8, 4096, 20240229
 BANDS = 16
@@ -167,7 +173,7 @@ def with_edits(texts: list[str], following: list[str]) -> tuple[np.ndarray, np.n
     return own, _sampled(all_points, all_start, all_size, whole, new_end), edited
 
 
-_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands_edited int, bands_next int"
 
 
 def _rows(ids: list[int], texts: list[str], next_texts: list[str], next_prints: np.ndarray | None) -> list:
@@ -181,6 +187,8 @@ def _rows(ids: list[int], texts: list[str], next_texts: list[str], next_prints:
         pa.array([x.tobytes().hex() for x in changed]),
         pa.array((own == changed).mean(axis=1)),
         pa.array((own == following).mean(axis=1)),
+        pa.array(shared_bands(own, changed)),
+        pa.array(shared_bands(own, following)),
     ]
 
 
@@ -192,7 +200,7 @@ def _sorted_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, wait, first = TaskContext.get().partitionId(), None, None
 
     def edge(role: str, doc_id: int, text: str) -> pa.RecordBatch:
-        blank = [pa.array([doc_id], pa.int64()), *(pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))]
+        blank = [pa.array([doc_id], pa.int64()), *(pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32()))]
         return pa.RecordBatch.from_arrays([*blank, pa.array([task], pa.int64()), pa.array([role]), pa.array([text])], names=[*_NAMES, "task", "role", "text"])
 
     for piece in X.pieces(batches, 2 << 20):
@@ -219,7 +227,7 @@ def _edge_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def with_neighbours(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next): each text, its edited text (the last half of its characters replaced by
+    near_next, bands_edited, bands_next): each text, its edited text (the last half of its characters replaced by
     the first of the next document) and the next document, compared by fingerprint.
 
     The texts are dealt out by ranges of doc_id once; only each range's first and last
@@ -240,35 +248,102 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     return found.where("role IS NULL").select(*_NAMES).union(pairs.mapInArrow(_edge_run, _RESULT))
 
 
+def shared_bands(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bands fingerprints agree: in one or more, `similar` compares the texts."""
+    return (a == b).reshape(-1, BANDS, SLOTS // BANDS).all(axis=2).sum(axis=1).astype(np.int32)
+
+
 def fingerprinted(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint) of every whole text."""
+    """(doc_id, fingerprint, digest) of every whole text; the digest is of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in X.pieces(batches, 2 << 20):
-            prints = fingerprints(piece.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([x.tobytes().hex() for x in prints])], names=["doc_id", "fingerprint"])
+        for piece in X.pieces(batches):
+            texts = piece.column(1).to_pylist()
+            prints = fingerprints(texts)
+            digests = [hashlib.sha256(t.encode()).digest() for t in texts]
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([x.tobytes() for x in prints], pa.binary()), pa.array(digests, pa.binary())], names=["doc_id", "fingerprint", "digest"])
 
     prepare(docs.sparkSession)
-    return doc_texts(docs).mapInArrow(run, "doc_id long, fingerprint string")
-
+    return doc_texts(docs).mapInArrow(run, "doc_id long, fingerprint binary, digest binary")
 
-def similar(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, other_id, likeness): documents linked by banding.
 
-    Equal fingerprints are one class, named by its smallest doc_id, with which its other
-    members are linked (likeness 1); only classes go on, so copies cost one row.  In each band a class is linked with the smallest class that shares the band
-    (a star, never all pairs), and kept if the whole fingerprints are alike enough.
+def edit_distance(a: str, b: str, most: int) -> int | None:
+    """The number of edits from `a` to `b`, or None if over `most`; bit-parallel, a bit for
+    each character of `a`."""
+    start = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        start += 1
+    a, b = a[start:], b[start:]
+    stop = 0
+    for x, y in zip(reversed(a), reversed(b), strict=False):
+        if x != y:
+            break
+        stop += 1
+    a, b = a[: len(a) - stop], b[: len(b) - stop]
+    if abs(len(a) - len(b)) > most:
+        return None
+    if not a:
+        return len(b)
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full, top, found = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    up, down = full, 0  # where the column's next cell is larger, smaller
+    for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
+        m = masks.get(c, 0)
+        same = (((m & up) + up) ^ up) | m | down
+        more, less = down | ~(same | up) & full, same & up
+        found += bool(more & top) - bool(less & top)
+        if found - left > most:
+            return None
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        up, down = less | ~(same | more) & full, more & same
+    return found if found <= most else None
+
+
+def _verify(edits: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, hub_text = None, ""
+        for piece in X.pieces(batches):
+            good: list[tuple[int, int]] = []
+            for a, b, text in zip(*(c.to_pylist() for c in piece.columns[:3]), strict=True):
+                if a == b:
+                    hub, hub_text = a, text
+                elif hub == a and edit_distance(hub_text, text, int(edits * max(len(text), len(hub_text)))) is not None:
+                    good.append((a, b))
+            yield pair_batch(*np.array(good, np.int64).reshape(-1, 2).T)
+
+    return run
+
+
+def similar(docs: DataFrame, least: float = 0.7, edits: float = 0.2, piece: int = PIECE) -> DataFrame:
+    """(doc_id, group_id): groups of documents linked, directly or in chains, by texts that
+    are at most `edits` of the longer one's characters apart and whose fingerprints agree
+    in `least` of their slots; group_id is the smallest doc_id of a group.
+
+    Banding: fingerprints that agree in a whole band meet in a bucket, and those that
+    agree in 0.7 of all slots share no band with probability 0.012.  Pairs are taken from
+    buckets without lists of all pairs (see `buckets`) and verified on the whole texts.
+    Equal texts are one class, and only classes are compared.  Empty texts are equal.
     """
     prints = settle(fingerprinted(docs))
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    width = 2 * SLOTS // BANDS
-    bands = F.explode(F.array(*(F.concat(F.lit(f"{b}:"), F.substring("fingerprint", b * width + 1, width)) for b in range(BANDS))))
-    keyed = classes.select("doc_id", "fingerprint", bands.alias("band"))
-    hubs = keyed.groupBy("band").agg(F.min(F.struct("doc_id", "fingerprint")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(hubs, "band").where(F.col("doc_id") > F.col("hub.doc_id")).select(
-        "doc_id", F.col("hub.doc_id").alias("other_id"), "fingerprint", F.col("hub.fingerprint").alias("other")
-    )
-    same = F.aggregate(F.sequence(F.lit(0), F.lit(SLOTS - 1)), F.lit(0), lambda n, k: n + (F.substr("fingerprint", 2 * k + 1, F.lit(2)) == F.substr("other", 2 * k + 1, F.lit(2))).cast("int"))
-    between = met.distinct().select("doc_id", "other_id", (same / SLOTS).alias("likeness")).where(F.col("likeness") >= least)
-    inside = prints.join(classes.withColumnRenamed("doc_id", "other_id"), "fingerprint").where("doc_id <> other_id")
-    return between.unionByName(inside.select("doc_id", "other_id", F.lit(1.0).alias("likeness")))
+    classes = settle(prints.groupBy("fingerprint", "digest").agg(F.min("doc_id").alias("doc_id")))
+    width = SLOTS // BANDS
+    bands = F.array(*(F.xxhash64(F.lit(b), F.substring("fingerprint", b * width + 1, width)) for b in range(BANDS)))
+    rows = classes.select("doc_id", F.col("fingerprint").alias("signature"), F.posexplode(bands).alias("band", "key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    # No sizes bound a pair's likeness here, so they are all alike.
+    members = settle(rows.join(shared, "key").withColumns({"n_shingles": F.lit(1).cast("long"), "common": F.lit(1).cast("long")}))
+    whole = doc_texts(docs).withColumn("digest", F.unhex(F.sha2("text", 256))).join(classes.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi")
+    texts = settle(whole.select("doc_id", "text").distinct().join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
+    first = settle(proposed(members, least, piece))
+    links = settle(confirmed(first, texts, _verify(edits), piece))
+    groups = components(links)
+    named = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    second = settle(across(unmerged(named, piece), least, 0, BANDS, width).join(first, ["a", "b"], "left_anti"))
+    if not second.isEmpty():
+        groups = components(links.union(settle(confirmed(second, texts, _verify(edits), piece))))
+    of_class = classes.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("fingerprint", "digest", F.coalesce("component", "doc_id").alias("group_id"))
+    return prints.join(of_class, ["fingerprint", "digest"]).select("doc_id", "group_id")

@@ -1,7 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
+import pytest
+
 from leafmark.llm import fingerprints
+from leafmark.llm import textops as X
 
 
 def test_with_neighbours(spark, docs, rows):
@@ -52,9 +56,111 @@ def test_edges(spark, none):
     assert one.edited_sha256 == sha("abab") and one.near_next == 1
 
 
-def test_similar_finds_near_copies(spark):
+def stepwise(text):
+    """A fingerprint by the definition: one step of the walk after another."""
+    rng = np.random.default_rng(fingerprints.SEED)
+    bits = rng.integers(0, 2, (256, fingerprints.PERIOD), dtype=np.uint8)
+    bits[:, -1] = 1
+    points = np.array([ord(c) for c in text], np.uint32)
+    seen, at, step = [], 0, 0
+    while at < len(text):
+        seen.append(at)
+        kind = int(points[at]) * 2654435761 % (1 << 32) >> 24
+        at += int(bits[kind, step % fingerprints.PERIOD])
+        step += 1
+    rng = np.random.default_rng(fingerprints.SEED + 1)
+    out = []
+    for _ in range(fingerprints.SLOTS):
+        best, nxt, priority = 0, 0, rng.random()
+        while True:
+            nxt += int(rng.geometric(max(priority, 1e-15)))
+            priority *= rng.random()
+            if nxt < len(seen):
+                best = nxt
+            if nxt >= 1 << 40:
+                break
+        window = points[seen[best] : seen[best] + fingerprints.SEEN] if seen else points
+        hasher = X.Hasher(points)
+        out.append(int(hasher(np.array([seen[best]]), np.array([seen[best] + len(window)]))[0]) >> 56 if seen else 0)
+    return out
+
+
+def test_fingerprints_against_the_walk_step_by_step():
+    rng = random.Random(4)
+    for n in (0, 1, 2, 7, 30, 200, 900):
+        text = "".join(rng.choice("abc de é漢") for _ in range(n))
+        assert fingerprints.fingerprints([text])[0].tolist() == stepwise(text)
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def changed(rng, text, edits):
+    out = list(text)
+    for _ in range(edits):
+        at = rng.randrange(len(out) + 1)
+        out[at : at + 1] = rng.choice([[], ["x"], ["y", "z"]])
+    return "".join(out)
+
+
+def test_edit_distance():
+    rng = random.Random(5)
+    for _ in range(400):
+        a = "".join(rng.choice("abx") for _ in range(rng.randint(0, 12)))
+        b = changed(rng, a, rng.randint(0, 6)) if rng.random() < 0.7 else "".join(rng.choice("abx") for _ in range(rng.randint(0, 12)))
+        most, true = rng.randint(0, 9), plain_distance(a, b)
+        assert fingerprints.edit_distance(a, b, most) == (true if true <= most else None)
+
+
+@pytest.mark.parametrize("piece", [2048, 8])
+def test_similar_against_all_pairs(spark, piece):
+    """Families of edited copies, unlike texts with one opening, exact copies: the groups
+    must be those of all pairs, but for pairs that share no band (under one in fifty)."""
     rng = random.Random(7)
-    rows = [(i, "".join(rng.choice("abcdefg hij") for _ in range(8000))) for i in range(20)]
-    rows += [(100 + i, t[:700] + "Q" + t[700:]) for i, t in rows[:10]] + [(200, rows[0][1])]
-    links = {(r.doc_id, r.other_id) for r in fingerprints.similar(spark.createDataFrame(rows, "doc_id long, text string"), 0.5).collect()}
-    assert links == {(100 + i, i) for i in range(10)} | {(200, 0)}
+    random_text = lambda n: "".join(rng.choice("abcdefg hij") for _ in range(n))
+    texts, opening = [], random_text(200)
+    for size in (300, 900):
+        for base in (random_text(size) for _ in range(4)):
+            texts += [changed(rng, base, rng.randint(0, size // 40)) for _ in range(15)]
+    texts += [opening + random_text(600) for _ in range(20)] + [texts[0]] * 3 + ["", "", "a"]
+    prints = fingerprints.fingerprints(texts)
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    links = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] == prints[j]).mean() >= 0.7 and plain_distance(texts[i], texts[j]) <= 0.2 * max(len(texts[i]), len(texts[j])):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+                links += texts[i] != texts[j]
+    frame = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)] + [(None, "a", 1, "x")], "doc_id long, text string, key long, digest string")
+    found = {r.doc_id: r.group_id for r in fingerprints.similar(frame.repartition(5), piece=piece).collect()}
+    together = sum(found[i] == found[j] for i in range(len(texts)) for j in range(i) if root(i) == root(j))
+    assert links > 100 and together >= 0.95 * sum(root(i) == root(j) for i in range(len(texts)) for j in range(i))
+    assert all(root(i) == root(found[i]) for i in found) and len(found) == len(texts)
+    assert fingerprints.similar(frame.limit(0)).count() == 0
+
+
+def test_edits_elsewhere_share_bands(spark):
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("abcdefg hij") for _ in range(400))) for i in range(30)]
+    rows = [r for d, t in rows for r in ((2 * d, t), (2 * d + 1, t[:395] + "Q" + t[395:]))]
+    found = fingerprints.with_neighbours(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all((r.bands_next >= 10) == (r.doc_id % 2 == 0) for r in found)
+
+
+def test_very_long_text(spark):
+    text = "lorem ipsum " * 150_000
+    found = {r.doc_id: r for r in fingerprints.with_neighbours(spark.createDataFrame([(1, text), (2, text + "x")], "doc_id long, text string")).collect()}
+    assert found[1].n_chars == len(text) and found[1].near_next > 0.9
