@@ -1,26 +1,24 @@
 """Repeated passages: every run of several consecutive sentences, hashed and joined.
 
 A sentence ends at a full stop, question or exclamation mark (or several) before white
-space, or at a line break; a longer one than `LONGEST` words counts as several, so that a
-repeated passage of few long sentences has runs too.  Every run of `span` consecutive sentences of a document is
-hashed (a shorter document has its whole sequence as its one run).  A run's first
-occurrence, by (doc_id, place), is kept; the sentences of any later occurrence go.  The
-place of the first comes from a grouped minimum with a map-side combine, and is joined
-back by the hash, a join that Spark may split where one passage has very many copies.
-
-The cuts of a long sentence are counted from its start, so a passage that begins inside
-one has other pieces in each place.  So stretches of `STRETCH` words that touch a long
-sentence are hashed as well, sampled by content: of every `WINDOW` stretches in a row the
-one of smallest hash, so that two occurrences of a passage of STRETCH + WINDOW - 1 words
-share one wherever they start.  All sentences and pieces that later occurrences of
-stretches cover whole go; as no piece has more than LONGEST words and a stretch has twice
-that, at least one does.  One word said over and over has equal pieces wherever it is
-cut, and only its first stretch is hashed.
+space, or at a line break.  One of more than `longest` words counts as several: it is cut
+after each word whose hash is smaller than those of the `reach` words on either side, and
+pieces that are still longer (one word said over and over) every `longest` words.  Such
+cuts depend on the words around them only, so a passage has the same pieces wherever in a
+sentence it begins.
+
+Every run of `span` consecutive sentences of a document is hashed (a shorter document has
+its whole sequence as its one run).  A run's first occurrence, by (doc_id, place), is
+kept; the sentences of any later occurrence go.  The place of the first comes from a
+grouped minimum with a map-side combine, and is joined back by the hash: runs with more
+than one in `HOT` of all occurrences, of which there are fewer than `HOT`, by broadcast,
+so that no task gets all occurrences of a common passage; the others by a shuffle.
 
 Runs compare sentences with outer white space removed and inner runs of white space as
-one space.  Null and empty texts have no sentence and lose nothing.  Rows that repeat a
-doc_id are told apart by text (equal rows are one document, and each gets a row).  Rows
-without a doc_id are left out.  An empty table gives no rows.
+one space.  Null and empty texts have no sentence and lose nothing.  Texts of any length
+are read whole.  Rows that repeat a doc_id are told apart by text (equal rows are one
+document, and each gets a row).  Rows without a doc_id are left out.  Columns other than
+doc_id and text are ignored, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,10 +34,8 @@ from leafmark.llm import textops as X
 from leafmark.llm.common import doc_texts, prepare, settle
 
 SPAN = 3
-LONGEST = 16
-STRETCH, WINDOW = 2 * LONGEST, 20
-#: Places of stretches are word numbers, from here on; those of runs are sentence numbers.
-WORDS = 1 << 30
+LONGEST, REACH = 16, 3
+HOT = 2000
 _STOP = np.zeros(256, bool)
 _STOP[[0x21, 0x2E, 0x3F]] = True
 _LINE = np.zeros(256, bool)
@@ -48,47 +44,36 @@ _LINE[[0x0A, 0x0D]] = True
 U = X.U
 
 
-def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    """Of each sentence: first byte, byte after its last word, document, hash of its words,
-    first word, word after its last.  Of each word: document, hash, whether it is in a
-    sentence that counts as several."""
+def sentences(data: np.ndarray, offsets: np.ndarray, longest: int = LONGEST, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each sentence: first byte, document, hash of its words."""
     starts, ends, doc = X.words(data, offsets)
     if not len(starts):
         e = np.zeros(0, np.int64)
-        return (e, e, e, e.astype(U), e, e), (e, e.astype(U), e.astype(bool))
+        return e, e, e.astype(U)
     # A word closes its sentence by its last byte, or by a line break before the next word.
     breaks = np.zeros(len(data) + 1, np.int64)
     np.cumsum(_LINE[data], out=breaks[1:])
     closes = np.ones(len(starts), bool)
     closes[:-1] = _STOP[data[ends[:-1] - 1]] | (breaks[starts[1:]] > breaks[ends[:-1]]) | (doc[1:] != doc[:-1])
-    for cut in (False, True):
+    hashes = X.Hasher(data)(starts, ends)
+
+    def pieces() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         last = np.flatnonzero(closes)
         first = np.r_[0, last[:-1] + 1]
-        nth = np.arange(len(starts)) - np.repeat(first, last - first + 1)
-        if not cut:
-            long = np.repeat(last - first >= LONGEST, last - first + 1)
-            closes |= nth % LONGEST == LONGEST - 1
-    hashes = X.Hasher(data)(starts, ends)
+        return first, np.repeat(np.arange(len(first)), last - first + 1), np.arange(len(starts)) - np.repeat(first, last - first + 1)
+
+    first, of, _ = pieces()
+    long = (np.bincount(of) > longest)[of]
+    for k in range(1, reach + 1):  # words outside the sentence count as larger
+        same = of[k:] == of[:-k]
+        long[k:] &= ~same | (hashes[k:] < hashes[:-k])
+        long[:-k] &= ~same | (hashes[:-k] < hashes[k:])
+    closes |= long
+    first, of, nth = pieces()
+    closes |= nth % longest == longest - 1
+    first, of, nth = pieces()
     total = np.add.reduceat(X.mix(hashes + nth.astype(U) * U(X.BASE)), first)
-    return (starts[first], ends[last], doc[first], X.mix(total), first, last + 1), (doc, hashes, long)
-
-
-def stretches(doc: np.ndarray, hashes: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first words of the sampled stretches that touch a long sentence."""
-    n = len(hashes) - STRETCH + 1
-    if n < WINDOW:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    sums = np.zeros(len(hashes) + 1, U)
-    np.cumsum(hashes * X.powers(X.BASE, len(hashes)), out=sums[1:])
-    code = X.mix(((sums[STRETCH:] - sums[:-STRETCH]) * X.powers(X.INVERSE, n)) ^ U(0xA0761D6478BD642F))
-    many = np.r_[0, np.cumsum(long)]
-    # The last smallest of each window that lies in one document.
-    least = WINDOW - 1 - np.lib.stride_tricks.sliding_window_view(code, WINDOW)[:, ::-1].argmin(axis=1)
-    inside = np.flatnonzero(doc[: n - WINDOW + 1] == doc[STRETCH + WINDOW - 2 :])
-    at = np.unique(inside + least[inside])
-    again = (at > 0) & (code[at] == code[at - 1]) & (doc[at] == doc[at - 1])
-    at = at[~again & (many[at + STRETCH] > many[at])]
-    return code[at], at
+    return starts[first], doc[first], X.mix(total)
 
 
 def runs(code: np.ndarray, doc: np.ndarray, n: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,17 +92,14 @@ def runs(code: np.ndarray, doc: np.ndarray, n: int, span: int) -> tuple[np.ndarr
     return X.mix(total[keep] + length.astype(U)), keep, length
 
 
-def _run_rows(span: int):
+def _run_rows(span: int, longest: int, reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in X.pieces(batches):
             data, offsets = X.texts(piece.column(1))
-            (_, _, doc, code, *_), words = sentences(data, offsets)
-            each = np.arange(piece.num_rows)
+            _, doc, code = sentences(data, offsets, longest, reach)
             hashes, place, _ = runs(code, doc, piece.num_rows, span)
-            more, at = stretches(*words)
-            d = np.r_[doc[place], words[0][at]]
-            hashes = np.concatenate([hashes, more])
-            place = np.r_[place - np.searchsorted(doc, each)[doc[place]], at - np.searchsorted(words[0], each)[words[0][at]] + WORDS]
+            d = doc[place]
+            place = place - np.searchsorted(doc, np.arange(piece.num_rows))[d]
             yield pa.RecordBatch.from_arrays(
                 [X.longs(hashes), pa.array(piece.column(0).to_numpy()[d]), pa.array(piece.column(2).to_numpy()[d]), pa.array(place.astype(np.int32))],
                 names=["run", "doc_id", "tag", "place"],
@@ -126,30 +108,20 @@ def _run_rows(span: int):
     return run
 
 
-def _cut(span: int):
+def _cut(span: int, longest: int, reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in X.pieces(batches):
             data, offsets = X.texts(piece.column(2))
-            (starts, _, doc, _, word, upto_word), (word_doc, *_) = sentences(data, offsets)
+            starts, doc, _ = sentences(data, offsets, longest, reach)
             n = piece.num_rows
             first = np.searchsorted(doc, np.arange(n + 1))
-            gone = np.zeros(len(starts) + span, bool)
+            gone = np.zeros(len(starts), bool)
             lists = piece.column(3)
-            holder = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())) if lists.null_count < n else np.zeros(0, np.int64)
-            places = lists.flatten().to_numpy().astype(np.int64)
-            of_words = places >= WORDS
-            at = first[holder[~of_words]] + places[~of_words]
-            stop = first[holder[~of_words] + 1]
-            for k in range(span):
-                gone[np.minimum(at + k, stop - 1)] = True
-            gone = gone[: len(starts)]
-            if of_words.any():
-                at = np.searchsorted(word_doc, holder[of_words]) + places[of_words] - WORDS
-                open_ = np.zeros(len(word_doc) + 1, np.int64)
-                np.add.at(open_, at, 1)
-                np.add.at(open_, at + STRETCH, -1)
-                covered = np.r_[0, np.cumsum(np.cumsum(open_)[:-1] > 0)]
-                gone |= covered[upto_word] - covered[word] == upto_word - word
+            if lists.null_count < n:
+                holder = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+                at = first[holder] + lists.flatten().to_numpy().astype(np.int64)
+                for k in range(span):
+                    gone[np.minimum(at + k, first[holder + 1] - 1)] = True
             # A sentence takes the white space up to the next one with it.
             upto = np.r_[starts[1:], len(data)] if len(starts) else starts
             upto = np.minimum(upto, offsets[doc + 1]) if len(starts) else upto
@@ -173,15 +145,22 @@ def _cut(span: int):
     return run
 
 
-def remove_repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, span: int = SPAN, longest: int = LONGEST, reach: int = REACH) -> DataFrame:
     """(doc_id, n_sentences, n_removed, text): every document without the sentences that
-    a non-first run of `span` sentences, or non-first stretches at long sentences, cover."""
+    a non-first run of `span` sentences covers."""
     prepare(docs.sparkSession)
     rows = doc_texts(docs).withColumn("tag", F.xxhash64("text"))
-    found = settle(rows.mapInArrow(_run_rows(span), "run long, doc_id long, tag long, place int"))
+    found = settle(rows.mapInArrow(_run_rows(span, longest, reach), "run long, doc_id long, tag long, place int"))
     place = F.struct("doc_id", "tag", "place")
-    often = found.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("run", "first")
-    again = found.join(often, "run").where(place != F.col("first")).select("doc_id", "tag", "place")
-    lists = again.groupBy("doc_id", "tag").agg(F.collect_set("place").alias("places"))
+    often = found.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first <> last")
+    often = settle(often.select("run", "first", "n"))
+    hot = F.col("n") * HOT > found.count()
+    # Fewer than HOT rows, as each has more than one in HOT of all.
+    common = F.broadcast(often.where(hot).select("run", F.col("first").alias("hot")))
+    marked = found.join(common, "run", "left")
+    by_broadcast = marked.where("hot IS NOT NULL").where(place != F.col("hot"))
+    by_shuffle = marked.where("hot IS NULL").join(often.where(~hot).select("run", "first"), "run").where(place != F.col("first"))
+    again = by_broadcast.select("doc_id", "tag", "place").union(by_shuffle.select("doc_id", "tag", "place"))
+    lists = again.groupBy("doc_id", "tag").agg(F.collect_list("place").alias("places"))
     each = rows.join(lists, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "places")
-    return each.mapInArrow(_cut(span), "doc_id long, n_sentences long, n_removed long, text string")
+    return each.mapInArrow(_cut(span, longest, reach), "doc_id long, n_sentences long, n_removed long, text string")
