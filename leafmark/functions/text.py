@@ -3,6 +3,11 @@ the white space of Unicode, which `\\s` and `trim` do not cover."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +43,11 @@ PUNCTUATION = (
 )
 
 
+def compiled(pattern: str) -> re.Pattern[str]:
+    """One of the patterns above for use in Python."""
+    return re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", pattern).replace(r"\z", r"\Z"))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, STRIP, "")
 
@@ -76,9 +86,26 @@ def one_holds_other(a: Column, b: Column) -> Column:
     return (F.contains(a, b) | F.contains(b, a)) & (F.least(F.length(a), F.length(b)) > 0)
 
 
+#: Of each punctuation rule, strings of which a text that it changes has one (none: any may).
+_NEEDED = (
+    ("!!",), ("??",), ("..",), ("!?",), ("?!",), ("…",), ("・・", "・･", "･・", "･･"), ("··",), ("-",), ("–",), (":",), (), tuple("⁉⁈‼⁇"), tuple("⁉⁈‼⁇"), (" ",),
+)
+
+
+def _rule(pattern: str, replacement: str, needed: tuple[str, ...]) -> Callable[[Column], Column]:
+    def changed(t: Column) -> Column:
+        new = F.replace(t, F.lit(pattern), F.lit(replacement)) if pattern == " " else F.regexp_replace(t, pattern, replacement)
+        return F.when(reduce(or_, (F.contains(t, F.lit(n)) for n in needed)), new).otherwise(t) if needed else new
+
+    return changed
+
+
 def clean_punctuation(text: Column) -> Column:
-    for pattern, replacement in PUNCTUATION:
-        text = F.regexp_replace(text, pattern, replacement)
+    """The punctuation rules one after another; a rule's regular expression runs only on
+    texts that hold what it needs.  A null text stays null."""
+    for (pattern, replacement), needed in zip(PUNCTUATION, _NEEDED, strict=True):
+        # The lambda names the text so far, so that it is worked out once for test and change.
+        text = F.transform(F.array(text), _rule(pattern, replacement, needed))[0]
     return text
 
 
@@ -97,6 +124,19 @@ def to_saved(text: Column) -> Column:
     return F.regexp_replace(text, "\n+", "​")
 
 
+def url_part(value: Column) -> Column:
+    """A value percent-encoded for a URL's query, but for letters, digits and -_.!~*'()."""
+    encoded = F.url_encode(value)
+    for code, plain in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        encoded = F.replace(encoded, F.lit(code), F.lit(plain))
+    return encoded
+
+
+def request_url(server: Column, url: Column, context: Column) -> Column:
+    """The request for a page's text: its URL without query string, and the context."""
+    return F.concat(server, F.lit("/ocr?url="), url_part(bare_url(url)), F.lit("&context="), url_part(context))
+
+
 def bare_url(url: Column) -> Column:
     return F.substring_index(url, "?", 1)
 

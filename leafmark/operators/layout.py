@@ -9,7 +9,7 @@ does not depend on how the input was partitioned.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 from statistics import median
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,18 +19,12 @@ from leafmark import profiles, schema
 from leafmark.functions import boxes, text
 from leafmark.operators import aggregates, pairs, windows
 from leafmark.operators.grouped import by_group
-from leafmark.sources.stage import settle
+from leafmark.sources.stage import release, settle
 
 # --- helpers of the grouped maps --------------------------------------------------------
 
-_SPACE = "".join(chr(c) for c in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
-_KEYS = {
-    "dedup": re.compile(f"[{_SPACE}​\\-_~♥♡!！?？ー—―]+"),
-    "squeezed": re.compile(f"[{_SPACE}​]+"),
-    "plain": re.compile(f"[{_SPACE}]+"),
-}
-_KANJI = re.compile("[一-鿿㐀-䶿]")
-_KANA = re.compile("[぀-ゟ゠-ヿ 　…‥・]+")
+_KEYS = {name: text.compiled(pattern) for name, pattern in text.KEYS.items()}
+_KANJI, _KANA = text.compiled(text.KANJI), text.compiled(text.KANA_ONLY)
 
 
 def _covered(a: list, b: list) -> tuple[float, float]:
@@ -59,7 +53,7 @@ def _by_area(rows: list[dict]) -> list[dict]:
     """A page's rows, the largest area first, ties in page order."""
     for r in rows:
         r["box"] = [r["x1"], r["y1"], r["x2"], r["y2"]]
-        r["text"] = (r["text"] or "").strip()
+        r["bare"] = (r["text"] or "").strip()
     return sorted(rows, key=lambda r: -max(1.0, (r["x2"] - r["x1"]) * (r["y2"] - r["y1"])))
 
 
@@ -87,10 +81,10 @@ def suppressed(lines: DataFrame, profile: str = "server") -> DataFrame:
         while rest:
             anchor, left = rest[0], []
             for other in rest[1:]:
-                if _redundant(rule, _covered(anchor["box"], other["box"]), *_same_text(rule, anchor["text"], other["text"])):
+                if _redundant(rule, _covered(anchor["box"], other["box"]), *_same_text(rule, anchor["bare"], other["bare"])):
                     anchor["box"] = _grow(anchor["box"], other["box"])
-                    if len(other["text"]) > len(anchor["text"]):
-                        anchor["text"] = other["text"]
+                    if len(other["bare"]) > len(anchor["bare"]):
+                        anchor["text"] = anchor["bare"] = other["bare"]
                         if profile == "chunk":
                             anchor["confidence"] = other["confidence"]
                 else:
@@ -105,6 +99,28 @@ def suppressed(lines: DataFrame, profile: str = "server") -> DataFrame:
     return by_group(lines, ["page_id"], run, schema.LINES)
 
 
+def chunked(pages: DataFrame, recognise: Callable[[DataFrame], DataFrame], slicing: str = "engine") -> DataFrame:
+    """Lines of pages (page_id, width, height in pixels), tall ones recognised slice by
+    slice: `recognise` takes rows (page_id, width, height, offset, size) and gives lines in
+    shares of the slice (page_id, offset, line_idx, text, x, y, width, height, orientation,
+    confidence); lines that two slices have in common are suppressed."""
+    p = profiles.SLICINGS[slicing]
+    tall = boxes.is_webtoon(F.col("width"), F.col("height"), p.height)
+    whole = pages.where(~tall).withColumns({"offset": F.lit(0).cast("long"), "size": F.col("height").cast("long")})
+    cut = windows.sliced(pages.where(tall), F.col("height"), slicing)
+    each = whole.select("page_id", "width", "height", "offset", "size").union(cut.select("page_id", "width", "height", "offset", "size"))
+    sizes = each.select("page_id", "offset", "size", F.col("width").alias("_w"), F.col("height").alias("_h"))
+    found = windows.to_page(recognise(each).join(sizes, ["page_id", "offset"]), F.col("offset"), F.col("size"), F.col("_h"))
+    order = Window.partitionBy("page_id").orderBy("offset", "line_idx")
+    pixels = boxes.to_pixels(F.col("_w"), F.col("_h"), F.col("x"), F.col("y"), F.col("width"), F.col("height"))
+    numbered = found.select(
+        "page_id", (F.row_number().over(order) - 1).cast("bigint").alias("line_idx"), "text", *pixels, "orientation",
+        F.lit(None).cast("double").alias("font_size"), "confidence", (F.col("_h") > F.col("size")).alias("cut"),
+    )
+    # Pages in one piece stay as they are.
+    return suppressed(numbered.where("cut").drop("cut"), "chunk").union(numbered.where("NOT cut").drop("cut"))
+
+
 # --- grouping ---------------------------------------------------------------------------
 
 
@@ -115,8 +131,9 @@ def measured(lines: DataFrame, width: Column, p: profiles.Grouping = profiles.PY
     vertical = w <= h
     if p.use_orientation:
         vertical = vertical | F.coalesce(F.col("orientation") == 90.0, F.lit(False))
-    out = lines.withColumn("vertical", vertical).withColumns({c: F.col(c) * scale for c in ("x1", "y1", "x2", "y2")})
-    return out.withColumn("font", F.when(F.col("vertical"), boxes.side("", "x")).otherwise(boxes.side("", "y")))
+    # Sizes are scaled whole, not as a difference of scaled places, so that equal ones stay equal.
+    out = lines.withColumns({"vertical": vertical, "font": F.when(vertical, w).otherwise(h) * scale})
+    return out.withColumns({c: F.col(c) * scale for c in ("x1", "y1", "x2", "y2")})
 
 
 def edges(lines: DataFrame, p: profiles.Grouping = profiles.PYTHON) -> DataFrame:
@@ -146,25 +163,32 @@ def edges(lines: DataFrame, p: profiles.Grouping = profiles.PYTHON) -> DataFrame
 
 def components(lines: DataFrame, links: DataFrame) -> DataFrame:
     """`lines` with `component`, the smallest line_idx that links lead to, page by page."""
+    columns = ", ".join(f"{name} {kind}" for name, kind in lines.dtypes)
+    return by_group(_linked(lines, links), ["page_id"], _with_components, f"{columns}, component bigint")
 
-    def run(page: list[dict]) -> list[dict]:
-        up = {r["line_idx"]: r["line_idx"] for r in page}
 
-        def root(i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
+def _linked(lines: DataFrame, links: DataFrame) -> DataFrame:
+    """`lines` with `to`, the later lines that each is linked with."""
+    ends = links.groupBy("page_id", F.col("a_line_idx").alias("line_idx")).agg(F.collect_list("b_line_idx").alias("to"))
+    return lines.join(ends, ["page_id", "line_idx"], "left")
 
-        for r in page:
-            for other in r["to"] or ():
-                a, b = sorted((root(r["line_idx"]), root(other)))
-                up[b] = a
-        return [{**r, "component": root(r["line_idx"])} for r in page]
 
-    ends = links.groupBy("page_id", F.col("a_line_idx").alias("line_idx")).agg(F.collect_list("b_line_idx").alias("to"))
-    columns = ", ".join(f"{name} {kind}" for name, kind in lines.dtypes)
-    return by_group(lines.join(ends, ["page_id", "line_idx"], "left"), ["page_id"], run, f"{columns}, component bigint")
+def _with_components(page: list[dict]) -> list[dict]:
+    up = {r["line_idx"]: r["line_idx"] for r in page}
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for r in page:
+        for other in r["to"] or ():
+            a, b = sorted((root(r["line_idx"]), root(other)))
+            up[b] = a
+    for r in page:
+        r["component"] = root(r["line_idx"])
+    return page
 
 
 def grouped(lines: DataFrame, width: Column, height: Column | None = None, profile: str = "python") -> DataFrame:
@@ -202,59 +226,100 @@ def absorbed(lines: DataFrame, width: Column, height: Column) -> DataFrame:
     it (the box grows for later ones) or, being ruby, are gone.
 
     The orientation of a single is judged on shares of the page, as its group's is.
+    `pos` is the place of a line in its group: by the lines' tops, then those that joined.
     """
-    shares = lines.withColumns({"_w": width.cast("double"), "_h": height.cast("double")})
-
-    def run(page: list[dict]) -> list[dict]:
-        w, h = page[0]["_w"], page[0]["_h"]
-        groups: dict[int, list[dict]] = {}
-        for r in sorted(page, key=lambda r: (r["group_id"], r["y1"], r["line_idx"])):
-            r["x1"], r["x2"], r["y1"], r["y2"] = r["x1"] / w, r["x2"] / w, r["y1"] / h, r["y2"] / h
-            groups.setdefault(r["group_id"], []).append(r)
-        several = [g for g in groups.values() if len(g) > 1]
-        singles = []
-        for (single,) in (g for g in groups.values() if len(g) == 1):
-            cx, cy = (single["x1"] + single["x2"]) / 2, (single["y1"] + single["y2"]) / 2
-            for g in several:
-                x1, y1, x2, y2 = min(m["x1"] for m in g), min(m["y1"] for m in g), max(m["x2"] for m in g), max(m["y2"] for m in g)
-                tall = 2 * sum(map(_vertical, g)) >= len(g)
-                px, py = (x2 - x1) * profiles.ORPHAN_PAD, (y2 - y1) * profiles.ORPHAN_PAD
-                if _vertical(single) == tall and x1 - px <= cx <= x2 + px and y1 - py <= cy <= y2 + py:
-                    if not _is_ruby(single, g, tall):
-                        g.append(single)
-                    break
-            else:
-                singles.append([single])
-        out = []
-        for n, g in enumerate([*several, *singles]):  # groups of several lines come first
-            for r in g:
-                r["group_id"] = n
-                r["x1"], r["x2"], r["y1"], r["y2"] = r["x1"] * w, r["x2"] * w, r["y1"] * h, r["y2"] * h
-                out.append(r)
-        return out
-
-    return by_group(shares, ["page_id"], run, f"{schema.LINES}, group_id bigint")
+    return by_group(_sized(lines, width, height), ["page_id"], lambda page: _flat(_absorb(page)), _IN_GROUPS)
+
+
+_IN_GROUPS = f"{schema.LINES}, group_id bigint, pos bigint"
+
+
+def _sized(lines: DataFrame, width: Column, height: Column) -> DataFrame:
+    return lines.withColumns({"_w": width.cast("double"), "_h": height.cast("double")})
+
+
+def _flat(groups: list[list[dict]]) -> list[dict]:
+    """The rows of a page's groups, which are numbered in their order."""
+    for n, group in enumerate(groups):
+        for k, r in enumerate(group):
+            r["group_id"], r["pos"] = n, k
+    return [r for group in groups for r in group]
+
+
+def _absorb(page: list[dict]) -> list[list[dict]]:
+    w, h = page[0]["_w"], page[0]["_h"]
+    groups: dict[int, list[dict]] = {}
+    for r in sorted(page, key=lambda r: (r["group_id"], r["y1"], r["line_idx"])):
+        r["share"] = {"x1": r["x1"] / w, "x2": r["x2"] / w, "y1": r["y1"] / h, "y2": r["y2"] / h, "orientation": r["orientation"], "text": r["text"]}
+        groups.setdefault(r["group_id"], []).append(r)
+    several = [g for g in groups.values() if len(g) > 1]
+    inside = [[r["share"] for r in g] for g in several]
+    singles = []
+    for (line,) in (g for g in groups.values() if len(g) == 1):
+        single = line["share"]
+        cx, cy = (single["x1"] + single["x2"]) / 2, (single["y1"] + single["y2"]) / 2
+        for rows, g in zip(several, inside, strict=True):
+            x1, y1, x2, y2 = min(m["x1"] for m in g), min(m["y1"] for m in g), max(m["x2"] for m in g), max(m["y2"] for m in g)
+            tall = 2 * sum(map(_vertical, g)) >= len(g)
+            px, py = (x2 - x1) * profiles.ORPHAN_PAD, (y2 - y1) * profiles.ORPHAN_PAD
+            if _vertical(single) == tall and x1 - px <= cx <= x2 + px and y1 - py <= cy <= y2 + py:
+                if not _is_ruby(single, g, tall):
+                    g.append(single)
+                    rows.append(line)
+                break
+        else:
+            singles.append([line])
+    return [*several, *singles]  # groups of several lines come first
 
 
 def uncontained(lines: DataFrame) -> DataFrame:
-    """Lines of each group without those whose text or box another, longer one holds."""
+    """Lines of each group without those whose text or box another, longer one holds.
+
+    `lines`: as of `absorbed`; `pos` becomes the order by length of text, lines of equal
+    length staying in the order they had.
+    """
+
     def run(group: list[dict]) -> list[dict]:
-        rows = sorted(group, key=lambda r: -len((r["text"] or "").strip()))
-        part = lambda a, b, lo, hi: max(0.0, min(a[hi], b[hi]) - max(a[lo], b[lo])) / max(1.0, min(a[hi] - a[lo], b[hi] - b[lo]))
-        kept: list[dict] = []
-        for r in rows:
-            key = _KEYS["squeezed"].sub("", r["text"] or "")
-            for k in kept:
-                both = max(0.0, min(k["x2"], r["x2"]) - max(k["x1"], r["x1"])) * max(0.0, min(k["y2"], r["y2"]) - max(k["y1"], r["y1"]))
-                ios = both / max(1.0, (r["x2"] - r["x1"]) * (r["y2"] - r["y1"]))
-                inside = bool(key) and key in _KEYS["squeezed"].sub("", k["text"] or "")
-                if ios >= 0.75 or (inside and (part(k, r, "x1", "x2") >= 0.35 or part(k, r, "y1", "y2") >= 0.35 or ios >= 0.30)):
-                    break
-            else:
-                kept.append(r)
+        kept = _contain(sorted(group, key=lambda r: r["pos"]))
+        for k, r in enumerate(kept):
+            r["pos"] = k
         return kept
 
-    return by_group(lines, ["page_id", "group_id"], run, f"{schema.LINES}, group_id bigint")
+    return by_group(lines, ["page_id", "group_id"], run, _IN_GROUPS)
+
+
+def _contain(group: list[dict]) -> list[dict]:
+    if len(group) < 2:
+        return group
+    part = lambda a, b, lo, hi: max(0.0, min(a[hi], b[hi]) - max(a[lo], b[lo])) / max(1.0, min(a[hi] - a[lo], b[hi] - b[lo]))
+    kept: list[dict] = []
+    for r in sorted(group, key=lambda r: -len((r["text"] or "").strip())):
+        key = _KEYS["squeezed"].sub("", r["text"] or "")
+        for k in kept:
+            both = max(0.0, min(k["x2"], r["x2"]) - max(k["x1"], r["x1"])) * max(0.0, min(k["y2"], r["y2"]) - max(k["y1"], r["y1"]))
+            ios = both / max(1.0, (r["x2"] - r["x1"]) * (r["y2"] - r["y1"]))
+            inside = bool(key) and key in _KEYS["squeezed"].sub("", k["text"] or "")
+            if ios >= 0.75 or (inside and (part(k, r, "x1", "x2") >= 0.35 or part(k, r, "y1", "y2") >= 0.35 or ios >= 0.30)):
+                break
+        else:
+            kept.append(r)
+    return kept
+
+
+def in_groups(lines: DataFrame, width: Column, height: Column, profile: str = "python") -> DataFrame:
+    """`uncontained(absorbed(grouped(lines)))` in one pass over each page."""
+    p = profiles.GROUPINGS[profile]
+    cut = windows.segments(lines, height)
+    linked = _linked(_sized(cut, width, height), edges(measured(cut, width, p), p))
+
+    def run(page: list[dict]) -> list[dict]:
+        rows = sorted(_with_components(page), key=lambda r: (r["segment"], r["y1"], r["line_idx"]))
+        first: dict[int, int] = {}
+        for n, r in enumerate(rows, 1):
+            r["group_id"] = first.setdefault(r["component"], n)
+        return _flat([_contain(g) for g in _absorb(rows)])
+
+    return by_group(linked, ["page_id"], run, _IN_GROUPS)
 
 
 # --- merging ----------------------------------------------------------------------------
@@ -262,32 +327,36 @@ def uncontained(lines: DataFrame) -> DataFrame:
 
 def reading_order(lines: DataFrame) -> DataFrame:
     """Lines of groups with `rank`: by columns from right to left and down each column
-    (vertical groups) or by rows down the page and along each row.  Needs `vertical`."""
+    (vertical groups) or by rows down the page and along each row.  Needs `vertical`.
+    Lines and strips that tie keep the order `pos` has (without it, that of line_idx)."""
+    if "pos" not in lines.columns:
+        lines = lines.withColumn("pos", F.col("line_idx"))
     links = pairs.pairs(lines.select("page_id", "group_id", "vertical", "line_idx", "x1", "y1", "x2", "y2"), ["page_id", "group_id", "vertical"]).where(pairs.aligned())
     each = components(lines, links.select("page_id", "a_line_idx", "b_line_idx"))
     of_strip = Window.partitionBy("page_id", "group_id", "component")
     centre = F.when(F.col("vertical"), -(F.col("x1") + F.col("x2")) / 2).otherwise((F.col("y1") + F.col("y2")) / 2)
     along = F.when(F.col("vertical"), F.col("y1")).otherwise(F.col("x1"))
-    placed = each.withColumn("_strip", F.avg(centre).over(of_strip)).withColumn("_along", along)
-    line = Window.partitionBy("page_id", "group_id").orderBy("_strip", "component", "_along", "line_idx")
-    return placed.withColumn("rank", F.row_number().over(line)).drop("_strip", "_along", "component")
+    placed = each.withColumns({"_strip": F.avg(centre).over(of_strip), "_first": F.min("pos").over(of_strip), "_along": along})
+    line = Window.partitionBy("page_id", "group_id").orderBy("_strip", "_first", "_along", "pos")
+    return placed.withColumn("rank", F.row_number().over(line)).drop("_strip", "_first", "_along", "component")
 
 
 def flat_order(lines: DataFrame) -> DataFrame:
     """The simpler order of the `node` profile: centres from right to left, then down
-    (vertical groups), or down, then from left to right."""
+    (vertical groups), or down, then from left to right; ties by the lines' tops."""
     cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
     first, second = F.when(F.col("vertical"), -cx).otherwise(cy), F.when(F.col("vertical"), cy).otherwise(cx)
-    return lines.withColumn("rank", F.row_number().over(Window.partitionBy("page_id", "group_id").orderBy(first, second, "line_idx")))
+    return lines.withColumn("rank", F.row_number().over(Window.partitionBy("page_id", "group_id").orderBy(first, second, "y1", "line_idx")))
 
 
-def merged(lines: DataFrame, profile: str = "python") -> DataFrame:
+def merged(lines: DataFrame, width: Column, height: Column, profile: str = "python") -> DataFrame:
     """One bubble for each group: box of all, text in reading order.  Groups of one line
-    stay single, with defaults filled in."""
+    stay single, with defaults filled in; the default orientation, and a line's vote in the
+    node profile, go by shares of the page."""
     p = profiles.GROUPINGS[profile]
     w, h = boxes.side("", "x"), boxes.side("", "y")
-    own = (F.col("orientation") == 90.0) | (h >= w) if p.use_orientation else h > w
-    own = F.coalesce(own, h >= w)
+    tall_share = h / height > w / width
+    own = F.coalesce(F.col("orientation") == 90.0, F.lit(False)) | (h >= w) if p.use_orientation else tall_share
     group = Window.partitionBy("page_id", "group_id")
     tall, all_lines = F.sum(own.cast("int")).over(group), F.count("*").over(group)
     voted = lines.withColumn("vertical", 2 * tall >= all_lines if p.use_orientation else 2 * tall > all_lines)
@@ -304,7 +373,7 @@ def merged(lines: DataFrame, profile: str = "python") -> DataFrame:
         (F.row_number().over(order) - 1).cast("bigint").alias("line_idx"),
         F.when(several, F.col("_joined")).otherwise(F.coalesce("text", F.lit(""))).alias("text"),
         "x1", "y1", "x2", "y2",
-        F.when(several, F.when(F.col("vertical"), 90.0).otherwise(0.0)).otherwise(F.coalesce("orientation", F.when(h > w, 90.0).otherwise(0.0))).alias("orientation"),
+        F.when(several, F.when(F.col("vertical"), 90.0).otherwise(0.0)).otherwise(F.coalesce("orientation", F.when(tall_share, 90.0).otherwise(0.0))).alias("orientation"),
         F.when(~several, F.coalesce("font_size", F.lit(0.04))).alias("font_size"),
         F.when(~several, F.coalesce("confidence", F.lit(0.95))).alias("confidence"),
         F.when(several, True).alias("isMerged"),
@@ -324,7 +393,7 @@ def resolved(bubbles: DataFrame) -> DataFrame:
         rest, kept = _by_area(page), []
         for r in rest:
             r["tall"] = r["forcedOrientation"] == "vertical" or _vertical(r)
-            r["kanji"], r["kana"] = bool(_KANJI.search(r["text"])), bool(_KANA.fullmatch(r["text"]))
+            r["kanji"], r["kana"] = bool(_KANJI.search(r["bare"])), bool(_KANA.search(r["bare"]))
         while rest:
             anchor, left = rest[0], []
             for other in rest[1:]:
@@ -336,11 +405,11 @@ def resolved(bubbles: DataFrame) -> DataFrame:
                 elif anchor["tall"] != other["tall"] and (iou >= 0.40 or ios >= 0.55):
                     anchor = other if other["tall"] else anchor
                 else:
-                    same, part = _same_text(rule, anchor["text"], other["text"])
+                    same, part = _same_text(rule, anchor["bare"], other["bare"])
                     if _redundant(rule, cover, same, part):
                         anchor["box"] = _grow(anchor["box"], other["box"])
-                        if len(other["text"]) > len(anchor["text"]) and not part:
-                            anchor["text"] = other["text"]
+                        if len(other["bare"]) > len(anchor["bare"]) and not part:
+                            anchor["text"] = anchor["bare"] = other["bare"]
                     else:
                         left.append(other)
             kept.append(anchor)
@@ -356,11 +425,12 @@ def auto_merge(lines: DataFrame, width: Column, height: Column, profile: str = "
     `node` knows neither suppression, orphans, containment nor conflicts.
     """
     if profile == "node":
-        return merged(settle(grouped(lines, width, height, profile)), profile)
+        return merged(settle(grouped(lines, width, height, profile)), width, height, profile)
     # Grouping and merging use their lines several times, so these are computed once.
     clean = settle(suppressed(lines, "server"))
-    bubbles = settle(uncontained(absorbed(grouped(clean, width, height, profile), width, height)))
-    return resolved(merged(bubbles, profile))
+    bubbles = settle(in_groups(clean, width, height, profile))
+    release(clean)
+    return resolved(merged(bubbles, width, height, profile))
 
 
 # --- reading order of detector boxes ----------------------------------------------------
