@@ -98,10 +98,10 @@ def resize_scale(width: Column, height: Column) -> Column:
 
 def detector_size(width: Column, height: Column) -> Column:
     """Input size of the detector: long pages by an area budget, others by their longest
-    side of 960; multiples of 32, at least 64."""
+    side of 960, never enlarged; multiples of 32, at least 64."""
     w, h = width.cast("double"), height.cast("double")
     aspect = F.greatest(w, h) / F.greatest(F.least(w, h), F.lit(1.0))
-    scale = F.when(aspect > 2, F.sqrt(F.lit(0.75 * 960 * 960) / (w * h))).otherwise(960.0 / F.greatest(w, h))
+    scale = F.least(F.when(aspect > 2, F.sqrt(F.lit(0.75 * 960 * 960) / (w * h))).otherwise(960.0 / F.greatest(w, h)), F.lit(1.0))
     snap = lambda v: F.greatest(F.bround(v * scale / 32) * 32, F.lit(64.0)).cast("long")
     return F.struct(snap(w).alias("width"), snap(h).alias("height"))
 
@@ -143,6 +143,31 @@ def snap_tilt(angle: Column, width: Column, height: Column) -> Column:
     return F.when((off <= 8) | (long / F.greatest(short, F.lit(1.0)) < 1.35) | (short < 40), 0.0).otherwise(angle)
 
 
+def ordered_corners(points: Column) -> Column:
+    """Four points [x, y] as top left, top right, bottom right, bottom left, with the whole
+    width and height of the crop they bound: the ends of x + y, and of y - x; of equal ones
+    the first."""
+
+    def end(key, sign: int) -> Column:
+        ranked = F.array_sort(F.transform(points, lambda p, i: F.struct((sign * key(p)).alias("k"), i.alias("i"), p.alias("p"))))
+        return ranked[0]["p"]
+
+    total, slope = (lambda p: p[0] + p[1]), (lambda p: p[1] - p[0])
+    corners = F.array(end(total, 1), end(slope, 1), end(total, -1), end(slope, -1))
+    far = lambda a, b: F.floor(F.sqrt(F.pow(corners[a][0] - corners[b][0], 2) + F.pow(corners[a][1] - corners[b][1], 2)))
+    return F.struct(corners.alias("corners"), F.greatest(far(2, 3), far(1, 0)).alias("width"), F.greatest(far(1, 2), far(0, 3)).alias("height"))
+
+
+def crop_in_image(left: Column, top: Column, width: Column, height: Column, shown: Column, natural_width: Column, natural_height: Column) -> Column:
+    """A crop on the screen as a box of the image itself; `shown` is the struct (left, top,
+    width, height) where the image is shown."""
+    sx, sy = natural_width / shown["width"], natural_height / shown["height"]
+    return F.struct(
+        F.greatest((left - shown["left"]) * sx, F.lit(0.0)).alias("x"), F.greatest((top - shown["top"]) * sy, F.lit(0.0)).alias("y"),
+        F.least(width * sx, natural_width).alias("width"), F.least(height * sy, natural_height).alias("height"),
+    )
+
+
 def unclip_distance(points: Column, ratio: float = 1.4) -> Column:
     """Area times ratio over perimeter, of a polygon given as points [x, y]."""
     n = F.size(points)

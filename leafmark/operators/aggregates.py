@@ -55,6 +55,12 @@ def robust_medians(frame: DataFrame, keys: list[str], size: str, ratio: float) -
     return with_robust_median(frame, keys, size, ratio).groupBy(*keys).agg(F.first("initial").alias("initial"), F.first("robust").alias("robust"))
 
 
+def newest(frame: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """(keys, number): the largest number of each key, as the newest of rows numbered in
+    the order they came."""
+    return frame.groupBy(*keys).agg(F.max(number).alias(number))
+
+
 def mean_confidence(words: Column, default: float = 0.95) -> Column:
     values = F.transform(words, lambda w: F.coalesce(w["confidence"], F.lit(default)))
     return F.coalesce(F.try_divide(F.aggregate(values, F.lit(0.0), lambda s, v: s + v), F.size(values)), F.lit(default))

@@ -22,14 +22,26 @@ def pairs(frame: DataFrame, keys: list[str] | None = None, ordered: bool = True)
     return a.join(b, keys).where(condition)
 
 
-def redundant(profile: str) -> Column:
-    """Whether one box of a pair makes the other redundant (the test of a single step of
-    the greedy suppression)."""
+def redundant(frame: DataFrame, profile: str) -> DataFrame:
+    """Pairs of lines of which one makes the other redundant (the test of a single step of
+    the greedy suppression).  The text keys are worked out for each line, not each pair."""
     rule = profiles.OVERLAPS[profile]
-    a, b = (text.key(text.strip(F.col(c)), rule.key) for c in ("a_text", "b_text"))
+    both = pairs(frame.withColumn("key", text.key(text.strip(F.col("text")), rule.key)))
+    a, b = F.col("a_key"), F.col("b_key")
     same = (a == b) & (F.length(a) > 0)
     ios = boxes.ios()
-    return (boxes.iou() >= rule.iou) | (ios >= rule.ios) | (same & (ios >= rule.same_ios)) | (text.one_holds_other(a, b) & (ios >= rule.sub_ios))
+    return both.where(
+        (boxes.iou() >= rule.iou) | (ios >= rule.ios) | (same & (ios >= rule.same_ios)) | (text.one_holds_other(a, b) & (ios >= rule.sub_ios))
+    ).drop("a_key", "b_key")
+
+
+def hits(clicks: DataFrame, frame: DataFrame, pad: float = 15.0) -> DataFrame:
+    """The clicks (page_id, click_id, x, y), each with the first line of its page whose box,
+    padded, holds it, or null."""
+    inside = F.col("x").between(F.col("b_x1") - pad, F.col("b_x2") + pad) & F.col("y").between(F.col("b_y1") - pad, F.col("b_y2") + pad)
+    found = clicks.join(_side(frame, "b_", ["page_id"]), "page_id").where(inside)
+    first = found.groupBy("page_id", "click_id").agg(F.min("b_line_idx").alias("line_idx"))
+    return clicks.join(first, ["page_id", "click_id"], "left")
 
 
 def crossing() -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,19 +87,55 @@ def before_stop(attempts: DataFrame, key: str, order: str, failed: Column, most:
     return stopped.where("_stop = 0").drop("_failed", "_run", "_streak", "_stop")
 
 
-def page_turns(polls: DataFrame, key: str, order: str, items: str) -> DataFrame:
-    """`polls` with `turned`: nothing of the previous poll of the key is seen any more."""
-    before = F.lag(items).over(Window.partitionBy(key).orderBy(order))
-    turned = before.isNotNull() & (F.size(before) > 0) & ~F.arrays_overlap(F.col(items), before)
-    return polls.withColumn("turned", turned)
+def page_turns(polls: DataFrame, key: str, order: str, items: str, span: int = 4096) -> DataFrame:
+    """`polls` with `turned`: this poll and the one before of the key both saw something,
+    and nothing in common.
+
+    `order` is a number.  Stretches of `span` of it are looked through in parallel, however
+    few keys there are; a stretch's first poll gets the last of the stretch before.
+    """
+    cut = polls.withColumn("_part", F.floor(F.col(order) / span))
+    inside = Window.partitionBy(key, "_part").orderBy(order)
+    marked = cut.withColumns({"_nth": F.row_number().over(inside), "_before": F.lag(items).over(inside)})
+    ends = cut.groupBy(key, "_part").agg(F.max_by(items, order).alias("_end"))
+    carried = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy(key).orderBy("_part")))
+    before = F.when(F.col("_nth") == 1, F.col("_end")).otherwise(F.col("_before"))
+    turned = (F.size(before) > 0) & (F.size(items) > 0) & ~F.arrays_overlap(F.col(items), before)
+    return marked.join(carried, [key, "_part"]).withColumn("turned", F.coalesce(turned, F.lit(False))).select(*polls.columns, "turned")
 
 
 def recent(seen: DataFrame, key: str, order: str, item: str, most: int = profiles.RECENT) -> DataFrame:
-    """The last `most` distinct items of each key by first appearance (seeing an item
-    again does not move it while it is remembered, which for a batch is its first place)."""
-    first = seen.groupBy(key, item).agg(F.min(order).alias(order))
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-    return first.withColumn("_nth", nth).where(F.col("_nth") <= most).drop("_nth")
+    """(key, item, order): what a memory of `most` items holds for each key in the end, and
+    when each came in.  Seeing a remembered item changes nothing; another one comes in and,
+    if there are too many, the one that came in first goes (and may come back later).
+
+    Each step depends on all before, so a key's rows stream in order through one task, which
+    remembers `most` items; keys are spread over the cluster.
+    """
+    kept = seen.select(key, item, order)
+    schema = kept.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, memory, first = None, {}, True
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{key: now, item: i, order: o} for i, o in memory.items()], schema=kind)
+
+        for batch in batches:
+            kind = batch.schema
+            for k, i, o in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if first or k != now:
+                    if memory:
+                        yield rows()
+                    now, memory, first = k, {}, False
+                if i not in memory:
+                    memory[i] = o
+                    if len(memory) > most:
+                        del memory[next(iter(memory))]
+        if memory:
+            yield rows()
+
+    return kept.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
 
 
 def idle_sessions(uses: DataFrame, key: str, at: str, seconds: int = profiles.IDLE_SECONDS) -> DataFrame:

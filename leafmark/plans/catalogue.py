@@ -99,6 +99,68 @@ def unclip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return box_view(spark, sf_dir).select("page_id", "line_idx", F.round(boxes.unclip_distance(corners), 6).alias("distance"))
 
 
+@query(f"""WITH {BOXES_SQL}, s AS (SELECT page_id, line_idx, (x2 - x1) * (page_id % 7 + 1) AS w, (y2 - y1) * (line_idx % 5 + 1) AS h FROM boxes),
+k AS (SELECT *, CASE WHEN greatest(w, h) > 2 * least(w, h) THEN least(1.0, sqrt(0.75 * 960 * 960 / (w * h))) ELSE least(1.0, 960.0 / greatest(w, h)) END AS scale FROM s)
+SELECT page_id, line_idx, CAST(greatest(round_even(w * scale / 32, 0) * 32, 64) AS BIGINT) AS width, CAST(greatest(round_even(h * scale / 32, 0) * 32, 64) AS BIGINT) AS height FROM k""")
+def detector_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = boxes.detector_size(boxes.side("", "x") * (F.col("page_id") % 7 + 1), boxes.side("", "y") * (F.col("line_idx") % 5 + 1))
+    return box_view(spark, sf_dir).select("page_id", "line_idx", size.alias("s")).select("page_id", "line_idx", "s.width", "s.height")
+
+
+# Boxes leaning by some pixels, their corners given in turned order.
+_LEANING = (("x1 + line_idx % 3", "y1"), ("x2", "y1 + page_id % 5"), ("x2 - line_idx % 4", "y2"), ("x1", "y2 - page_id % 2"))
+
+
+@query(f"""WITH {BOXES_SQL}, p AS (SELECT page_id, line_idx, {", ".join(f"{x} AS px{i}, {y} AS py{i}" for i, (x, y) in enumerate(_LEANING))} FROM boxes),
+c AS ({" UNION ALL ".join(f"SELECT page_id, line_idx, ({i} - line_idx % 4 + 4) % 4 AS nth, px{i} AS x, py{i} AS y FROM p" for i in range(4))}),
+r AS (SELECT page_id, line_idx, {", ".join(f"arg_min(x, ({e}, nth)) AS x{n}, arg_min(y, ({e}, nth)) AS y{n}" for n, e in (("a", "x + y"), ("b", "y - x"), ("c", "-(x + y)"), ("d", "x - y")))} FROM c GROUP BY ALL)
+SELECT page_id, line_idx, xa, ya, xb, yb, xc, yc, xd, yd, CAST(greatest(floor(sqrt((xc - xd) ** 2 + (yc - yd) ** 2)), floor(sqrt((xb - xa) ** 2 + (yb - ya) ** 2))) AS BIGINT) AS width,
+  CAST(greatest(floor(sqrt((xb - xc) ** 2 + (yb - yc) ** 2)), floor(sqrt((xa - xd) ** 2 + (ya - yd) ** 2))) AS BIGINT) AS height FROM r""")
+def corner_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = F.array(*(F.array(F.expr(x).cast("double"), F.expr(y).cast("double")) for x, y in _LEANING))
+    turn = (F.col("line_idx") % 4).cast("int")
+    turned = F.concat(F.slice(points, turn + 1, 4 - turn), F.slice(points, F.lit(1), turn))
+    found = box_view(spark, sf_dir).select("page_id", "line_idx", boxes.ordered_corners(turned).alias("o"))
+    ends = [F.col("o.corners")[i][k].alias(f"{axis}{name}") for i, name in enumerate("abcd") for k, axis in enumerate("xy")]
+    return found.select("page_id", "line_idx", *ends, "o.width", "o.height")
+
+
+@query(f"""WITH {BOXES_SQL} SELECT page_id, line_idx, greatest((x1 - 40) * ({W0} / 800), 0.0) AS x, greatest((y1 - 25) * ({H0} / 700), 0.0) AS y,
+  least((x2 - x1) * ({W0} / 800) * 3, {W0}) AS width, least((y2 - y1) * ({H0} / 700) * 3, {H0}) AS height FROM boxes""")
+def crop_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.struct(F.lit(40.0).alias("left"), F.lit(25.0).alias("top"), F.lit(800.0).alias("width"), F.lit(700.0).alias("height"))
+    crop = boxes.crop_in_image(F.col("x1"), F.col("y1"), boxes.side("", "x") * 3, boxes.side("", "y") * 3, shown, F.lit(W), F.lit(H))
+    return box_view(spark, sf_dir).select("page_id", "line_idx", crop.alias("c")).select("page_id", "line_idx", *(F.round(f"c.{f}", 6).alias(f) for f in ("x", "y", "width", "height")))
+
+
+@query(f"""WITH {BOXES_SQL} SELECT page_id, line_idx, (line_idx * 17 % 100) / 100.0 >= 0.44 AS confident,
+  NOT (length(substr(text, 1, 1)) = 1 AND ((x2 - x1) * (y2 - y1) < 300 OR greatest(x2 - x1, y2 - y1) < 24 OR ascii(text) < 128)) AS droplet,
+  x2 - x1 >= 60 AND least(x2 - x1, y2 - y1) >= 3 AND (line_idx * 17 % 100) / 100.0 >= 0.25 AND (y2 - y1) / 10 >= 6 AS detected,
+  CASE WHEN least(line_idx * 7 % 90, 90 - line_idx * 7 % 90) <= 8 OR greatest(x2 - x1, y2 - y1) / greatest(least(x2 - x1, y2 - y1), 1.0) < 1.35 OR least(x2 - x1, y2 - y1) < 40 THEN 0.0 ELSE line_idx * 7 END::DOUBLE AS tilt,
+  x1 + (x2 - x1) / 2 - (x2 - x1) / 2 AS x FROM boxes""")
+def detector_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, h = boxes.side("", "x"), boxes.side("", "y")
+    score = (F.col("line_idx") * 17 % 100) / 100.0
+    b = box_view(spark, sf_dir).withColumn("t", F.substring("text", 1, 1))
+    corners = F.array_repeat(F.array(F.lit(0.0), F.lit(0.0)), 4)
+    centred = adapters.centred_boxes(b.select("page_id", "line_idx", (F.col("x1") + w / 2).alias("center_x"), F.col("y1").alias("center_y"), w.alias("width"), h.alias("height")))
+    flags = b.select(
+        "page_id", "line_idx", filters.confident(score).alias("confident"), filters.not_droplet(F.col("t"), "ppocr").alias("droplet"),
+        (filters.detected(corners, score, w, h / 10) & (w >= 60)).alias("detected"), boxes.snap_tilt((F.col("line_idx") * 7).cast("double"), w, h).alias("tilt"),
+    )
+    return flags.join(centred.select("page_id", "line_idx", "x"), ["page_id", "line_idx"])
+
+
+@query(f"""WITH {BOXES_SQL}, c AS (SELECT DISTINCT page_id, page_id AS click_id, (page_id * 37 % {PAGE_WIDTH})::DOUBLE AS x, (page_id * 53 % {PAGE_HEIGHT})::DOUBLE AS y FROM boxes)
+SELECT c.page_id, coalesce(min(b.line_idx), -1) AS line_idx FROM c LEFT JOIN boxes b ON b.page_id = c.page_id AND c.x BETWEEN b.x1 - 15 AND b.x2 + 15 AND c.y BETWEEN b.y1 - 15 AND b.y2 + 15 GROUP BY ALL""")
+def hit_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = box_view(spark, sf_dir)
+    clicks = b.select("page_id").distinct().select(
+        "page_id", F.col("page_id").alias("click_id"), (F.col("page_id") * 37 % PAGE_WIDTH).cast("double").alias("x"), (F.col("page_id") * 53 % PAGE_HEIGHT).cast("double").alias("y")
+    )
+    return pairs.hits(clicks, b).select("page_id", F.coalesce("line_idx", F.lit(-1)).alias("line_idx"))
+
+
 # --- pairs --------------------------------------------------------------------------------
 
 
@@ -116,7 +178,7 @@ SELECT page_id, i, j FROM k WHERE iou >= {rule.iou} OR ios >= {rule.ios} OR (ka
   OR ((contains(ka, kb) OR contains(kb, ka)) AND least(length(ka), length(kb)) > 0 AND ios >= {rule.sub_ios})"""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        both = pairs.pairs(box_view(spark, sf_dir)).where(pairs.redundant(profile))
+        both = pairs.redundant(box_view(spark, sf_dir), profile)
         return both.select("page_id", F.col("a_line_idx").alias("i"), F.col("b_line_idx").alias("j"))
 
     run.__name__ = f"dedup_candidates_{profile}"
@@ -184,8 +246,8 @@ def orphan_static(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edges_sql(p: profiles.Grouping) -> str:
-    return f"""{BOXES_SQL}, s AS (SELECT page_id, line_idx, x1 * (1000.0 / {W0}) AS x1, x2 * (1000.0 / {W0}) AS x2, y1 * (1000.0 / {W0}) AS y1, y2 * (1000.0 / {W0}) AS y2, x2 - x1 <= y2 - y1 AS v FROM boxes),
-f AS (SELECT *, CASE WHEN v THEN x2 - x1 ELSE y2 - y1 END AS font FROM s),
+    return f"""{BOXES_SQL}, s AS (SELECT page_id, line_idx, x1 * (1000.0 / {W0}) AS x1, x2 * (1000.0 / {W0}) AS x2, y1 * (1000.0 / {W0}) AS y1, y2 * (1000.0 / {W0}) AS y2, x2 - x1 <= y2 - y1 AS v, least(x2 - x1, y2 - y1) * (1000.0 / {W0}) AS font FROM boxes),
+f AS (SELECT * FROM s),
 m1 AS (SELECT page_id, v, median(font) AS m FROM f GROUP BY ALL),
 m2 AS (SELECT f.page_id, f.v, coalesce(nullif(median(CASE WHEN font >= m * {p.min_line_ratio} THEN font END), 0), nullif(any_value(m), 0), 20.0) AS r FROM f JOIN m1 ON f.page_id = m1.page_id AND f.v = m1.v GROUP BY ALL),
 q AS (SELECT f.*, r, font >= r * {p.min_line_ratio} AS main FROM f JOIN m2 ON f.page_id = m2.page_id AND f.v = m2.v),
@@ -250,7 +312,7 @@ def bbox_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {BOXES_SQL}, v AS (SELECT *, page_id % 2 = 0 AS vertical, line_idx // 4 AS group_id FROM boxes)
-SELECT page_id, line_idx, CAST(row_number() OVER (PARTITION BY page_id, group_id ORDER BY CASE WHEN vertical THEN -(x1 + x2) / 2 ELSE (y1 + y2) / 2 END, CASE WHEN vertical THEN (y1 + y2) / 2 ELSE (x1 + x2) / 2 END, line_idx) AS INT) AS rank FROM v""")
+SELECT page_id, line_idx, CAST(row_number() OVER (PARTITION BY page_id, group_id ORDER BY CASE WHEN vertical THEN -(x1 + x2) / 2 ELSE (y1 + y2) / 2 END, CASE WHEN vertical THEN (y1 + y2) / 2 ELSE (x1 + x2) / 2 END, y1, line_idx) AS INT) AS rank FROM v""")
 def reading_order_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = box_view(spark, sf_dir).withColumns({"vertical": F.col("page_id") % 2 == 0, "group_id": F.expr("line_idx div 4")})
     return layout.flat_order(b).select("page_id", "line_idx", "rank")
@@ -304,6 +366,18 @@ def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.bare_url(F.col("url")).alias("bare"), F.sha2("url", 256).alias("digest"))
 
 
+@query("""SELECT page_id, 'http://ocr/ocr?url=' || replace(replace(url_encode(split_part(url, '?', 1)), '%2A', '*'), '%21', '!') || '&context=' || replace(url_encode(split_part(url, '/', 3) || ' page'), '%2A', '*') AS request,
+ to_base64(encode('user' || page_id || ':pass')) AS auth, regexp_replace(replace(html[1:80], '>', chr(10)), '\n+', chr(8203), 'g') AS saved FROM pages""")
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    context = F.concat(F.element_at(F.split("url", "/"), 3), F.lit(" page"))
+    return pages.select(
+        "page_id", text.request_url(F.lit("http://ocr"), F.col("url"), context).alias("request"),
+        F.replace(text.basic_auth(F.concat(F.lit("user"), "page_id"), F.lit("pass")), F.lit("Basic "), F.lit("")).alias("auth"),
+        text.to_saved(F.replace(F.substring("html", 1, 80), F.lit(">"), F.lit("\n"))).alias("saved"),
+    )
+
+
 _PAGE_URL_SQL = "'/api/v1/manga/' || (page_id % 7) || '/chapter/' || (page_id % 3) || CASE WHEN page_id % 5 = 0 THEN '/thumbnail' ELSE '/page/' || page_id END || CASE WHEN page_id % 2 = 0 THEN '?v=' || page_id ELSE '' END"
 
 
@@ -387,16 +461,24 @@ def argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 _POLLS = "floor(event_id / 5)"
 
 
-@query(f"""WITH p AS (SELECT event_type, CAST({_POLLS} AS BIGINT) AS poll, list(DISTINCT user_id % 20) AS items FROM events GROUP BY ALL),
-l AS (SELECT *, lag(items) OVER (PARTITION BY event_type ORDER BY poll) AS b FROM p)
-SELECT event_type, poll, b IS NOT NULL AND NOT coalesce(list_has_any(items, b), false) AS turned FROM l""")
+# Every seventh poll sees nothing.
+@query(f"""WITH p AS (SELECT event_type, CAST({_POLLS} AS BIGINT) AS poll, list(DISTINCT user_id % 20) AS seen FROM events GROUP BY ALL),
+e AS (SELECT event_type, poll, CASE WHEN poll % 7 = 0 THEN [] ELSE seen END AS items FROM p),
+l AS (SELECT *, lag(items) OVER (PARTITION BY event_type ORDER BY poll) AS b FROM e)
+SELECT event_type, poll, b IS NOT NULL AND len(b) > 0 AND len(items) > 0 AND NOT list_has_any(items, b) AS turned FROM l""")
 def page_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    polls = table(spark, sf_dir, "events").groupBy("event_type", F.expr(f"CAST({_POLLS} AS BIGINT)").alias("poll")).agg(F.collect_set(F.col("user_id") % 20).alias("items"))
-    return windows.page_turns(polls, "event_type", "poll", "items").select("event_type", "poll", "turned")
-
-
-@query("""WITH f AS (SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM f)
-SELECT user_id, event_type, event_id FROM r WHERE n <= 3""")
+    polls = table(spark, sf_dir, "events").groupBy("event_type", F.expr(f"CAST({_POLLS} AS BIGINT)").alias("poll")).agg(F.collect_set(F.col("user_id") % 20).alias("seen"))
+    polls = polls.withColumn("items", F.when(F.col("poll") % 7 == 0, F.array().cast("array<bigint>")).otherwise(F.col("seen")))
+    return windows.page_turns(polls, "event_type", "poll", "items", span=64).select("event_type", "poll", "turned")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+f AS (SELECT user_id, n, [event_type] AS items, [event_id] AS ids FROM e WHERE n = 1
+ UNION ALL SELECT e.user_id, e.n, CASE WHEN list_contains(f.items, e.event_type) THEN f.items WHEN len(f.items) = 3 THEN list_append(f.items[2:3], e.event_type) ELSE list_append(f.items, e.event_type) END,
+  CASE WHEN list_contains(f.items, e.event_type) THEN f.ids WHEN len(f.ids) = 3 THEN list_append(f.ids[2:3], e.event_id) ELSE list_append(f.ids, e.event_id) END
+ FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1),
+l AS (SELECT user_id, arg_max(items, n) AS items, arg_max(ids, n) AS ids FROM f GROUP BY user_id)
+SELECT user_id, unnest(items) AS event_type, unnest(ids) AS event_id FROM l""")
 def recent_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.recent(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), "user_id", "event_id", "event_type")
 
@@ -434,7 +516,27 @@ def cache_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(DISTINCT user_id) AS removed FROM events")
 def cache_purge_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("user_id").distinct().agg(F.count("*").alias("removed"))
+    empty, removed = cache.purged(table(spark, sf_dir, "events").select("user_id").distinct())
+    return empty.agg((F.count("*") + removed).alias("removed"))
+
+
+@query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
+def latest_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.newest(table(spark, sf_dir, "events"), ["user_id"], "event_id")
+
+
+# Conversations are pages of the cache, a turn a bubble; even ones were edited and synced.
+@query(f"""SELECT 'c/' || conv_id AS url, conv_id % 2 = 0 AS edited, turn, CASE WHEN conv_id % 2 = 0 THEN {_CLEAN_SQL} ELSE text END AS text FROM conversations""")
+def cache_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = table(spark, sf_dir, "conversations")
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in schema.BUBBLE.fields if f.name not in ("text", "font_size")}
+    bubble = F.struct(*(F.col("text") if f.name == "text" else F.col("turn").cast("double").alias("font_size") if f.name == "font_size" else none[f.name] for f in schema.BUBBLE.fields))
+    pages = talk.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", bubble.alias("b")))).alias("v"))
+    pages = pages.select("conv_id", F.concat(F.lit("c/"), "conv_id").alias("url"), F.lit("old").alias("context"), F.transform("v", lambda v: v["b"]).alias("data"), F.lit(0).cast("long").alias("seq"))
+    edits = pages.where("conv_id % 2 = 0").withColumns({"url": F.concat("url", F.lit("?v=2")), "context": F.lit("new"), "seq": F.lit(1).cast("long")})
+    found = cache.synced(pages.drop("conv_id"), edits.drop("conv_id"))
+    each = found.select("url", (F.col("context") == "new").alias("edited"), F.explode("data").alias("b"))
+    return each.select("url", "edited", F.col("b.font_size").cast("long").alias("turn"), F.col("b.text").alias("text"))
 
 
 # --- adapters -----------------------------------------------------------------------------
@@ -469,15 +571,52 @@ def oneocr_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- steps that depend on one another -------------------------------------------------------
 
 
-@query(f"WITH {BOXES_SQL}, s AS (SELECT * FROM boxes) SELECT page_id, line_idx, CAST(0 AS BIGINT) AS segment FROM s")
+def _segment_sql(page_height: str) -> str:
+    """Line by line down each page: a page over 3000 opens a segment at a line that ends more
+    than 3000 below the segment's first top, unless no line has joined that segment yet."""
+    return f"""WITH RECURSIVE {BOXES_SQL}, o AS (SELECT page_id, line_idx, y1 * 8 AS y1, y2 * 8 AS y2, {page_height} > 3000 AS tall, row_number() OVER (PARTITION BY page_id ORDER BY y1, line_idx) AS k FROM boxes),
+f AS (SELECT page_id, line_idx, k, y1 AS top, 0::BIGINT AS segment, TRUE AS alone, FALSE AS rest FROM o WHERE k = 1
+ UNION ALL SELECT o.page_id, o.line_idx, o.k, CASE WHEN o.y2 - f.top > 3000 AND NOT f.alone AND NOT f.rest THEN o.y1 ELSE f.top END,
+  f.segment + CASE WHEN o.tall AND o.y2 - f.top > 3000 AND NOT f.alone AND NOT f.rest THEN 1 ELSE 0 END,
+  o.y2 - f.top > 3000 AND NOT f.alone AND NOT f.rest, f.rest OR (o.y2 - f.top > 3000 AND f.alone)
+ FROM f JOIN o ON o.page_id = f.page_id AND o.k = f.k + 1)
+SELECT page_id, line_idx, segment FROM f"""
+
+
+# Every third page is short and has one segment.
+_MIXED_HEIGHT = "CASE WHEN page_id % 3 = 0 THEN 2000 ELSE 11200 END"
+
+
+def _eightfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return box_view(spark, sf_dir).withColumns({"y1": F.col("y1") * 8, "y2": F.col("y2") * 8})
+
+
+@query(_segment_sql(_MIXED_HEIGHT))
 def segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.segments(box_view(spark, sf_dir), F.lit(H)).select("page_id", "line_idx", "segment")
+    return windows.segments(_eightfold(spark, sf_dir), F.expr(_MIXED_HEIGHT)).select("page_id", "line_idx", "segment")
 
 
-@query()
+@query(_segment_sql("11200"))
 def segment_tall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tall = box_view(spark, sf_dir).withColumns({"y1": F.col("y1") * 8, "y2": F.col("y2") * 8})
-    return windows.segments(tall, F.lit(H * 8)).select("page_id", "line_idx", "segment")
+    return windows.segments(_eightfold(spark, sf_dir), F.lit(H * 8)).select("page_id", "line_idx", "segment")
+
+
+# A recogniser that sees one line in the middle of what it is given.
+@query(f"""WITH {BOXES_SQL}, p AS (SELECT page_id, max(x2) * 4 AS w, max(y2) * 8 AS h FROM boxes GROUP BY ALL),
+t AS (SELECT *, h / greatest(w, 1) >= 1.85 AND h > 2500 AS tall FROM p),
+s AS (SELECT page_id, h, unnest(range(0, greatest(CAST(ceil((h - 2500) / 2150.0) AS BIGINT), 0) * 2150 + 1, 2150)) AS o, 2500 AS size FROM t WHERE tall UNION ALL SELECT page_id, h, 0, h FROM t WHERE NOT tall)
+SELECT page_id, o + least(size, h - o) * 0.25 AS y1, o + least(size, h - o) * 0.75 AS y2, CASE WHEN size = 2500 AND h > 2500 THEN CASE WHEN least(size, h - o) * 0.5 > 60 THEN 90.0 ELSE 0.0 END END::DOUBLE AS orientation FROM s""")
+def chunked_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = box_view(spark, sf_dir).groupBy("page_id").agg((F.max("x2") * 4).alias("width"), (F.max("y2") * 8).alias("height"))
+
+    def middle(cut: DataFrame) -> DataFrame:
+        w = 60.0 / F.col("width")
+        return cut.select(
+            "page_id", "offset", F.lit(0).cast("long").alias("line_idx"), F.concat(F.lit("line at "), "offset").alias("text"), F.lit(0.1).alias("x"), F.lit(0.25).alias("y"),
+            w.alias("width"), F.lit(0.5).alias("height"), F.lit(None).cast("double").alias("orientation"), F.lit(0.9).alias("confidence"),
+        )
+
+    return layout.chunked(pages, middle).select("page_id", F.round("y1", 6).alias("y1"), F.round("y2", 6).alias("y2"), "orientation")
 
 
 @query()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmark import schema
+from leafmark.functions import text
 
 IMPORTED = "Imported Data"
 _DATA = schema.CACHE["data"].dataType
@@ -57,6 +58,18 @@ def upserted(cache: DataFrame, changes: DataFrame) -> DataFrame:
     return latest(cache.unionByName(changes.where("data IS NOT NULL")), "url", "seq")
 
 
+def cleaned(cache: DataFrame) -> DataFrame:
+    """The cache with the punctuation of every bubble's text normalised."""
+    tidy = F.transform("data", lambda b: b.withField("text", text.clean_punctuation(b["text"])))
+    return cache.withColumn("data", tidy)
+
+
+def synced(cache: DataFrame, edits: DataFrame) -> DataFrame:
+    """The cache after pages (url, context, data, seq) were normalised and written back:
+    the URL counts without its query string, and pages without data are refused."""
+    return upserted(cache, cleaned(edits.withColumn("url", text.bare_url(F.col("url")))))
+
+
 def latest(changes: DataFrame, key: str, seq: str) -> DataFrame:
     """The row of each key with the highest `seq`, by a partial aggregate, not a sort."""
     others = [c for c in changes.columns if c != key]
@@ -84,9 +97,9 @@ def without_line(cache: DataFrame, url: str, index: int) -> DataFrame:
     return cache.withColumn("data", F.when(F.col("url") == url, kept).otherwise(F.col("data")))
 
 
-def with_text(cache: DataFrame, url: str, index: int, text: str) -> DataFrame:
+def with_text(cache: DataFrame, url: str, index: int, new_text: str) -> DataFrame:
     """The cache with one bubble's text replaced; it counts as merged if it has a join."""
-    new = text.replace("\n", "​")
+    new = new_text.replace("\n", "​")
     edit = F.transform("data", lambda b, i: F.when(i == index, b.withField("text", F.lit(new)).withField("isMerged", F.lit("​" in new))).otherwise(b))
     return cache.withColumn("data", F.when(F.col("url") == url, edit).otherwise(F.col("data")))
 

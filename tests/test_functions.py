@@ -93,6 +93,8 @@ def test_geometry(spark):
     ).first()
     assert (round(row.rad, 6), row.deg, row.up, row.down, row.same) == (180.0, 45.0, 2.5, 0.5, 1.0)
     assert (row.d.width, row.d.height) == (960, 480)
+    sizes = spark.createDataFrame([(500, 400), (100, 300), (800, 6000), (1, 1)], "w int, h int").select(boxes.detector_size(F.col("w"), F.col("h")).alias("d"))
+    assert [(r.d.width, r.d.height) for r in sizes.collect()] == [(512, 384), (96, 288), (288, 2272), (64, 64)]
     assert row.long.width % 32 == 0 and row.long.width * row.long.height < 960 * 960
     assert (row.flat, row.tilt) == (0.0, 30.0)
 
@@ -111,5 +113,19 @@ def test_site_rules(spark):
 def test_recent_and_turns(spark):
     seen = spark.createDataFrame([(1, i, x) for i, x in enumerate("abacd")], "k long, i long, x string")
     assert {r.x for r in windows.recent(seen, "k", "i", "x").collect()} == {"b", "c", "d"}
+    # a goes when d comes, and comes back when it is seen again.
+    back = spark.createDataFrame([(1, i, x) for i, x in enumerate("abcbda")] + [(2, 0, "z")], "k long, i long, x string")
+    assert sorted((r.k, r.x, r.i) for r in windows.recent(back, "k", "i", "x").collect()) == [(1, "a", 5), (1, "c", 2), (1, "d", 4), (2, "z", 0)]
+    assert windows.recent(back.limit(0), "k", "i", "x").count() == 0
     polls = spark.createDataFrame([(1, 0, ["a"]), (1, 1, ["a", "b"]), (1, 2, ["c"])], "k long, i long, items array<string>")
     assert [r.turned for r in windows.page_turns(polls, "k", "i", "items").orderBy("i").collect()] == [False, False, True]
+
+
+@pytest.mark.parametrize("span", [1, 3, 4096])
+def test_turns_over_stretches_and_empty_polls(spark, span):
+    items = [["a"], [], ["b"], ["c"], ["c", "d"], [], [], ["e"], ["f"], ["f"]]
+    rows = [(k, i * step, x) for k, step in ((1, 1), (2, 5)) for i, x in enumerate(items)]
+    found = windows.page_turns(spark.createDataFrame(rows, "k long, i long, items array<string>"), "k", "i", "items", span)
+    for k in (1, 2):
+        turned = [r.turned for r in found.where(F.col("k") == k).orderBy("i").collect()]
+        assert turned == [n > 0 and bool(x) and bool(items[n - 1]) and not set(x) & set(items[n - 1]) for n, x in enumerate(items)]
