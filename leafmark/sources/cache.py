@@ -28,9 +28,11 @@ def entries(raw: DataFrame) -> DataFrame:
     return raw.select("url", context.alias("context"), data.alias("data")).where("data IS NOT NULL")
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """A cache file of one JSON object, url to entry.  Unreadable JSON is an empty cache."""
-    whole = spark.read.text(path, wholetext=True)
+def load(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A cache file of one JSON object, url to entry, or a folder of such files; with
+    `lines`, each line is such an object (as `save_map` writes them), so that a large cache
+    is read by many tasks.  Unreadable JSON is an empty cache."""
+    whole = spark.read.text(path, wholetext=not lines)
     pairs = whole.select(F.explode(F.from_json("value", T.MapType(T.StringType(), T.StringType()))).alias("url", "entry"))
     return entries(pairs).withColumn("seq", F.lit(0).cast("long"))
 
@@ -40,6 +42,15 @@ def save(cache: DataFrame, path: str) -> None:
     cache.write.mode("overwrite").parquet(path)
 
 
+def save_map(cache: DataFrame, path: str, urls: int = 1000) -> None:
+    """Write the cache in the form `load` reads: JSON objects, url to entry, of about `urls`
+    entries each, one a line."""
+    parts = max(1, -(-cache.count() // urls))
+    entry = F.struct("url", F.struct("context", "data").alias("entry"))
+    maps = cache.groupBy(F.pmod(F.xxhash64("url"), F.lit(parts)).alias("part")).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
+    maps.select(F.to_json("m").alias("value")).write.mode("overwrite").text(path)
+
+
 def export(cache: DataFrame, path: str) -> None:
     """One JSON line for each URL; readable by `spark.read.json`."""
     cache.select("url", "context", "data").write.mode("overwrite").json(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from leafmark import schema
 from leafmark.sources import cache
+from leafmark.sources.stage import release, settle
 
 
 def changes(spark: SparkSession, path: str) -> DataFrame:
@@ -17,28 +19,51 @@ def changes(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema.CACHE).json(path)
 
 
-def upsert_into(stream: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
-    """Apply changes to the cache table in micro-batches, each as a new version beside the
-    last: `table_path/v=N`, N the batch.  A batch that is run again writes the same version."""
+def upsert_into(stream: DataFrame, table_path: str, checkpoint: str, compact: int = 16) -> StreamingQuery:
+    """Apply changes to the cache table in micro-batches: batch N adds the folder
+    `table_path/d=N` with the latest change of each of its URLs, so its cost does not depend
+    on the table.  Every `compact` batches the table is written anew as `v=N`, and the
+    folders that it replaces go.  A batch that is run again writes the same folder."""
     spark = stream.sparkSession
 
     def apply(batch: DataFrame, n: int) -> None:
-        old = current(spark, table_path, before=n)
-        cache.save(cache.upserted(old, batch), f"{table_path}/v={n}")
+        cache.save(cache.latest(batch.where("data IS NOT NULL"), "url", "seq"), f"{table_path}/d={n}")
+        if n % compact == compact - 1 and n not in _written(spark, table_path)["v"]:
+            cache.save(current(spark, table_path), f"{table_path}/v={n}")
+            files, folder = _files(spark, table_path)
+            for kind, done in _written(spark, table_path).items():
+                for k in done:
+                    if k < n or (kind == "d" and k == n):
+                        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{kind}={k}"), True)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, table_path: str, before: int | None = None) -> DataFrame:
-    """The newest version of the cache table, or the newest before version `before`."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(table_path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
-    done = [int(n[2:]) for n in found if n.startswith("v=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/{n}/_SUCCESS"))]
-    versions = sorted(n for n in done if before is None or n < before)
-    if not versions:
+def _files(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _written(spark: SparkSession, table_path: str) -> dict[str, list[int]]:
+    """The numbers of the whole tables (v) and of the batches (d) that are there in full."""
+    files, folder = _files(spark, table_path)
+    found: dict[str, list[int]] = {"v": [], "d": []}
+    for status in files.listStatus(folder) if files.exists(folder) else []:
+        kind, _, number = status.getPath().getName().partition("=")
+        if kind in found and files.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            found[kind].append(int(number))
+    return {kind: sorted(numbers) for kind, numbers in found.items()}
+
+
+def current(spark: SparkSession, table_path: str) -> DataFrame:
+    """The cache table: the newest whole one and the batches since."""
+    done = _written(spark, table_path)
+    base = done["v"][-1:]
+    paths = [f"{table_path}/v={n}" for n in base] + [f"{table_path}/d={n}" for n in done["d"] if n > (base or [-1])[0]]
+    if not paths:
         return spark.createDataFrame([], schema.CACHE)
-    return spark.read.schema(schema.CACHE).parquet(f"{table_path}/v={versions[-1]}")
+    rows = reduce(DataFrame.unionByName, (spark.read.schema(schema.CACHE).parquet(p) for p in paths))
+    return cache.latest(rows, "url", "seq")
 
 
 def latest_state(stream: DataFrame) -> DataFrame:
@@ -50,11 +75,12 @@ def process_pages(stream: DataFrame, recognise: Callable[[DataFrame], DataFrame]
     """Run a recogniser over arriving pages; failed pages keep a status, not an empty result."""
 
     def apply(batch: DataFrame, n: int) -> None:
-        lines = recognise(batch)
+        lines = settle(recognise(batch))  # used twice, computed once
         found = lines.groupBy("page_id").agg(F.count("*").alias("n_lines"))
         status = batch.select("page_id").distinct().join(found, "page_id", "left").withColumn("status", F.when(F.col("n_lines").isNull(), "failed").otherwise("ready"))
         status.write.mode("overwrite").parquet(f"{out}/status/batch={n}")
         lines.write.mode("overwrite").parquet(f"{out}/lines/batch={n}")
+        release(lines)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -49,13 +49,29 @@ def test_edits(spark):
     assert last.forcedOrientation == "auto" and round(last.tightBoundingBox.width, 9) == 0.8 and last.tightBoundingBox.y == 0.0
 
 
-def test_stream_of_changes(spark, tmp_path):
+def test_maps_round_trip(spark, tmp_path):
+    rows = [(f"u{i}", "c", [{**BUBBLE, "text": f"t{i}"}], 0) for i in range(25)]
+    cache.save_map(spark.createDataFrame(rows, schema.CACHE), f"file://{tmp_path}/maps", urls=4)
+    back = cache.load(spark, f"file://{tmp_path}/maps", lines=True)
+    assert {(r.url, r.data[0].text) for r in back.collect()} == {(f"u{i}", f"t{i}") for i in range(25)}
+
+
+def test_sync_normalises_and_drops_the_query(spark):
+    old = spark.createDataFrame([("u", "a", [BUBBLE], 1), ("v", "a", [BUBBLE], 1)], schema.CACHE)
+    edits = spark.createDataFrame([("u?x=1", "b", [{**BUBBLE, "text": "え ??!"}], 2), ("v", "b", None, 3)], schema.CACHE)
+    found = {r.url: (r.context, [b.text for b in r.data]) for r in cache.synced(old, edits).collect()}
+    assert found == {"u": ("b", ["え⁇"]), "v": ("a", ["a"])}
+
+
+@pytest.mark.parametrize("compact", [16, 2])
+def test_stream_of_changes(spark, tmp_path, compact):
     (tmp_path / "in").mkdir()
     for n, rows in enumerate([[("u", 1, "a"), ("v", 1, "b")], [("u", 5, "c")], [("u", 3, "late")]]):
         write(tmp_path / "in" / f"{n}.json", "\n".join(json.dumps({"url": u, "context": c, "data": [], "seq": s}) for u, s, c in rows))
-        query = cache_stream.upsert_into(cache_stream.changes(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/table", f"file://{tmp_path}/ck")
+        query = cache_stream.upsert_into(cache_stream.changes(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/table", f"file://{tmp_path}/ck", compact)
         query.awaitTermination()
     assert {r.url: r.context for r in cache_stream.current(spark, f"file://{tmp_path}/table").collect()} == {"u": "c", "v": "b"}
+    assert sorted(p.name for p in (tmp_path / "table").iterdir() if "=" in p.name) == (["d=0", "d=1", "d=2"] if compact == 16 else ["d=2", "v=1"])
 
 
 def test_page_stream_keeps_failures(spark, tmp_path):
