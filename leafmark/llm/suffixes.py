@@ -12,19 +12,22 @@ share are sorted:
 2. A task sorts its own anchors first: a gram that two of its documents have is shared,
    and only one row for it goes on, so a gram that a third of all documents have costs
    one row per task.  One shuffle by gram then finds those that other tasks have too.
-3. For the rest, the stretch of bytes that holds an anchor's windows goes to its bucket.
+3. For the rest, the stretch of bytes that holds an anchor's windows goes to its bucket
+   (equal stretches in one piece of text once, for the first document that has them).
    One block of buckets is sorted at a time: suffixes by their first eight bytes, longer
    ties by precomputed ranks of a difference cover (residues 0, 1, 3, 9 modulo 13; the
    stretches are laid out so that their anchors have residue 0, and a suffix's two cover
    positions depend only on its residue), so a block never compares long strings and its
    memory is set by `BLOCK`.
-4. A bucket with over `HOT` stretches is not gathered: its windows become rows of their
-   own, the smallest doc_id of each is found with a map-side combine and joined back (a
-   skewed join that Spark may split).
+4. A bucket that over `HOT` documents share, a few MB, is not gathered: its equal stretches
+   become one with a map-side combine, the windows of that one rows of their own, by hash,
+   and the smallest doc_id of each is joined back (joins that Spark may split).
 
 Null and empty texts and those shorter than `width` lose nothing.  Rows that repeat a
 doc_id are one document for the rule (they never remove from each other) and each get
-their row.  Rows without a doc_id are left out.  An empty table gives no rows.
+their row.  Texts of any length are read whole.  Rows without a doc_id are left out.
+Columns other than doc_id and text are ignored, whatever their names (`without_repeats`
+keeps them).  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -182,6 +186,9 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, start, size = [], i + 1, 0
 
 
+_STRETCH = ["key", "doc_id", "tag", "starts", "lead", "bytes"]
+
+
 def _stretches(width: int):
     """Of each text, the stretches of bytes whose anchor is among its shared keys."""
 
@@ -205,8 +212,22 @@ def _stretches(width: int):
             start, length, anchor, key, doc, content = (x[order] for x in (start, length, anchor, key, doc, content))
             fresh = np.ones(len(order), bool)
             fresh[1:] = (content[1:] != content[:-1]) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (length[1:] != length[:-1])
+            # Of equal stretches here, those of later documents go whole whatever the bucket
+            # holds, so only the first document's goes on: a passage of very many documents
+            # costs one stretch for each piece of text.
+            ids, first = piece.column(0).to_numpy(), np.flatnonzero(fresh)
+            of = np.cumsum(fresh) - 1
+            row = np.lexsort((ids[doc[first]], content[first], key[first]))
+            k, c, n, i = (x[first][row] for x in (key, content, length, ids[doc]))
+            head = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1])] if len(row) else np.zeros(0, bool)
+            later = np.zeros(len(first), bool)
+            later[row] = i > i[np.flatnonzero(head)][np.cumsum(head) - 1] if len(row) else False
+            gone, on = later[of], ~later[of]
+            if gone.any():
+                yield _whole_spans(piece, doc[gone], start[gone] - offsets[doc[gone]], length[gone])
+            start, length, anchor, key, doc, fresh = (x[on] for x in (start, length, anchor, key, doc, fresh))
             places, first = (start - offsets[doc]).astype(np.int64), np.flatnonzero(fresh)
-            place_at = np.r_[first, len(order)].astype(np.int32)
+            place_at = np.r_[first, len(start)].astype(np.int32)
             start, length, anchor, key, doc = (x[first] for x in (start, length, anchor, key, doc))
             to = np.zeros(len(first) + 1, np.int64)
             np.cumsum(length, out=to[1:])
@@ -214,18 +235,42 @@ def _stretches(width: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     X.longs(key),
-                    pa.array(piece.column(0).to_numpy()[doc]),
+                    pa.array(ids[doc]),
                     pa.array(piece.column(1).to_numpy()[doc]),
                     pa.ListArray.from_arrays(pa.array(place_at), pa.array(places)),
                     pa.array(anchor.astype(np.int32)),
                     pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(data[own])]),
                 ],
-                names=["key", "doc_id", "tag", "starts", "lead", "bytes"],
+                names=_STRETCH,
             )
 
     return run
 
 
+def _whole_spans(piece: pa.RecordBatch, doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    """Rows of spans that go already, among those of stretches: `lead` is -1 and `starts`
+    has start, end, start, end and so on of the joined spans of a document."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], (start + length)[order]
+    other = np.r_[True, doc[1:] != doc[:-1]]
+    far = np.cumsum(other) * (int(end.max()) + 1)  # no span reaches into the next document's
+    reach = np.maximum.accumulate(end + far) - far
+    opens = np.flatnonzero(np.r_[True, other[1:] | (start[1:] > reach[:-1])])
+    doc, spans = doc[opens], np.stack([start[opens], reach[np.r_[opens[1:], len(order)] - 1]], axis=1)
+    cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    doc, n = doc[cuts], len(cuts)
+    at = (2 * np.r_[cuts, len(opens)]).astype(np.int32)
+    ids = piece.column(0).to_numpy()[doc]
+    nothing = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.zeros(n + 1, np.int32)), pa.py_buffer(b"")])
+    return pa.RecordBatch.from_arrays(
+        [
+            X.longs(X.mix(ids.astype(U)) >> U(16)), pa.array(ids), pa.array(piece.column(1).to_numpy()[doc]),
+            pa.ListArray.from_arrays(pa.array(at), pa.array(spans.reshape(-1).astype(np.int64))), pa.array(np.full(n, -1, np.int32)), nothing,
+        ],
+        names=_STRETCH,
+    )
+
+
 def _load8(data: np.ndarray) -> np.ndarray:
     """The big-endian number of the eight bytes at each position, as a view."""
     return np.ndarray((max(0, len(data) - 7),), ">u8", buffer=data, strides=(1,))
@@ -290,34 +335,28 @@ def _block_spans(key, ids, tags, places, place_at, lead, data, at, width):
     fresh[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
     kind = np.empty(len(order), np.int64)
     kind[order] = np.cumsum(fresh) - 1
-    one = order[fresh]  # of equal stretches, the one in the first document
-    # A key whose stretches are all alike has nothing else to compare.
-    sorted_keys, kinds_of_key = np.unique(key[one], return_inverse=True, return_counts=True)[1:]
-    pick = np.flatnonzero(kinds_of_key[sorted_keys] > 1)
-    several = one[pick]
-    lengths = size[several]
-    begin, end, of = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(several):
-        to = np.zeros(len(several) + 1, np.int64)
-        np.cumsum(lengths, out=to[1:])
-        own = np.repeat(at[:-1][several] - to[:-1], lengths) + np.arange(to[-1])
-        stretch, rank = window_classes(data[own], to, lead[several], width)
-        least = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, rank, ids[several][stretch])
-        gone = least[rank] < ids[several][stretch]
-        # Runs of removed windows of each first stretch.
-        begin, end = gone.copy(), gone.copy()
-        same = stretch[1:] == stretch[:-1]
-        begin[1:] &= ~(gone[:-1] & same)
-        end[:-1] &= ~(gone[1:] & same)
-        begin, end = np.flatnonzero(begin), np.flatnonzero(end)
-        base = np.zeros(len(several) + 1, np.int64)
-        np.cumsum(lengths - width + 1, out=base[1:])
-        of = stretch[begin]
-        begin, end = begin - base[of], end - base[of] + width
-    of, lo, hi = pick[of], begin, end
-    # Each first document's stretches have these runs; later documents lose all.
-    later = ids > ids[one][kind]
+    one = order[fresh]  # of equal stretches, the one in the first document stands for all
+    lengths = size[one]
+    to = np.zeros(len(one) + 1, np.int64)
+    np.cumsum(lengths, out=to[1:])
+    own = np.repeat(at[:-1][one] - to[:-1], lengths) + np.arange(to[-1])
+    stretch, rank = window_classes(data[own], to, lead[one], width)
+    least = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, rank, ids[one][stretch])
+    gone = least[rank] < ids[one][stretch]
+    # Runs of removed windows of each first stretch.
+    begin, end = gone.copy(), gone.copy()
+    same = stretch[1:] == stretch[:-1]
+    begin[1:] &= ~(gone[:-1] & same)
+    end[:-1] &= ~(gone[1:] & same)
+    begin, end = np.flatnonzero(begin), np.flatnonzero(end)
+    base = np.zeros(len(one) + 1, np.int64)
+    np.cumsum(lengths - width + 1, out=base[1:])
+    of = stretch[begin]
+    lo, hi = begin - base[of], end - base[of] + width
+    # A stretch whose windows all start in documents before its own goes whole.
+    latest = np.maximum.reduceat(least[rank], base[:-1])
+    later = ids > latest[kind]
     mine = np.flatnonzero(~later)
     reps = np.bincount(of, minlength=len(one))[kind[mine]]
     run_at = np.zeros(len(one) + 1, np.int64)
@@ -347,12 +386,21 @@ def _sort_blocks(width: int):
         held, held_bytes = [], 0
 
         def block():
-            whole = pa.Table.from_batches(held).combine_chunks()
+            whole = pa.Table.from_batches(held)
+            done = whole.filter(pc.less(whole.column(4), 0)).combine_chunks()
+            if done.num_rows:
+                spans = done.column(3).combine_chunks()
+                many = np.diff(spans.offsets.to_numpy()) // 2
+                start, end = spans.flatten().to_numpy().reshape(-1, 2).T
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(done.column(i).to_numpy(), many)) for i in (1, 2)), pa.array(start), pa.array(end)], names=["doc_id", "tag", "start", "end"])
+            whole = whole.filter(pc.greater_equal(whole.column(4), 0)).combine_chunks()
+            if not whole.num_rows:
+                return
             c = [whole.column(i).chunk(0) for i in range(6)]
             data, at = X.texts(c[5])
             places, place_at = c[3].flatten().to_numpy(), c[3].offsets.to_numpy().astype(np.int64)
             key, ids, tags, lead = (c[i].to_numpy() for i in (0, 1, 2, 4))
-            return _block_spans(key, ids, tags, places, place_at - place_at[0], lead, data, at, width)
+            yield _block_spans(key, ids, tags, places, place_at - place_at[0], lead, data, at, width)
 
         for batch in batches:
             key = batch.column(0).to_numpy()
@@ -363,46 +411,61 @@ def _sort_blocks(width: int):
                 if at:
                     held.append(batch.slice(0, at))
                 if at < len(key):
-                    yield block()
+                    yield from block()
                     held, held_bytes = [], 0
             if at < len(key):
                 held.append(batch.slice(at))
                 held_bytes += X.texts(held[-1].column(5))[1][-1]
         if held:
-            yield block()
+            yield from block()
         X.tidy()
 
     return run
 
 
 def _windows(width: int):
-    """A row for each window of a stretch: its bytes, document and place."""
+    """A row for each window of the stretches (c1, c2, bytes, first): two hashes of it, the
+    first document with the stretch, the stretch and the window's place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in X.pieces(batches, 1 << 18, "bytes"):
-            data, at = X.texts(piece.column(5))
+            data, at = X.texts(piece.column(2))
             many = np.diff(at) - width + 1
             row = np.repeat(np.arange(len(many)), many)
             nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
             pos = at[:-1][row] + nth
-            own = np.ndarray((max(0, len(data) - width + 1), width), np.uint8, buffer=data, strides=(1, 1))[pos]
-            to = np.arange(len(row) + 1, dtype=np.int32) * width
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(to), pa.py_buffer(np.ascontiguousarray(own))]),
-                    pa.array(piece.column(1).to_numpy()[row]),
-                    pa.array(piece.column(2).to_numpy()[row]),
-                    pa.array(piece.column(3).to_numpy()[row] + nth),
-                ],
-                names=["bytes", "doc_id", "tag", "start"],
-            )
+            hasher = X.Hasher(data)
+            w1 = hasher(pos, pos + width)
+            w2 = X.mix(hasher.raw(pos, pos + width // 2) ^ X.mix(w1))
+            columns = [X.longs(w1), X.longs(w2), *(pa.array(piece.column(c).to_numpy()[row]) for c in (3, 0, 1)), pa.array(nth)]
+            yield pa.RecordBatch.from_arrays(columns, names=["w1", "w2", "first", "c1", "c2", "at"])
 
     return run
 
 
+def _hot_spans(each: DataFrame, width: int) -> DataFrame:
+    """The spans to remove in buckets that are not gathered: equal stretches become one
+    with a map-side combine, then its windows rows of their own, by hash."""
+    code = lambda seed: F.xxhash64(F.lit(seed), "lead", "bytes")
+    each = settle(each.withColumns({"c1": code(1), "c2": code(2)}))
+    pair = F.col("pair")
+    done = each.where("lead < 0").select("doc_id", "tag", "starts", F.explode(F.sequence(F.lit(0), F.size("starts") - 1, F.lit(2))).alias("pair"))
+    done = done.select("doc_id", "tag", F.get("starts", pair).alias("start"), F.get("starts", pair + 1).alias("end"))
+    each = each.where("lead >= 0")
+    contents = settle(each.groupBy("c1", "c2").agg(F.first("bytes").alias("bytes"), F.min("doc_id").alias("first")))
+    windows = settle(contents.mapInArrow(_windows(width), "w1 long, w2 long, first long, c1 long, c2 long, at long"))
+    least = windows.groupBy("w1", "w2").agg(F.min("first").alias("least"))
+    gone = windows.join(least, ["w1", "w2"]).where("least < first").groupBy("c1", "c2").agg(F.collect_list("at").alias("gone"))
+    known = contents.select("c1", "c2", "first", F.length("bytes").alias("size")).join(gone, ["c1", "c2"], "left")
+    rows = each.select("doc_id", "tag", "c1", "c2", F.explode("starts").alias("start")).join(known, ["c1", "c2"])
+    whole = rows.where("doc_id > first").select("doc_id", "tag", "start", (F.col("start") + F.col("size")).alias("end"))
+    part = rows.where("doc_id = first").select("doc_id", "tag", "start", F.explode("gone").alias("at")).withColumn("start", F.col("start") + F.col("at"))
+    return done.union(whole).union(part.select("doc_id", "tag", "start", (F.col("start") + width).alias("end")))
+
+
 def tagged(docs: DataFrame) -> DataFrame:
     """(doc_id, text, tag): the tag tells rows of one doc_id with different texts apart."""
-    return doc_texts(docs).withColumn("tag", F.hash("text"))
+    return doc_texts(docs).withColumn("tag", F.xxhash64("text"))
 
 
 def repeated_spans(docs: DataFrame, width: int = 50, hot: int | None = None) -> DataFrame:
@@ -426,22 +489,18 @@ def repeated_spans(docs: DataFrame, width: int = 50, hot: int | None = None) ->
                 F.collect_list(F.when(F.col("hot").isNull(), F.col("key"))).alias("keys"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hot_keys")
             )
         )
-    layout = "key long, doc_id long, tag int, starts array<long>, lead int, bytes binary"
+    layout = "key long, doc_id long, tag long, starts array<long>, lead int, bytes binary"
 
     def stretches(column: str) -> DataFrame:
-        packed = rows.mapInArrow(_compressed, "doc_id long, tag int, packed binary")
+        packed = rows.mapInArrow(_compressed, "doc_id long, tag long, packed binary")
         with_keys = packed.join(lists.where(F.size(column) > 0).hint("merge"), "doc_id")
         return with_keys.select("doc_id", "tag", "packed", column).mapInArrow(_stretches(width), layout)
 
     spans = (
-        stretches("keys").repartition("key").sortWithinPartitions("key").mapInArrow(_sort_blocks(width), "doc_id long, tag int, start long, end long")
+        stretches("keys").repartition("key").sortWithinPartitions("key").mapInArrow(_sort_blocks(width), "doc_id long, tag long, start long, end long")
     )
     if has_hot:
-        each = stretches("hot_keys").withColumn("starts", F.explode("starts"))
-        windows = settle(each.mapInArrow(_windows(width), "bytes binary, doc_id long, tag int, start long"))
-        first = windows.groupBy("bytes").agg(F.min("doc_id").alias("first"))
-        again = windows.join(first, "bytes").where("doc_id > first")
-        spans = spans.unionByName(again.select("doc_id", "tag", "start", (F.col("start") + width).alias("end")))
+        spans = spans.unionByName(_hot_spans(stretches("hot_keys"), width))
     return settle(spans)
 
 
@@ -495,7 +554,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, hot: int | None = None) ->
     lists = _lists(docs, width, hot)
     each = tagged(docs).join(lists, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "starts", "ends")
     return each.mapInArrow(
-        _cut, "doc_id long, tag int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        _cut, "doc_id long, tag long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
 
 
@@ -525,7 +584,7 @@ def without_repeats(docs: DataFrame, width: int = 50, hot: int | None = None) ->
     """The rows of `docs`, with all their columns, with the repeated bytes of `text` cut
     out (characters that a cut breaks go as well) and `n_chars`, if there, counted anew."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("tag"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"))
     each = rows.join(_lists(docs, width, hot), ["doc_id", "tag"], "left").select("row", "starts", "ends")
     layout = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema])
     return each.mapInArrow(_cut_rows([c.lower() for c in docs.columns]), T.StructType([T.StructField("row", layout)])).select("row.*")

@@ -74,3 +74,15 @@ def test_blocks_are_cut_at_keys(docs, rows, monkeypatch):
         return sorted(t for p in parts for t in zip(*(c.to_pylist() for c in p.columns), strict=True))
 
     assert {s[0] for s in spans(1 << 30, 600)} == {s[0] for s in spans(1, 7)}
+
+
+@pytest.mark.parametrize("hot", [None, 20])
+def test_passage_of_most_documents_and_a_very_long_text(spark, hot):
+    rng = np.random.default_rng(6)
+    word = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(n))
+    passage = word(30)
+    rows = [(i, f"{word(8)} {passage} {word(5)}") for i in range(120)]
+    rows += [(200 + i, f"{word(3)} {passage[10 + i : 70 + i]} {word(3)}") for i in range(40)]  # unlike stretches of one gram
+    rows += [(300, word(20_000) + passage), (300, "again " + passage), (301, "é漢" * 40_000), (302, "x" + "é漢" * 60)]
+    frame = spark.createDataFrame([(*r, b"b", 7, [1]) for r in rows], "doc_id long, text string, bytes binary, key long, starts array<int>").repartition(6)
+    assert found(frame, 50, hot) == brute(rows, 50)
