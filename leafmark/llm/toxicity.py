@@ -254,11 +254,11 @@ def learn(texts: list[str], labels: list[int], totals: dict[int, int]) -> Lexico
     n = {0: 0, 1: 0}
     for text, label in zip(texts, labels, strict=True):
         bag = set(_WORD.findall(text.lower()))
-        # Copies tell no more than one text does: of documents that share the least hash
-        # of their longer words, one counts.
+        # Copies tell no more than one text does: of documents that share two of three
+        # least hashes of their longer words, one counts.
         rare = [zlib.crc32(w.encode()) for w in bag if len(w) > 6]
         marks = {(k, min(h * (2 * k + 1) * 2654435761 % (1 << 32) for h in rare)) for k in range(3)} if len(rare) > 5 else {(9, text)}
-        if marks & families:
+        if len(marks & families) >= min(2, len(marks)):
             continue
         families |= marks
         n[label] += 1
