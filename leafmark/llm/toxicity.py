@@ -382,7 +382,10 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """The rows of `docs`, with all their columns, that are not predicted toxic."""
+    """The rows of `docs`, with all their columns, that are not predicted toxic; all rows
+    where nothing could be learned, as nothing tells toxic ones apart then."""
+    if lexicon.only is not None:
+        return docs
     prepare(docs.sparkSession)
     lexicon_here = _shipped(docs, lexicon)
     at = [c.lower() for c in docs.columns].index("text")

@@ -48,5 +48,24 @@ def test_toxic_documents_go_and_clean_ones_stay(spark):
     assert sum(d in kept for d, t in labels.items() if not t) > 0.98 * sum(not t for t in labels.values())
 
 
+def test_odd_rows_pass_every_stage(spark, docs, none, tmp_path):
+    """Nulls, empty, repeated and very long texts, columns whose names the stages use."""
+    for name, frame in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], frame).write.parquet(str(tmp_path / f"{name}.parquet"))
+    row = ("en", 5, "r", 0.5)
+    more = [(9001, "lorem ipsum dolor " * 30_000, *row), (9002, None, *row), (9002, "other words here", *row), (None, "x y z", *row)]
+    rows = docs.union(spark.createDataFrame(more, docs.schema))
+    for start in (rows, none):
+        now = start
+        for name, stage in corpus_pipeline.STAGES:
+            now = settle(stage(spark, now, str(tmp_path)))
+            assert name == "packing" or now.columns == docs.columns
+        packed = {r.doc_id for r in now.collect()}
+        if start is none:
+            assert not packed
+        else:
+            assert {9001, 9002} <= packed and None not in packed
+
+
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0

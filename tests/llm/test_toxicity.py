@@ -150,3 +150,4 @@ def test_rows_keep_their_columns(labelled, lexicon):
     rejected = {r.doc_id for r in toxicity.score(docs, lexicon).collect() if r.predicted}
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - rejected and rejected
     assert toxicity.without_toxic(docs.limit(0), lexicon).count() == 0
+    assert toxicity.without_toxic(docs, toxicity.learn([], [], {})).count() == docs.count()
