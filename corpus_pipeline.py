@@ -4,7 +4,13 @@ Each stage works on all that its predecessor kept, as written to Parquet and rea
 by whoever runs the stages: toxic documents go, one document of each near-duplicate
 group stays, bytes repeated from smaller doc_ids go, documents that hold a benchmark item
 go, and the rest is packed.  All stages but the last return the columns of documents.
-Rows without a doc_id pass the first stage and leave at the second.
+
+Null texts are empty texts: they stay, and pack as one end id.  Texts of any length are
+taken whole.  Rows without a doc_id pass the first stage and leave at the second.  Rows
+that repeat a doc_id stay or go together in the second and fourth stage; in the third they
+are one document, so they take nothing from each other.  Without labels of both kinds no
+document is toxic, and without benchmark items none is contaminated.  Further columns, of
+whatever names, are carried along.  An empty table gives no rows.
 """
 
 from __future__ import annotations
