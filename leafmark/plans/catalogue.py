@@ -161,6 +161,23 @@ def hit_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.hits(clicks, b).select("page_id", F.coalesce("line_idx", F.lit(-1)).alias("line_idx"))
 
 
+@query(f"""WITH {BOXES_SQL}, c AS (SELECT page_id, line_idx, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, (x2 - x1) * 1.05 / 2 AS hw, (y2 - y1) / 2 AS hh, radians(line_idx * 7 % 60) AS a FROM boxes)
+SELECT page_id, line_idx, round(cx - hw * cos(a) + hh * sin(a), 6) AS xa, round(cy - hw * sin(a) - hh * cos(a), 6) AS ya, round(cx + hw * cos(a) - hh * sin(a), 6) AS xc, round(cy + hw * sin(a) + hh * cos(a), 6) AS yc FROM c""")
+def turned_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = box_view(spark, sf_dir).select("page_id", "line_idx", boxes.turned_corners((F.col("line_idx") * 7 % 60).cast("double")).alias("p"))
+    return p.select("page_id", "line_idx", *(F.round(F.col("p")[i][k], 6).alias(f"{axis}{name}") for i, name in ((0, "a"), (2, "c")) for k, axis in enumerate("xy")))
+
+
+@query(f"""WITH {BOXES_SQL}, r AS (SELECT *, least(640.0 / ((page_id % 9 + 1) * 150), 640.0 / 900) AS ratio FROM boxes),
+p AS (SELECT *, floor((640 - round_even((page_id % 9 + 1) * 150 * ratio, 0)) / 2) AS px, floor((640 - round_even(900 * ratio, 0)) / 2) AS py FROM r)
+SELECT page_id, line_idx, round((x1 / 2 - px) / ratio, 6) AS x1, round((y1 / 2 - py) / ratio, 6) AS y1, round((x2 / 2 - px) / ratio, 6) AS x2, round((y2 / 2 - py) / ratio, 6) AS y2 FROM p""")
+def from_letterbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letter = boxes.letterbox((F.col("page_id") % 9 + 1) * 150, F.lit(900))
+    box = F.struct(*((F.col(c) / 2).alias(c) for c in ("x1", "y1", "x2", "y2")))
+    back = box_view(spark, sf_dir).select("page_id", "line_idx", boxes.from_letterbox(box, letter).alias("b"))
+    return back.select("page_id", "line_idx", *(F.round(f"b.{c}", 6).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
 # --- pairs --------------------------------------------------------------------------------
 
 
@@ -378,6 +395,18 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SITES = ["7; .page ; .img; main", "3;.a;.b;.c; #reader", " 1 ; .only"]
+
+
+@query("""WITH u AS (SELECT page_id, CASE WHEN contains(url, '7') THEN 1 WHEN contains(url, '3') THEN 2 WHEN contains(url, '1') THEN 3 END AS s FROM pages)
+SELECT page_id, coalesce(['7', '3', '1'][s], 'none') AS pattern, coalesce(['.page|.img', '.a|.b|.c', ''][s], 'none') AS selectors, coalesce(['main', '#reader', '.only'][s], 'none') AS container FROM u""")
+def site_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = F.array(*(text.site_rule(F.lit(s)) for s in _SITES))
+    found = table(spark, sf_dir, "pages").select("page_id", filters.first_site(F.col("url"), sites).alias("s"))
+    named = {"pattern": F.col("s.pattern"), "selectors": F.array_join("s.selectors", "|"), "container": F.col("s.container")}
+    return found.select("page_id", *(F.coalesce(c, F.lit("none")).alias(n) for n, c in named.items()))
+
+
 _PAGE_URL_SQL = "'/api/v1/manga/' || (page_id % 7) || '/chapter/' || (page_id % 3) || CASE WHEN page_id % 5 = 0 THEN '/thumbnail' ELSE '/page/' || page_id END || CASE WHEN page_id % 2 = 0 THEN '?v=' || page_id ELSE '' END"
 
 
@@ -520,6 +549,14 @@ def cache_purge_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return empty.agg((F.count("*") + removed).alias("removed"))
 
 
+@query("SELECT turn, text FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations)")
+def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = table(spark, sf_dir, "conversations")
+    pages = talk.groupBy(F.concat(F.lit("c/"), "conv_id").alias("url")).agg(F.collect_list(F.struct("turn", "text")).alias("data"))
+    first = talk.agg(F.min("conv_id").alias("c")).first().c  # one number
+    return cache.lookup(pages, f"c/{first}")
+
+
 @query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
 def latest_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.newest(table(spark, sf_dir, "events"), ["user_id"], "event_id")

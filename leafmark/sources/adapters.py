@@ -51,8 +51,9 @@ def centred_boxes(frame: DataFrame) -> DataFrame:
 
 def alphabet(spark: SparkSession, path: str) -> list[str]:
     """The recogniser's characters, one a line: `blank` first, a space last."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("i"), "value").orderBy("i").collect()
-    return ["blank", *(r.value for r in rows), " "]
+    # A file of some thousand lines, whose order counts.
+    whole = spark.read.text(path, wholetext=True).first()
+    return ["blank", *(whole.value.splitlines() if whole else []), " "]
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
