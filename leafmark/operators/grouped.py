@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+_ROWS = 8192  # about so many rows go back at once
 _KINDS = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}
 
 
@@ -18,22 +21,26 @@ def by_group(frame: DataFrame, keys: list[str], run: Callable[[list[dict]], list
     """`run` on the rows of each group, in order of line_idx; its rows make up the result.
 
     The groups of a partition stream through one `mapInArrow`, so a group costs no batch
-    of its own, and a worker holds one batch and one group at a time.
+    of its own, and a worker holds one batch, one group and some rows of the result at a time.
     """
     kinds = pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[dict] = []
+    key = itemgetter(*keys)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            out: list[dict] = []
-            for row in batch.to_pylist():
-                if group and any(row[k] != group[0][k] for k in keys):
-                    out += run(group)
-                    group = []
-                group.append(row)
-            if out:
+            fields = batch.schema.names
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield dict(zip(fields, values, strict=True))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        for _, group in groupby(rows(batches), key):
+            out += run(list(group))
+            if len(out) >= _ROWS:
                 yield pa.RecordBatch.from_pylist(out, schema=kinds)
-        if group:
-            yield pa.RecordBatch.from_pylist(run(group), schema=kinds)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
     return frame.repartition(*keys).sortWithinPartitions(*keys, "line_idx").mapInArrow(each, ddl)

@@ -250,9 +250,12 @@ def _absorb(page: list[dict]) -> list[list[dict]]:
     w, h = page[0]["_w"], page[0]["_h"]
     groups: dict[int, list[dict]] = {}
     for r in sorted(page, key=lambda r: (r["group_id"], r["y1"], r["line_idx"])):
-        r["share"] = {"x1": r["x1"] / w, "x2": r["x2"] / w, "y1": r["y1"] / h, "y2": r["y2"] / h, "orientation": r["orientation"], "text": r["text"]}
         groups.setdefault(r["group_id"], []).append(r)
     several = [g for g in groups.values() if len(g) > 1]
+    if not several or len(several) == len(groups):
+        return list(groups.values())
+    for r in page:
+        r["share"] = {"x1": r["x1"] / w, "x2": r["x2"] / w, "y1": r["y1"] / h, "y2": r["y2"] / h, "orientation": r["orientation"], "text": r["text"]}
     inside = [[r["share"] for r in g] for g in several]
     singles = []
     for (line,) in (g for g in groups.values() if len(g) == 1):
@@ -309,7 +312,7 @@ def _contain(group: list[dict]) -> list[dict]:
 def in_groups(lines: DataFrame, width: Column, height: Column, profile: str = "python") -> DataFrame:
     """`uncontained(absorbed(grouped(lines)))` in one pass over each page."""
     p = profiles.GROUPINGS[profile]
-    cut = windows.segments(lines, height)
+    cut = settle(windows.segments(lines, height))  # used for the lines and for their links
     linked = _linked(_sized(cut, width, height), edges(measured(cut, width, p), p))
 
     def run(page: list[dict]) -> list[dict]:
@@ -359,26 +362,25 @@ def merged(lines: DataFrame, width: Column, height: Column, profile: str = "pyth
     own = F.coalesce(F.col("orientation") == 90.0, F.lit(False)) | (h >= w) if p.use_orientation else tall_share
     group = Window.partitionBy("page_id", "group_id")
     tall, all_lines = F.sum(own.cast("int")).over(group), F.count("*").over(group)
-    voted = lines.withColumn("vertical", 2 * tall >= all_lines if p.use_orientation else 2 * tall > all_lines)
-    ordered = reading_order(voted) if p.use_orientation else flat_order(voted)
+    voted = lines.withColumns({"vertical": 2 * tall >= all_lines if p.use_orientation else 2 * tall > all_lines, "_n": all_lines})
+    several = voted.where("_n > 1")
+    ordered = reading_order(several) if p.use_orientation else flat_order(several)
     joined = aggregates.joined_text(F.coalesce("text", F.lit("")), [F.col("rank")], p.join, skip_empty=p.use_orientation)
-    groups = ordered.groupBy("page_id", "group_id", "vertical").agg(
-        joined.alias("_joined"), F.count("*").alias("_n"), *aggregates.union_box(),
-        *(F.first(c).alias(c) for c in ("text", "orientation", "font_size", "confidence")),
+    groups = ordered.groupBy("page_id", "group_id", "vertical").agg(joined.alias("text"), *aggregates.union_box())
+    none = F.lit(None)
+    merged_ones = groups.select(
+        "page_id", "group_id", "text", "x1", "y1", "x2", "y2", F.when(F.col("vertical"), 90.0).otherwise(0.0).alias("orientation"), none.cast("double").alias("font_size"),
+        none.cast("double").alias("confidence"), F.lit(True).alias("isMerged"), F.when(F.col("vertical"), "vertical").otherwise("horizontal").alias("forcedOrientation"),
     )
-    several = F.col("_n") > 1
-    order = Window.partitionBy("page_id").orderBy("group_id")
-    return groups.select(
-        "page_id",
-        (F.row_number().over(order) - 1).cast("bigint").alias("line_idx"),
-        F.when(several, F.col("_joined")).otherwise(F.coalesce("text", F.lit(""))).alias("text"),
-        "x1", "y1", "x2", "y2",
-        F.when(several, F.when(F.col("vertical"), 90.0).otherwise(0.0)).otherwise(F.coalesce("orientation", F.when(tall_share, 90.0).otherwise(0.0))).alias("orientation"),
-        F.when(~several, F.coalesce("font_size", F.lit(0.04))).alias("font_size"),
-        F.when(~several, F.coalesce("confidence", F.lit(0.95))).alias("confidence"),
-        F.when(several, True).alias("isMerged"),
-        F.when(several, F.when(F.col("vertical"), "vertical").otherwise("horizontal")).alias("forcedOrientation"),
+    # Most groups are single lines, which have no order to find.
+    single = voted.where("_n = 1").select(
+        "page_id", "group_id", F.coalesce("text", F.lit("")).alias("text"), "x1", "y1", "x2", "y2",
+        F.coalesce("orientation", F.when(tall_share, 90.0).otherwise(0.0)).alias("orientation"), F.coalesce("font_size", F.lit(0.04)).alias("font_size"),
+        F.coalesce("confidence", F.lit(0.95)).alias("confidence"), none.cast("boolean").alias("isMerged"), none.cast("string").alias("forcedOrientation"),
     )
+    order = Window.partitionBy("page_id").orderBy("group_id")
+    numbered = merged_ones.union(single).withColumn("line_idx", (F.row_number().over(order) - 1).cast("bigint"))
+    return numbered.select("page_id", "line_idx", *(c for c in merged_ones.columns if c not in ("page_id", "group_id")))
 
 
 def resolved(bubbles: DataFrame) -> DataFrame:
