@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm import decontaminate, fingerprints, language, licenses, minhash, packing, quality, sentences, suffixes, toxicity
+from leafmark.llm import collocations, decontaminate, fingerprints, language, licenses, minhash, packing, quality, repair, sentences, suffixes, token_counts, toxicity
 from leafmark.llm.common import table
 from leafmark.llm.subwords import in_fold
 
@@ -73,6 +73,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_extract("path", "-?[0-9]+$", 0).cast("long").alias("doc_id"), "path", "license", "score", "origin", "from_path")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), limit=4096)
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -86,10 +98,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_substring_dedup,
         op10_license_scan,
+        op11_conversation_repair,
+        op12_token_counts,
+        op13_phrase_collocations,
     )
 }
 
 #: DuckDB SQL for those that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {
     "op10_license_scan": licenses.oracle_sql(f"SELECT doc_id, {PATH} AS path, coalesce(text, '') AS text FROM documents"),
+    "op11_conversation_repair": repair.oracle_sql(),
+    "op13_phrase_collocations": collocations.oracle_sql(),
 }
