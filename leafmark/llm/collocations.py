@@ -8,10 +8,13 @@ narrowed down first:
    task and summed over tasks.  Words come first, then pairs whose words can reach the
    least count, then longer phrases whose pairs all can.  The cells that reach it go to the
    next step as a bitmap of fixed size, whose wrong hits let more through and never less.
-2. Candidates.  One pass collects the distinct phrases whose cells all reach the count.
+2. Candidates.  One pass collects the phrases of those cells.  Each cell knows its witness,
+   the document of lowest hash that has a phrase of it, and only that one tells the phrase.
 3. Scan.  They are dealt into blocks of about `block` bytes; each block compiles into an
    Aho-Corasick automaton of phrases between word guards, and each task counts all matches
-   in its texts, overlapping ones included.  The sums over tasks are the exact counts.
+   in its texts, overlapping ones included.  The sums over tasks are the exact counts.  Where
+   the counts of a cell's phrases fall short of the cell, it has phrases that its witness
+   lacks; those come by a second pass without witnesses, so none is missed.
 4. Thresholds, scores and containment are plans on these counts, which are few.
 
 So sketches decide what is looked at, not what comes out: with any `cells` and `bits` the
@@ -70,10 +73,10 @@ class Sketch(NamedTuple):
         """The three bits of each cell."""
         return [X.mix(cells + U(k << 60)) >> U(64 - self.bits) for k in (1, 2, 3)]
 
-    def holds(self, bitmap: bytes, hashes: np.ndarray) -> np.ndarray:
-        """Whether the cells of these phrases are in the map; a cell that is never misses."""
-        words, found = np.frombuffer(bitmap, U), np.ones(len(hashes), bool)
-        for bit in self.places(self.cell(hashes)):
+    def holds(self, bitmap: bytes, cells: np.ndarray) -> np.ndarray:
+        """Whether these cells are in the map; one that is never misses."""
+        words, found = np.frombuffer(bitmap, U), np.ones(len(cells), bool)
+        for bit in self.places(cells):
             found &= (words[(bit >> U(6)).astype(np.int64)] >> (bit & U(63)) & U(1)).astype(bool)
         return found
 
@@ -96,8 +99,11 @@ class Phrases:
         last = np.flatnonzero(~joined)
         self.left = last[np.searchsorted(last, np.arange(n))] - np.arange(n) + 1 if n else np.zeros(0, np.int64)
         seeds = X.mix(np.array([zlib.crc32((x or UNKNOWN).encode()) for x in langs], U))
-        self.seed = seeds[doc]
-        self.words = X.Hasher(self.data)(self.starts, self.ends) if n else np.zeros(0, U)
+        self.doc, self.seed = doc, seeds[doc]
+        hasher = X.Hasher(self.data)
+        self.words = hasher(self.starts, self.ends)
+        #: Of each word's document, for the choice of witnesses.
+        self.mark = hasher(at[:-1], at[1:]).view(np.int64)[doc] >> 32
         self._found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def found(self, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +121,7 @@ class Phrases:
                 hashes = X.mix(hashes) + self.words[at + k]
             hashes = X.mix(hashes)
             if own := self.maps.get(min(size, 3)):
-                good = self.sketch.holds(own.value, hashes)
+                good = self.sketch.holds(own.value, self.sketch.cell(hashes))
                 at, hashes = at[good], hashes[good]
             self._found[size] = at, hashes
         return self._found[size]
@@ -125,33 +131,50 @@ class Phrases:
 
 
 def _sketched(texts: DataFrame, sizes: list[int], least: int, sketch: Sketch, maps: dict[int, Broadcast]) -> DataFrame:
-    """(cell): the cells of phrases of these sizes that reach `least` over all tasks."""
+    """(cell, n, witness): the cells of phrases of these sizes that reach `least` over all
+    tasks, and the lowest mark of a document that has one of their phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered: list[np.ndarray] = []
+        gathered: list[tuple[np.ndarray, np.ndarray]] = []
 
         def counted() -> pa.RecordBatch:
-            cell, n = np.unique(np.concatenate(gathered or [np.zeros(0, U)]), return_counts=True)
+            cells, marks = (np.concatenate(x) for x in zip(*gathered, strict=True))
             gathered.clear()
-            return pa.RecordBatch.from_arrays([X.longs(cell), pa.array(n.astype(np.int64))], names=["cell", "n"])
+            order = np.argsort(cells)
+            cells, marks = cells[order], marks[order]
+            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(cells)), bool), cells[1:] != cells[:-1]]))
+            n = np.diff(np.append(first, len(cells)))
+            lowest = np.minimum.reduceat(marks, first) if len(first) else marks
+            return pa.RecordBatch.from_arrays([X.longs(cells[first]), pa.array(n.astype(np.int32)), pa.array(lowest.astype(np.int32))], names=["cell", "n", "witness"])
 
         for part in X.pieces(batches):
             p = Phrases(part, sketch, maps)
-            gathered += [sketch.cell(p.found(size)[1]) for size in sizes]
-            if sum(map(len, gathered)) >= _GATHERED:
+            for size in sizes:
+                at, hashes = p.found(size)
+                gathered.append((sketch.cell(hashes), p.mark[at]))
+            if sum(len(x) for x, _ in gathered) >= _GATHERED:
                 yield counted()
-        yield counted()
+        if gathered:
+            yield counted()
+
+    sums = texts.mapInArrow(run, "cell long, n int, witness int").groupBy("cell").agg(F.sum("n").alias("n"), F.min("witness").alias("witness"))
+    return sums.where(F.col("n") >= least)
 
-    return texts.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("cell")
 
+def _told_by(cells: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """One number for a cell and its witness."""
+    return X.mix(cells + U(1)) ^ X.mix(marks.astype(np.int64).view(U))
 
-def _bitmap(cells: DataFrame, sketch: Sketch) -> Broadcast:
-    """The bitmap of these cells on all executors.  Tasks set bits, their words of 64 bits
-    meet in a grouped `or`, and at most 2**(bits - 6) of those come to the driver."""
+
+def _bitmap(cells: DataFrame, sketch: Sketch, witnesses: bool = False) -> Broadcast:
+    """The bitmap of (cell, n, witness) on all executors, of cells or of cells with their
+    witnesses.  Tasks set bits, their words of 64 bits meet in a grouped `or`, and at most
+    2**(bits - 6) of those come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = np.unique(np.concatenate(sketch.places(batch.column(0).to_numpy().view(U))))
+            cell = batch.column(0).to_numpy().view(U)
+            bit = np.unique(np.concatenate(sketch.places(_told_by(cell, batch.column(2).to_numpy()) if witnesses else cell)))
             word, first = np.unique(bit >> U(6), return_index=True)
             bits = np.bitwise_or.reduceat(U(1) << (bit & U(63)), first) if len(bit) else np.zeros(0, U)
             yield pa.RecordBatch.from_arrays([X.longs(word), X.longs(bits)], names=["word", "bits"])
@@ -162,9 +185,10 @@ def _bitmap(cells: DataFrame, sketch: Sketch) -> Broadcast:
     return cells.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
-def _candidates(texts: DataFrame, sketch: Sketch, maps: dict[int, Broadcast]) -> DataFrame:
-    """(phrase): the distinct phrases that may be frequent in some language.  Within a task
-    they are told apart by 64-bit hashes."""
+def _candidates(texts: DataFrame, sketch: Sketch, maps: dict[int, Broadcast], told_by: Broadcast | None, only: dict[int, Broadcast] | None = None) -> DataFrame:
+    """(phrase): the distinct phrases that may be frequent in some language, told by their
+    cells' witnesses; or all those in the cells of `only`.  Within a task they are told apart
+    by 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
@@ -172,8 +196,10 @@ def _candidates(texts: DataFrame, sketch: Sketch, maps: dict[int, Broadcast]) ->
             p, out = Phrases(part, sketch, maps), []
             for size in range(1, LONGEST + 1):
                 at, hashes = p.found(size)
-                hashes, first = np.unique(hashes, return_index=True)
-                for h, i in zip(hashes.tolist(), at[first].tolist(), strict=True):
+                cells = sketch.cell(hashes)
+                good = sketch.holds(only[min(size, 3)].value, cells) if only else sketch.holds(told_by.value, _told_by(cells, p.mark[at]))
+                hashes, first = np.unique(hashes[good], return_index=True)
+                for h, i in zip(hashes.tolist(), at[good][first].tolist(), strict=True):
                     if h not in told:
                         told.add(h)
                         out.append(p.text(i, size))
@@ -184,6 +210,30 @@ def _candidates(texts: DataFrame, sketch: Sketch, maps: dict[int, Broadcast]) ->
     return texts.mapInArrow(run, "phrase string").distinct()
 
 
+def _short(counts: DataFrame, heavy: dict[int, DataFrame], sketch: Sketch, maps: dict[int, Broadcast]) -> dict[int, DataFrame]:
+    """Of each group of sizes: the cells that hold more than the counted phrases add up to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in X.pieces(batches):
+            p, n = Phrases(part, sketch, maps), part.column(2).to_numpy()
+            many = np.bincount(p.doc, minlength=part.num_rows)
+            first = np.cumsum(many) - many
+            groups, cells, sums = [], [], []
+            for size in range(1, LONGEST + 1):
+                at, hashes = p.found(size)
+                whole = (first[p.doc[at]] == at) & (many[p.doc[at]] == size)
+                cells.append(sketch.cell(hashes[whole]))
+                sums.append(n[p.doc[at[whole]]])
+                groups.append(np.full(whole.sum(), min(size, 3), np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups)), X.longs(np.concatenate(cells)), pa.array(np.concatenate(sums))], names=["group", "cell", "sum"])
+
+    counted = counts.where("phrase IS NOT NULL").select("lang", F.col("phrase").alias("text"), "n").mapInArrow(run, "group int, cell long, sum long")
+    sums = settle(counted.groupBy("group", "cell").agg(F.sum("sum").alias("sum")))
+    short = {k: settle(of.join(sums.where(F.col("group") == k), "cell", "left").where(F.coalesce("sum", F.lit(0)) < F.col("n")).select("cell", "n", "witness")) for k, of in heavy.items()}
+    release(sums)
+    return short
+
+
 #: The automaton at hand, by the mark of its block.
 _automata: dict[str, object] = {}
 
@@ -246,28 +296,44 @@ def _scan(texts: DataFrame, block: Broadcast, words: bool) -> DataFrame:
 def phrase_counts(docs: DataFrame, least: int = 100, sketch: Sketch = Sketch(), block: int = 4 << 20) -> DataFrame:
     """(lang, phrase, n): exact counts of all phrases of up to five words that occur at
     least `least` times in their language, and of all its words (the null phrase)."""
-    spark = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     maps: dict[int, Broadcast] = {}
+    heavy: dict[int, DataFrame] = {}
     for size in (1, 2, 3):
         sizes = [size] if size < 3 else list(range(3, LONGEST + 1))
-        maps[size] = _bitmap(_sketched(texts, sizes, least, sketch, dict(maps)), sketch)
-    phrases = settle(_candidates(texts, sketch, maps))
+        heavy[size] = settle(_sketched(texts, sizes, least, sketch, dict(maps)))
+        maps[size] = _bitmap(heavy[size], sketch)
+    told_by = _bitmap(reduce(DataFrame.unionByName, heavy.values()), sketch, witnesses=True)
+    counts = settle(_counted(texts, _candidates(texts, sketch, maps, told_by), block, words=True))
+    short = _short(counts, heavy, sketch, maps)
+    release(*heavy.values())
+    if any(not of.isEmpty() for of in short.values()):
+        rest = {k: _bitmap(of, sketch) for k, of in short.items()}
+        more = _candidates(texts, sketch, maps, None, rest).join(counts.select("phrase").distinct(), "phrase", "left_anti")
+        counts = settle(counts.unionByName(_counted(texts, more, block, words=False)))
+        for of in rest.values():
+            of.unpersist()
+    release(*short.values())
+    for of in (told_by, *maps.values()):
+        of.unpersist()
+    return counts.where(F.col("phrase").isNull() | (F.col("n") >= least))
+
+
+def _counted(texts: DataFrame, candidates: DataFrame, block: int, words: bool) -> DataFrame:
+    """(lang, phrase, n) of the candidates, block by block."""
+    spark = texts.sparkSession
+    phrases = settle(candidates)
     size = phrases.agg(F.coalesce(F.sum(F.octet_length("phrase") + 2), F.lit(0))).first()[0]
-    blocks = -(-size // block)
+    blocks = max(1, -(-size // block))
     parts = []
     for k in range(blocks):
         # About `block` bytes, whatever the input: the phrases are dealt by hash.
         own = phrases.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == k).toArrow().column(0).to_pylist()
         of = spark.sparkContext.broadcast((uuid.uuid4().hex, sorted(own)))
-        parts.append(settle(_scan(texts, of, k == 0).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("phrase").isNull() | (F.col("n") >= least))))
-        of.unpersist()
-    for of in maps.values():
+        parts.append(settle(_scan(texts, of, words and k == 0).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))))
         of.unpersist()
     release(phrases)
-    if not parts:
-        return spark.createDataFrame([], "lang string, phrase string, n long")
     return reduce(DataFrame.unionByName, parts)
 
 

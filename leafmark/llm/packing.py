@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import bisect
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -38,6 +39,8 @@ from leafmark.llm import textops as X
 from leafmark.llm.common import doc_texts, prepare, settle
 
 END_ID = 0
+#: White space that is left to `tokenizers`; the quick library fails from some hundred thousand on.
+_LONG_RUN = re.compile(r"\s{5000}").search
 _encoders: dict[str, object] = {}
 
 
@@ -46,9 +49,13 @@ def encoder(ranks: str | None = None, vocabulary: str | None = None):
     quickest at it.  The ids are those that `tokenizers` gives with the file `vocabulary`
     and add_special_tokens=False: the strings of its added tokens are cut out of a text
     first and have ids of their own.  `ranks`: the same vocabulary as merge ranks; both
-    default to the public 50k files."""
+    default to the public 50k files.
+
+    The quick library looks ahead from the end of a run of white space and gives up on very
+    long runs, so a text that holds one goes to `tokenizers` itself."""
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
@@ -58,7 +65,14 @@ def encoder(ranks: str | None = None, vocabulary: str | None = None):
         with open(vocabulary, encoding="utf-8") as file:
             added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
         model = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=added)
-        _encoders[ranks, vocabulary] = partial(model.encode_to_numpy, allowed_special="all")
+        quick, whole = partial(model.encode_to_numpy, allowed_special="all"), Tokenizer.from_file(vocabulary)
+
+        def encode(text: str) -> np.ndarray:
+            if _LONG_RUN(text):
+                return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+            return quick(text)
+
+        _encoders[ranks, vocabulary] = encode
     return _encoders[ranks, vocabulary]
 
 

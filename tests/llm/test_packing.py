@@ -71,6 +71,33 @@ def test_very_long_text(spark):
     assert check(found, {1: [*packing.encoder()(text).tolist(), 0], 2: [64, 0]}, 2048) == -(-(len(packing.encoder()(text)) + 3) // 2048)
 
 
+@pytest.mark.parametrize("run", [" ", "\t", "\n", "\r\n", "\u3000", " \n"])
+def test_long_white_space(run):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    run *= 2_000_000 // len(run)
+    for text in (run, run + "word", "a <|endoftext|>" + run + "b.", run[:4999] + "x", run[:5001]):
+        assert packing.encoder()(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("run", ["x", ".", "7", "\u6f22", "\U0001f642", "ab ", "\x00"])
+def test_other_long_runs(run):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    text = run * (300_000 // len(run))
+    assert packing.encoder()(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_long_white_space_packs(spark):
+    text = " " * 1_000_000 + "a" + "\n" * 1_000_000
+    found = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    check(found, {1: [*packing.encoder()(text).tolist(), 0]}, 2048)
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_best_two_fit_packs_everything(seed):
     rng = random.Random(seed)
