@@ -63,7 +63,7 @@ _PLAIN = bytes(10 if _SIGN[b] else 32 if b == 9 else int(X.LOWER[b]) for b in ra
 class Sketch(NamedTuple):
     """Sizes as powers of two: cells of the sketch, bits of a bitmap of cells."""
 
-    cells: int = 40
+    cells: int = 56
     bits: int = 26
 
     def cell(self, hashes: np.ndarray) -> np.ndarray:
@@ -258,39 +258,59 @@ def guarded(text: str) -> str:
     return "\n".join(f" {b' '.join(x.split()).decode()} " for x in pieces)
 
 
+#: Phrases whose counts travel together.
+_SLICE = 4096
+
+
 def _scan(texts: DataFrame, block: Broadcast, words: bool) -> DataFrame:
-    """(lang, phrase, n): how often each phrase of the block occurs in a task's texts of
-    each language; with `words`, also the number of all words, as the null phrase."""
+    """(lang, phrase, n): how often each phrase of the block occurs in the texts of each
+    language; with `words`, also the number of all words, as the null phrase.  A task's
+    counts are vectors over the block, cut into slices; slices are added one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, phrases = _automaton(block), block.value[1]
+        automaton, size = _automaton(block), len(block.value[1])
         counts: dict[str, np.ndarray] = {}
         for part in X.pieces(batches):
             by_lang: dict[str, list[str]] = {}
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                by_lang.setdefault(UNKNOWN if lang is None else lang, []).append(guarded(text or ""))
+                by_lang.setdefault(lang, []).append(guarded(text))
             for lang, plain in by_lang.items():
                 if lang not in counts:
-                    if len(counts) * len(phrases) > 8 * _GATHERED:  # of many languages
-                        yield told(counts, phrases)
+                    if len(counts) * size > 8 * _GATHERED:  # of many languages
+                        yield told(counts)
                         counts.clear()
-                    counts[lang] = np.zeros(len(phrases) + 1, np.int64)
+                    counts[lang] = np.zeros(size + 1, np.int64)
                 joined = "\n".join(plain)
-                hits = np.fromiter(map(itemgetter(1), automaton.iter(joined)), np.int64) if phrases else np.zeros(0, np.int64)
-                counts[lang] += np.bincount(hits, minlength=len(phrases) + 1)
+                hits = np.fromiter(map(itemgetter(1), automaton.iter(joined)), np.int64) if size else np.zeros(0, np.int64)
+                counts[lang] += np.bincount(hits, minlength=size + 1)
                 counts[lang][-1] += sum(len(x.split()) for x in joined.encode().split(b"\n")) if words else 0
-        yield told(counts, phrases)
+        yield told(counts)
+
+    def told(counts: dict[str, np.ndarray]) -> pa.RecordBatch:
+        rows = [(lang, k // _SLICE, n[k : k + _SLICE].tobytes()) for lang, n in counts.items() for k in range(0, len(n), _SLICE) if n[k : k + _SLICE].any()]
+        kinds = [pa.string(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["lang", "slice", "counts"])
 
-    def told(counts: dict[str, np.ndarray], phrases: list[str]) -> pa.RecordBatch:
-        langs, names, sums = [], [], []
-        for lang, n in counts.items():
-            at = np.flatnonzero(n)
-            langs += [lang] * len(at)
-            names += [phrases[i] if i < len(phrases) else None for i in at.tolist()]
-            sums.append(n[at])
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(names, pa.string()), pa.array(np.concatenate([*sums, np.zeros(0, np.int64)]))], names=["lang", "phrase", "n"])
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, names = None, None, [*block.value[1], None]
+
+        def summed() -> pa.RecordBatch:
+            at = np.flatnonzero(total)
+            own = [names[i] for i in (at + key[1] * _SLICE).tolist()]
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(at), pa.string()), pa.array(own, pa.string()), pa.array(total[at])], names=["lang", "phrase", "n"])
+
+        for batch in batches:
+            for lang, k, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (lang, k) != key:
+                    if key is not None:
+                        yield summed()
+                    key, total = (lang, k), 0
+                total = total + np.frombuffer(counts, np.int64)
+        if key is not None:
+            yield summed()
 
-    return texts.mapInArrow(run, "lang string, phrase string, n long")
+    slices = texts.mapInArrow(run, "lang string, slice int, counts binary").repartition("lang", "slice").sortWithinPartitions("lang", "slice")
+    return slices.mapInArrow(add, "lang string, phrase string, n long")
 
 
 def phrase_counts(docs: DataFrame, least: int = 100, sketch: Sketch = Sketch(), block: int = 4 << 20) -> DataFrame:
@@ -331,7 +351,7 @@ def _counted(texts: DataFrame, candidates: DataFrame, block: int, words: bool) -
         # About `block` bytes, whatever the input: the phrases are dealt by hash.
         own = phrases.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == k).toArrow().column(0).to_pylist()
         of = spark.sparkContext.broadcast((uuid.uuid4().hex, sorted(own)))
-        parts.append(settle(_scan(texts, of, words and k == 0).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))))
+        parts.append(settle(_scan(texts, of, words and k == 0)))
         of.unpersist()
     release(phrases)
     return reduce(DataFrame.unionByName, parts)
