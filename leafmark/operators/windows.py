@@ -89,19 +89,21 @@ def before_stop(attempts: DataFrame, key: str, order: str, failed: Column, most:
 
 def page_turns(polls: DataFrame, key: str, order: str, items: str, span: int = 4096) -> DataFrame:
     """`polls` with `turned`: this poll and the one before of the key both saw something,
-    and nothing in common.
+    and nothing in common.  Null keys are a key; polls with a null order come first.
 
     `order` is a number.  Stretches of `span` of it are looked through in parallel, however
     few keys there are; a stretch's first poll gets the last of the stretch before.
     """
     cut = polls.withColumn("_part", F.floor(F.col(order) / span))
-    inside = Window.partitionBy(key, "_part").orderBy(order)
+    inside = Window.partitionBy(key, "_part").orderBy(F.asc_nulls_first(order))
     marked = cut.withColumns({"_nth": F.row_number().over(inside), "_before": F.lag(items).over(inside)})
-    ends = cut.groupBy(key, "_part").agg(F.max_by(items, order).alias("_end"))
-    carried = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy(key).orderBy("_part")))
+    ends = cut.groupBy(key, "_part").agg(F.max_by(F.struct(items), F.coalesce(F.col(order), F.lit(0)))[items].alias("_end"))
+    line = Window.partitionBy(key).orderBy(F.asc_nulls_first("_part"))
+    carried = ends.select(F.col(key).alias("_key"), F.col("_part").alias("_of"), F.lag("_end").over(line).alias("_end"))
     before = F.when(F.col("_nth") == 1, F.col("_end")).otherwise(F.col("_before"))
     turned = (F.size(before) > 0) & (F.size(items) > 0) & ~F.arrays_overlap(F.col(items), before)
-    return marked.join(carried, [key, "_part"]).withColumn("turned", F.coalesce(turned, F.lit(False))).select(*polls.columns, "turned")
+    joined = marked.join(carried, marked[key].eqNullSafe(F.col("_key")) & F.col("_part").eqNullSafe(F.col("_of")))
+    return joined.withColumn("turned", F.coalesce(turned, F.lit(False))).select(*polls.columns, "turned")
 
 
 def recent(seen: DataFrame, key: str, order: str, item: str, most: int = profiles.RECENT) -> DataFrame:

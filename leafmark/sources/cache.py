@@ -1,7 +1,7 @@
 """The keyed result cache: a table (url, context, data, seq), one row for each URL.
 
-Changes never rewrite a file in place: an update is a new DataFrame, and `save` writes it
-beside the old files before it takes their place.
+Changes never rewrite a file in place: an update is a new DataFrame, and `save` writes it as
+a new generation beside the old one.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from leafmark import schema
 from leafmark.functions import text
+from leafmark.sources import big_json, generations
 
 IMPORTED = "Imported Data"
 _DATA = schema.CACHE["data"].dataType
@@ -29,17 +30,25 @@ def entries(raw: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """A cache file of one JSON object, url to entry, or a folder of such files; with
-    `lines`, each line is such an object (as `save_map` writes them), so that a large cache
-    is read by many tasks.  Unreadable JSON is an empty cache."""
-    whole = spark.read.text(path, wholetext=not lines)
-    pairs = whole.select(F.explode(F.from_json("value", T.MapType(T.StringType(), T.StringType()))).alias("url", "entry"))
+    """A cache file of one JSON object, url to entry, or a folder of such files.  A large
+    file is read by many tasks (`big_json`); with `lines`, each line is such an object (as
+    `save_map` writes them).  Unreadable JSON is an empty cache."""
+    if lines:
+        pairs = spark.read.text(path).select(F.explode(F.from_json("value", T.MapType(T.StringType(), T.StringType()))).alias("url", "entry"))
+    else:
+        pairs = big_json.members(spark, path).select(F.col("key").alias("url"), F.col("value").alias("entry"))
     return entries(pairs).withColumn("seq", F.lit(0).cast("long"))
 
 
 def save(cache: DataFrame, path: str) -> None:
-    """Write all entries as Parquet; readers of the old files are not disturbed before the end."""
-    cache.write.mode("overwrite").parquet(path)
+    """Make `cache` the table at `path`, which may be the one it was read from.  Where the
+    write fails the table stays as it was; plans that read it already end well."""
+    generations.replace(cache.select(*schema.CACHE.names), path)
+
+
+def saved(spark: SparkSession, path: str) -> DataFrame:
+    """The table that `save` wrote last; an empty one if there is none."""
+    return generations.read(spark, path, schema.CACHE)
 
 
 def save_map(cache: DataFrame, path: str, urls: int = 1000) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from leafmark import schema
-from leafmark.sources import cache
+from leafmark.sources import cache, generations
 from leafmark.sources.stage import release, settle
 
 
@@ -22,44 +22,26 @@ def changes(spark: SparkSession, path: str) -> DataFrame:
 def upsert_into(stream: DataFrame, table_path: str, checkpoint: str, compact: int = 16) -> StreamingQuery:
     """Apply changes to the cache table in micro-batches: batch N adds the folder
     `table_path/d=N` with the latest change of each of its URLs, so its cost does not depend
-    on the table.  Every `compact` batches the table is written anew as `v=N`, and the
-    folders that it replaces go.  A batch that is run again writes the same folder."""
+    on the table.  Every `compact` batches the table is written anew as `v=N`.  What that
+    replaces stays until the next time, for plans that read it already.  A batch that is run
+    again writes the same folder."""
     spark = stream.sparkSession
 
     def apply(batch: DataFrame, n: int) -> None:
-        cache.save(cache.latest(batch.where("data IS NOT NULL"), "url", "seq"), f"{table_path}/d={n}")
-        if n % compact == compact - 1 and n not in _written(spark, table_path)["v"]:
-            cache.save(current(spark, table_path), f"{table_path}/v={n}")
-            files, folder = _files(spark, table_path)
-            for kind, done in _written(spark, table_path).items():
-                for k in done:
-                    if k < n or (kind == "d" and k == n):
-                        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{kind}={k}"), True)
+        cache.latest(batch.where("data IS NOT NULL"), "url", "seq").write.mode("overwrite").parquet(f"{table_path}/d={n}")
+        whole = generations.numbers(spark, table_path)
+        if n % compact == compact - 1 and n not in whole:
+            current(spark, table_path).write.mode("overwrite").parquet(f"{table_path}/v={n}")
+            before = (whole or [-1])[-1]
+            generations.drop(spark, table_path, *(f"d={k}" for k in generations.numbers(spark, table_path, "d") if k <= before), *(f"v={k}" for k in whole if k < before))
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _files(spark: SparkSession, path: str):
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
-
-
-def _written(spark: SparkSession, table_path: str) -> dict[str, list[int]]:
-    """The numbers of the whole tables (v) and of the batches (d) that are there in full."""
-    files, folder = _files(spark, table_path)
-    found: dict[str, list[int]] = {"v": [], "d": []}
-    for status in files.listStatus(folder) if files.exists(folder) else []:
-        kind, _, number = status.getPath().getName().partition("=")
-        if kind in found and files.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found[kind].append(int(number))
-    return {kind: sorted(numbers) for kind, numbers in found.items()}
-
-
 def current(spark: SparkSession, table_path: str) -> DataFrame:
     """The cache table: the newest whole one and the batches since."""
-    done = _written(spark, table_path)
-    base = done["v"][-1:]
-    paths = [f"{table_path}/v={n}" for n in base] + [f"{table_path}/d={n}" for n in done["d"] if n > (base or [-1])[0]]
+    base = generations.numbers(spark, table_path)[-1:]
+    paths = [f"{table_path}/v={n}" for n in base] + [f"{table_path}/d={n}" for n in generations.numbers(spark, table_path, "d") if n > (base or [-1])[0]]
     if not paths:
         return spark.createDataFrame([], schema.CACHE)
     rows = reduce(DataFrame.unionByName, (spark.read.schema(schema.CACHE).parquet(p) for p in paths))

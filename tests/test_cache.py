@@ -71,7 +71,19 @@ def test_stream_of_changes(spark, tmp_path, compact):
         query = cache_stream.upsert_into(cache_stream.changes(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/table", f"file://{tmp_path}/ck", compact)
         query.awaitTermination()
     assert {r.url: r.context for r in cache_stream.current(spark, f"file://{tmp_path}/table").collect()} == {"u": "c", "v": "b"}
-    assert sorted(p.name for p in (tmp_path / "table").iterdir() if "=" in p.name) == (["d=0", "d=1", "d=2"] if compact == 16 else ["d=2", "v=1"])
+    assert sorted(p.name for p in (tmp_path / "table").iterdir() if "=" in p.name) == (["d=0", "d=1", "d=2"] + (["v=1"] if compact == 2 else []))
+
+
+def test_compaction_keeps_what_plans_may_read(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    path, plans = f"file://{tmp_path}/table", []
+    for n in range(6):
+        write(tmp_path / "in" / f"{n}.json", json.dumps({"url": f"u{n % 4}", "context": str(n), "data": [], "seq": n}))
+        cache_stream.upsert_into(cache_stream.changes(spark, f"file://{tmp_path}/in"), path, f"file://{tmp_path}/ck", 2).awaitTermination()
+        plans.append(cache_stream.current(spark, path))
+    assert sorted(p.name for p in (tmp_path / "table").iterdir() if "=" in p.name) == ["d=4", "d=5", "v=3", "v=5"]
+    assert {r.url: r.context for r in plans[3].collect()} == {"u0": "0", "u1": "1", "u2": "2", "u3": "3"}  # made before the last compaction
+    assert {r.url: r.context for r in plans[5].collect()} == {"u0": "4", "u1": "5", "u2": "2", "u3": "3"}
 
 
 def test_page_stream_keeps_failures(spark, tmp_path):
