@@ -17,6 +17,11 @@ them out before their terms are counted:
   common words are kept, being rarer).  Texts without any key are dropped first.
 * The same bound on all terms that a unit shares with a template.
 
+Being alike is not enough, as notices of different licences are: the unit must have a name
+of the template's family (`NAMES`), must not state another version, and must not state
+another variant (`by-nc` and the like, Lesser and Affero).  An SPDX-License-Identifier of a
+known licence counts as a match of 1.
+
 A file with a licence of its own keeps it.  Licence files are those with a licence that
 are named so (LICENSE, LICENCE, COPYING, UNLICENSE, NOTICE, with any extension) or whose
 whole text matches a template.  The first of a directory, by path, covers the directory
@@ -99,6 +104,11 @@ You should have received a copy of the GNU {0} along with this program. If not,
 _MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
 was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 
+_EPL_HEADER = """This program and the accompanying materials are made available under the terms of the Eclipse Public License
+2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"""
+#: Creative Commons variants and versions, a notice each.
+_CC = [(f"CC-{kind}-{version}", f"Licensed under CC {kind} {version}.") for version in ("4.0", "3.0") for kind in ("BY", "BY-NC", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")]
+
 #: Notices, standard headers, titles and full texts by which works state
 #: their licence, by SPDX name.  The long licences are known by header and title.
 TEMPLATES = [
@@ -111,10 +121,11 @@ TEMPLATES = [
     ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License."),
     ("BSD-3-Clause", _BSD_HEAD + _BSD_NAMES + _BSD_TAIL),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    *_CC,
     ("CC0-1.0", "Dedicated to the public domain under the CC0 1.0 license."),
+    ("EPL-2.0", "Licensed under the Eclipse Public License 2.0."),
+    ("EPL-2.0", _EPL_HEADER),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-2.0", _GNU_HEADER.format("General Public License", 2)),
     ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
@@ -123,6 +134,9 @@ TEMPLATES = [
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("ISC", "Released under the ISC License."),
     ("ISC", _ISC),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", _GNU_HEADER.format("Lesser General Public License", 2.1)),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("LGPL-3.0", _GNU_HEADER.format("Lesser General Public License", 3)),
     ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
@@ -134,6 +148,17 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain under the Unlicense."),
     ("Unlicense", _UNLICENSE),
 ]
+#: The words that name a licence family; of the texts without a name, words
+#: that no other template has.
+NAMES = {
+    "AGPL": ("gnu",), "Apache": ("apache",), "BSD": ("bsd", "redistribution", "redistributions"), "CC": ("cc",), "CC0": ("cc0",), "EPL": ("eclipse", "epl"), "GPL": ("gnu",),
+    "ISC": ("isc", "fee"), "LGPL": ("gnu",), "MIT": ("mit", "sublicense"), "MPL": ("mozilla", "mpl"), "Unlicense": ("unlicense", "unencumbered"),
+}
+#: Words that tell licences of the GNU family apart.
+VARIANTS = {"AGPL": "affero", "LGPL": "lesser"}
+#: The number behind a word that a version follows.
+VERSION = r"(?:version|licen[cs]e,?|\bv\.?|\bcc0)[ \t\r\n]*(?:version|v\.?)?[ \t\r\n]*([0-9]{1,2}(?:\.[0-9]+)?)(?:[^0-9]|$)|\bby(?:-[a-z]{2})*[ \t]+([0-9]\.[0-9])(?:[^0-9]|$)"
+SPDX = r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]+)"
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LEAST = 0.6
 SHARED = 2  # different terms, not common ones
@@ -172,26 +197,35 @@ def _enough(least: float) -> float:
     return max(0.0, least - 1e-6) ** 2 - 1e-9
 
 
-def keys(least: float = LEAST) -> list[str]:
-    """Terms of which every unit that may reach `least` has one: a template's common and
-    shortest words are left out while those left out could not reach it by themselves."""
-    found = set()
-    for own in shares():
-        left_out = 0.0
-        for term in sorted(own, key=lambda t: (t not in COMMON, len(t), own[t], t)):
-            left_out += own[term]
-            if left_out >= _enough(least):
-                found.add(term)
-    return sorted(found)
+def family(license: str) -> str:
+    return license.split("-", 1)[0]
+
+
+def version(license: str) -> str | None:
+    """The version that a licence's name ends in, without a zero behind the point."""
+    found = re.search(r"-([0-9]+\.[0-9]+)$", license)
+    return found and re.sub(r"\.0$", "", found[1])
 
 
 def _weights(spark: SparkSession) -> DataFrame:
-    """(template, license, term, w, idf, norm, share), a row for each term of a template."""
+    """(template, license, term, w, idf, norm, share, named), a row for each term of a template."""
     rows = []
     for n, (own, part) in enumerate(zip(vectors(), shares(), strict=True)):
-        norm = math.sqrt(sum(w * w for w, _ in own.values()))
-        rows += [f"({n}, '{TEMPLATES[n][0]}', '{t}', {w!r}D, {idf!r}D, {norm!r}D, {part[t]!r}D)" for t, (w, idf) in own.items()]
-    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(template, license, term, w, idf, norm, share)")
+        norm, license = math.sqrt(sum(w * w for w, _ in own.values())), TEMPLATES[n][0]
+        rows += [f"({n}, '{license}', '{t}', {w!r}D, {idf!r}D, {norm!r}D, {part[t]!r}D, {str(t in NAMES[family(license)]).lower()})" for t, (w, idf) in own.items()]
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(template, license, term, w, idf, norm, share, named)")
+
+
+def _kinds(spark: SparkSession) -> DataFrame:
+    """(license, version, must, other): what a licence's units state: no version but its own,
+    all of `must`, none of `other`; `cc` has the variant of Creative Commons."""
+    rows = []
+    for license in sorted({name for name, _ in TEMPLATES}):
+        own, cc = VARIANTS.get(family(license)), license.lower()[3:-4] if license.startswith("CC-") else None
+        other = [v for v in VARIANTS.values() if v != own] if family(license) in ("GPL", *VARIANTS) and own is None else []
+        text = lambda x: "CAST(NULL AS STRING)" if x is None else f"'{x}'"
+        rows.append(f"('{license}', {text(version(license))}, {text(own or cc)}, CAST(array({', '.join(map(text, other))}) AS array<string>), {str(cc == 'by').lower()})")
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(license, version, must, other, plain)")
 
 
 def units(files: DataFrame) -> DataFrame:
@@ -205,26 +239,46 @@ def _terms(column: Column) -> Column:
     return F.regexp_extract_all(F.lower(column), F.lit(TERM), F.lit(0))
 
 
+def _versions(column: Column) -> Column:
+    both = F.concat(*(F.regexp_extract_all(F.lower(column), F.lit(VERSION), F.lit(k)) for k in (1, 2)))
+    return F.transform(F.filter(both, lambda v: v != ""), lambda v: F.regexp_replace(v, r"\.0$", ""))
+
+
+def identified(files: DataFrame) -> DataFrame:
+    """(path, license) of the files with the SPDX identifier of a known licence; of several
+    the first counts."""
+    names = F.create_map(*(F.lit(x) for name in sorted({n for n, _ in TEMPLATES}) for x in (name.lower(), name)))
+    stated = F.regexp_replace(F.lower(F.regexp_extract("text", SPDX, 1)), r"(-only|-or-later|\+)$", "")
+    found = files.where(F.col("text").contains("SPDX-License-Identifier:")).select("path", F.element_at(names, stated).alias("license"))
+    return found.where("license IS NOT NULL").groupBy("path").agg(F.min("license").alias("license"))
+
+
 def own_licenses(files: DataFrame, least: float = LEAST) -> DataFrame:
     """(path, license, score, whole) of the files that state a licence."""
     spark = files.sparkSession
     known = F.broadcast(_weights(spark))  # the templates' terms, a fixed list
-    wanted = keys(least)
-    anywhere = f"(?<![a-z0-9])(?:{'|'.join(map(re.escape, sorted(wanted, key=len, reverse=True)))})(?![a-z0-9])"
-    likely = units(files.where(F.lower("text").rlike(anywhere)))
-    likely = likely.where(F.lower("unit").rlike(anywhere)).groupBy("path", F.md5("unit").alias("id")).agg(F.first("unit").alias("unit"), F.max("whole").alias("whole"))
-    likely = settle(likely)
-    shared = likely.select("path", "id", F.explode(F.array_distinct(_terms(F.col("unit")))).alias("term")).join(known, "term")
-    near = shared.groupBy("path", "id", "template").agg(F.sum("share").alias("share"), F.sum((F.col("idf") > 1).cast("int")).alias("n")).where((F.col("share") >= _enough(least)) & (F.col("n") >= SHARED))
-    near = settle(near.select("path", "id", "template"))
-    counted = likely.join(near.select("path", "id").distinct(), ["path", "id"], "left_semi").select("path", "id", F.explode(_terms(F.col("unit"))).alias("term"))
+    anywhere = f"(?<![a-z0-9])(?:{'|'.join(sorted({n for own in NAMES.values() for n in own}))})(?![a-z0-9])"
+    likely = units(files.where(F.lower("text").rlike(anywhere))).where(F.lower("unit").rlike(anywhere))
+    likely = likely.select("path", F.md5("unit").alias("id"), "whole", _terms(F.col("unit")).alias("terms"), _versions(F.col("unit")).alias("versions"))
+    likely = likely.groupBy("path", "id").agg(F.first("terms").alias("terms"), F.first("versions").alias("versions"), F.max("whole").alias("whole"))
+    # Terms are found once; only units that share enough of a template with its name go on.
+    shared = likely.select("path", "id", "versions", "whole", "terms", F.explode(F.array_distinct("terms")).alias("term")).join(known, "term")
+    enough = (F.sum("share") >= _enough(least)) & (F.sum((F.col("idf") > 1).cast("int")) >= SHARED) & F.max("named")
+    near = shared.groupBy("path", "id", "template", "license").agg(enough.alias("enough"), F.first("versions").alias("versions"), F.first("terms").alias("terms"), F.max("whole").alias("whole")).where("enough")
+    kinds = F.broadcast(_kinds(spark))  # a row a licence
+    same = F.col("version").isNull() | (F.size("versions") == 0) | F.array_contains("versions", F.col("version"))
+    variant = F.col("must").isNull() | F.array_contains("terms", F.col("must"))
+    mixed = F.arrays_overlap("terms", "other") | (F.col("plain") & F.exists("terms", lambda t: t.rlike("^by(-(nc|nd|sa))+$")))
+    near = settle(near.join(kinds, "license").where(same & variant & ~F.coalesce(mixed, F.lit(False))).select("path", "id", "template", "license", "terms", "whole"))
+    counted = near.dropDuplicates(["path", "id"]).select("path", "id", F.explode("terms").alias("term"))
     tf = counted.groupBy("path", "id", "term").agg((1 + F.log(F.count("*"))).alias("tf"))
     idf = F.broadcast(_weights(spark).select("term", "idf").distinct())
     own = tf.join(idf, "term", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(math.log(1 + len(TEMPLATES)) + 1)))
     lengths = own.groupBy("path", "id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
     dots = own.drop("idf").join(known, "term").groupBy("path", "id", "template", "license", "norm").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    scored = dots.join(near, ["path", "id", "template"], "left_semi").join(lengths, ["path", "id"]).join(likely.select("path", "id", "whole"), ["path", "id"])
-    scored = scored.withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("length")), 6)).where(F.col("score") >= least)
+    scored = dots.join(near.select("path", "id", "template", "whole"), ["path", "id", "template"]).join(lengths, ["path", "id"])
+    scored = scored.withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("length")), 6)).where(F.col("score") >= least).select("path", "license", "score", "whole")
+    scored = scored.unionByName(identified(files).select("path", "license", F.lit(1.0).alias("score"), F.lit(False).alias("whole")))
     best = F.min(F.struct((-F.col("score")).alias("loss"), F.col("license").alias("license")))
     return scored.groupBy("path").agg(best.alias("b"), F.max("whole").alias("whole")).select("path", F.col("b.license").alias("license"), (-F.col("b.loss")).alias("score"), "whole")
 
@@ -261,6 +315,8 @@ def oracle_sql(paths: str, least: float = LEAST) -> str:
     """The same over `paths`, a DuckDB query that gives (doc_id, path, text), by the
     definition alone: every unit against every template, nothing kept out beforehand."""
     rows = ", ".join(f"({n}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for n, (name, text) in enumerate(TEMPLATES))
+    names = " ".join(f"WHEN '{own}' THEN {list(words)}" for own, words in NAMES.items())
+    has = lambda word: f"list_contains(ts, '{word}')"
     n, common = len(TEMPLATES), ", ".join(f"'{w}'" for w in COMMON)
     parent = "regexp_replace({}, '/?[^/]*$', '')"
     return rf"""
@@ -275,7 +331,16 @@ term AS (SELECT path, unit, unnest(regexp_extract_all(lower(unit), '{TERM}')) AS
 v AS (SELECT path, unit, term, (1 + ln(count(*))) * coalesce(any_value(idf), ln(1.0 + {n}) + 1) AS v FROM term LEFT JOIN d USING (term) GROUP BY ALL),
 norm AS (SELECT path, unit, sqrt(sum(v * v)) AS length FROM v GROUP BY ALL),
 dot AS (SELECT path, unit, template, license, sum(v * w) AS dot, any_value(norm) AS norm FROM v JOIN w USING (term) GROUP BY ALL HAVING count(*) FILTER (WHERE term NOT IN ({common})) >= {SHARED}),
-scored AS (SELECT path, license, round(dot / (norm * length), 6) AS score, whole FROM dot JOIN norm USING (path, unit) JOIN k USING (path, unit)),
+alike AS (SELECT path, unit, lower(unit) AS u, license, split_part(license, '-', 1) AS family, round(dot / (norm * length), 6) AS score, whole FROM dot JOIN norm USING (path, unit) JOIN k USING (path, unit) WHERE dot / (norm * length) > {least} - 0.001),
+stated AS (SELECT *, regexp_extract_all(u, '{TERM}') AS ts, list_concat(regexp_extract_all(u, '{VERSION}', 1), regexp_extract_all(u, '{VERSION}', 2)) AS vs, regexp_extract(license, '-([0-9]+[.][0-9]+)$', 1) AS v FROM alike),
+spdx AS (SELECT path, lower(regexp_extract(text, '{SPDX}', 1)) AS id FROM files WHERE text LIKE '%SPDX-License-Identifier:%'),
+scored AS (
+  SELECT path, license, score, whole FROM stated
+  WHERE list_has_any(ts, CASE family {names} END)
+    AND (v = '' OR len(list_filter(vs, lambda x: x <> '')) = 0 OR list_contains(list_transform(vs, lambda x: regexp_replace(x, '[.]0$', '')), regexp_replace(v, '[.]0$', '')))
+    AND CASE family WHEN 'AGPL' THEN {has("affero")} WHEN 'LGPL' THEN {has("lesser")} WHEN 'GPL' THEN NOT {has("affero")} AND NOT {has("lesser")}
+      WHEN 'CC' THEN list_contains(ts, lower(license[4:-5])) AND (license NOT LIKE 'CC-BY-_._' OR len(list_filter(ts, lambda x: regexp_matches(x, '^by(-(nc|nd|sa))+$'))) = 0) ELSE true END
+  UNION ALL SELECT s.path, t.license, 1.0, false FROM spdx s JOIN (SELECT DISTINCT license FROM t) t ON lower(t.license) = regexp_replace(s.id, '(-only|-or-later|[+])$', '')),
 own AS (SELECT path, arg_min(license, (-score, license)) AS license, max(score) AS score, bool_or(whole) AS whole FROM scored WHERE score >= {least} GROUP BY path),
 covers AS (SELECT {parent.format("path")} AS above, min(path) AS path, arg_min(license, path) AS license, arg_min(score, path) AS score FROM own WHERE whole OR regexp_matches(path, '{NAMED}') GROUP BY ALL),
 dirs AS (SELECT DISTINCT {parent.format("path")} AS dir FROM files),

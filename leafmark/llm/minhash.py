@@ -22,7 +22,7 @@ With 25 bands of 5 values, a pair at similarity 0.85 shares no band with probabi
 
 Null and empty texts have an empty set and are linked with nothing; a document with
 fewer words than a shingle has its whole sequence as its one shingle; rows that repeat
-a doc_id each get their row and share that doc_id's links; rows without a doc_id are
+a doc_id each get their row and are of one group, with all that any of their texts links to; rows without a doc_id are
 left out; texts of any length are read whole; columns other than doc_id and text are
 ignored, whatever their names; an empty table gives no rows.
 """
@@ -165,6 +165,18 @@ def with_common(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return counted.withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
 
 
+def _by_row(docs: DataFrame, percent: int, piece: int) -> DataFrame:
+    """`near_duplicates` where doc_ids repeat: rows are grouped, and then rows of one doc_id."""
+    rows = settle(doc_texts(docs).withColumn("row", F.monotonically_increasing_id()))
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), percent, piece)
+    named = settle(found.withColumnRenamed("doc_id", "row").join(rows.select("row", F.col("doc_id").alias("own")), "row").select("own", "n_shingles", F.col("component_id").alias("group")))
+    first = named.groupBy("own").agg(F.min("group").alias("a"))
+    links = named.join(first, "own").where("a <> group").select("a", F.col("group").alias("b")).distinct()
+    joined = named.join(components(links).select(F.col("node").alias("group"), "component"), "group", "left").withColumn("group", F.coalesce("component", "group"))
+    least = joined.groupBy("group").agg(F.min("own").alias("component_id"))
+    return joined.join(least, "group").select(F.col("own").alias("doc_id"), "n_shingles", "component_id", (F.col("own") == F.col("component_id")).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, piece: int = PIECE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): groups of documents linked, directly or
     in chains, by 100 * intersection >= `percent` * union of their shingle sets.
@@ -175,6 +187,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, piece: int = PIECE) -> D
     prepare(docs.sparkSession)
     least = percent / 100 - SLACK
     marked = settle(signatures(docs))
+    if not marked.groupBy("doc_id").count().where("count > 1").isEmpty():
+        release(marked)
+        return _by_row(docs, percent, piece)
     filled = marked.where("n_shingles > 0")
     class_of = settle(filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
     reps = settle(

@@ -51,6 +51,24 @@ def test_full_licence_files_and_wrapped_headers(spark):
     assert found["q/six"] == ("BSD-2-Clause", "own") and found["q/seven"] == (None, "none")
 
 
+def contradicted(unit, name):
+    """Whether a unit lacks the licence's name, or states another version or variant."""
+    low = unit.lower()
+    terms = set(re.findall(licenses.TERM, low))
+    if not terms & set(licenses.NAMES[name.split("-")[0]]):
+        return True
+    versions = {float(v) for pair in re.findall(licenses.VERSION, low) for v in pair if v}
+    own = re.search(r"-(\d+\.\d+)$", name)
+    if own and versions and float(own[1]) not in versions:
+        return True
+    variants = {t for t in terms if re.fullmatch("by(-(nc|nd|sa))*", t)}
+    if name.startswith("CC-"):
+        kind = name.lower()[3:-4]
+        return kind not in variants or (kind == "by" and variants != {"by"})
+    gnu = {"AGPL": {"affero"}, "LGPL": {"lesser"}, "GPL": set()}.get(name.split("-")[0])
+    return gnu is not None and (not gnu <= terms or (not gnu and bool(terms & {"affero", "lesser"})))
+
+
 def brute(rows, least=licenses.LEAST):
     """Own licences by the definition: every unit against every template."""
     terms = lambda t: collections.Counter(re.findall(licenses.TERM, t.lower()))
@@ -68,7 +86,7 @@ def brute(rows, least=licenses.LEAST):
             u = vector(terms(unit))
             for name, t in templates:
                 both = u.keys() & t.keys()
-                if len(both - set(licenses.COMMON)) >= 2:
+                if len(both - set(licenses.COMMON)) >= 2 and not contradicted(unit, name):
                     found.append((-round(sum(u[x] * t[x] for x in both) / length(u) / length(t), 6), name))
         out[path] = min((x for x in found if -x[0] >= least), default=None)
     return out
@@ -109,6 +127,42 @@ def test_statements_without_a_key(spark):
     assert found == {**{r[0]: r[2] for r in rows}, "a/x/one": "Unlicense"}
 
 
+NEGATIVE = """Released under the license.|Licensed under CC BY 2.0.|Licensed under the license, version 2.0.|This library is licensed under the GNU Lesser General Public License, version 2.0.
+Licensed under CC BY-NC-ND 2.5.|Released under the terms.|This work is licensed under the license.|Licensed under the Apache License, Version 1.1.|Licensed under the Apache License, Version 3.|Mozilla Public License Version 1.1
+This work is licensed under the GNU General Public License, version 1.|This work is licensed under the General Public License.|The license is the license.|Version 2.0|Version 3, 29 June 2007|Licensed under 4.0.|Licensed under the public license 2.0.
+This Source Code Form is subject to the terms of the Public License.|This is free software released into the public domain.|Dedicated to the public domain.|Dedicated to the public domain under the 1.0 license.|The software is provided "as is".
+Permission is hereby granted.|Licensed to the reader.|Public License Version 2.0|This program is licensed under the public license, version 3.|Copyright notice and this permission notice.|By by by by.|mit|cc|isc|gnu|apache|Released
+Licensed under CC BY-XX 4.0.|License License License.|This program is distributed in the hope that it will be useful.|you may not use this file except in compliance with the License|A license for the dog, version 2.0|General Public License Version 2, June 1991
+See the License for the specific language governing permissions and limitations under the License.|Unless required by applicable law or agreed to in writing|The Eclipse of the sun, version 2.0|Licensed under the Eclipse Public License 1.0.
+This work is licensed under the GNU Affero General Public License, version 1.|This library is free.|Software is furnished to do so|Subject to the terms of the contract, v. 2.0.|License Version 2.0, January 2004|Released under license of the king.
+SPDX-License-Identifier: Unknown-1.0|SPDX-License-Identifier:|SPDX: MIT""".replace("\n", "|").split("|")
+
+
+def test_negative_statements(spark):
+    assert len(NEGATIVE) >= 50
+    frame = spark.createDataFrame([(f"d{i}/f", t) for i, t in enumerate(NEGATIVE)], "path string, text string")
+    assert {NEGATIVE[int(r.path[1:-2])]: r.license for r in licenses.scan(frame).collect() if r.license} == {}
+
+
+def test_versions_variants_and_identifiers(spark):
+    rows = [
+        ("... under CC BY-NC-ND 4.0.", None), ("Licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"), ("Licensed under CC BY-SA 3.0.", "CC-BY-SA-3.0"), ("Licensed under CC BY 3.0.", "CC-BY-3.0"),
+        ("This library is licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"), ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "LGPL-2.1"), ("Licensed under the Apache License, Version 2.", "Apache-2.0"),
+        ("// SPDX-License-Identifier: MIT", "MIT"), ("# SPDX-License-Identifier: GPL-2.0-only\ncode", "GPL-2.0"), ("/* SPDX-License-Identifier: (Apache-2.0 OR MIT) */", "Apache-2.0"), ("SPDX-License-Identifier: lgpl-2.1-or-later", "LGPL-2.1"),
+        ("Licensed under the Eclipse Public License 2.0.", "EPL-2.0"), ("This work is licensed under the GNU General Public License, version 3.0.", "GPL-3.0"), ("Released under the MIT license.", "MIT"),
+    ]
+    found = {r.path: r.license for r in licenses.scan(spark.createDataFrame([(f"d{i}/f", t) for i, (t, _) in enumerate(rows)], "path string, text string")).collect()}
+    got = {t: found[f"d{i}/f"] for i, (t, _) in enumerate(rows)}
+    assert {t: x for t, x in got.items() if t != rows[0][0]} == dict(rows[1:])
+    assert got[rows[0][0]] in (None, "CC-BY-NC-ND-4.0")
+
+
+def test_clashing_names_and_long_texts(spark):
+    text = "x " * 600_000 + "\n\n" + MIT
+    frame = spark.createDataFrame([("a/b", text, 1, "t", "l", True, 2)], "path string, text string, unit int, term string, license string, whole boolean, score int")
+    assert [(r.license, r.origin) for r in licenses.scan(frame).collect()] == [("MIT", "own")]
+
+
 def test_null_source(spark, tmp_path):
     from leafmark.llm import queries
 
