@@ -260,16 +260,19 @@ def own_licenses(files: DataFrame, least: float = LEAST) -> DataFrame:
     anywhere = f"(?<![a-z0-9])(?:{'|'.join(sorted({n for own in NAMES.values() for n in own}))})(?![a-z0-9])"
     likely = units(files.where(F.lower("text").rlike(anywhere))).where(F.lower("unit").rlike(anywhere))
     likely = likely.select("path", F.md5("unit").alias("id"), "whole", _terms(F.col("unit")).alias("terms"), _versions(F.col("unit")).alias("versions"))
-    likely = likely.groupBy("path", "id").agg(F.first("terms").alias("terms"), F.first("versions").alias("versions"), F.max("whole").alias("whole"))
+    telling = F.array(*(F.lit(t) for t in sorted({t for own in vectors() for t in own} - set(COMMON))))
+    likely = likely.where(F.size(F.array_intersect("terms", telling)) >= SHARED)
+    likely = settle(likely.groupBy("path", "id").agg(F.first("terms").alias("terms"), F.first("versions").alias("versions"), F.max("whole").alias("whole")))
     # Terms are found once; only units that share enough of a template with its name go on.
-    shared = likely.select("path", "id", "versions", "whole", "terms", F.explode(F.array_distinct("terms")).alias("term")).join(known, "term")
+    shared = likely.select("path", "id", F.explode(F.array_distinct("terms")).alias("term")).join(known, "term")
     enough = (F.sum("share") >= _enough(least)) & (F.sum((F.col("idf") > 1).cast("int")) >= SHARED) & F.max("named")
-    near = shared.groupBy("path", "id", "template", "license").agg(enough.alias("enough"), F.first("versions").alias("versions"), F.first("terms").alias("terms"), F.max("whole").alias("whole")).where("enough")
+    near = shared.groupBy("path", "id", "template", "license").agg(enough.alias("enough")).where("enough").select("path", "id", "template", "license")
     kinds = F.broadcast(_kinds(spark))  # a row a licence
     same = F.col("version").isNull() | (F.size("versions") == 0) | F.array_contains("versions", F.col("version"))
     variant = F.col("must").isNull() | F.array_contains("terms", F.col("must"))
     mixed = F.arrays_overlap("terms", "other") | (F.col("plain") & F.exists("terms", lambda t: t.rlike("^by(-(nc|nd|sa))+$")))
-    near = settle(near.join(kinds, "license").where(same & variant & ~F.coalesce(mixed, F.lit(False))).select("path", "id", "template", "license", "terms", "whole"))
+    near = near.join(likely, ["path", "id"]).join(kinds, "license").where(same & variant & ~F.coalesce(mixed, F.lit(False)))
+    near = settle(near.select("path", "id", "template", "license", "terms", "whole"))
     counted = near.dropDuplicates(["path", "id"]).select("path", "id", F.explode("terms").alias("term"))
     tf = counted.groupBy("path", "id", "term").agg((1 + F.log(F.count("*"))).alias("tf"))
     idf = F.broadcast(_weights(spark).select("term", "idf").distinct())
