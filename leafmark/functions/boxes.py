@@ -170,9 +170,88 @@ def crop_in_image(left: Column, top: Column, width: Column, height: Column, show
 
 def unclip_distance(points: Column, ratio: float = 1.4) -> Column:
     """Area times ratio over perimeter, of a polygon given as points [x, y]."""
-    n = F.size(points)
-    steps = F.sequence(F.lit(0), n - 1)
-    after = lambda i: points[F.pmod(i + 1, n)]
-    doubled = F.aggregate(steps, F.lit(0.0), lambda s, i: s + points[i][0] * after(i)[1] - after(i)[0] * points[i][1])
-    around = F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.sqrt(F.pow(after(i)[0] - points[i][0], 2) + F.pow(after(i)[1] - points[i][1], 2)))
-    return F.try_divide(F.abs(doubled) / 2 * ratio, around)
+
+    def distance(p: Column) -> Column:
+        after = lambda i: p[F.pmod(i + 1, F.size(p))]
+        length = lambda i: F.sqrt(F.pow(after(i)[0] - p[i][0], 2) + F.pow(after(i)[1] - p[i][1], 2))
+        around = F.aggregate(F.sequence(F.lit(0), F.size(p) - 1), F.lit(0.0), lambda s, i: s + length(i))
+        return F.try_divide(F.abs(_doubled(p)) / 2 * ratio, around)
+
+    return _let(points, distance)
+
+
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _doubled(points: Column) -> Column:
+    """Twice the signed area of a polygon."""
+    after = lambda i: points[F.pmod(i + 1, F.size(points))]
+    return F.aggregate(F.sequence(F.lit(0), F.size(points) - 1), F.lit(0.0), lambda s, i: s + points[i][0] * after(i)[1] - after(i)[0] * points[i][1])
+
+
+def round_offset(points: Column, distance: Column, arc: int = 16) -> Column:
+    """A convex polygon of points [x, y] grown by `distance` with round corners: each corner
+    becomes an arc of `arc` steps from the normal of the side before to that of the side
+    after.  Null for a polygon without area.  The arcs' chords leave the area short of
+    A + P * d + pi * d * d by less than the share pi ** 2 / (6 * arc ** 2) of the last term."""
+
+    def grown(p: Column, d: Column, way: Column) -> Column:
+        """`way`: 1 where the sides turn towards growing angles, else -1."""
+        point = lambda i: p[F.pmod(i, F.size(p))]
+        normal = lambda i: F.atan2((point(i)[0] - point(i + 1)[0]) * way, (point(i + 1)[1] - point(i)[1]) * way)
+        at = lambda c, angle: F.array(c[0] + d * F.cos(angle), c[1] + d * F.sin(angle))
+
+        def corner(i: Column) -> Column:
+            def curve(first: Column) -> Column:
+                step = F.pmod((normal(i) - first) * way, F.lit(2.0) * F.pi()) * way / arc
+                return _let(step, lambda s: F.transform(F.sequence(F.lit(0), F.lit(arc)), lambda k: at(point(i), first + s * k)))
+
+            return _let(normal(i - 1), curve)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(p) - 1), corner))
+
+    sized = lambda p: _let(_doubled(p), lambda t: F.when(t != 0, _let(distance, lambda d: _let(F.signum(t), lambda way: grown(p, d, way)))))
+    return _let(points, sized)
+
+
+def polygon_area(points: Column) -> Column:
+    return _let(points, lambda p: F.abs(_doubled(p)) / 2)
+
+
+def polygon_mean(heat: Column, width: int, height: int, points: Column, total: bool = False) -> Column:
+    """Mean (or `total`) of a heat map, an array row by row, over the cells of a polygon, its
+    corners cut to whole cells and its border included; 0 where it covers none.
+
+    Each row's cells are those between the ends of the polygon's sides there (a scan line),
+    so nothing larger than the map is made.  A convex polygon, as boxes are.
+    """
+
+    def ends(p: Column, y: Column) -> Column:
+        """Where the sides meet the row: both ends of a level side, else the nearest cell."""
+
+        def meet(i: Column) -> Column:
+            a, b = p[i], p[F.pmod(i + 1, F.size(p))]
+            rise = b[1] - a[1]
+            nearest = F.floor(a[0] + (y - a[1]) * (b[0] - a[0]) / rise + 0.5)
+            return F.when(~y.between(F.least(a[1], b[1]), F.greatest(a[1], b[1])), F.slice(a, 1, 0)).when(rise == 0, F.array(a[0], b[0])).otherwise(F.array(nearest))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(p) - 1), meet))
+
+    def cells(h: Column, p: Column) -> Column:
+        def row(y: Column) -> Column:
+            def between(met: Column) -> Column:
+                low, high = F.greatest(F.array_min(met), F.lit(0)), F.least(F.array_max(met), F.lit(width - 1))
+                return F.when((F.size(met) > 0) & (high >= low), F.slice(h, (y * width + low + 1).cast("int"), (high - low + 1).cast("int"))).otherwise(F.slice(h, 1, 0))
+
+            return _let(ends(p, y), between)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(height - 1).cast("long")), row))
+
+    def mean(covered: Column) -> Column:
+        summed = F.aggregate(covered, F.lit(0.0), lambda s, v: s + v.cast("double"))
+        return summed if total else F.when(F.size(covered) > 0, summed / F.size(covered)).otherwise(0.0)
+
+    whole = F.transform(points, lambda p: F.array(p[0].cast("long"), p[1].cast("long")))
+    return _let(heat, lambda h: _let(whole, lambda p: _let(cells(h, p), mean)))

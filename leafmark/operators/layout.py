@@ -145,7 +145,12 @@ def edges(lines: DataFrame, p: profiles.Grouping = profiles.PYTHON) -> DataFrame
     keys = ["page_id", "segment", "vertical"]
     medians = aggregates.with_robust_median(lines, keys, "font", p.min_line_ratio)
     marked = medians.withColumn("main", F.col("font") >= F.col("robust") * p.min_line_ratio)
-    both = pairs.pairs(marked.select(*keys, "line_idx", "x1", "y1", "x2", "y2", "font", "main", "robust"), keys)
+    # Fonts of a link are alike, so neither line reaches further than its own font allows; a
+    # line without extent across may link with any.
+    reach = F.greatest(F.col("font") * max(p.font_ratio, p.font_ratio_for_mixed), F.col("robust")) * (p.dist_k / 2)
+    grow = [F.when(F.col("vertical") == (axis == "x"), reach).otherwise(0.0) for axis in "xy"]
+    flat = F.when(F.col("vertical"), boxes.side("", "y")).otherwise(boxes.side("", "x")) <= 0
+    both = pairs.near(marked.select(*keys, "line_idx", "x1", "y1", "x2", "y2", "font", "main", "robust"), keys, grow=tuple(grow), anywhere=flat)
     a, b = F.col("a_font"), F.col("b_font")
     mixed = F.col("a_main") != F.col("b_main")
     ratio = F.greatest(F.try_divide(a, b), F.try_divide(b, a))
