@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leafmark import profiles
+from leafmark.functions.arrays import let
 
 
 def side(p: str, axis: str) -> Column:
@@ -177,12 +178,7 @@ def unclip_distance(points: Column, ratio: float = 1.4) -> Column:
         around = F.aggregate(F.sequence(F.lit(0), F.size(p) - 1), F.lit(0.0), lambda s, i: s + length(i))
         return F.try_divide(F.abs(_doubled(p)) / 2 * ratio, around)
 
-    return _let(points, distance)
-
-
-def _let(value: Column, body) -> Column:
-    """`body` of a value that is worked out once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
+    return let(points, distance)
 
 
 def _doubled(points: Column) -> Column:
@@ -206,18 +202,18 @@ def round_offset(points: Column, distance: Column, arc: int = 16) -> Column:
         def corner(i: Column) -> Column:
             def curve(first: Column) -> Column:
                 step = F.pmod((normal(i) - first) * way, F.lit(2.0) * F.pi()) * way / arc
-                return _let(step, lambda s: F.transform(F.sequence(F.lit(0), F.lit(arc)), lambda k: at(point(i), first + s * k)))
+                return let(step, lambda s: F.transform(F.sequence(F.lit(0), F.lit(arc)), lambda k: at(point(i), first + s * k)))
 
-            return _let(normal(i - 1), curve)
+            return let(normal(i - 1), curve)
 
         return F.flatten(F.transform(F.sequence(F.lit(0), F.size(p) - 1), corner))
 
-    sized = lambda p: _let(_doubled(p), lambda t: F.when(t != 0, _let(distance, lambda d: _let(F.signum(t), lambda way: grown(p, d, way)))))
-    return _let(points, sized)
+    sized = lambda p: let(_doubled(p), lambda t: F.when(t != 0, let(distance, lambda d: let(F.signum(t), lambda way: grown(p, d, way)))))
+    return let(points, sized)
 
 
 def polygon_area(points: Column) -> Column:
-    return _let(points, lambda p: F.abs(_doubled(p)) / 2)
+    return let(points, lambda p: F.abs(_doubled(p)) / 2)
 
 
 def polygon_mean(heat: Column, width: int, height: int, points: Column, total: bool = False) -> Column:
@@ -245,7 +241,7 @@ def polygon_mean(heat: Column, width: int, height: int, points: Column, total: b
                 low, high = F.greatest(F.array_min(met), F.lit(0)), F.least(F.array_max(met), F.lit(width - 1))
                 return F.when((F.size(met) > 0) & (high >= low), F.slice(h, (y * width + low + 1).cast("int"), (high - low + 1).cast("int"))).otherwise(F.slice(h, 1, 0))
 
-            return _let(ends(p, y), between)
+            return let(ends(p, y), between)
 
         return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(height - 1).cast("long")), row))
 
@@ -254,4 +250,4 @@ def polygon_mean(heat: Column, width: int, height: int, points: Column, total: b
         return summed if total else F.when(F.size(covered) > 0, summed / F.size(covered)).otherwise(0.0)
 
     whole = F.transform(points, lambda p: F.array(p[0].cast("long"), p[1].cast("long")))
-    return _let(heat, lambda h: _let(whole, lambda p: _let(cells(h, p), mean)))
+    return let(heat, lambda h: let(whole, lambda p: let(cells(h, p), mean)))

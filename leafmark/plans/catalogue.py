@@ -1,7 +1,8 @@
 """Query catalogue: a query for each rebuilt operator, with its SQL counterpart.
 
 Queries whose steps depend on one another (greedy suppression, absorption, conflicts,
-first-fit orders) have no SQL counterpart; tests hold them against hand-computed results.
+first-fit orders) have no SQL counterpart; tests hold them against rules restated in plain
+Python.
 """
 
 from __future__ import annotations
@@ -72,11 +73,22 @@ def clip_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.clipped(box_view(spark, sf_dir), F.lit(700.0), F.lit(900.0)).select("page_id", "line_idx", "x1", "x2", "y1", "y2")
 
 
-@query(f"WITH {BOXES_SQL} SELECT page_id, line_idx FROM boxes WHERE (y1 < 700) AND (y2 > 0) AND NOT (length(substr(text, 1, 1)) = 1 AND ((x2 - x1) * (y2 - y1) < 400 OR greatest(x2 - x1, y2 - y1) < 32 OR substr(text, 1, 1) IN ('S', 's', 'c', 'C', 'I', 'l', '1', '2') OR ascii(substr(text, 1, 1)) < 128) AND line_idx % 2 = 0)")
+def _characters(frame: DataFrame) -> DataFrame:
+    """`frame` with a row for each character `t` of its text, at `pos` from 1."""
+    letters = F.filter(F.split("text", ""), lambda c: c != "")
+    each = frame.select("*", F.posexplode(letters).alias("pos", "t"))
+    return each.withColumn("pos", (F.col("pos") + 1).cast("long"))
+
+
+# Even lines are taken character by character, odd ones whole.
+@query(f"""WITH {BOXES_SQL}, t AS (SELECT *, 0::BIGINT AS pos, text AS t FROM boxes WHERE line_idx % 2 = 1 UNION ALL SELECT *, unnest(range(1, length(text) + 1)), unnest(string_split(text, '')) FROM boxes WHERE line_idx % 2 = 0)
+SELECT page_id, line_idx, pos FROM t WHERE (y1 < 700) AND (y2 > 0) AND NOT (length(t) = 1 AND ((x2 - x1) * (y2 - y1) < 400 OR greatest(x2 - x1, y2 - y1) < 32 OR t IN ('S', 's', 'c', 'C', 'I', 'l', '1', '2') OR ascii(t) < 128))""")
 def line_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = box_view(spark, sf_dir).withColumn("t", F.when(F.col("line_idx") % 2 == 0, F.substring("text", 1, 1)).otherwise(F.col("text")))
+    every = box_view(spark, sf_dir)
+    odd = every.where("line_idx % 2 = 1").withColumns({"pos": F.lit(0).cast("long"), "t": F.col("text")})
+    b = odd.unionByName(_characters(every.where("line_idx % 2 = 0")))
     seen = b.where(filters.in_view(F.col("y1"), F.col("y2"), F.lit(700.0)))
-    return seen.where(filters.not_droplet(F.col("t")) & filters.not_rejected(F.col("t"))).select("page_id", "line_idx")
+    return seen.where(filters.not_droplet(F.col("t")) & filters.not_rejected(F.col("t"))).select("page_id", "line_idx", "pos")
 
 
 @query(f"""WITH {BOXES_SQL}, s AS (SELECT page_id, line_idx, x2 - x1 AS w, y2 - y1 AS h, greatest(x2 - x1, y2 - y1) AS l FROM boxes)
@@ -133,19 +145,19 @@ def crop_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return box_view(spark, sf_dir).select("page_id", "line_idx", crop.alias("c")).select("page_id", "line_idx", *(F.round(f"c.{f}", 6).alias(f) for f in ("x", "y", "width", "height")))
 
 
-@query(f"""WITH {BOXES_SQL} SELECT page_id, line_idx, (line_idx * 17 % 100) / 100.0 >= 0.44 AS confident,
-  NOT (length(substr(text, 1, 1)) = 1 AND ((x2 - x1) * (y2 - y1) < 300 OR greatest(x2 - x1, y2 - y1) < 24 OR ascii(text) < 128)) AS droplet,
+@query(f"""WITH {BOXES_SQL}, t AS (SELECT *, unnest(range(1, length(text) + 1)) AS pos, unnest(string_split(text, '')) AS t FROM boxes) SELECT page_id, line_idx, pos, (line_idx * 17 % 100) / 100.0 >= 0.44 AS confident,
+  NOT ((x2 - x1) * (y2 - y1) < 300 OR greatest(x2 - x1, y2 - y1) < 24 OR ascii(t) < 128) AS droplet,
   x2 - x1 >= 60 AND least(x2 - x1, y2 - y1) >= 3 AND (line_idx * 17 % 100) / 100.0 >= 0.25 AND (y2 - y1) / 10 >= 6 AS detected,
   CASE WHEN least(line_idx * 7 % 90, 90 - line_idx * 7 % 90) <= 8 OR greatest(x2 - x1, y2 - y1) / greatest(least(x2 - x1, y2 - y1), 1.0) < 1.35 OR least(x2 - x1, y2 - y1) < 40 THEN 0.0 ELSE line_idx * 7 END::DOUBLE AS tilt,
-  x1 + (x2 - x1) / 2 - (x2 - x1) / 2 AS x FROM boxes""")
+  x1 + (x2 - x1) / 2 - (x2 - x1) / 2 AS x FROM t""")
 def detector_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, h = boxes.side("", "x"), boxes.side("", "y")
     score = (F.col("line_idx") * 17 % 100) / 100.0
-    b = box_view(spark, sf_dir).withColumn("t", F.substring("text", 1, 1))
+    b = _characters(box_view(spark, sf_dir))
     corners = F.array_repeat(F.array(F.lit(0.0), F.lit(0.0)), 4)
-    centred = adapters.centred_boxes(b.select("page_id", "line_idx", (F.col("x1") + w / 2).alias("center_x"), F.col("y1").alias("center_y"), w.alias("width"), h.alias("height")))
+    centred = adapters.centred_boxes(box_view(spark, sf_dir).select("page_id", "line_idx", (F.col("x1") + w / 2).alias("center_x"), F.col("y1").alias("center_y"), w.alias("width"), h.alias("height")))
     flags = b.select(
-        "page_id", "line_idx", filters.confident(score).alias("confident"), filters.not_droplet(F.col("t"), "ppocr").alias("droplet"),
+        "page_id", "line_idx", "pos", filters.confident(score).alias("confident"), filters.not_droplet(F.col("t"), "ppocr").alias("droplet"),
         (filters.detected(corners, score, w, h / 10) & (w >= 60)).alias("detected"), boxes.snap_tilt((F.col("line_idx") * 7).cast("double"), w, h).alias("tilt"),
     )
     return flags.join(centred.select("page_id", "line_idx", "x"), ["page_id", "line_idx"])
@@ -384,14 +396,14 @@ def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT page_id, 'http://ocr/ocr?url=' || replace(replace(url_encode(split_part(url, '?', 1)), '%2A', '*'), '%21', '!') || '&context=' || replace(url_encode(split_part(url, '/', 3) || ' page'), '%2A', '*') AS request,
- to_base64(encode('user' || page_id || ':pass')) AS auth, regexp_replace(replace(html[1:80], '>', chr(10)), '\n+', chr(8203), 'g') AS saved FROM pages""")
+ to_base64(encode('user' || page_id || ':pass')) AS auth, regexp_replace(replace(html, '>', chr(10)), '\n+', chr(8203), 'g') AS saved FROM pages""")
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     context = F.concat(F.element_at(F.split("url", "/"), 3), F.lit(" page"))
     return pages.select(
         "page_id", text.request_url(F.lit("http://ocr"), F.col("url"), context).alias("request"),
         F.replace(text.basic_auth(F.concat(F.lit("user"), "page_id"), F.lit("pass")), F.lit("Basic "), F.lit("")).alias("auth"),
-        text.to_saved(F.replace(F.substring("html", 1, 80), F.lit(">"), F.lit("\n"))).alias("saved"),
+        text.to_saved(F.replace(F.col("html"), F.lit(">"), F.lit("\n"))).alias("saved"),
     )
 
 
