@@ -3,11 +3,14 @@
 The benchmark is taken in blocks of at most `BLOCK` words, which is what is broadcast at
 a time; a larger benchmark takes more passes over the documents, nothing is left out.
 
-1. One pass over every whole text counts in how many documents each word bigram and
-   trigram of the benchmark occurs (one-word items: the word).
-2. The rare ones become seeds: of an item's bigrams, and of its trigrams, those that cost
+1. One pass over every whole text counts in how many documents each word pair and trigram
+   of the benchmark occurs (one-word items: the word).  A pair is two words side by side or
+   with any one word between them, in the item and in the text alike, so a word more or
+   less, or another one, leaves pairs.
+2. The rare ones become seeds: of an item's pairs of each kind, and of its trigrams, those that cost
    at most `RARE` times what its cheapest quarter does, where the cost of an n-gram is the
-   number of its documents times that of its items, and only n-grams that occur count.
+   number of its documents times that of its items (in all blocks), and only n-grams that
+   occur count.
    So an item has seeds however often it was leaked, and a stock phrase of many items is
    none while they have anything rarer.
 3. A second pass finds the seeds in every whole text.  Where seeds of one item lie near one
@@ -17,8 +20,8 @@ a time; a larger benchmark takes more passes over the documents, nothing is left
 
 With one point off for an edit and two for a match, a passage that reaches 0.5 with words
 replaced has at least (n - 3) / 3 of the item's n - 1 bigrams, so every third word may
-differ.  Passages with a word put in after every word, and single words of two- and
-three-word items, have no seed and are not reported.
+differ, or a word may stand after every word.  Items of fewer than ten words are known by
+words side by side only; single words of two- and three-word items have no seed and are not reported.
 
 Words are runs of letters and digits, lower-cased.  Null and empty items have no word and
 match nothing, nor do null and empty texts.  Items with equal item_id are searched for
@@ -46,7 +49,8 @@ BLOCK = 250_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 RARE = 8
 SHORT = 10  # words from which on an item needs two seeds
-SIZES = (2, 3)  # words in a seed
+#: Kinds of seeds: words in a row, or 0 for a pair with a word between.
+ALONE, APART, PAIR, TRIPLE = 1, 0, 2, 3
 
 U = X.U
 _TABLE_BITS = 22
@@ -72,6 +76,23 @@ def grams(words: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return X.mix(total[whole]), whole
 
 
+def kinds(words: np.ndarray, doc: np.ndarray, wanted: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and places of the n-grams of each kind; pairs hash alike, whatever stands between."""
+    out = []
+    for kind in wanted:
+        if kind == APART:
+            if len(words) < 3:
+                out.append((np.zeros(0, U), np.zeros(0, np.int64)))
+                continue
+            # The same sum as for a pair, of words two places apart.
+            total = np.full(len(words) - 2, PAIR, U) + words[:-2] * U((X.BASE * 7) % (1 << 64) | 1) + words[2:] * U((X.BASE * 9) % (1 << 64) | 1)
+            whole = np.flatnonzero(doc[:-2] == doc[2:])
+            out.append((X.mix(total[whole]), whole))
+        else:
+            out.append(grams(words, doc, kind))
+    return out
+
+
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman with linear gaps: best local score, and where it ends in both."""
     step = -GAP * np.arange(len(words) + 1)
@@ -94,10 +115,11 @@ class Items:
         self.ids, self.words = np.array(ids, np.int64), words
         self.size = np.diff(self.first)
         code, place, kind = [], [], []
-        for n in (1, *SIZES):
-            c, p = grams(words, doc, n)
-            if n == 1:
-                c, p = c[self.size[doc[p]] == 1], p[self.size[doc[p]] == 1]
+        every = (ALONE, APART, PAIR, TRIPLE)
+        for n, (c, p) in zip(every, kinds(words, doc, every), strict=True):
+            if n in (ALONE, APART):
+                own = self.size[doc[p]] == 1 if n == ALONE else self.size[doc[p]] >= SHORT
+                c, p = c[own], p[own]
             code.append(c)
             place.append(p)
             kind.append(np.full(len(c), n))
@@ -107,26 +129,28 @@ class Items:
     def _entries(self, code: np.ndarray, item: np.ndarray, place: np.ndarray, kind: np.ndarray) -> None:
         order = np.argsort(code, kind="stable")
         self.code, self.item, self.place, self.kind = code[order], item[order], place[order], kind[order]
-        self.sizes = sorted(set(kind.tolist()))
+        have = set(kind.tolist())
+        #: What texts are searched for: pairs of both kinds where items have either.
+        self.sizes = sorted(have | ({APART, PAIR} if have & {APART, PAIR} else set()))
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[(self.code >> U(64 - _TABLE_BITS)).astype(np.int64)] = True
 
     def found(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The n-grams of texts that are among the items': hash, place, and their range of entries."""
-        code, place = zip(*(grams(words, doc, n) for n in self.sizes), strict=True) if self.sizes else (([np.zeros(0, U)]), ([np.zeros(0, np.int64)]))
-        code, place = np.concatenate(code), np.concatenate(place)
+        """The n-grams of texts that are among the items': hash, place, their range of entries,
+        and whether there is a word between."""
+        every = kinds(words, doc, self.sizes) or [(np.zeros(0, U), np.zeros(0, np.int64))]
+        code, place = (np.concatenate(x) for x in zip(*every, strict=True))
+        apart = np.repeat([k == APART for k in self.sizes or [PAIR]], [len(c) for c, _ in every])
         hit = np.flatnonzero(self.table[(code >> U(64 - _TABLE_BITS)).astype(np.int64)])
-        code, place = code[hit], place[hit]
+        code, place, apart = code[hit], place[hit], apart[hit]
         lo, hi = np.searchsorted(self.code, code, "left"), np.searchsorted(self.code, code, "right")
         hit = hi > lo
-        return code[hit], place[hit], lo[hit], hi[hit]
-
-    def rare(self, often: dict[int, int]) -> Items:
-        """The same items with only their rare n-grams, given in how many documents each
-        n-gram (its hash as a signed number) occurs."""
-        documents = np.array([often.get(c, 0) for c in self.code.view(np.int64).tolist()], np.float64)
-        each, items = np.unique(np.unique(np.stack([self.code, self.item.astype(U)]), axis=1)[0], return_counts=True)
-        cost = documents * items[np.searchsorted(each, self.code)] if len(each) else documents
+        return code[hit], place[hit], lo[hit], hi[hit], apart[hit]
+
+    def rare(self, costs: dict[int, float]) -> Items:
+        """The same items with only their rare n-grams, given what each (its hash as a signed
+        number) costs; 0 if no document has it."""
+        cost = np.array([costs.get(c, 0) for c in self.code.view(np.int64).tolist()], np.float64)
         keep = np.zeros(len(cost), bool)
         group = self.item * 4 + self.kind
         order = np.argsort(group, kind="stable")
@@ -140,6 +164,14 @@ class Items:
         return out
 
 
+def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram): the different n-grams of each item."""
+    for piece in X.pieces(batches):
+        items = Items(list(range(piece.num_rows)), [x or "" for x in piece.column(1).to_pylist()])
+        own = np.unique(np.stack([items.item.astype(U), items.code]), axis=1)[1]
+        yield pa.RecordBatch.from_arrays([X.longs(own)], names=["gram"])
+
+
 def _count(held):
     """(gram, n): in how many of a task's documents each n-gram of the items occurs."""
 
@@ -148,7 +180,7 @@ def _count(held):
         total = np.zeros(len(items.code), np.int64)  # by an n-gram's first entry
         for piece in X.pieces(batches):
             words, doc, _ = hashed_words(piece.column(1))
-            _, place, lo, _ = items.found(words, doc)
+            _, place, lo, *_ = items.found(words, doc)
             once = np.unique(lo * np.int64(piece.num_rows) + doc[place])
             np.add.at(total, once // max(1, piece.num_rows), 1)
         seen = np.flatnonzero(total)
@@ -169,10 +201,13 @@ def _search(held, least: float):
         for piece in X.pieces(batches):
             ids = piece.column(0).to_numpy()
             words, doc, first = hashed_words(piece.column(1))
-            code, place, lo, hi = items.found(words, doc)
+            code, place, lo, hi, apart = items.found(words, doc)
             # Every place of an item that a seed may be, in order of document, item and diagonal.
             row = np.repeat(np.arange(len(code)), hi - lo)
             entry = np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[row]
+            # Items of few words have no pairs with a word between.
+            keep = ~apart[row] | (items.size[items.item[entry]] >= SHORT)
+            row, entry = row[keep], entry[keep]
             d, item = doc[place[row]], items.item[entry]
             diagonal = place[row] - first[d] - items.place[entry]
             order = np.lexsort((diagonal, item, d))
@@ -204,13 +239,15 @@ def _search(held, least: float):
     return run
 
 
-def _block(docs: DataFrame, items: Items, least: float) -> DataFrame:
+def _block(docs: DataFrame, items: Items, shared: DataFrame, least: float) -> DataFrame:
+    """`shared`: (gram, items), in how many items of the whole benchmark each n-gram is."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(items)  # at most BLOCK words
-    counted = settle(docs.mapInArrow(_count(held), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    # At most the n-grams of BLOCK words.
-    seeds = items.rare({r.gram: r.n for r in counted.collect()})
-    release(counted)
+    held = spark.sparkContext.broadcast(items)  # about BLOCK words
+    counted = docs.mapInArrow(_count(held), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    costs = settle(counted.join(shared, "gram").select("gram", (F.col("n").cast("double") * F.col("items")).alias("cost")))
+    # At most the n-grams of a block.
+    seeds = items.rare({r.gram: r.cost for r in costs.collect()})
+    release(costs)
     held.unpersist()
     return docs.mapInArrow(_search(spark.sparkContext.broadcast(seeds), least), _RESULT)
 
@@ -224,12 +261,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, bloc
     docs = doc_texts(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     items = items.where("item_id IS NOT NULL").distinct()
-    size = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    # A word takes two bytes, with what parts it from the next: so many words at most.
+    size = items.agg(F.sum(F.floor(F.octet_length("text") / 2) + 1)).first()[0] or 0
     many = max(1, -(-size // block))
+    shared = settle(items.select("item_id", "text").mapInArrow(_gram_rows, "gram long").groupBy("gram").agg(F.count("*").alias("items")))
     parts = []
     for b in range(many):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == b).orderBy("item_id", "text").collect()
-        parts.append(_block(docs, Items([r.item_id for r in mine], [r.text for r in mine]), least))
+        parts.append(_block(docs, Items([r.item_id for r in mine], [r.text for r in mine]), shared, least))
     every = reduce(DataFrame.unionByName, parts)
     best = F.max(F.struct("score", (-F.col("start_word")).alias("a"), (-F.col("end_word")).alias("b"), "n_seeds")).alias("x")
     return every.groupBy("doc_id", "item_id").agg(best).select(

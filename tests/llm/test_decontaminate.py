@@ -85,6 +85,36 @@ def test_heavy_edits_against_alignment_with_every_text(spark):
     assert sum(abs(score - full[k]) < 1e-9 for k, score in found.items()) >= 0.95 * len(found)
 
 
+def put_in(words, every):
+    return [x for k, w in enumerate(words) for x in ([w, f"new{k}"] if k % every == every - 1 else [w])]
+
+
+@pytest.mark.parametrize("change", ["in1", "in2", "out2", "out3", "swap2"])
+def test_words_put_in_left_out_or_replaced_throughout(spark, change):
+    """Every copy whose alignment scores 0.5 or more: of these, nine in ten are found, and no clean text is."""
+    rng = random.Random(21)
+    items = {i: " ".join(f"{rng.choice(WORDS)}{rng.randint(0, 20)}" for _ in range(rng.randint(14, 45))) for i in range(40)}
+    n = int(change[-1])
+    copy = {
+        "in": lambda w: put_in(w, n),
+        "out": lambda w: [x for k, x in enumerate(w) if k % n != n - 1],
+        "swap": lambda w: [f"other{k}" if k % n == n - 1 else x for k, x in enumerate(w)],
+    }[change[:-1]]
+    rows = [(d, f"{filler(40)} {' '.join(copy(t.split()))} {filler(40)}") for d, t in items.items()] + [(100 + d, filler(150)) for d in range(60)]
+    frames = [spark.createDataFrame(x, f"{i} long, text string") for x, i in ((rows, "doc_id"), (list(items.items()), "item_id"))]
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(*frames).collect()}
+    hashed = lambda t: decontaminate.hashed_words(pa.array([t]))[0]
+    expected = {(d, d) for d, text in rows[:40] if decontaminate.align(hashed(items[d]), hashed(text))[0] >= len(items[d].split())}
+    assert len(expected) == (40 if change[:-1] != "swap" else 0) or change == "out2"
+    assert found <= expected and len(found) >= 0.9 * len(expected)
+
+
+def test_blocks_change_nothing(spark, corpus):
+    docs, _ = corpus
+    rows = lambda block: sorted(map(tuple, decontaminate.contaminated(docs, bench(spark), block=block).collect()))
+    assert rows(None) == rows(150)
+
+
 def test_short_and_repeated_items(spark):
     items = [(1, "zorb quandle"), (2, "flimp"), (3, "a b c d e f g h i j k l"), (3, "m n o p q r s t u v w x"), (None, "zorb")]
     rows = [(10, "the zorb, quandle here"), (11, "zorb here quandle"), (12, "x Flimp y"), (13, "1 a b c d e f g h i j k l 2"), (13, "nothing"), (14, "m n o p q r s t u v w x")]
