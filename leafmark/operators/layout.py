@@ -136,11 +136,11 @@ def measured(lines: DataFrame, width: Column, p: profiles.Grouping = profiles.PY
     return out.withColumns({c: F.col(c) * scale for c in ("x1", "y1", "x2", "y2")})
 
 
-def edges(lines: DataFrame, p: profiles.Grouping = profiles.PYTHON) -> DataFrame:
+def edges(lines: DataFrame, p: profiles.Grouping = profiles.PYTHON, dense: int | None = None) -> DataFrame:
     """Links between lines of one bubble: (page_id, a_line_idx, b_line_idx).
 
     `lines`: as of `measured`, with `segment`.  A native range join inside page, segment
-    and orientation.
+    and orientation; segments of over `dense` lines, if given, are joined by tiles.
     """
     keys = ["page_id", "segment", "vertical"]
     medians = aggregates.with_robust_median(lines, keys, "font", p.min_line_ratio)
@@ -150,7 +150,7 @@ def edges(lines: DataFrame, p: profiles.Grouping = profiles.PYTHON) -> DataFrame
     reach = F.greatest(F.col("font") * max(p.font_ratio, p.font_ratio_for_mixed), F.col("robust")) * (p.dist_k / 2)
     grow = [F.when(F.col("vertical") == (axis == "x"), reach).otherwise(0.0) for axis in "xy"]
     flat = F.when(F.col("vertical"), boxes.side("", "y")).otherwise(boxes.side("", "x")) <= 0
-    both = pairs.near(marked.select(*keys, "line_idx", "x1", "y1", "x2", "y2", "font", "main", "robust"), keys, grow=tuple(grow), anywhere=flat)
+    both = pairs.near(marked.select(*keys, "line_idx", "x1", "y1", "x2", "y2", "font", "main", "robust"), keys, grow=tuple(grow), anywhere=flat, dense=dense)
     a, b = F.col("a_font"), F.col("b_font")
     mixed = F.col("a_main") != F.col("b_main")
     ratio = F.greatest(F.try_divide(a, b), F.try_divide(b, a))

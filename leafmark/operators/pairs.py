@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmark import profiles
@@ -24,31 +24,32 @@ def pairs(frame: DataFrame, keys: list[str] | None = None, ordered: bool = True)
     return a.join(b, keys).where(condition)
 
 
-#: Lines of one key beyond which they meet by tile.
-DENSE = 1000
 #: Tiles along a page's longer extent at most.
 _TILES = 512
 
 
-def near(frame: DataFrame, keys: list[str] | None = None, ordered: bool = True, grow: tuple[Column, Column] | None = None, anywhere: Column | None = None, dense: int = DENSE) -> DataFrame:
+def near(frame: DataFrame, keys: list[str] | None = None, ordered: bool = True, grow: tuple[Column, Column] | None = None, anywhere: Column | None = None, dense: int | None = None) -> DataFrame:
     """As `pairs`, but of keys with over `dense` rows only the pairs that may matter: those
     whose boxes meet once each has grown by `grow` (along x and y, on both ends), and those
-    with a row that is `anywhere`.
+    with a row that is `anywhere`.  Without `dense`, as for pages of ordinary size, all.
 
     The rows of such a key meet in tiles about four boxes wide, and a pair is given by the
     tile that holds the start of what both boxes share, so no pair comes twice and no task
     holds all pairs of a page.  The other keys have few rows and meet directly.
     """
     keys = keys or ["page_id"]
+    if dense is None:  # telling the keys apart costs more than their pairs do
+        return pairs(frame, keys, ordered)
     gx, gy = grow or (F.lit(0.0), F.lit(0.0))
-    page = Window.partitionBy(*keys)
-    sized = frame.withColumns({"_lx": F.col("x1") - gx, "_ly": F.col("y1") - gy, "_hx": F.greatest("x1", "x2") + gx, "_hy": F.greatest("y1", "y2") + gy, "_any": F.coalesce(anywhere, F.lit(False)) if anywhere is not None else F.lit(False)})
+    flag = F.coalesce(anywhere, F.lit(False)) if anywhere is not None else F.lit(False)
+    sized = frame.withColumns({"_lx": F.col("x1") - gx, "_ly": F.col("y1") - gy, "_hx": F.greatest("x1", "x2") + gx, "_hy": F.greatest("y1", "y2") + gy, "_any": flag})
     side = F.greatest(F.col("_hx") - F.col("_lx"), F.col("_hy") - F.col("_ly"))
-    extent = F.greatest(F.max("_hx").over(page) - F.min("_lx").over(page), F.max("_hy").over(page) - F.min("_ly").over(page))
-    sized = sized.withColumns({"_n": F.count(F.lit(1)).over(page), "_tile": F.greatest(4 * F.avg(side).over(page), extent / _TILES, F.lit(1e-6))})
-    few = pairs(sized.where(F.col("_n") <= dense).select(*frame.columns), keys, ordered)
-    many = sized.where(F.col("_n") > dense).drop("_n")
+    extent = F.greatest(F.max("_hx") - F.min("_lx"), F.max("_hy") - F.min("_ly"))
+    # A row for each dense key; usually there is none, and Spark drops what hangs on it.
+    crowded = sized.groupBy(*keys).agg(F.count("*").alias("_n"), F.greatest(4 * F.avg(side), extent / _TILES, F.lit(1e-6)).alias("_tile")).where(F.col("_n") > dense).drop("_n")
     order = F.col("a_line_idx") < F.col("b_line_idx") if ordered else F.col("a_line_idx") != F.col("b_line_idx")
+    few = _side(frame, "a_", keys).join(crowded, keys, "left_anti").join(_side(frame, "b_", keys), keys).where(order)
+    many = sized.join(crowded, keys)
     cell = lambda c: F.floor(c / F.col("_tile"))
     spread = many.where("NOT _any").withColumn("_tx", F.explode(F.sequence(cell(F.col("_lx")), cell(F.col("_hx"))))).withColumn("_ty", F.explode(F.sequence(cell(F.col("_ly")), cell(F.col("_hy")))))
     both = [*keys, "_tile", "_tx", "_ty"]
@@ -62,12 +63,12 @@ def near(frame: DataFrame, keys: list[str] | None = None, ordered: bool = True,
     return reduce(DataFrame.unionByName, [few, *(x.select(*few.columns) for x in found)])
 
 
-def redundant(frame: DataFrame, profile: str) -> DataFrame:
+def redundant(frame: DataFrame, profile: str, dense: int | None = None) -> DataFrame:
     """Pairs of lines of which one makes the other redundant (the test of a single step of
-    the greedy suppression).  The text keys are worked out for each line, not each pair."""
+    the greedy suppression); `dense` as in `near`.  The text keys are worked out for each line, not each pair."""
     rule = profiles.OVERLAPS[profile]
     # Every rule asks for boxes that lie on one another.
-    both = near(frame.withColumn("key", text.key(text.strip(F.col("text")), rule.key)))
+    both = near(frame.withColumn("key", text.key(text.strip(F.col("text")), rule.key)), dense=dense)
     a, b = F.col("a_key"), F.col("b_key")
     same = (a == b) & (F.length(a) > 0)
     ios = boxes.ios()
@@ -97,10 +98,10 @@ def aligned() -> Column:
     return F.when(F.col("vertical"), column).otherwise(row)
 
 
-def touching(frame: DataFrame, grow: float = 0.6) -> DataFrame:
-    """Links between boxes of one orientation that meet when grown."""
+def touching(frame: DataFrame, grow: float = 0.6, dense: int | None = None) -> DataFrame:
+    """Links between boxes of one orientation that meet when grown; `dense` as in `near`."""
     reach = boxes.thickness() * (grow / 2)  # the smaller of two is no more than their mean
-    return near(frame, grow=(reach, reach)).where((boxes.tall("a_") == boxes.tall("b_")) & boxes.touch(grow)).select("page_id", "a_line_idx", "b_line_idx")
+    return near(frame, grow=(reach, reach), dense=dense).where((boxes.tall("a_") == boxes.tall("b_")) & boxes.touch(grow)).select("page_id", "a_line_idx", "b_line_idx")
 
 
 def _thin(p: str) -> Column:

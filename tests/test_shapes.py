@@ -69,13 +69,8 @@ def test_tiles_give_the_same_pairs(spark):
     frame = spark.createDataFrame(scattered(900, 7), SCHEMA).cache()
     got = lambda f: sorted((r.page_id, r.a_line_idx, r.b_line_idx) for r in f.collect())
     plain = {}
-    for dense in (10**9, 50):
-        before, pairs.DENSE = pairs.DENSE, dense
-        default, pairs.near.__defaults__ = pairs.near.__defaults__, (*pairs.near.__defaults__[:-1], dense)
-        try:
-            found = {"redundant": got(pairs.redundant(frame, "server")), "touching": got(pairs.touching(frame)), **{f"edges {k}": got(layout.edges(frame, p)) for k, p in profiles.GROUPINGS.items()}}
-        finally:
-            pairs.DENSE, pairs.near.__defaults__ = before, default
+    for dense in (None, 10**9, 50):
+        found = {"redundant": got(pairs.redundant(frame, "server", dense)), "touching": got(pairs.touching(frame, dense=dense)), **{f"edges {k}": got(layout.edges(frame, p, dense)) for k, p in profiles.GROUPINGS.items()}}
         plain = plain or found
         assert found == plain
     assert all(len(rows) > 20 for rows in plain.values())
@@ -86,7 +81,7 @@ def test_a_dense_page_is_many_groups(spark):
     rng = random.Random(1)
     rows = [(1, i, "t", float(x := rng.randrange(9000)), float(y := rng.randrange(9000)), float(x + 20), float(y + 30), 0, True, 20.0) for i in range(20_000)]
     frame = spark.createDataFrame(rows, SCHEMA).repartition(8)
-    met = pairs.near(frame)
+    met = pairs.near(frame, dense=1000)
     plan = met._jdf.queryExecution().optimizedPlan().toString()
     assert "_tx" in plan and "_ty" in plan
     assert met.count() < 20_000 * 20  # all pairs would be 200 million
