@@ -61,6 +61,15 @@ def test_empty_null_and_repeated(spark, none):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == [(2, 1, 2), (3, 0, 3), (4, 0, 4), (5, 1, 2), (5, 1, 2)]
 
 
+def test_rows_of_one_doc_id_are_one_group(spark):
+    """doc_id 1 has two texts; 2 is near the one, 3 near the other, 4 near neither."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, c), (5, None), (5, c + " more"), (6, a)]
+    for order in (rows, rows[::-1]):
+        found = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect())
+        assert found == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 4, False), (5, 4, False), (6, 1, False)]
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     errors = []
@@ -106,24 +115,27 @@ def test_components_of_a_long_chain(spark):
     assert components(links.limit(0)).count() == 0
 
 
-def test_pairs_just_above_the_threshold(spark):
-    """Recall where banding and the signature test are weakest: similarity 0.85 to 0.88."""
+@pytest.mark.parametrize("percent", [85, 80])
+def test_pairs_just_above_the_threshold(spark, percent):
+    """Recall where banding and the signature test are weakest: similarity 0.85 to 0.88, and
+    0.80 to 0.83 for the pipeline's threshold."""
     rng = np.random.default_rng(9)
     rows, expected = {}, {}
     while len(expected) < 2000:
         d = 2 * len(rows)
         words = [f"{d}x{i}" for i in range(int(rng.integers(60, 200)))]
         copy = list(words)
-        for at in rng.choice(len(words), size=max(1, round(len(words) * float(rng.uniform(0.01, 0.03)))), replace=False):
+        for at in rng.choice(len(words), size=max(1, round(len(words) * float(rng.uniform(0.01, 0.03 if percent == 85 else 0.045)))), replace=False):
             copy[at] = "new"
         a, b = shingles(" ".join(words)), shingles(" ".join(copy))
         share = len(a & b) / len(a | b)
-        if 0.85 <= share < 0.88:
+        if percent / 100 <= share < percent / 100 + 0.03:
             rows[d], rows[d + 1] = " ".join(words), " ".join(copy)
             expected[d + 1] = d
     frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame).collect()}
-    assert all(found[b] == a for b, a in expected.items())
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame, percent).collect()}
+    missed = sum(found[b] != a for b, a in expected.items())
+    assert missed == 0 if percent == 85 else missed <= 2  # 5e-5 of them share no band at 0.80
 
 
 def test_very_long_text_and_a_bucket_of_many(spark):

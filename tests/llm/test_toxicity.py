@@ -151,3 +151,26 @@ def test_rows_keep_their_columns(labelled, lexicon):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - rejected and rejected
     assert toxicity.without_toxic(docs.limit(0), lexicon).count() == 0
     assert toxicity.without_toxic(docs, toxicity.learn([], [], {})).count() == docs.count()
+
+
+def test_score_by_its_definition(spark, lexicon):
+    """The score from the hits, term by term: of each term its best window counts once."""
+    import math
+    import re
+
+    rng = random.Random(17)
+    texts = ["", "nothing here", *(f"{body(rng.randint(0, 60))} " + " ".join(rng.choice([*TERMS, "you", "said", *list(lexicon.stems)]) for _ in range(rng.randint(0, 9))) + f" {body(rng.randint(0, 30))}" for _ in range(60))]
+    texts = [t for t in texts if t.isascii()]
+    found = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), lexicon).collect()}
+    assert any(r.hits for r in found.values())
+    for d, t in enumerate(texts):
+        best, by_kind = {}, {"stem": 0.0, "other": 0.0}
+        for h in found[d].hits:
+            best[h.kind, h.term] = max(best.get((h.kind, h.term), 0), h.weight)
+            by_kind["stem" if h.kind == "stem" else "other"] += h.weight
+        table = {"word": lexicon.words, "stem": lexicon.stems, "fuzzy": lexicon.fuzzy}
+        evidence = {k: sum(w * table[kind].get(term, 0) for (kind, term), w in best.items() if (kind == "stem") == (k == "stem")) for k in by_kind}
+        many, total = len(re.findall("[0-9A-Za-z@]+", t)), sum(by_kind.values())
+        row = [1, min(evidence["other"], 12) / 4, min(evidence["stem"], 12) / 4, math.log1p(total), math.log1p(many) / 8, math.log1p(by_kind["stem"] * 200 / max(many, 20)), float(total > 0)]
+        z = sum(a * b for a, b in zip(row, lexicon.weights, strict=True))
+        assert abs(found[d].score - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9 and found[d].predicted == (found[d].score >= 0.5)
