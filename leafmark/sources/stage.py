@@ -29,15 +29,20 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def _own(spark: SparkSession) -> str:
+    """How the names of this application's folders begin."""
+    return f"leafmark-{spark.sparkContext.applicationId}-"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     A frame that later steps use several times is then computed once, its lineage is cut,
     and a lost executor costs a reread.  `release` deletes the folder; those that a
-    returned plan still reads stay until the caller clears the shared folder.
+    returned plan still reads stay until the caller calls `clear`.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/leafmark-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{_own(spark)}{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _folders[out] = path
@@ -52,3 +57,14 @@ def release(*frames: DataFrame) -> None:
             spark = df.sparkSession
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all folders that `settle` wrote for this application, and tell how many: when
+    the results of its plans have been written or collected, nothing reads them any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    own = [s.getPath() for s in files.listStatus(folder) if s.getPath().getName().startswith(_own(spark))] if files.exists(folder) else []
+    for path in own:
+        files.delete(path, True)
+    return len(own)
