@@ -43,6 +43,9 @@ INITIALS, SYMBOLS = "sua", 9
 #: States: nothing yet, after s, after u, after a.  A repaired conversation ends in the first or last.
 STATES, ENDS = 4, (0, 3)
 NEVER = 1 << 60
+#: A state that costs more than the cheapest by this is on no cheapest repair: from any state, two inserts
+#: and a deletion at most lead to where another state's way on can be gone.  So vectors are few.
+APART = 2 * INSERT + DELETE
 #: Where a row of each initial leads.
 _STEP = {"s": {0: 1}, "u": {0: 2, 1: 2, 3: 2}, "a": {2: 3}}
 ROLES = {2: "user", 3: "assistant"}
@@ -83,7 +86,7 @@ class Automaton:
             for q, p in INSERTS:
                 costs[p] = min(costs[p], costs[q] + INSERT)
         least = min(costs)
-        key = tuple(min(c - least, NEVER) for c in costs)
+        key = tuple(c - least if c - least <= APART else NEVER for c in costs)
         if key not in self.ids:
             self.ids[key] = len(self.vectors)
             self.vectors.append(key)
