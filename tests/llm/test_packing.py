@@ -77,7 +77,7 @@ def test_long_white_space(run):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    run *= 2_000_000 // len(run)
+    run *= (2_000_000 if run in " \t\n" else 300_000) // len(run)
     for text in (run, run + "word", "a <|endoftext|>" + run + "b.", run[:4999] + "x", run[:5001]):
         assert packing.encoder()(text).tolist() == plain.encode(text, add_special_tokens=False).ids
 
