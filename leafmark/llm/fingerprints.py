@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from leafmark.llm import textops as X
 from leafmark.llm.buckets import PIECE, across, confirmed, pair_batch, proposed, unmerged
-from leafmark.llm.common import doc_texts, prepare, settle
+from leafmark.llm.common import doc_texts, prepare, release, settle
 from leafmark.llm.components import components
 
 SLOTS, SEEN, PERIOD, SEED = 64, 8, 4096, 20240229
@@ -267,40 +267,72 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     return doc_texts(docs).mapInArrow(run, "doc_id long, fingerprint binary, digest binary")
 
 
-def edit_distance(a: str, b: str, most: int) -> int | None:
-    """The number of edits from `a` to `b`, or None if over `most`; bit-parallel, a bit for
-    each character of `a`."""
-    start = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        start += 1
-    a, b = a[start:], b[start:]
-    stop = 0
-    for x, y in zip(reversed(a), reversed(b), strict=False):
-        if x != y:
-            break
-        stop += 1
-    a, b = a[: len(a) - stop], b[: len(b) - stop]
-    if abs(len(a) - len(b)) > most:
-        return None
-    if not a:
-        return len(b)
-    masks: dict[str, int] = {}
-    for i, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | 1 << i
-    full, top, found = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
-    up, down = full, 0  # where the column's next cell is larger, smaller
-    for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
-        m = masks.get(c, 0)
-        same = (((m & up) + up) ^ up) | m | down
-        more, less = down | ~(same | up) & full, same & up
-        found += bool(more & top) - bool(less & top)
-        if found - left > most:
+def _trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without the code points that both begin with, and then those both end with."""
+    n = min(len(a), len(b))
+    unlike = a[:n] != b[:n]
+    same = int(unlike.argmax()) if unlike.any() else n
+    a, b, n = a[same:], b[same:], n - same
+    unlike = a[len(a) - n :][::-1] != b[len(b) - n :][::-1]
+    same = int(unlike.argmax()) if unlike.any() else n
+    return a[: len(a) - same], b[: len(b) - same]
+
+
+def _bits(flags: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+
+def _deltas(bits: int, n: int) -> np.ndarray:
+    packed = np.frombuffer(bits.to_bytes((n + 7) // 8, "little"), np.uint8)
+    return np.unpackbits(packed, count=n, bitorder="little").astype(np.int64)
+
+
+def _in_band(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """The number of edits, or None if over `most`, by cells at most `most` off the
+    diagonal.  A run of columns shares a window of rows that holds the band; what enters
+    at its edges is the cost of a real way round, so no cell is too small."""
+    run, done = max(256, most), 0
+    low, high, corner = 0, min(len(a), run + most), 0  # rows of the window, cost above its first
+    full = (1 << high) - 1
+    up, down = full, 0  # where a column's next cell is larger, smaller
+    while done < len(b):
+        upto = min(len(b), done + run)
+        drop, tall = max(0, done - most) - low, min(len(a), upto + most)
+        corner += (up & (1 << drop) - 1).bit_count() - (down & (1 << drop) - 1).bit_count()
+        up, down = up >> drop | ((1 << tall - high) - 1) << high - low - drop, down >> drop
+        low, high = low + drop, tall
+        window, full, masks = a[low:high], (1 << high - low) - 1, {}
+        for c in b[done:upto].tolist():
+            m = masks.get(c)
+            if m is None:
+                m = masks[c] = _bits(window == c)
+            same = (((m & up) + up) ^ up) | m | down
+            more, less = (down | ~(same | up) & full) << 1 | 1, (same & up) << 1
+            up, down = less & full | ~(same | more) & full, more & same & full
+        corner, done = corner + upto - done, upto
+        costs = corner + np.r_[0, np.cumsum(_deltas(up, high - low) - _deltas(down, high - low))]
+        ahead = np.abs(len(a) - np.arange(low, high + 1) - (len(b) - done))
+        if (costs + ahead).min() > most:
             return None
-        more, less = (more << 1 | 1) & full, less << 1 & full
-        up, down = less | ~(same | more) & full, more & same
-    return found if found <= most else None
+    return int(costs[-1])
+
+
+def edit_distance(a: str, b: str, most: int) -> int | None:
+    """The number of edits from `a` to `b`, or None if over `most`.
+
+    Bit-parallel within a band of diagonals that doubles until it holds the answer, so the
+    work is the length times the number of edits (or `most`), over 64 cells a step.
+    """
+    x, y = _trimmed(*(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b)))
+    gap = abs(len(x) - len(y))
+    if gap > most or not len(x) or not len(y):
+        return max(len(x), len(y)) if gap <= most and max(len(x), len(y)) <= most else None
+    band = min(most, max(64, gap))
+    while True:
+        found = _in_band(x, y, band)
+        if found is not None or band == most:
+            return found
+        band = min(most, 2 * band)
 
 
 def _verify(edits: float):
@@ -318,10 +350,25 @@ def _verify(edits: float):
     return run
 
 
+def _by_row(docs: DataFrame, least: float, edits: float, piece: int) -> DataFrame:
+    """`similar` where doc_ids repeat: rows are grouped, and then rows of one doc_id."""
+    rows = settle(doc_texts(docs).withColumn("row", F.monotonically_increasing_id()))
+    found = similar(rows.select(F.col("row").alias("doc_id"), "text"), least, edits, piece)
+    own = rows.select("row", F.col("doc_id").alias("own"))
+    named = settle(found.withColumnRenamed("doc_id", "row").join(own, "row").select("own", F.col("class_id").alias("class"), F.col("group_id").alias("group")))
+    first = named.groupBy("own").agg(F.min("group").alias("a"))
+    links = named.join(first, "own").where("a <> group").select("a", F.col("group").alias("b")).distinct()
+    joined = named.join(components(links).select(F.col("node").alias("group"), "component"), "group", "left").withColumn("group", F.coalesce("component", "group"))
+    of_class = joined.groupBy("class").agg(F.min("own").alias("class_id"))
+    of_group = joined.groupBy("group").agg(F.min("own").alias("group_id"))
+    return joined.join(of_class, "class").join(of_group, "group").select(F.col("own").alias("doc_id"), "class_id", "group_id")
+
+
 def similar(docs: DataFrame, least: float = 0.7, edits: float = 0.2, piece: int = PIECE) -> DataFrame:
-    """(doc_id, group_id): groups of documents linked, directly or in chains, by texts that
-    are at most `edits` of the longer one's characters apart and whose fingerprints agree
-    in `least` of their slots; group_id is the smallest doc_id of a group.
+    """(doc_id, class_id, group_id): classes of equal texts, and groups of documents
+    linked, directly or in chains, by texts that are at most `edits` of the longer one's
+    characters apart and whose fingerprints agree in `least` of their slots.  A class or
+    group is named by its smallest doc_id; rows that repeat a doc_id are of one group.
 
     Banding: fingerprints that agree in a whole band meet in a bucket, and those that
     agree in 0.7 of all slots share no band with probability 0.012.  Pairs are taken from
@@ -329,6 +376,9 @@ def similar(docs: DataFrame, least: float = 0.7, edits: float = 0.2, piece: int
     Equal texts are one class, and only classes are compared.  Empty texts are equal.
     """
     prints = settle(fingerprinted(docs))
+    if not prints.groupBy("doc_id").count().where("count > 1").isEmpty():
+        release(prints)
+        return _by_row(docs, least, edits, piece)
     classes = settle(prints.groupBy("fingerprint", "digest").agg(F.min("doc_id").alias("doc_id")))
     width = SLOTS // BANDS
     bands = F.array(*(F.xxhash64(F.lit(b), F.substring("fingerprint", b * width + 1, width)) for b in range(BANDS)))
@@ -336,14 +386,17 @@ def similar(docs: DataFrame, least: float = 0.7, edits: float = 0.2, piece: int
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
     # No sizes bound a pair's likeness here, so they are all alike.
     members = settle(rows.join(shared, "key").withColumns({"n_shingles": F.lit(1).cast("long"), "common": F.lit(1).cast("long")}))
-    whole = doc_texts(docs).withColumn("digest", F.unhex(F.sha2("text", 256))).join(classes.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi")
-    texts = settle(whole.select("doc_id", "text").distinct().join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
+    texts = settle(doc_texts(docs).join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"))
     first = settle(proposed(members, least, piece))
     links = settle(confirmed(first, texts, _verify(edits), piece))
     groups = components(links)
     named = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    second = settle(across(unmerged(named, piece), least, 0, BANDS, width).join(first, ["a", "b"], "left_anti"))
+    open_ = unmerged(named, piece)
+    second = settle(across(open_, least, 0, BANDS, width).join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         groups = components(links.union(settle(confirmed(second, texts, _verify(edits), piece))))
-    of_class = classes.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("fingerprint", "digest", F.coalesce("component", "doc_id").alias("group_id"))
-    return prints.join(of_class, ["fingerprint", "digest"]).select("doc_id", "group_id")
+    release(members, texts, first, open_)
+    of_class = classes.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "fingerprint", "digest", F.col("doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("group_id")
+    )
+    return prints.join(of_class, ["fingerprint", "digest"]).select("doc_id", "class_id", "group_id")

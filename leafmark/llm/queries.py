@@ -36,6 +36,11 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_neighbours(table(spark, sf_dir, "documents"))
 
 
+def document_fingerprint_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole of operator 5 on the corpus: banding, and links verified by edit distance."""
+    return fingerprints.similar(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_toxicity,
         op4_suffix_array_dedup,
         op5_document_fingerprints,
+        document_fingerprint_groups,
         op6_minhash_near_dedup,
         op7_language_id,
         op8_quality_classifier,

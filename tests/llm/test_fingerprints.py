@@ -118,6 +118,38 @@ def test_edit_distance():
         assert fingerprints.edit_distance(a, b, most) == (true if true <= most else None)
 
 
+def test_edit_distance_across_windows_and_bands():
+    rng = random.Random(6)
+    for n in range(60):
+        a = "".join(rng.choice("abcd 漢😀") for _ in range(rng.randint(300, 900)))
+        b = changed(rng, a, rng.randint(0, 120))
+        if n % 3 == 0:
+            cut = rng.randint(1, 200)
+            b = b[cut:] + a[:cut]
+        true = plain_distance(a, b)
+        for most in (0, true - 1, true, true + 1, 64, 2 * true + 5, 900):
+            assert most < 0 or fingerprints.edit_distance(a, b, most) == (true if true <= most else None)
+
+
+def test_edit_distance_of_long_texts():
+    rng = random.Random(7)
+    text = "".join(rng.choices("abcdefghij klm", k=400_000))
+    spots = sorted(rng.sample(range(1, 400_000), 60))
+    pieces = [text[a:b] for a, b in zip([0, *spots], [*spots, len(text)], strict=True)]
+    assert fingerprints.edit_distance(text, "Q".join(pieces), 80_000) == 60
+    assert fingerprints.edit_distance(text, text[::-1], 2_000) is None
+
+
+def test_repeated_ids_in_similar(spark):
+    rng = random.Random(10)
+    a, b = ("".join(rng.choice("abcdefg hij") for _ in range(500)) for _ in range(2))
+    frame = spark.createDataFrame([(1, a), (1, b), (2, a[:490]), (3, "Q" + b), (4, a), (5, "other"), (5, "other")], "doc_id long, text string")
+    found = {r.doc_id: r.group_id for r in fingerprints.similar(frame).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
+    classes = sorted((r.doc_id, r.class_id) for r in fingerprints.similar(frame).collect())
+    assert classes == [(1, 1), (1, 1), (2, 2), (3, 3), (4, 1), (5, 5), (5, 5)]
+
+
 @pytest.mark.parametrize("piece", [2048, 8])
 def test_similar_against_all_pairs(spark, piece):
     """Families of edited copies, unlike texts with one opening, exact copies: the groups
