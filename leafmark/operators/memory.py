@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -28,26 +28,11 @@ from leafmark import profiles
 from leafmark.operators import windows
 
 
-def running_sum(rows: DataFrame, key: str, order: str, value: Column, name: str, span: int = 4096) -> DataFrame:
-    """`rows` with the sum of `value` (a long) over the rows of the key up to this one and
-    those of equal order.  Stretches of `span` of the order are summed in parallel, and the
-    sums of the stretches before, a row each, are added."""
-    part = F.floor(F.col(order) / span)
-    cut = rows.withColumns({"_part": part, "_value": value})
-    inside = Window.partitionBy(key, "_part").orderBy(F.asc_nulls_first(order)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = Window.partitionBy(key).orderBy(F.asc_nulls_first("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(key, "_part").agg(F.sum("_value").alias("_total"))
-    totals = totals.select(F.col(key).alias("_key"), F.col("_part").alias("_of"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_earlier"))
-    summed = cut.withColumn("_inside", F.sum("_value").over(inside))
-    joined = summed.join(totals, summed[key].eqNullSafe(F.col("_key")) & F.col("_part").eqNullSafe(F.col("_of")))
-    return joined.select(*rows.columns, (F.col("_inside") + F.col("_earlier")).cast("long").alias(name))
-
-
 def epochs(events: DataFrame, key: str, order: str, seen: str, span: int = 4096) -> DataFrame:
     """`events` with `epoch`: how many page turns the key has had, this row's included."""
     polls = windows.page_turns(events.where(F.col(seen).isNotNull()), key, order, seen, span)
     visits = events.where(F.col(seen).isNull()).withColumn("turned", F.lit(False))
-    return running_sum(polls.unionByName(visits), key, order, F.col("turned").cast("long"), "epoch", span).drop("turned")
+    return windows.running_sum(polls.unionByName(visits), key, order, F.col("turned").cast("long"), "epoch", span).drop("turned")
 
 
 def remembered(events: DataFrame, key: str, order: str, seen: str, item: str, most: int = profiles.RECENT, span: int = 4096) -> DataFrame:

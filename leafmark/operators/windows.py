@@ -75,35 +75,61 @@ def segments(lines: DataFrame, height: Column | None = None) -> DataFrame:
     return found.select(*(F.col("page_id") if c == "page_id" else F.col(f"s.v.`{c}`").alias(c) for c in lines.columns), F.col("s.segment").alias("segment"))
 
 
-def before_stop(attempts: DataFrame, key: str, order: str, failed: Column, most: int = profiles.FAILURES_TO_STOP) -> DataFrame:
-    """The attempts of each key up to and including the one that makes `most` failures in
-    a row; all of them where that never happens."""
-    seen = Window.partitionBy(key).orderBy(order)
-    marked = attempts.withColumn("_failed", failed).withColumn("_run", F.sum((~F.col("_failed")).cast("int")).over(seen))
-    run = Window.partitionBy(key, "_run").orderBy(order)
-    counted = marked.withColumn("_streak", F.sum(F.col("_failed").cast("int")).over(run))
-    earlier = seen.rowsBetween(Window.unboundedPreceding, -1)
-    stopped = counted.withColumn("_stop", F.coalesce(F.max((F.col("_streak") >= most).cast("int")).over(earlier), F.lit(0)))
-    return stopped.where("_stop = 0").drop("_failed", "_run", "_streak", "_stop")
-
-
-def page_turns(polls: DataFrame, key: str, order: str, items: str, span: int = 4096) -> DataFrame:
-    """`polls` with `turned`: this poll and the one before of the key both saw something,
-    and nothing in common.  Null keys are a key; polls with a null order come first.
+def running_sum(rows: DataFrame, key: str, order: str, value: Column, name: str, span: int = 4096) -> DataFrame:
+    """`rows` with the sum of `value` (a long) over the rows of the key up to this one and
+    those of equal order.  Stretches of `span` of the order are summed in parallel, and the
+    sums of the stretches before, a row each, are added."""
+    part = F.floor(F.col(order) / span)
+    cut = rows.withColumns({"_part": part, "_value": value})
+    inside = Window.partitionBy(key, "_part").orderBy(F.asc_nulls_first(order)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(key).orderBy(F.asc_nulls_first("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(key, "_part").agg(F.sum("_value").alias("_total"))
+    totals = totals.select(F.col(key).alias("_key"), F.col("_part").alias("_of"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_earlier"))
+    summed = cut.withColumn("_inside", F.sum("_value").over(inside))
+    joined = summed.join(totals, summed[key].eqNullSafe(F.col("_key")) & F.col("_part").eqNullSafe(F.col("_of")))
+    return joined.select(*rows.columns, (F.col("_inside") + F.col("_earlier")).cast("long").alias(name))
+
+
+def with_previous(rows: DataFrame, key: str, order: str, value: str, name: str, span: int = 4096) -> DataFrame:
+    """`rows` with the `value` of the row before in the key.  Null keys are a key; rows
+    with a null order come first.
 
     `order` is a number.  Stretches of `span` of it are looked through in parallel, however
-    few keys there are; a stretch's first poll gets the last of the stretch before.
+    few keys there are; a stretch's first row gets the last of the stretch before.
     """
-    cut = polls.withColumn("_part", F.floor(F.col(order) / span))
+    cut = rows.withColumn("_part", F.floor(F.col(order) / span))
     inside = Window.partitionBy(key, "_part").orderBy(F.asc_nulls_first(order))
-    marked = cut.withColumns({"_nth": F.row_number().over(inside), "_before": F.lag(items).over(inside)})
-    ends = cut.groupBy(key, "_part").agg(F.max_by(F.struct(items), F.coalesce(F.col(order), F.lit(0)))[items].alias("_end"))
+    marked = cut.withColumns({"_nth": F.row_number().over(inside), "_before": F.lag(value).over(inside)})
+    ends = cut.groupBy(key, "_part").agg(F.max_by(F.struct(value), F.coalesce(F.col(order), F.lit(0)))[value].alias("_end"))
     line = Window.partitionBy(key).orderBy(F.asc_nulls_first("_part"))
     carried = ends.select(F.col(key).alias("_key"), F.col("_part").alias("_of"), F.lag("_end").over(line).alias("_end"))
-    before = F.when(F.col("_nth") == 1, F.col("_end")).otherwise(F.col("_before"))
-    turned = (F.size(before) > 0) & (F.size(items) > 0) & ~F.arrays_overlap(F.col(items), before)
     joined = marked.join(carried, marked[key].eqNullSafe(F.col("_key")) & F.col("_part").eqNullSafe(F.col("_of")))
-    return joined.withColumn("turned", F.coalesce(turned, F.lit(False))).select(*polls.columns, "turned")
+    return joined.select(*rows.columns, F.when(F.col("_nth") == 1, F.col("_end")).otherwise(F.col("_before")).alias(name))
+
+
+def before_stop(attempts: DataFrame, key: str, order: str, failed: Column, most: int = profiles.FAILURES_TO_STOP, span: int = 4096) -> DataFrame:
+    """The attempts of each key up to and including the one that makes `most` failures in
+    a row; all of them where that never happens.  Attempts whose `failed` is null neither
+    fail nor end a row of failures; those of equal order stay or go together.
+
+    `order` is a number.  Rows of failures are numbered by running sums, and only the first
+    `most` of each are looked at, so a key with very many attempts is not one task's.
+    """
+    marked = attempts.select(key, order, failed.alias("_failed"))
+    runs = running_sum(marked, key, order, F.coalesce((~F.col("_failed")).cast("long"), F.lit(0)), "_run", span)
+    nth = F.row_number().over(Window.partitionBy(key, "_run").orderBy(F.asc_nulls_first(order)))
+    ends = runs.where("_failed").withColumn("_nth", nth).where(F.col("_nth") == most)
+    stops = ends.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(order)).alias("_stop"))
+    joined = attempts.join(stops, attempts[key].eqNullSafe(F.col("_key")), "left")
+    return joined.where(F.col("_stop").isNull() | (F.struct(order) <= F.col("_stop"))).select(*attempts.columns)
+
+
+def page_turns(polls: DataFrame, key: str, order: str, items: str, span: int = 4096) -> DataFrame:
+    """`polls` with `turned`: this poll and the one before of the key both saw something,
+    and nothing in common.  Null keys are a key; polls with a null order come first."""
+    before = F.col("_previous")
+    turned = (F.size(before) > 0) & (F.size(items) > 0) & ~F.arrays_overlap(F.col(items), before)
+    return with_previous(polls, key, order, items, "_previous", span).withColumn("turned", F.coalesce(turned, F.lit(False))).drop("_previous")
 
 
 def recent(seen: DataFrame, key: str, order: str, item: str, most: int = profiles.RECENT) -> DataFrame:
@@ -140,10 +166,14 @@ def recent(seen: DataFrame, key: str, order: str, item: str, most: int = profile
     return kept.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
 
 
-def idle_sessions(uses: DataFrame, key: str, at: str, seconds: int = profiles.IDLE_SECONDS) -> DataFrame:
-    """(key, session, start, end, uses): stretches of use with no pause over `seconds`."""
-    line = Window.partitionBy(key).orderBy(at)
-    gap = F.unix_seconds(F.col(at).cast("timestamp")) - F.unix_seconds(F.lag(at).over(line).cast("timestamp"))
-    marked = uses.withColumn("_new", F.coalesce((gap > seconds).cast("long"), F.lit(1).cast("long")))
-    numbered = marked.withColumn("session", F.sum("_new").over(line.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+def idle_sessions(uses: DataFrame, key: str, at: str, seconds: int = profiles.IDLE_SECONDS, span: int = 86400) -> DataFrame:
+    """(key, session, start, end, uses): stretches of use with no pause over `seconds`.
+
+    Pauses and numbers of sessions are found for stretches of `span` seconds in parallel,
+    so a key with very many uses is not one task's.  Uses without a time are session 0.
+    """
+    timed = uses.select(key, at, F.unix_seconds(F.col(at).cast("timestamp")).alias("_second"))
+    before = with_previous(timed, key, "_second", "_second", "_previous", span)
+    starts = F.coalesce(F.col("_second") - F.col("_previous") > seconds, F.col("_second").isNotNull())
+    numbered = running_sum(before, key, "_second", starts.cast("long"), "session", span)
     return numbered.groupBy(key, "session").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("uses"))

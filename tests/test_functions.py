@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +130,42 @@ def test_turns_over_stretches_and_empty_polls(spark, span):
     for k in (1, 2):
         turned = [r.turned for r in found.where(F.col("k") == k).orderBy("i").collect()]
         assert turned == [n > 0 and bool(x) and bool(items[n - 1]) and not set(x) & set(items[n - 1]) for n, x in enumerate(items)]
+
+
+@pytest.mark.parametrize("span", [1, 7, 4096])
+def test_before_stop_over_stretches(spark, span):
+    rng = random.Random(span)
+    rows = [(k, i, rng.choice([True, True, False, None])) for k in ("a", "b", None, "c") for i in rng.sample(range(300), 60)]
+    rows += [("d", i, i % 3 < 2) for i in range(50)]
+    kept = []
+    for key in ("a", "b", None, "c", "d"):
+        streak = 0
+        for k, i, bad in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]):
+            kept.append((str(k), i))
+            streak = streak if bad is None else streak + 1 if bad else 0
+            if streak == 3:
+                break
+    frame = spark.createDataFrame(rows, "k string, i long, bad boolean").repartition(3)
+    found = windows.before_stop(frame, "k", "i", F.col("bad"), 3, span)
+    assert found.columns == ["k", "i", "bad"]
+    assert sorted((str(r.k), r.i) for r in found.collect()) == sorted(kept)
+    assert windows.before_stop(frame.limit(0), "k", "i", F.col("bad"), 3, span).count() == 0
+
+
+@pytest.mark.parametrize("span", [10, 86400])
+def test_idle_sessions_over_stretches(spark, span):
+    rng = random.Random(span)
+    rows = [(k, s) for k in ("a", None) for s in rng.choices(range(5000), k=80)] + [("a", None), ("a", None), ("b", None)]
+    expected = [("a", 0, None, None, 2), ("b", 0, None, None, 1)]
+    for key in ("a", None):
+        sessions = []
+        for s in sorted(s for k, s in rows if k == key and s is not None):
+            if sessions and s - sessions[-1][1] <= 60:
+                sessions[-1][1:] = [s, sessions[-1][2] + 1]
+            else:
+                sessions.append([s, s, 1])
+        expected += [(key, n, *s) for n, s in enumerate(sessions, 1)]
+    frame = spark.createDataFrame(rows, "k string, s long").select("k", F.timestamp_seconds("s").alias("at"))
+    found = windows.idle_sessions(frame, "k", "at", 60, span).select("k", "session", F.unix_seconds("start"), F.unix_seconds("end"), "uses")
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, expected))
+    assert windows.idle_sessions(frame.limit(0), "k", "at", 60, span).count() == 0

@@ -71,7 +71,7 @@ def test_empty(spark):
 def test_running_sum(spark):
     rng = random.Random(3)
     rows = [(rng.choice(["a", None]), rng.randrange(300), rng.randrange(5)) for _ in range(500)]
-    found = memory.running_sum(spark.createDataFrame(rows, "k string, at long, v long"), "k", "at", F.col("v"), "sum", span=7).collect()
+    found = windows.running_sum(spark.createDataFrame(rows, "k string, at long, v long"), "k", "at", F.col("v"), "sum", span=7).collect()
     assert len(found) == 500
     assert all(r["sum"] == sum(v for k, at, v in rows if k == r.k and at <= r["at"]) for r in found)
 
