@@ -12,7 +12,8 @@ its whole sequence as its one run).  A run's first occurrence, by (doc_id, place
 kept; the sentences of any later occurrence go.  The place of the first comes from a
 grouped minimum with a map-side combine, and is joined back by the hash: runs with more
 than one in `HOT` of all occurrences, of which there are fewer than `HOT`, by broadcast,
-so that no task gets all occurrences of a common passage; the others by a shuffle.
+so that no task gets all occurrences of a common passage; the others by a shuffle.  Both
+joins keep each occurrence as one row, so neither makes more rows than there are.
 
 Runs compare sentences with outer white space removed and inner runs of white space as
 one space.  Null and empty texts have no sentence and lose nothing.  Texts of any length
@@ -158,9 +159,12 @@ def remove_repeated_spans(docs: DataFrame, span: int = SPAN, longest: int = LONG
     # Fewer than HOT rows, as each has more than one in HOT of all.
     common = F.broadcast(often.where(hot).select("run", F.col("first").alias("hot")))
     marked = found.join(common, "run", "left")
-    by_broadcast = marked.where("hot IS NOT NULL").where(place != F.col("hot"))
-    by_shuffle = marked.where("hot IS NULL").join(often.where(~hot).select("run", "first"), "run").where(place != F.col("first"))
-    again = by_broadcast.select("doc_id", "tag", "place").union(by_shuffle.select("doc_id", "tag", "place"))
+    # Every row passes both joins once and meets one row at most.  Rows of common runs are
+    # dealt out by their place, and take nothing from the second.
+    cold = often.where(~hot).select(F.col("run").alias("of"), "first")
+    dealt = F.when(F.col("hot").isNull(), F.col("run")).otherwise(F.xxhash64("run", "doc_id", "tag", "place"))
+    both = marked.withColumn("dealt", dealt).join(cold, F.col("dealt") == F.col("of"), "left")
+    again = both.where(place != F.coalesce("hot", F.when(F.col("hot").isNull(), F.col("first")))).select("doc_id", "tag", "place")
     lists = again.groupBy("doc_id", "tag").agg(F.collect_list("place").alias("places"))
     each = rows.join(lists, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "places")
     return each.mapInArrow(_cut(span, longest, reach), "doc_id long, n_sentences long, n_removed long, text string")

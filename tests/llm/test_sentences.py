@@ -93,3 +93,14 @@ def test_edges(spark, none):
     found = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in sentences.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == brute(rows, 3)
     assert found[2][2] == "x. y" and found[4][1] == 2 and found[5] == (0, 0, "")
+
+
+@pytest.mark.parametrize("hot", [0, 10, 10**9])
+def test_joins_keep_each_occurrence_as_one_row(spark, monkeypatch, hot):
+    """Whichever runs count as common, the result is the same and no join's rows depend on how large groups are."""
+    monkeypatch.setattr(sentences, "HOT", hot)
+    rows = [(i, f"Own {i}. So it is. Here we go. Then it ends.") for i in range(40)] + [(50 + i, f"P{i // 2} a. P{i // 2} b. P{i // 2} c.") for i in range(8)]
+    found = sentences.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in found.collect()} == brute(rows, 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 3 and "Join Inner" not in plan
