@@ -5,10 +5,12 @@ Functions of two boxes take the prefixes of their columns (`a_x1`, `b_x1`).
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leafmark import profiles
+from leafmark.functions import polygons
 from leafmark.functions.arrays import let
 
 
@@ -172,13 +174,11 @@ def crop_in_image(left: Column, top: Column, width: Column, height: Column, show
 def unclip_distance(points: Column, ratio: float = 1.4) -> Column:
     """Area times ratio over perimeter, of a polygon given as points [x, y]."""
 
-    def distance(p: Column) -> Column:
-        after = lambda i: p[F.pmod(i + 1, F.size(p))]
-        length = lambda i: F.sqrt(F.pow(after(i)[0] - p[i][0], 2) + F.pow(after(i)[1] - p[i][1], 2))
-        around = F.aggregate(F.sequence(F.lit(0), F.size(p) - 1), F.lit(0.0), lambda s, i: s + length(i))
-        return F.try_divide(F.abs(_doubled(p)) / 2 * ratio, around)
+    @F.arrow_udf(returnType="double")
+    def distance(points: pa.Array) -> pa.Array:
+        return polygons.unclip(points, ratio)
 
-    return let(points, distance)
+    return distance(points)
 
 
 def _doubled(points: Column) -> Column:
@@ -193,23 +193,22 @@ def round_offset(points: Column, distance: Column, arc: int = 16) -> Column:
     after.  Null for a polygon without area.  The arcs' chords leave the area short of
     A + P * d + pi * d * d by less than the share pi ** 2 / (6 * arc ** 2) of the last term."""
 
-    def grown(p: Column, d: Column, way: Column) -> Column:
-        """`way`: 1 where the sides turn towards growing angles, else -1."""
-        point = lambda i: p[F.pmod(i, F.size(p))]
-        normal = lambda i: F.atan2((point(i)[0] - point(i + 1)[0]) * way, (point(i + 1)[1] - point(i)[1]) * way)
-        at = lambda c, angle: F.array(c[0] + d * F.cos(angle), c[1] + d * F.sin(angle))
+    @F.arrow_udf(returnType="array<array<double>>")
+    def grown(points: pa.Array, distance: pa.Array) -> pa.Array:
+        return polygons.offset(points, distance, arc)
 
-        def corner(i: Column) -> Column:
-            def curve(first: Column) -> Column:
-                step = F.pmod((normal(i) - first) * way, F.lit(2.0) * F.pi()) * way / arc
-                return let(step, lambda s: F.transform(F.sequence(F.lit(0), F.lit(arc)), lambda k: at(point(i), first + s * k)))
+    return grown(points, distance.cast("double"))
 
-            return let(normal(i - 1), curve)
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(p) - 1), corner))
+def unclipped_measures(points: Column, ratio: float = 1.4, arc: int = 16) -> Column:
+    """Area, extent and number of corners of `round_offset` by `unclip_distance`, whose
+    outline is not made; null for a polygon without area."""
 
-    sized = lambda p: let(_doubled(p), lambda t: F.when(t != 0, let(distance, lambda d: let(F.signum(t), lambda way: grown(p, d, way)))))
-    return let(points, sized)
+    @F.arrow_udf(returnType="area double, left double, top double, right double, bottom double, corners int")
+    def measured(points: pa.Array) -> pa.Array:
+        return polygons.offset_measures(points, ratio, arc)
+
+    return measured(points)
 
 
 def polygon_area(points: Column) -> Column:

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from leafmark import profiles
@@ -85,3 +86,18 @@ def test_a_dense_page_is_many_groups(spark):
     plan = met._jdf.queryExecution().optimizedPlan().toString()
     assert "_tx" in plan and "_ty" in plan
     assert met.count() < 20_000 * 20  # all pairs would be 200 million
+
+
+def test_outlines_are_measured_many_rows_at_once(spark):
+    """Measures without the outline agree with the outline's own, nulls and flat polygons included, and no expression runs row by row."""
+    rows = [([[0.0, 0.0], [4.0, 0.0], [4.0, 2.0], [0.0, 2.0]],), ([[0.0, 2.0], [4.0, 2.0], [4.0, 0.0], [0.0, 0.0]],), ([[1.0, 1.0], [9.0, 2.0], [5.0, 7.0]],)]
+    rows += [(None,), ([[0.0, 0.0], [1.0, 1.0], [2.0, 2.0]],), ([[3.0, 3.0]],), ([],), ([[0.0, 0.0], [None, 0.0], [4.0, 2.0]],)]
+    frame = spark.createDataFrame(rows, "p array<array<double>>")
+    p = F.col("p")
+    both = frame.select(boxes.unclipped_measures(p, arc=8).alias("m"), boxes.round_offset(p, boxes.unclip_distance(p), 8).alias("g"))
+    found = both.withColumn("a", boxes.polygon_area(F.col("g"))).collect()
+    for r in found[:3]:
+        x, y = zip(*r.g, strict=True)
+        assert tuple(r.m) == pytest.approx((r.a, min(x), min(y), max(x), max(y), len(x)))
+    assert all(r.m is None and r.g is None for r in found[3:])
+    assert "lambda" not in both._jdf.queryExecution().optimizedPlan().toString()
