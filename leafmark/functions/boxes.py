@@ -151,14 +151,11 @@ def ordered_corners(points: Column) -> Column:
     width and height of the crop they bound: the ends of x + y, and of y - x; of equal ones
     the first."""
 
-    def end(key, sign: int) -> Column:
-        ranked = F.array_sort(F.transform(points, lambda p, i: F.struct((sign * key(p)).alias("k"), i.alias("i"), p.alias("p"))))
-        return ranked[0]["p"]
-
-    total, slope = (lambda p: p[0] + p[1]), (lambda p: p[1] - p[0])
-    corners = F.array(end(total, 1), end(slope, 1), end(total, -1), end(slope, -1))
-    far = lambda a, b: F.floor(F.sqrt(F.pow(corners[a][0] - corners[b][0], 2) + F.pow(corners[a][1] - corners[b][1], 2)))
-    return F.struct(corners.alias("corners"), F.greatest(far(2, 3), far(1, 0)).alias("width"), F.greatest(far(1, 2), far(0, 3)).alias("height"))
+    @F.arrow_udf(returnType="corners array<array<double>>, width long, height long")
+    def ordered(points: pa.Array) -> pa.Array:
+        return polygons.ordered(points)
+
+    return ordered(points)
 
 
 def crop_in_image(left: Column, top: Column, width: Column, height: Column, shown: Column, natural_width: Column, natural_height: Column) -> Column:

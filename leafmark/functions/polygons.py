@@ -123,3 +123,23 @@ def offset_measures(points: pa.Array, ratio: float, arc: int) -> pa.Array:
     part = lambda f, v: f.reduceat(v, c.start) if len(c.start) else v
     found = [np.abs(c.total(doubled)) / 2, part(np.minimum, left), part(np.minimum, top), part(np.maximum, right), part(np.maximum, bottom), (c.sizes * (arc + 1)).astype(np.int32)]
     return pa.StructArray.from_arrays([c.filled(v) for v in found], names=["area", "left", "top", "right", "bottom", "corners"], mask=pa.array(~c.whole))
+
+
+def ordered(points: pa.Array) -> pa.Array:
+    """As `boxes.ordered_corners`."""
+    c = Corners(points)
+
+    def end(key: np.ndarray) -> np.ndarray:
+        """Of each polygon, the first corner with the least key."""
+        key = np.where(np.isnan(key), np.inf, key)
+        least = np.minimum.reduceat(key, c.start) if len(c.start) else key
+        at = np.flatnonzero(key == least[c.of])
+        return at[np.r_[True, c.of[at[1:]] != c.of[at[:-1]]]] if len(at) else at
+
+    ends = [end(key) for key in (c.x + c.y, c.y - c.x, -(c.x + c.y), -(c.y - c.x))]
+    far = lambda a, b: np.floor(np.sqrt((c.x[ends[a]] - c.x[ends[b]]) ** 2 + (c.y[ends[a]] - c.y[ends[b]]) ** 2)).astype(np.int64)
+    width, height = np.maximum(far(2, 3), far(1, 0)), np.maximum(far(1, 2), far(0, 3))
+    flat = np.stack([v[e] for e in ends for v in (c.x, c.y)], 1).ravel()
+    pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2, dtype=np.int32)), pa.array(flat))
+    corners = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(4 * c.whole)].astype(np.int32)), pairs, mask=pa.array(~c.whole))
+    return pa.StructArray.from_arrays([corners, c.filled(width), c.filled(height)], names=["corners", "width", "height"], mask=pa.array(~c.whole))
