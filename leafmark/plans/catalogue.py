@@ -686,7 +686,7 @@ def resolve_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def reading_order_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.page_order(box_view(spark, sf_dir).withColumn("vertical", F.lit(True))).select("page_id", "line_idx", "rank")
+    return layout.page_order(box_view(spark, sf_dir).drop("text").withColumn("vertical", F.lit(True))).select("page_id", "line_idx", "rank")
 
 
 @query()
