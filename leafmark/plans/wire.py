@@ -7,7 +7,6 @@ import struct
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.functions.arrays import let
 from leafmark.plans.catalogue import query
 from leafmark.plans.views import BOXES_SQL
 from leafmark.plans.views import boxes as box_view
@@ -21,15 +20,11 @@ def _byte(n: Column) -> Column:
     return F.unhex(F.lpad(F.hex(n), 2, "0"))
 
 
-def _field(number: int, value: Column) -> Column:
-    """A field of bytes shorter than 2 ** 21."""
-
-    def sized(v: Column) -> Column:
-        n = F.length(v)
-        more = F.when(n < 16384, F.concat(_byte(n % 128 + 128), _byte(F.floor(n / 128)))).otherwise(F.concat(_byte(n % 128 + 128), _byte(F.floor(n / 128) % 128 + 128), _byte(F.floor(n / 16384))))
-        return F.concat(_byte(F.lit(8 * number + 2)), F.when(n < 128, _byte(n)).otherwise(more), v)
-
-    return let(value, sized)
+def _field(number: int, v: Column) -> Column:
+    """A field of bytes shorter than 2 ** 21.  `v` is named often: a column or a literal."""
+    n = F.length(v)
+    more = F.when(n < 16384, F.concat(_byte(n % 128 + 128), _byte(F.floor(n / 128)))).otherwise(F.concat(_byte(n % 128 + 128), _byte(F.floor(n / 128) % 128 + 128), _byte(F.floor(n / 16384))))
+    return F.concat(_byte(F.lit(8 * number + 2)), F.when(n < 128, _byte(n)).otherwise(more), v)
 
 
 def _text(value: Column | str) -> Column:
@@ -48,12 +43,18 @@ SELECT b.page_id, row_number() OVER (PARTITION BY b.page_id ORDER BY b.line_idx)
   round(CASE WHEN v.h > v.w THEN 90.0 ELSE 0.0 END + CASE WHEN abs(v.t) < 2 * pi() THEN degrees(v.t) ELSE v.t END, 1)::DOUBLE AS orientation, 0.04::DOUBLE AS font_size, 0.98::DOUBLE AS confidence
 FROM boxes b JOIN v ON v.k = b.line_idx % 3""")
 def lens_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.concat(*(_field(1, F.concat(F.lit(b"\x28\x01"), _field(2, _text(text)), _field(3, _text(gap)))) for text, gap in ((F.col("text"), "SPACE"), ("･･･", "NEWLINE"))))
     box = F.when(F.col("line_idx") % 3 == 0, _box(_BOXES[0])).when(F.col("line_idx") % 3 == 1, _box(_BOXES[1])).otherwise(_box(_BOXES[2]))
-    # Field 15 of a line and field 9 of the whole are unknown to the reader.
-    line = _field(2, F.concat(words, _field(15, _text("?")), _field(2, _field(1, box))))
-    each = box_view(spark, sf_dir).select("page_id", F.struct("line_idx", line.alias("line")).alias("v"))
+    # Each message lies in the next; field 15 of a line and field 9 of the whole are unknown to the reader.
+    inside = box_view(spark, sf_dir).select("page_id", "line_idx", _text(F.col("text")).alias("text"), box.alias("box"))
+    inside = inside.withColumns({"text": _field(2, F.col("text")), "box": _field(1, F.col("box"))})
+    inside = inside.withColumns({"text": F.concat(F.lit(b"\x28\x01"), F.col("text"), _field(3, _text("SPACE"))), "box": _field(2, F.col("box"))})
+    last = F.concat(F.lit(b"\x28\x01"), _field(2, _text("･･･")), _field(3, _text("NEWLINE")))
+    inside = inside.withColumn("line", F.concat(_field(1, F.col("text")), _field(1, last), _field(15, _text("?")), F.col("box")))
+    each = inside.select("page_id", F.struct("line_idx", _field(2, F.col("line")).alias("line")).alias("v"))
     pages = each.groupBy("page_id").agg(F.array_sort(F.collect_list("v")).alias("v"))
     lines = F.aggregate("v", F.lit(b"").cast("binary"), lambda s, v: F.concat(s, v["line"]))
-    message = F.concat(F.lit(b"\x48\x96\x01"), _field(2, _field(3, _field(1, _field(1, lines)))))
-    return adapters.lens_lines(wire.decoded(pages.select("page_id", message.alias("message"))))
+    whole = pages.select("page_id", lines.alias("message"))
+    for number in (1, 1, 3, 2):
+        whole = whole.select("page_id", _field(number, F.col("message")).alias("message"))
+    whole = whole.select("page_id", F.concat(F.lit(b"\x48\x96\x01"), "message").alias("message"))
+    return adapters.lens_lines(wire.decoded(whole))

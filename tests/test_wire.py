@@ -90,3 +90,34 @@ def test_table_function_is_the_chunked_scan(spark):
     assert found == rows(layout.chunked(pages, by_rows))
     assert {r[0] for r in found} == {1, 2, 3} and len(found) > 8
     assert spark.sql("SELECT count(*) AS n FROM recognise_chunks(TABLE(SELECT 5L AS page_id, 10 AS width, 100 AS height, 0L AS offset, 100L AS size) PARTITION BY page_id)").first().n == 2
+
+
+def test_many_messages_in_step(spark):
+    """Messages read level by level are what each is on its own: parts, unknown fields, broken bytes, nulls."""
+    import random
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    from leafmark.sources import adapters, wire
+
+    rng = random.Random(3)
+    size = lambda n: bytes([n]) if n < 128 else bytes([n % 128 + 128, n // 128])
+    field = lambda number, value: bytes([8 * number + 2]) + size(len(value)) + value
+    few = lambda make, most: b"".join(make() for _ in range(rng.randint(0, most)))
+    word = lambda: field(1, few(lambda: rng.choice([field(2, "é漢".encode()), field(3, b"SPACE"), field(2, b"\xff"), b"\x28\x01"]), 3))
+    box = lambda: field(1, few(lambda: bytes([8 * rng.randint(1, 6) + 5]) + rng.randbytes(2) + b"\x80\x3f", 6))
+    line = lambda: field(2, few(lambda: rng.choice([word(), word(), field(2, few(box, 2)), field(15, b"?"), b"\x79" + bytes(8)]), 6))
+    whole = lambda: few(lambda: field(2, few(lambda: field(3, few(lambda: field(1, few(lambda: field(1, few(line, 3)), 3)), 2)), 2)) + rng.choice([b"", b"\x48\x96\x01"]), 2)
+    messages = [None, b"", b"\xff" * 11, b"\x12" + b"\xff" * 9 + b"\x01", b"\x13"]
+    for _ in range(400):
+        m = bytearray(whole())
+        if m and rng.random() < 0.4:
+            m[rng.randrange(len(m))] = rng.randrange(256)
+        messages.append(bytes(m))
+    kind = to_arrow_type(_parse_datatype_string(adapters.LENS))
+    found, expected = wire._results(pa.array(messages, pa.binary())).cast(kind), pa.array([wire._result(m) for m in messages], kind)
+    for m, one, other in zip(messages, found.to_pylist(), expected.to_pylist(), strict=True):
+        assert str(one) == str(other), m
+    assert 20 < found.null_count < 300
