@@ -5,22 +5,24 @@ narrowed down first:
 
 1. Sketch.  Every phrase of a language has a cell; a cell holds the sum of all phrases that
    share it, which is never less than any one of them.  Cells are counted in numpy within a
-   task and summed over tasks.  Words come first, then pairs whose words can reach the
-   least count, then longer phrases whose pairs all can.  The cells that reach it go to the
-   next step as a bitmap of fixed size, whose wrong hits let more through and never less.
-2. Candidates.  One pass collects the phrases of those cells.  Each cell knows its witness,
-   the document of lowest hash that has a phrase of it, and only that one tells the phrase.
-3. Scan.  They are dealt into blocks of about `block` bytes; each block compiles into an
-   Aho-Corasick automaton of phrases between word guards, and each task counts all matches
-   in its texts, overlapping ones included.  The sums over tasks are the exact counts.  Where
-   the counts of a cell's phrases fall short of the cell, it has phrases that its witness
-   lacks; those come by a second pass without witnesses, so none is missed.
+   task and travel as sorted vectors, dealt by their first bits; those that reach the least
+   count go to the next step as a bitmap of fixed size, whose wrong hits let more through
+   and never less.  Words come first, then pairs whose words can reach it, then longer
+   phrases whose pairs all can.
+2. Stretches.  One more pass takes the longest phrase that may be frequent at each place, and
+   the word there by itself; equal ones of a task are counted once, exactly, by their bytes.
+   They are dealt by their first two words (or their word) into about as many deals as the
+   heavy cells have blocks of `block` bytes.
+3. Counts.  A task holds one deal of a language at a time.  Its phrases, which are the
+   beginnings of its stretches, compile into an Aho-Corasick automaton that reads each
+   distinct stretch once.  A phrase is matched where a stretch begins: wherever else it
+   occurs, another stretch begins.  So the sums are the exact counts.
 4. Thresholds, scores and containment are plans on these counts, which are few.
 
 So sketches decide what is looked at, not what comes out: with any `cells` and `bits` the
-result is the same.  No step gathers a language, a phrase or its places; a task holds a
-bitmap for words, pairs and longer phrases each, and one block.  The corpus is read once
-for each block, so a corpus hundreds of times larger wants a higher `least`.
+result is the same.  The texts are read four times whatever the number of phrases, and no
+step gathers a language, a phrase or its places; a task holds a bitmap for words, pairs and
+longer phrases each, and one deal.
 
 Null texts are empty; a null language is `und`.  Rows without a doc_id count as all others,
 as do repeated rows.  A phrase never crosses one of `SIGNS` or a document.  Texts and words
@@ -30,11 +32,10 @@ their names.  Empty tables give no rows.
 
 from __future__ import annotations
 
-import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
-from operator import itemgetter
+from itertools import chain, groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -50,14 +51,19 @@ U = np.uint64
 SIGNS = ".,;:!?\n\x0b\x0c\r"
 UNKNOWN = "und"
 LONGEST = 5
-#: Cells that a task gathers before it counts them, and phrases it remembers to have told.
+#: Cells that a task gathers before it counts them.
 _GATHERED = 1 << 21
+#: Bytes of stretches that a task gathers before equal ones are added up.
+_HELD = 32 << 20
+#: Stretches whose bytes are taken from a text at once.
+_AT_ONCE = 1 << 17
+#: Cells are dealt by so many of their first bits.
+_DEALT = 10
+#: Bytes of a phrase, for the number of deals.
+_USUAL = 16
 
-_SIGN, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
-_SIGN[list(SIGNS.encode())] = True
-_BLANK[list(SIGNS.encode() + b" \t")] = True
 #: A-Z lowered, signs as line feeds, tabs as spaces.
-_PLAIN = bytes(10 if _SIGN[b] else 32 if b == 9 else int(X.LOWER[b]) for b in range(256))
+_PLAIN = bytes(10 if chr(b) in SIGNS else 32 if b == 9 else int(X.LOWER[b]) for b in range(256))
 
 
 class Sketch(NamedTuple):
@@ -87,23 +93,20 @@ class Phrases:
 
     def __init__(self, batch: pa.RecordBatch, sketch: Sketch, maps: dict[int, Broadcast]):
         self.sketch, self.maps = sketch, maps
-        langs = batch.column(0).to_pylist()
         raw, at = X.texts(batch.column(1))
-        self.data = X.LOWER[raw]
-        self.starts, self.ends, doc = X.tokens(_BLANK[raw], at)
+        self.data = np.frombuffer(raw.tobytes().translate(_PLAIN), np.uint8)
+        sign = self.data == 10
+        self.starts, self.ends, self.doc = X.tokens(sign | (self.data == 32), at)
         n = len(self.starts)
-        signs = np.zeros(len(raw) + 1, np.int64)
-        np.cumsum(_SIGN[raw], out=signs[1:])
         joined = np.zeros(n, bool)  # with the next word
-        joined[:-1] = (doc[1:] == doc[:-1]) & (signs[self.starts[1:]] == signs[self.ends[:-1]])
+        joined[:-1] = self.doc[1:] == self.doc[:-1]
+        after = np.searchsorted(self.starts, np.flatnonzero(sign))
+        joined[after[after > 0] - 1] = False
         last = np.flatnonzero(~joined)
-        self.left = last[np.searchsorted(last, np.arange(n))] - np.arange(n) + 1 if n else np.zeros(0, np.int64)
-        seeds = X.mix(np.array([zlib.crc32((x or UNKNOWN).encode()) for x in langs], U))
-        self.doc, self.seed = doc, seeds[doc]
-        hasher = X.Hasher(self.data)
-        self.words = hasher(self.starts, self.ends)
-        #: Of each word's document, for the choice of witnesses.
-        self.mark = hasher(at[:-1], at[1:]).view(np.int64)[doc] >> 32
+        self.left = np.repeat(last, np.diff(last, prepend=-1)) - np.arange(n) + 1
+        langs = batch.column(0).to_pylist()
+        self.seed = X.mix(np.array([zlib.crc32((x or UNKNOWN).encode()) for x in langs], U))[self.doc]
+        self.words = X.Hasher(self.data)(self.starts, self.ends)
         self._found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def found(self, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,55 +129,98 @@ class Phrases:
             self._found[size] = at, hashes
         return self._found[size]
 
-    def text(self, at: int, size: int) -> str:
-        return b" ".join(self.data[self.starts[i] : self.ends[i]].tobytes() for i in range(at, at + size)).decode()
+    def stretches(self) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """Each word that may be frequent, and each place's longest phrase that may be: bytes
+        with one space between words, the documents, and the hashes by which they are dealt:
+        the word's, or that of the first two words.  So many at a time."""
+        single, own = self.found(1)
+        several, first = self.found(2)
+        size = np.ones(len(self.words), np.int64)
+        for k in range(2, LONGEST + 1):
+            size[self.found(k)[0]] = k
+        length = self.ends - self.starts
+        ends = np.cumsum(length + 1) - 1
+        text = np.full(len(ends) + length.sum(), 32, np.uint8)
+        letter = np.ones(len(text), bool)
+        letter[ends] = False
+        text[letter] = self.data[(self.data != 10) & (self.data != 32)]
+        begins, hashes = np.concatenate([single, several]), np.concatenate([own, first])
+        start, end = (ends - length)[begins], ends[np.concatenate([single, several + size[several] - 1])]
+        for k in range(0, len(begins), _AT_ONCE):
+            part = slice(k, k + _AT_ONCE)
+            offsets = np.concatenate([[0], np.cumsum(end[part] - start[part])])
+            taken = text[np.repeat(start[part] - offsets[:-1], np.diff(offsets)) + np.arange(offsets[-1])]
+            yield _strings(taken, offsets), self.doc[begins[part]], hashes[part]
+
+
+def _strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The values between bounds as binary cells."""
+    offsets = (bounds * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.concatenate([np.flatnonzero(np.diff(values, prepend=values[:1] + 1)), [len(values)]])
 
 
 def _sketched(texts: DataFrame, sizes: list[int], least: int, sketch: Sketch, maps: dict[int, Broadcast]) -> DataFrame:
-    """(cell, n, witness): the cells of phrases of these sizes that reach `least` over all
-    tasks, and the lowest mark of a document that has one of their phrases."""
+    """(cell): the cells of phrases of these sizes that reach `least` over all tasks."""
+    shift = U(max(0, sketch.cells - _DEALT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered: list[tuple[np.ndarray, np.ndarray]] = []
+        gathered: list[np.ndarray] = []
 
         def counted() -> pa.RecordBatch:
-            cells, marks = (np.concatenate(x) for x in zip(*gathered, strict=True))
+            cells = np.sort(np.concatenate(gathered))
             gathered.clear()
-            order = np.argsort(cells)
-            cells, marks = cells[order], marks[order]
-            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(cells)), bool), cells[1:] != cells[:-1]]))
-            n = np.diff(np.append(first, len(cells)))
-            lowest = np.minimum.reduceat(marks, first) if len(first) else marks
-            return pa.RecordBatch.from_arrays([X.longs(cells[first]), pa.array(n.astype(np.int32)), pa.array(lowest.astype(np.int32))], names=["cell", "n", "witness"])
+            first = _runs(cells)
+            cells, n = cells[first[:-1]], np.diff(first).astype(np.int32)
+            deal = cells >> shift
+            bounds = _runs(deal)
+            return pa.RecordBatch.from_arrays([pa.array(deal[bounds[:-1]].astype(np.int32)), _packed(cells, bounds), _packed(n, bounds)], names=["deal", "cells", "counts"])
 
         for part in X.pieces(batches):
             p = Phrases(part, sketch, maps)
             for size in sizes:
-                at, hashes = p.found(size)
-                gathered.append((sketch.cell(hashes), p.mark[at]))
-            if sum(len(x) for x, _ in gathered) >= _GATHERED:
-                yield counted()
+                cells = sketch.cell(p.found(size)[1])
+                for k in range(0, len(cells), _GATHERED):
+                    gathered.append(cells[k : k + _GATHERED])
+                    if sum(map(len, gathered)) >= _GATHERED:
+                        yield counted()
         if gathered:
             yield counted()
 
-    sums = texts.mapInArrow(run, "cell long, n int, witness int").groupBy("cell").agg(F.sum("n").alias("n"), F.min("witness").alias("witness"))
-    return sums.where(F.col("n") >= least)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_key(batches, 1):
+            _, cells, n = zip(*rows, strict=True)
+            cells, n = np.frombuffer(b"".join(cells), U), np.frombuffer(b"".join(n), np.int32).astype(np.int64)
+            order = np.argsort(cells)
+            cells, n = cells[order], n[order]
+            first = _runs(cells)[:-1]
+            yield pa.RecordBatch.from_arrays([X.longs(cells[first][np.add.reduceat(n, first) >= least])], names=["cell"])
+
+    dealt = texts.mapInArrow(run, "deal int, cells binary, counts binary").repartition("deal").sortWithinPartitions("deal")
+    return dealt.mapInArrow(add, "cell long")
 
 
-def _told_by(cells: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """One number for a cell and its witness."""
-    return X.mix(cells + U(1)) ^ X.mix(marks.astype(np.int64).view(U))
+def _by_key(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """Runs of rows that agree in the first `width` columns, one row at a time."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    return groupby(rows, key=lambda r: r[:width])
 
 
-def _bitmap(cells: DataFrame, sketch: Sketch, witnesses: bool = False) -> Broadcast:
-    """The bitmap of (cell, n, witness) on all executors, of cells or of cells with their
-    witnesses.  Tasks set bits, their words of 64 bits meet in a grouped `or`, and at most
-    2**(bits - 6) of those come to the driver."""
+def _bitmap(cells: DataFrame, sketch: Sketch) -> Broadcast:
+    """The bitmap of (cell) on all executors.  Tasks set bits, their words of 64 bits meet in
+    a grouped `or`, and at most 2**(bits - 6) of those come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell = batch.column(0).to_numpy().view(U)
-            bit = np.unique(np.concatenate(sketch.places(_told_by(cell, batch.column(2).to_numpy()) if witnesses else cell)))
+            bit = np.unique(np.concatenate(sketch.places(batch.column(0).to_numpy().view(U))))
             word, first = np.unique(bit >> U(6), return_index=True)
             bits = np.bitwise_or.reduceat(U(1) << (bit & U(63)), first) if len(bit) else np.zeros(0, U)
             yield pa.RecordBatch.from_arrays([X.longs(word), X.longs(bits)], names=["word", "bits"])
@@ -185,179 +231,145 @@ def _bitmap(cells: DataFrame, sketch: Sketch, witnesses: bool = False) -> Broadc
     return cells.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
-def _candidates(texts: DataFrame, sketch: Sketch, maps: dict[int, Broadcast], told_by: Broadcast | None, only: dict[int, Broadcast] | None = None) -> DataFrame:
-    """(phrase): the distinct phrases that may be frequent in some language, told by their
-    cells' witnesses; or all those in the cells of `only`.  Within a task they are told apart
-    by 64-bit hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[int] = set()
-        for part in X.pieces(batches):
-            p, out = Phrases(part, sketch, maps), []
-            for size in range(1, LONGEST + 1):
-                at, hashes = p.found(size)
-                cells = sketch.cell(hashes)
-                good = sketch.holds(only[min(size, 3)].value, cells) if only else sketch.holds(told_by.value, _told_by(cells, p.mark[at]))
-                hashes, first = np.unique(hashes[good], return_index=True)
-                for h, i in zip(hashes.tolist(), at[good][first].tolist(), strict=True):
-                    if h not in told:
-                        told.add(h)
-                        out.append(p.text(i, size))
-            if len(told) > _GATHERED:
-                told.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["phrase"])
-
-    return texts.mapInArrow(run, "phrase string").distinct()
-
-
-def _short(counts: DataFrame, heavy: dict[int, DataFrame], sketch: Sketch, maps: dict[int, Broadcast]) -> dict[int, DataFrame]:
-    """Of each group of sizes: the cells that hold more than the counted phrases add up to."""
+def _stretches(texts: DataFrame, deals: int, sketch: Sketch, maps: dict[int, Broadcast]) -> DataFrame:
+    """(lang, deal, bytes, lengths, counts): the distinct stretches among those gathered in a
+    task, those of a language and deal in one row; deal -1 has the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[str] = Counter()
+        names: dict[str, int] = {}
+        gathered: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         for part in X.pieces(batches):
-            p, n = Phrases(part, sketch, maps), part.column(2).to_numpy()
-            many = np.bincount(p.doc, minlength=part.num_rows)
-            first = np.cumsum(many) - many
-            groups, cells, sums = [], [], []
-            for size in range(1, LONGEST + 1):
-                at, hashes = p.found(size)
-                whole = (first[p.doc[at]] == at) & (many[p.doc[at]] == size)
-                cells.append(sketch.cell(hashes[whole]))
-                sums.append(n[p.doc[at[whole]]])
-                groups.append(np.full(whole.sum(), min(size, 3), np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups)), X.longs(np.concatenate(cells)), pa.array(np.concatenate(sums))], names=["group", "cell", "sum"])
-
-    counted = counts.where("phrase IS NOT NULL").select("lang", F.col("phrase").alias("text"), "n").mapInArrow(run, "group int, cell long, sum long")
-    sums = settle(counted.groupBy("group", "cell").agg(F.sum("sum").alias("sum")))
-    short = {k: settle(of.join(sums.where(F.col("group") == k), "cell", "left").where(F.coalesce("sum", F.lit(0)) < F.col("n")).select("cell", "n", "witness")) for k, of in heavy.items()}
-    release(sums)
-    return short
-
-
-#: The automaton at hand, by the mark of its block.
-_automata: dict[str, object] = {}
-
-
-def _automaton(block: Broadcast):
-    """The automaton of a block of phrases between guards, made once in a worker."""
+            p = Phrases(part, sketch, maps)
+            langs = part.column(0).to_pylist()
+            own = np.array([names.setdefault(x, len(names)) for x in langs], np.int64)
+            for lang, n in zip(langs, np.bincount(p.doc, minlength=len(langs)).tolist(), strict=True):
+                total[lang] += n
+            for text, doc, hashes in p.stretches():
+                gathered.append((text, own[doc], (hashes % U(deals)).astype(np.int32)))
+                if sum(x.nbytes for x, _, _ in gathered) > _HELD:
+                    yield packed(gathered, list(names))
+                    gathered.clear()
+        if gathered:
+            yield packed(gathered, list(names))
+        rows = [(lang, -1, b"", b"", np.int64(n).tobytes()) for lang, n in total.items() if n]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ROW)], schema=_ROW)
+
+    def packed(gathered: list[tuple[pa.Array, np.ndarray, np.ndarray]], names: list[str]) -> pa.RecordBatch:
+        texts, langs, deal = zip(*gathered, strict=True)
+        told, langs = pa.concat_arrays(texts).dictionary_encode(), np.concatenate(langs)
+        both = pa.array(told.indices.to_numpy() * np.int64(len(names)) + langs).dictionary_encode()
+        at, of = both.indices.to_numpy(), both.dictionary.to_numpy()
+        n = np.bincount(at, minlength=len(of))
+        dealt = np.zeros(len(of), np.int64)
+        dealt[at] = langs * deals + np.concatenate(deal)
+        order = np.argsort(dealt)
+        dealt = dealt[order]
+        bounds = _runs(dealt)
+        data, ends = X.texts(told.dictionary.take(pa.array(of[order] // len(names))))
+        columns = [
+            pa.array([names[k // deals] for k in dealt[bounds[:-1]].tolist()], pa.string()),
+            pa.array((dealt[bounds[:-1]] % deals).astype(np.int32)),
+            _packed(data, ends[bounds]),
+            _packed(np.diff(ends).astype(np.int32), bounds),
+            _packed(n[order], bounds),
+        ]
+        return pa.RecordBatch.from_arrays(columns, schema=_ROW)
+
+    return texts.mapInArrow(run, "lang string, deal int, bytes binary, lengths binary, counts binary")
+
+
+_ROW = pa.schema([("lang", pa.string()), ("deal", pa.int32()), ("bytes", pa.binary()), ("lengths", pa.binary()), ("counts", pa.binary())])
+
+
+def _phrases(stretch: str) -> Iterator[str]:
+    """The phrases that a stretch counts for, as they are matched: its beginnings of two
+    words and more, or its only word."""
+    at = stretch.find(" ")
+    if at < 0:
+        yield f"\n{stretch}\n"
+    while at >= 0:
+        at = stretch.find(" ", at + 1)
+        yield f"\n{stretch[:at] if at >= 0 else stretch} "
+
+
+def _matched(stretches: list[str], n: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The phrases of distinct stretches, and how often they occur: `n` has the number of
+    times of each stretch."""
     import ahocorasick
 
-    if block.value[0] not in _automata:
-        _automata.clear()
-        found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, phrase in enumerate(block.value[1]):
-            found.add_word(f" {phrase} ", i)
-        found.make_automaton()
-        _automata[block.value[0]] = found
-    return _automata[block.value[0]]
-
-
-def guarded(text: str) -> str:
-    """The pieces of a text on lines of their own, one space around each word."""
-    pieces = text.encode().translate(_PLAIN).split(b"\n")
-    return "\n".join(f" {b' '.join(x.split()).decode()} " for x in pieces)
-
-
-#: Phrases whose counts travel together.
-_SLICE = 4096
-
-
-def _scan(texts: DataFrame, block: Broadcast, words: bool) -> DataFrame:
-    """(lang, phrase, n): how often each phrase of the block occurs in the texts of each
-    language; with `words`, also the number of all words, as the null phrase.  A task's
-    counts are vectors over the block, cut into slices; slices are added one by one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, size = _automaton(block), len(block.value[1])
-        counts: dict[str, np.ndarray] = {}
-        for part in X.pieces(batches):
-            by_lang: dict[str, list[str]] = {}
-            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                by_lang.setdefault(lang, []).append(guarded(text))
-            for lang, plain in by_lang.items():
-                if lang not in counts:
-                    if len(counts) * size > 8 * _GATHERED:  # of many languages
-                        yield told(counts)
-                        counts.clear()
-                    counts[lang] = np.zeros(size + 1, np.int64)
-                joined = "\n".join(plain)
-                hits = np.fromiter(map(itemgetter(1), automaton.iter(joined)), np.int64) if size else np.zeros(0, np.int64)
-                counts[lang] += np.bincount(hits, minlength=size + 1)
-                counts[lang][-1] += sum(len(x.split()) for x in joined.encode().split(b"\n")) if words else 0
-        yield told(counts)
-
-    def told(counts: dict[str, np.ndarray]) -> pa.RecordBatch:
-        rows = [(lang, k // _SLICE, n[k : k + _SLICE].tobytes()) for lang, n in counts.items() for k in range(0, len(n), _SLICE) if n[k : k + _SLICE].any()]
-        kinds = [pa.string(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["lang", "slice", "counts"])
+    automaton, known = ahocorasick.Automaton(ahocorasick.STORE_INTS), {}
+    for stretch in stretches:
+        for phrase in _phrases(stretch):
+            if phrase not in known:
+                automaton.add_word(phrase, len(known))
+                known[phrase] = len(known)
+    automaton.make_automaton()
+    lines = [f"\n{x} \n" if " " in x else f"\n{x}\n" for x in stretches]
+    ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
+    hits = np.fromiter(chain.from_iterable(automaton.iter("".join(lines))), np.int64).reshape(-1, 2)
+    sums = np.zeros(len(known), np.int64)
+    np.add.at(sums, hits[:, 1], n[np.searchsorted(ends, hits[:, 0], "right")])
+    return [x[1:-1] for x in known], sums
+
+
+def _summed(texts: list[pa.Array], times: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    """The distinct texts, and the sum of the times of each."""
+    told = pa.concat_arrays(texts).dictionary_encode()
+    sums = np.zeros(len(told.dictionary), np.int64)
+    np.add.at(sums, told.indices.to_numpy(), np.concatenate(times))
+    return told.dictionary, sums
+
+
+def _counted(stretches: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, n): the phrases that occur at least `least` times in their language,
+    and the number of all its words as the null phrase."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, total, names = None, None, [*block.value[1], None]
-
-        def summed() -> pa.RecordBatch:
-            at = np.flatnonzero(total)
-            own = [names[i] for i in (at + key[1] * _SLICE).tolist()]
-            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(at), pa.string()), pa.array(own, pa.string()), pa.array(total[at])], names=["lang", "phrase", "n"])
-
-        for batch in batches:
-            for lang, k, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (lang, k) != key:
-                    if key is not None:
-                        yield summed()
-                    key, total = (lang, k), 0
-                total = total + np.frombuffer(counts, np.int64)
-        if key is not None:
-            yield summed()
-
-    slices = texts.mapInArrow(run, "lang string, slice int, counts binary").repartition("lang", "slice").sortWithinPartitions("lang", "slice")
-    return slices.mapInArrow(add, "lang string, phrase string, n long")
-
-
-def phrase_counts(docs: DataFrame, least: int = 100, sketch: Sketch = Sketch(), block: int = 4 << 20) -> DataFrame:
+        for (lang, deal), rows in _by_key(batches, 2):
+            if deal < 0:
+                own, n = [None], np.array([sum(int(np.frombuffer(r[4], np.int64)[0]) for r in rows)])
+            else:
+                texts, times, held, most = [], [], 0, _HELD
+                for _, _, data, lengths, counts in rows:
+                    at = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, np.int32), dtype=np.int64)])
+                    texts.append(_strings(np.frombuffer(data, np.uint8), at))
+                    times.append(np.frombuffer(counts, np.int64))
+                    held += len(data)
+                    if held > most:
+                        texts, times = ([x] for x in _summed(texts, times))
+                        held = texts[0].nbytes
+                        most = max(_HELD, 2 * held)
+                text, times = _summed(texts, times)
+                own, n = _matched([x.decode() for x in text.to_pylist()], times)
+                often = np.flatnonzero(n >= least)
+                own, n = [own[i] for i in often.tolist()], n[often]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own, pa.string()), pa.array(n)], names=["lang", "phrase", "n"])
+
+    return stretches.repartition("lang", "deal").sortWithinPartitions("lang", "deal").mapInArrow(add, "lang string, phrase string, n long")
+
+
+def phrase_counts(docs: DataFrame, least: int = 100, sketch: Sketch = Sketch(), block: int = 1 << 17) -> DataFrame:
     """(lang, phrase, n): exact counts of all phrases of up to five words that occur at
     least `least` times in their language, and of all its words (the null phrase)."""
     prepare(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     maps: dict[int, Broadcast] = {}
-    heavy: dict[int, DataFrame] = {}
+    many = 0
     for size in (1, 2, 3):
         sizes = [size] if size < 3 else list(range(3, LONGEST + 1))
-        heavy[size] = settle(_sketched(texts, sizes, least, sketch, dict(maps)))
-        maps[size] = _bitmap(heavy[size], sketch)
-    told_by = _bitmap(reduce(DataFrame.unionByName, heavy.values()), sketch, witnesses=True)
-    counts = settle(_counted(texts, _candidates(texts, sketch, maps, told_by), block, words=True))
-    short = _short(counts, heavy, sketch, maps)
-    release(*heavy.values())
-    if any(not of.isEmpty() for of in short.values()):
-        rest = {k: _bitmap(of, sketch) for k, of in short.items()}
-        more = _candidates(texts, sketch, maps, None, rest).join(counts.select("phrase").distinct(), "phrase", "left_anti")
-        counts = settle(counts.unionByName(_counted(texts, more, block, words=False)))
-        for of in rest.values():
-            of.unpersist()
-    release(*short.values())
-    for of in (told_by, *maps.values()):
-        of.unpersist()
-    return counts.where(F.col("phrase").isNull() | (F.col("n") >= least))
-
-
-def _counted(texts: DataFrame, candidates: DataFrame, block: int, words: bool) -> DataFrame:
-    """(lang, phrase, n) of the candidates, block by block."""
-    spark = texts.sparkSession
-    phrases = settle(candidates)
-    size = phrases.agg(F.coalesce(F.sum(F.octet_length("phrase") + 2), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block))
-    parts = []
-    for k in range(blocks):
-        # About `block` bytes, whatever the input: the phrases are dealt by hash.
-        own = phrases.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == k).toArrow().column(0).to_pylist()
-        of = spark.sparkContext.broadcast((uuid.uuid4().hex, sorted(own)))
-        parts.append(settle(_scan(texts, of, words and k == 0)))
+        heavy = settle(_sketched(texts, sizes, least, sketch, dict(maps)))
+        maps[size] = _bitmap(heavy, sketch)
+        many += heavy.count()
+        release(heavy)
+    deals = max(1, -(-many * _USUAL // block))
+    counts = settle(_counted(_stretches(texts, deals, sketch, maps), least))
+    for of in maps.values():
         of.unpersist()
-    release(phrases)
-    return reduce(DataFrame.unionByName, parts)
+    return counts
 
 
-def collocations(docs: DataFrame, least: int = 100, top: int = 2000, sketch: Sketch = Sketch(), block: int = 4 << 20) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, top: int = 2000, sketch: Sketch = Sketch(), block: int = 1 << 17) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first `top` phrases of two
     to five words.  A phrase scores as its weakest cut in two: 1000 * a * n over the product
     of the counts l and r of its parts.  Phrases that never occur but within a longer one are

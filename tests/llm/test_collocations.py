@@ -1,6 +1,8 @@
 import collections
+import os
 import random
 import re
+import uuid
 
 import pytest
 
@@ -79,3 +81,30 @@ def test_long_texts_and_empty_table(spark, none):
     assert collocations.collocations(none).count() == 0
     rows = [("en", "one two " * 60_000), ("en", "w" * 1_000_000), (None, "a b " * 10)]
     assert run(spark, rows, least=10, top=5) == brute(rows, 10, 5)
+
+
+def test_reads_do_not_grow_with_the_phrases(spark, tmp_path):
+    """The texts are read as often with many small automata as with one."""
+    folder, schema = str(tmp_path), "lang string, text string"
+    frame = spark.createDataFrame(make(5), schema).repartition(3)
+
+    def reads(block):
+        own = f"{folder}/{block}"
+        os.mkdir(own)
+
+        def told(batches):
+            open(f"{own}/{uuid.uuid4().hex}", "w").close()
+            yield from batches
+
+        found = collocations.phrase_counts(frame.mapInArrow(told, schema), 12, block=block).collect()
+        return len(os.listdir(own)), sorted(map(str, found))
+
+    assert reads(300) == reads(4 << 20)
+
+
+def test_words_of_neighbouring_texts_and_wide_spaces(spark):
+    """Texts end without a break, spaces vary, and a phrase's words begin other phrases."""
+    rows = [("en", x) for x in ["new york", "york new", "new  york\tnew york", " new york", "New \t York new", "new. york"] * 4]
+    rows += [("de", "new york new york new york new")] * 3
+    for block in (1, 1 << 19):
+        assert run(spark, rows, least=3, top=20, block=block) == brute(rows, 3, 20)
